@@ -6,25 +6,16 @@ variant null is JSON null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscope.functions.binding import once
 from corpuscope.functions.numbers import number_text, text_to_number
 
 JSON_TYPE = "application/json"
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed a single time per row.
-
-    Inside a conditional branch Spark does not share repeated subexpressions.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parse_json(text: Column) -> Column:
     """VARIANT of a JSON text, NULL where the text is not one whole JSON value.
 
@@ -63,46 +54,61 @@ def is_array(value: Column) -> Column:
     return F.coalesce(kind(value) == "ARRAY", F.lit(False))
 
 
-def scalar_text(value: Column) -> Column:
-    """String form of a VARIANT; of arrays only the JSON text."""
+NUMBERS = ["DECIMAL", "DOUBLE", "FLOAT"]
+
+
+def _scalar_text(value: Column, type_name: Column) -> Column:
     return (
-        F.when(F.is_variant_null(value), "null")
-        .when(kind(value).isin("DECIMAL", "DOUBLE", "FLOAT"), number_text(F.try_variant_get(value, "$", "double")))
-        .when(is_object(value), "[object Object]")
+        F.when(type_name == "VOID", "null")
+        .when(type_name == "OBJECT", "[object Object]")
+        .when(type_name.isin(*NUMBERS), number_text(F.try_variant_get(value, "$", "double")))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )
 
 
-def value_text(value: Column) -> Column:
-    """String form of a VARIANT; an array is its items joined by commas.
+def scalar_text(value: Column) -> Column:
+    """String form of a VARIANT; of arrays only the JSON text."""
+    return once(value, lambda v: once(kind(v), lambda k: _scalar_text(v, k)))
 
-    Arrays inside arrays appear as JSON text.
-    """
+
+def _value_text(value: Column, type_name: Column) -> Column:
     items = F.transform(
         F.try_variant_get(value, "$", "array<variant>"),
         lambda item: F.when(F.is_variant_null(item), "").otherwise(scalar_text(item)),
     )
-    return F.when(is_array(value), F.array_join(items, ",", "")).otherwise(scalar_text(value))
+    return F.when(type_name == "ARRAY", F.array_join(items, ",", "")).otherwise(_scalar_text(value, type_name))
+
+
+def value_text(value: Column) -> Column:
+    """String form of a VARIANT; an array is its items joined by commas.
+
+    Arrays inside arrays appear as JSON text.
+    """
+    return once(value, lambda v: once(kind(v), lambda k: _value_text(v, k)))
 
 
 def value_number(value: Column) -> Column:
     """Number of a VARIANT: null is 0, text that is no number is NULL."""
-    return (
-        F.when(value.isNull(), F.lit(None).cast("double"))
-        .when(F.is_variant_null(value), F.lit(0.0))
-        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
-        .when(kind(value).isin("STRING", "ARRAY"), text_to_number(value_text(value)))
-        .when(is_object(value), F.lit(None).cast("double"))
-        .otherwise(F.try_variant_get(value, "$", "double"))
-    )
+
+    def number(v: Column, k: Column) -> Column:
+        return (
+            F.when(k == "VOID", F.lit(0.0))
+            .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
+            .when(k.isin("STRING", "ARRAY"), once(_value_text(v, k), text_to_number))
+            .when(k != "OBJECT", F.try_variant_get(v, "$", "double"))
+        )
+
+    return once(value, lambda v: once(kind(v), lambda k: number(v, k)))
 
 
 def value_json(value: Column) -> Column:
-    """JSON text of a VARIANT, numbers printed as :func:`number_text` does."""
-    return F.when(
-        kind(value).isin("DECIMAL", "DOUBLE", "FLOAT"),
-        number_text(F.try_variant_get(value, "$", "double")),
-    ).otherwise(F.to_json(value))
+    """JSON text of a VARIANT, a number printed as :func:`number_text` does."""
+    return once(
+        value,
+        lambda v: F.when(
+            kind(v).isin(*NUMBERS), number_text(F.try_variant_get(v, "$", "double"))
+        ).otherwise(F.to_json(v)),
+    )
 
 
 def member(record: Column, key: str) -> Column:

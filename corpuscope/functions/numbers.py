@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuscope.functions.binding import once
 from corpuscope.functions.text import trim_ws
 
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -13,12 +14,15 @@ _HEX = r"^0[xX][0-9a-fA-F]{1,13}$"
 
 def text_to_number(text: Column) -> Column:
     """Number of a string: blank is 0, text that is no number is NULL."""
-    trimmed = trim_ws(text)
-    return (
-        F.when(trimmed == "", F.lit(0.0))
-        .when(trimmed.rlike(_DECIMAL), trimmed.try_cast("double"))
-        .when(trimmed.rlike(_HEX), F.conv(F.substring(trimmed, 3, 13), 16, 10).try_cast("double"))
-    )
+
+    def parsed(trimmed: Column) -> Column:
+        return (
+            F.when(trimmed == "", F.lit(0.0))
+            .when(trimmed.rlike(_DECIMAL), trimmed.try_cast("double"))
+            .when(trimmed.rlike(_HEX), F.conv(F.substring(trimmed, 3, 13), 16, 10).try_cast("double"))
+        )
+
+    return once(trim_ws(text), parsed)
 
 
 def to_number(value: Column, type_name: str) -> Column:
@@ -44,18 +48,21 @@ def round_half_up(number: Column) -> Column:
 
 def number_text(number: Column) -> Column:
     """Decimal text of a double: 5 for 5.0, plain digits from 1e-6 up to 1e21."""
-    java = number.cast("string")
-    size = F.abs(number)
-    fraction = F.when(size < 1, java.try_cast("decimal(38,28)").cast("string")).otherwise(
-        java.try_cast("decimal(38,17)").cast("string")
-    )
-    whole = java.try_cast("decimal(38,0)").cast("string")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    power = F.substring_index(java, "E", -1)
-    signed = F.when(F.startswith(power, F.lit("-")), power).otherwise(F.concat(F.lit("+"), power))
-    return (
-        F.when(number == 0, "0")
-        .when((size >= 1e21) | (size < 1e-6), F.concat(mantissa, F.lit("e"), signed))
-        .when(number == F.floor(number), whole)
-        .otherwise(F.regexp_replace(fraction, r"\.?0+$", ""))
-    )
+
+    def from_java(value: Column, java: Column) -> Column:
+        size = F.abs(value)
+        fraction = F.when(size < 1, java.try_cast("decimal(38,28)").cast("string")).otherwise(
+            java.try_cast("decimal(38,17)").cast("string")
+        )
+        whole = java.try_cast("decimal(38,0)").cast("string")
+        mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
+        power = F.substring_index(java, "E", -1)
+        signed = F.when(F.startswith(power, F.lit("-")), power).otherwise(F.concat(F.lit("+"), power))
+        return (
+            F.when(value == 0, "0")
+            .when((size >= 1e21) | (size < 1e-6), F.concat(mantissa, F.lit("e"), signed))
+            .when(value == F.floor(value), whole)
+            .otherwise(F.regexp_replace(fraction, r"\.?0+$", ""))
+        )
+
+    return once(number, lambda value: once(value.cast("string"), lambda java: from_java(value, java)))

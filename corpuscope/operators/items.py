@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import is_array, is_object, kind, member, object_text, quote
+from corpuscope.functions.jsontext import is_array, kind, member, object_text, quote
 
 
 def items_filter(df: DataFrame, array_col: str, predicate: str) -> DataFrame:
@@ -49,9 +49,9 @@ def extract_keys(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
     """
     value = F.col(json_col)
     reduced = F.parse_json(keys_json(value, keys))
+    type_name = kind(value)
     return df.withColumn(
-        json_col,
-        F.when(is_object(value) | is_array(value), reduced).when(~F.is_variant_null(value), value),
+        json_col, F.when(type_name.isin("OBJECT", "ARRAY"), reduced).when(type_name != "VOID", value)
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.binding import once
 from corpuscope.functions.jsontext import is_object, kind, member, parse_json, scalar_text
 from corpuscope.functions.paths import url_filename
 
@@ -129,11 +130,12 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     usable = params.isNotNull() & ~F.is_variant_null(params)
     given = F.when(is_object(params), member(params, "testHandler"))
     # '', false, 0 and null count as not given
-    override = F.when(
-        F.when(kind(given) == "STRING", scalar_text(given) != "").otherwise(
-            ~scalar_text(given).isin("false", "0", "null")
+    override = once(
+        given,
+        lambda v: F.when(
+            F.when(kind(v) == "STRING", scalar_text(v) != "").otherwise(~scalar_text(v).isin("false", "0", "null")),
+            scalar_text(v),
         ),
-        scalar_text(given),
     )
     named = parsed.withColumn("handler", F.when(usable, F.coalesce(override, F.col("handlerName"))))
     extra = [c for c in handlers.columns if c != "handler"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import is_object, parse_json, quote, stringify, value_json, value_text
+from corpuscope.functions.binding import once
+from corpuscope.functions.jsontext import kind, parse_json, stringify, value_json, value_text
 
 RULE = "=" * 40
 
@@ -14,30 +15,32 @@ def _text_lines(*lines: str | Column) -> Column:
     return F.array(*(F.lit(line) for line in lines))
 
 
-def report_body(text: Column, value: Column) -> Column:
+def _report_body(keys: Column, members: Column, raw: Column) -> Column:
     """Lines of a JSON object in member order, nested objects one level down.
 
-    ``value`` is the parsed ``text``. The parsed form sorts its members, so the
-    order comes from the text.
+    ``members`` holds the parsed values and ``raw`` their JSON text. Parsed
+    objects sort their members, so the order of nested ones comes from ``raw``.
     """
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    raw = F.from_json(text, "map<string,string>")
+    none = F.array().cast("array<string>")
 
     def nested(name: Column, item: Column) -> Column:
-        below = F.try_variant_get(item, "$", "map<string,variant>")
         names = F.array_distinct(F.json_object_keys(F.try_element_at(raw, name)))
-        rows = F.transform(
-            names, lambda sub: F.concat(F.lit("  "), sub, F.lit(": "), value_text(F.try_element_at(below, sub)))
+        rows = once(
+            F.try_variant_get(item, "$", "map<string,variant>"),
+            lambda below: F.transform(
+                names, lambda sub: F.concat(F.lit("  "), sub, F.lit(": "), value_text(F.try_element_at(below, sub)))
+            ),
         )
-        return F.concat(F.array(F.lit(""), F.concat(name, F.lit(":"))), F.coalesce(rows, F.array().cast("array<string>")))
+        return F.concat(F.array(F.lit(""), F.concat(name, F.lit(":"))), F.coalesce(rows, none))
 
-    def lines_of(name: Column) -> Column:
-        item = F.try_element_at(members, name)
+    def lines_for(name: Column, item: Column) -> Column:
         scalar = F.array(F.concat(name, F.lit(": "), value_json(item)))
-        return F.when(is_object(item) | F.is_variant_null(item), nested(name, item)).otherwise(scalar)
+        return F.when(kind(item).isin("OBJECT", "VOID"), nested(name, item)).otherwise(scalar)
 
-    keys = F.array_distinct(F.json_object_keys(text))
-    return F.coalesce(F.flatten(F.transform(keys, lines_of)), F.array().cast("array<string>"))
+    lines = F.transform(
+        keys, lambda name: once(F.try_element_at(members, name), lambda item: lines_for(name, item))
+    )
+    return F.coalesce(F.flatten(lines), none)
 
 
 def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: str = "text") -> DataFrame:
@@ -49,15 +52,19 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
     text = F.col(json_col)
     parsed = df.withColumn("_value", parse_json(text)).where(F.col("_value").isNotNull())
     if output == "json":
-        lines = F.split(value_json(F.col("_value")), "\n")
-    else:
-        lines = F.concat(
-            _text_lines(RULE, "Data Processing Report", RULE, f"Generated: {run_ts}", ""),
-            F.when(is_object(F.col("_value")), report_body(text, F.col("_value"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            _text_lines("", RULE),
-        )
+        return parsed.select(key, F.lit(0).alias("line_no"), value_json(F.col("_value")).alias("line"))
+    parsed = parsed.withColumns(
+        {
+            "_keys": F.array_distinct(F.json_object_keys(text)),
+            "_members": F.try_variant_get("_value", "$", "map<string,variant>"),
+            "_raw": F.from_json(text, "map<string,string>"),
+        }
+    )
+    lines = F.concat(
+        _text_lines(RULE, "Data Processing Report", RULE, f"Generated: {run_ts}", ""),
+        _report_body(F.col("_keys"), F.col("_members"), F.col("_raw")),
+        _text_lines("", RULE),
+    )
     return parsed.select(key, F.posexplode(lines).alias("line_no", "line"))
 
 

@@ -13,11 +13,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.binding import once
 from corpuscope.functions.jsontext import member, object_text, quote, value_json, value_number, value_text
 from corpuscope.functions.numbers import number_text, round_half_up, to_number
 
 Rules = dict[str, dict[str, Any]]
 
+_COMPACT = {"ensure_ascii": False, "separators": (",", ":")}
+
 
 def apply_rules(df: DataFrame, rules: Rules) -> DataFrame:
     """New record per row, from typed columns.
@@ -62,18 +65,18 @@ def rules_json(record: Column, rules: Rules) -> Column:
     """
     if not rules:
         return F.to_json(record)
-    fragments = []
-    for name, rule in rules.items():
-        source = rule.get("source")
-        default = F.lit(json.dumps(rule["default"], ensure_ascii=False)) if "default" in rule else F.lit(None)
-        if source:
-            value = member(record, source)
-            text = F.when(value.isNotNull(), _json(value, rule)).otherwise(default)
-        else:
-            text = default
-        label = F.lit(json.dumps(name, ensure_ascii=False) + ":")
-        fragments.append(F.concat(label, text.cast("string")))
-    return object_text(fragments)
+    return once(record, lambda r: object_text([_fragment(r, name, rule) for name, rule in rules.items()]))
+
+
+def _fragment(record: Column, name: str, rule: dict[str, Any]) -> Column:
+    """``"name":value``, or NULL if the rule gives nothing."""
+    default = F.lit(json.dumps(rule["default"], **_COMPACT) if "default" in rule else None).cast("string")
+    text = default
+    if rule.get("source"):
+        text = once(
+            member(record, rule["source"]), lambda value: F.when(value.isNotNull(), _json(value, rule)).otherwise(default)
+        )
+    return F.concat(F.lit(json.dumps(name, **_COMPACT) + ":"), text)
 
 
 def _json(value: Column, rule: dict[str, Any]) -> Column:

@@ -1,6 +1,6 @@
 """Jobs and registered queries."""
 
-from corpuscope.plans import text_queries  # noqa: F401
+from corpuscope.plans import corpus_queries, record_queries, response_queries, text_queries  # noqa: F401
 from corpuscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
