@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import WS, preview_chars, trim_ws
+from corpuscope.functions.text import collapse_ws, preview_chars, trim_ws
 
 # What is looked for, and how much of it is kept.
 TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
@@ -33,7 +33,7 @@ def html_text(html: Column) -> Column:
     without = F.regexp_replace(F.regexp_replace(html, SCRIPT, ""), STYLE, "")
     spaced = F.regexp_replace(without, TAG, " ")
     # every run of white space is one blank by now, so a plain trim is enough
-    return preview_chars(F.trim(F.regexp_replace(spaced, f"{WS}+", " ")), TEXT_LIMIT)
+    return preview_chars(F.trim(collapse_ws(spaced)), TEXT_LIMIT)
 
 
 def html_links(html: Column) -> Column:

@@ -41,26 +41,28 @@ def quote(text: Column) -> Column:
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
+# First letters of a VARIANT's schema, which tell the kinds apart.
+OBJECT, ARRAY, STRING, NULL, BOOLEAN, WHOLE = "OBJ", "ARR", "STR", "VOI", "BOO", "BIG"
+NUMBERS = ["DEC", "DOU", "FLO"]
+
+
 def kind(value: Column) -> Column:
-    """First word of a VARIANT's schema: OBJECT, ARRAY, STRING, VOID, BIGINT ..."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+    """Kind of a VARIANT: one of the constants above."""
+    return F.substring(F.schema_of_variant(value), 1, 3)
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value) == "OBJECT", F.lit(False))
+    return F.coalesce(kind(value) == OBJECT, F.lit(False))
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value) == "ARRAY", F.lit(False))
-
-
-NUMBERS = ["DECIMAL", "DOUBLE", "FLOAT"]
+    return F.coalesce(kind(value) == ARRAY, F.lit(False))
 
 
 def _scalar_text(value: Column, type_name: Column) -> Column:
     return (
-        F.when(type_name == "VOID", "null")
-        .when(type_name == "OBJECT", "[object Object]")
+        F.when(type_name == NULL, "null")
+        .when(type_name == OBJECT, "[object Object]")
         .when(type_name.isin(*NUMBERS), number_text(F.try_variant_get(value, "$", "double")))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )
@@ -76,7 +78,7 @@ def _value_text(value: Column, type_name: Column) -> Column:
         F.try_variant_get(value, "$", "array<variant>"),
         lambda item: F.when(F.is_variant_null(item), "").otherwise(scalar_text(item)),
     )
-    return F.when(type_name == "ARRAY", F.array_join(items, ",", "")).otherwise(_scalar_text(value, type_name))
+    return F.when(type_name == ARRAY, F.array_join(items, ",", "")).otherwise(_scalar_text(value, type_name))
 
 
 def value_text(value: Column) -> Column:
@@ -92,10 +94,10 @@ def value_number(value: Column) -> Column:
 
     def number(v: Column, k: Column) -> Column:
         return (
-            F.when(k == "VOID", F.lit(0.0))
-            .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
-            .when(k.isin("STRING", "ARRAY"), once(_value_text(v, k), text_to_number))
-            .when(k != "OBJECT", F.try_variant_get(v, "$", "double"))
+            F.when(k == NULL, F.lit(0.0))
+            .when(k == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
+            .when(k.isin(STRING, ARRAY), once(_value_text(v, k), text_to_number))
+            .when(k != OBJECT, F.try_variant_get(v, "$", "double"))
         )
 
     return once(value, lambda v: once(kind(v), lambda k: number(v, k)))

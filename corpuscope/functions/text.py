@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters counted as white space (Unicode spaces included,
-# which Java's \s leaves out).
-WS_CHARS = (
-    "\t\n\x0b\x0c\r "
-    "\u00a0\u1680"
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000\ufeff"
-)
-
-# The same set as a Java character class.
+# The characters counted as white space, as a Java character class.
+# Java's own \s leaves the Unicode spaces out. The part in front of && is a cheap
+# test that most letters fail, so the exact test seldom runs.
 WS = (
-    r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a"
-    r"\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    r"[\t-\r \u00a0\u1680-\ufeff&&"
+    r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 )
 
+# White space other than blank and newline.
+RARE_WS = WS.replace(r"\t-\r ", r"\t\x0B-\r", 1)
+
 
 def trim_ws(text: Column) -> Column:
     """Strip white space, Unicode spaces included, from both ends."""
@@ -29,11 +25,19 @@ def trim_ws(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of runs of non-white-space characters.
 
-    Mapping every space to a blank and splitting on one plain blank costs half
-    of what a split on the regular expression does.
+    A text without rare white space, which is nearly every text, is split on
+    plain blanks, which takes less than half the time of a regular expression.
     """
-    blanks = F.translate(text, WS_CHARS, " " * len(WS_CHARS))
-    return F.size(F.array_remove(F.split(blanks, " "), "")).cast("bigint")
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    pieces = F.when(plain.rlike(RARE_WS), F.split(plain, WS)).otherwise(F.split(plain, " "))
+    return F.size(F.array_remove(pieces, "")).cast("bigint")
+
+
+def collapse_ws(text: Column) -> Column:
+    """Every run of white space becomes one blank."""
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    rare = F.regexp_replace(plain, f"{WS}+", " ")
+    return F.when(plain.rlike(RARE_WS), rare).otherwise(F.regexp_replace(plain, " {2,}", " "))
 
 
 def count_lines(text: Column) -> Column:

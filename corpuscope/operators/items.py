@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import is_array, kind, member, object_text, quote
+from corpuscope.functions.jsontext import ARRAY, NULL, OBJECT, is_array, kind, member, object_text, quote
 
 
 def items_filter(df: DataFrame, array_col: str, predicate: str) -> DataFrame:
@@ -51,7 +51,7 @@ def extract_keys(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
     reduced = F.parse_json(keys_json(value, keys))
     type_name = kind(value)
     return df.withColumn(
-        json_col, F.when(type_name.isin("OBJECT", "ARRAY"), reduced).when(type_name != "VOID", value)
+        json_col, F.when(type_name.isin(OBJECT, ARRAY), reduced).when(type_name != NULL, value)
     )
 
 
@@ -69,7 +69,7 @@ def apply_transform(df: DataFrame, json_col: str, spec: dict[str, Any] | None) -
     work = "_items"
     change = items_filter if over_items == "filter" else items_map
     # JSON items of an array, NULL for any other value
-    items = F.when(kind(F.col(json_col)) == "ARRAY", F.try_variant_get(json_col, "$", "array<variant>"))
+    items = F.when(kind(F.col(json_col)) == ARRAY, F.try_variant_get(json_col, "$", "array<variant>"))
     changed = change(df.withColumn(work, items), work, spec[over_items])
     rest = extract_keys(changed, json_col, keys) if keys is not None else changed
     result = F.when(F.col(work).isNotNull(), F.col(work).cast("variant")).otherwise(F.col(json_col))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.jsontext import is_object, kind, member, parse_json, scalar_text
+from corpuscope.functions.jsontext import STRING, is_object, kind, member, parse_json, scalar_text
 from corpuscope.functions.paths import url_filename
 
 # A side is broadcast only if it is measured to stay within both bounds.
@@ -133,7 +133,7 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     override = once(
         given,
         lambda v: F.when(
-            F.when(kind(v) == "STRING", scalar_text(v) != "").otherwise(~scalar_text(v).isin("false", "0", "null")),
+            F.when(kind(v) == STRING, scalar_text(v) != "").otherwise(~scalar_text(v).isin("false", "0", "null")),
             scalar_text(v),
         ),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.jsontext import kind, parse_json, stringify, value_json, value_text
+from corpuscope.functions.jsontext import NULL, OBJECT, kind, parse_json, stringify, value_json, value_text
 
 RULE = "=" * 40
 
@@ -35,7 +35,7 @@ def _report_body(keys: Column, members: Column, raw: Column) -> Column:
 
     def lines_for(name: Column, item: Column) -> Column:
         scalar = F.array(F.concat(name, F.lit(": "), value_json(item)))
-        return F.when(kind(item).isin("OBJECT", "VOID"), nested(name, item)).otherwise(scalar)
+        return F.when(kind(item).isin(OBJECT, NULL), nested(name, item)).otherwise(scalar)
 
     lines = F.transform(
         keys, lambda name: once(F.try_element_at(members, name), lambda item: lines_for(name, item))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import JSON_TYPE, kind, scalar_text, value_json
+from corpuscope.functions.jsontext import BOOLEAN, JSON_TYPE, NUMBERS, STRING, WHOLE, kind, scalar_text, value_json
 
 CONTENT_TYPE = "Content-Type"
 USER_AGENT = "Mozilla/5.0 (compatible)"
@@ -22,7 +22,7 @@ def _with_header(headers: Column, name: str, value: str) -> Column:
 
 def _truthy(data: Column) -> Column:
     """Whether a VARIANT counts as given: not absent, null, '', 0 or false."""
-    empty = F.when(kind(data).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), scalar_text(data)).isin(
+    empty = F.when(kind(data).isin(STRING, WHOLE, BOOLEAN, *NUMBERS), scalar_text(data)).isin(
         "", "0", "false"
     )
     return data.isNotNull() & ~F.is_variant_null(data) & ~F.coalesce(empty, F.lit(False))
@@ -45,7 +45,7 @@ def build_requests(df: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
         .when(webhook, F.coalesce(given, F.lit("POST")))
         .otherwise(F.upper(F.coalesce(given, F.lit("GET"))))
     )
-    serialised = F.when(kind(data) == "STRING", scalar_text(data)).otherwise(value_json(data))
+    serialised = F.when(kind(data) == STRING, scalar_text(data)).otherwise(value_json(data))
     empty_object = F.lit("{}")
     body = (
         F.when(call == "postData", F.when(_truthy(data), serialised).otherwise(empty_object))

@@ -276,12 +276,21 @@ def transformed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources and sinks: the corpus written to the shared folder as text files
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def _text_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as text files, a folder per language, one file per task and language."""
-    path = scratch_path(spark, "documents")
-    documents = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
-    documents.write.partitionBy("lang").text(path)
-    return path
+    """The documents as text files, a folder per language, one file per task and language.
+
+    Written once per session, for all queries that read it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        path = scratch_path(spark, "documents")
+        documents = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
+        documents.write.partitionBy("lang").text(path)
+        _folders[key] = path
+    return _folders[key]
 
 
 @query("""SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
