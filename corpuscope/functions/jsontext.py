@@ -6,6 +6,8 @@ variant null is JSON null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,8 +117,10 @@ def value_json(value: Column) -> Column:
 
 def member(record: Column, key: str) -> Column:
     """Member of a VARIANT object, NULL if absent."""
-    escaped = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(record, f"$['{escaped}']", "variant")
+    if re.fullmatch(r"[\w $:/@+-]+", key):
+        return F.try_variant_get(record, f"$['{key}']", "variant")
+    # a path cannot spell every name
+    return F.try_element_at(F.try_variant_get(record, "$", "map<string,variant>"), F.lit(key))
 
 
 def json_body(content_type: Column, body: Column) -> Column:

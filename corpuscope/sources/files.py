@@ -1,14 +1,22 @@
-"""File listings and whole-file readers."""
+"""File listings and whole-file readers.
+
+Both use the binary file source: its paths agree between a listing and a read,
+contents are read only where a column needs them, and a compressed file is not
+unpacked because of its name. Spark's file sources leave empty files out; where
+those matter, start from a manifest DataFrame.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions.jsontext import parse_json
 from corpuscope.functions.paths import base_name, has_extension
 from corpuscope.operators.corpus import PARSE_ERROR
 
+FILE_TYPE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def scan_files(
     spark: SparkSession,
@@ -17,14 +25,10 @@ def scan_files(
     extensions: list[str] | None = None,
     sort: str | None = None,
 ) -> DataFrame:
-    """List files: path, name, length, modificationTime.
-
-    Contents are not read. Spark's file sources leave empty files out; where
-    they matter, start from a manifest DataFrame.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """List files: path, name, length, modificationTime."""
+    reader = _reader(spark, recursive)
     if extensions and len(extensions) == 1:
-        # one suffix is a glob, so other files are not even listed
+        # one suffix is a glob, so other files do not even become tasks
         reader = reader.option("pathGlobFilter", "*" + extensions[0])
     listing = reader.load(path).select("path", base_name(F.col("path")).alias("name"), "length", "modificationTime")
     if extensions and len(extensions) > 1:
@@ -32,24 +36,18 @@ def scan_files(
     return listing.orderBy(sort) if sort else listing
 
 
-def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """One row per file: path, filename, content."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    # wholetext has to be the argument: the option is overridden by its default
-    return _named(reader.text(path, wholetext=True))
+def _reader(spark: SparkSession, recursive: bool):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
 
 
-def plain_path(uri: Column) -> Column:
-    """Path as a listing shows it; file metadata has it percent-encoded."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+def as_text(files: DataFrame) -> DataFrame:
+    """path, filename and content of binary files."""
+    return files.select("path", base_name(F.col("path")).alias("filename"), F.col("content").cast("string"))
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_name").alias("filename"),
-        F.col("value").alias("content"),
-    )
+def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """One row per file: path, filename, content."""
+    return as_text(_reader(spark, recursive).load(path))
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuscope.sources.files import plain_path
+from corpuscope.sources.files import FILE_TYPE, as_text
 
 
 def stream_text_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Each new file once: path, filename, content; ``max_files`` per batch."""
-    reader = spark.readStream.format("text").option("wholetext", True)
+    reader = spark.readStream.format("binaryFile").schema(FILE_TYPE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(
-        plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_name").alias("filename"),
-        F.col("value").alias("content"),
-    )
+    return as_text(reader.load(path))
 
 
 def append_json(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
