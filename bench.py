@@ -18,28 +18,28 @@ from corpuscope.plans import QUERIES
 HEADLINE = [
     "corpus_job",
     "text_stats",
-    "extracted",
-    "transformed",
-    "type_counts",
-    "directories",
-    "scraped_pages",
-    "page_text",
-    "page_links",
-    "ruled_events",
-    "rule_defaults",
-    "transformed_values",
-    "fetched_json",
-    "api_results",
-    "status_totals",
-    "requests",
-    "exists_flags",
-    "calls_resolved",
-    "last_values",
-    "outcome_counts",
-    "sections",
-    "reports",
-    "read_texts",
-    "json_round_trip",
+    "extract_stage",
+    "transform_stage",
+    "file_type_counts",
+    "directory_summary",
+    "scrape_pages",
+    "html_text",
+    "html_links",
+    "apply_rules",
+    "rule_default",
+    "apply_transform",
+    "fetch_json",
+    "api_result",
+    "status_summary",
+    "build_requests",
+    "exists_flag",
+    "resolve_calls",
+    "last_wins",
+    "result_counts",
+    "probe_sections",
+    "report_lines",
+    "read_text_files",
+    "write_json",
 ]
 
 

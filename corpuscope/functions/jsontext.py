@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,23 +18,39 @@ from corpuscope.functions.numbers import number_text, text_to_number
 JSON_TYPE = "application/json"
 
 
-def parse_json(text: Column) -> Column:
-    """VARIANT of a JSON text, NULL where the text is not one whole JSON value.
+def _seal(text: Column) -> Column:
+    return F.crc32(text.cast("binary")).cast("string")
+
+
+def _sealed(text: Column) -> Column:
+    """The text as first item of an array whose second item is the text's checksum.
 
     The built-in parser stops behind the first value and so takes
-    ``{"a":1} x``. Here the text becomes the first of two array items: anything
-    left over breaks the array, adds an item or hides the second one. The second
-    item is the text's checksum, so no text can supply it itself.
+    ``{"a":1} x``. Inside the array anything left over breaks it, adds an item
+    or hides the second one, and no text can supply its own checksum.
     """
-    seal = F.crc32(text.cast("binary")).cast("string")
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), _seal(text), F.lit('"]')))
+
+
+def _unseal(pair: Column, text: Column) -> Column:
+    whole = F.try_variant_get(pair, "$[1]", "string") == _seal(text)
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
 
-    def first_of_two(parsed: Column) -> Column:
-        sealed = F.try_variant_get(parsed, "$[1]", "string") == seal
-        alone = F.try_variant_get(parsed, "$[2]", "variant").isNull()
-        return F.when(sealed & alone, F.try_variant_get(parsed, "$[0]", "variant"))
+def parse_json(text: Column) -> Column:
+    """VARIANT of a JSON text, NULL where the text is not one whole JSON value."""
+    return once(_sealed(text), lambda pair: _unseal(pair, text))
+
+
+def with_json(df: DataFrame, name: str, text: Column, condition: Column | None = None) -> DataFrame:
+    """Add :func:`parse_json` of a text as a column, for the rows that meet the condition.
 
-    return once(pair, first_of_two)
+    The unchecked value is a column of its own, which keeps all of it in
+    generated code.
+    """
+    pair = _sealed(text) if condition is None else F.when(condition, _sealed(text))
+    sealed = df.withColumn("_sealed", pair)
+    return sealed.withColumn(name, _unseal(F.col("_sealed"), text)).drop("_sealed")
 
 
 def quote(text: Column) -> Column:
@@ -123,9 +139,14 @@ def member(record: Column, key: str) -> Column:
     return F.try_element_at(F.try_variant_get(record, "$", "map<string,variant>"), F.lit(key))
 
 
+def is_json_type(content_type: Column) -> Column:
+    """Whether a content type says JSON, in this letter case."""
+    return F.coalesce(F.contains(content_type, F.lit(JSON_TYPE)), F.lit(False))
+
+
 def json_body(content_type: Column, body: Column) -> Column:
     """Parsed body if the content type says JSON, else (or if broken) NULL."""
-    return F.when(F.contains(content_type, F.lit(JSON_TYPE)), parse_json(body))
+    return F.when(is_json_type(content_type), parse_json(body))
 
 
 def json_object_or_empty(text: Column) -> Column:

@@ -51,6 +51,7 @@ def number_text(number: Column) -> Column:
 
     def from_java(value: Column, java: Column) -> Column:
         size = F.abs(value)
+        plain = F.when(F.endswith(java, F.lit(".0")), F.substring_index(java, ".", 1)).otherwise(java)
         fraction = F.when(size < 1, java.try_cast("decimal(38,28)").cast("string")).otherwise(
             java.try_cast("decimal(38,17)").cast("string")
         )
@@ -60,6 +61,7 @@ def number_text(number: Column) -> Column:
         signed = F.when(F.startswith(power, F.lit("-")), power).otherwise(F.concat(F.lit("+"), power))
         return (
             F.when(value == 0, "0")
+            .when(~F.contains(java, F.lit("E")), plain)
             .when((size >= 1e21) | (size < 1e-6), F.concat(mantissa, F.lit("e"), signed))
             .when(value == F.floor(value), whole)
             .otherwise(F.regexp_replace(fraction, r"\.?0+$", ""))

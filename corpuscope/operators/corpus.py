@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import parse_json
+from corpuscope.functions.jsontext import with_json
 from corpuscope.functions.numbers import round_half_up
 from corpuscope.functions.paths import base_name, file_extension, has_extension, parent_path
 from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars
@@ -35,7 +35,7 @@ def extract_stage(files: DataFrame, run_ts: str | None = None, keep: tuple[str,
     """
     content = F.col("content")
     is_json = has_extension(F.col("filename"), [JSON_SUFFIX])
-    rows = non_empty(files).withColumn("jsonData", F.when(is_json, parse_json(content)))
+    rows = with_json(non_empty(files), "jsonData", content, is_json)
     return rows.select(
         *keep,
         "filename",
@@ -77,11 +77,8 @@ def transform_stage(files: DataFrame, rules: Rules) -> DataFrame:
     passed over; a file that does not parse gives an error row.
     """
     record = F.col("_record")
-    parsed = (
-        non_empty(files)
-        .where(has_extension(F.col("filename"), [JSON_SUFFIX]))
-        .withColumn("_record", parse_json(F.col("content")))
-    )
+    json_files = non_empty(files).where(has_extension(F.col("filename"), [JSON_SUFFIX]))
+    parsed = with_json(json_files, "_record", F.col("content"))
     # a JSON null has no members: without rules it passes, with rules it fails
     usable = record.isNotNull() & (F.lit(not rules) | ~F.is_variant_null(record))
     first = F.instr(F.col("filename"), EXTRACTED_SUFFIX)
@@ -161,14 +158,14 @@ def collect_documents(records: DataFrame, order_by: str = "filename") -> DataFra
 
 def merge_sources(files: DataFrame) -> DataFrame:
     """The parsed sources as rows: path and data; sources that do not parse are dropped."""
-    parsed = non_empty(files).select("path", parse_json(F.col("content")).alias("data"))
-    return parsed.where(F.col("data").isNotNull())
+    parsed = with_json(non_empty(files), "data", F.col("content"))
+    return parsed.where(F.col("data").isNotNull()).select("path", "data")
 
 
 def merge_summary(files: DataFrame) -> DataFrame:
     """Number of sources given and number of sources that parse."""
-    usable = (F.col("content") != "") & parse_json(F.col("content")).isNotNull()
-    return files.agg(F.count("*").alias("sources"), F.count_if(usable).alias("merged"))
+    parsed = with_json(files, "_data", F.col("content"))
+    return parsed.agg(F.count("*").alias("sources"), F.count("_data").alias("merged"))
 
 
 def all_passed(df: DataFrame, run: str, flags: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.jsontext import STRING, is_object, kind, member, parse_json, scalar_text
+from corpuscope.functions.jsontext import STRING, is_object, kind, member, scalar_text, with_json
 from corpuscope.functions.paths import url_filename
 
 # A side is broadcast only if it is measured to stay within both bounds.
@@ -125,7 +125,7 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     that do not parse, and unknown names, give an error. ``handlers`` has
     ``handler`` and any columns to add.
     """
-    parsed = calls.withColumn("_params", parse_json(F.col("params")))
+    parsed = with_json(calls, "_params", F.col("params"))
     params = F.col("_params")
     usable = params.isNotNull() & ~F.is_variant_null(params)
     given = F.when(is_object(params), member(params, "testHandler"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.jsontext import NULL, OBJECT, kind, parse_json, stringify, value_json, value_text
+from corpuscope.functions.jsontext import NULL, OBJECT, kind, stringify, value_json, value_text, with_json
 
 RULE = "=" * 40
 
@@ -50,7 +50,7 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
     no report.
     """
     text = F.col(json_col)
-    parsed = df.withColumn("_value", parse_json(text)).where(F.col("_value").isNotNull())
+    parsed = with_json(df, "_value", text).where(F.col("_value").isNotNull())
     if output == "json":
         return parsed.select(key, F.lit(0).alias("line_no"), value_json(F.col("_value")).alias("line"))
     parsed = parsed.withColumns(

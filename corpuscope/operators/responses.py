@@ -19,7 +19,7 @@ from corpuscope.functions.html import (
     html_title,
     valid_pattern,
 )
-from corpuscope.functions.jsontext import json_body, parse_json
+from corpuscope.functions.jsontext import is_json_type, with_json
 from corpuscope.functions.text import char_count
 from corpuscope.operators.items import apply_transform
 
@@ -93,7 +93,8 @@ def fetch_data(df: DataFrame) -> DataFrame:
 
 def fetch_json(df: DataFrame, transform: dict[str, Any] | None = None) -> DataFrame:
     """Status and parsed, transformed body; ``data`` is VARIANT."""
-    gated = response_gate(df, "Failed to fetch JSON: ").withColumn("data", _ok(parse_json(F.col("body"))))
+    gated = response_gate(df, "Failed to fetch JSON: ")
+    gated = with_json(gated, "data", F.col("body"), F.col("message").isNull())
     shaped = apply_transform(gated, "data", transform)
     broken = F.when(F.col("data").isNull(), "Failed to parse JSON response: SyntaxError")
     return shaped.select(
@@ -130,9 +131,9 @@ def api_result(df: DataFrame) -> DataFrame:
     ``bodyJson`` is the parsed body where the ``Content-Type`` header (this
     letter case only) says JSON and the body parses; ``bodyText`` otherwise.
     """
-    parsed = json_body(F.try_element_at("headers", F.lit("Content-Type")), F.col("body"))
-    result = df.withColumn("message", _failed("API request failed: ")).withColumn("bodyJson", _ok(parsed))
-    return result.select(
+    result = df.withColumn("message", _failed("API request failed: "))
+    wanted = F.col("message").isNull() & is_json_type(F.try_element_at("headers", F.lit("Content-Type")))
+    return with_json(result, "bodyJson", F.col("body"), wanted).select(
         "url",
         _ok(F.col("status_code")).alias("status"),
         _ok(F.col("status_text")).alias("statusText"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import parse_json
+from corpuscope.functions.jsontext import with_json
 from corpuscope.functions.text import count_lines, count_words
 from corpuscope.operators.corpus import (
     all_passed,
@@ -41,14 +41,14 @@ _AVERAGES = """CAST(floor(sum(size) / count(*) + 0.5) AS BIGINT) AS "averageSize
     CAST(floor(sum(coalesce(wordCount, 0)) / count(*) + 0.5) AS BIGINT) AS "averageWords" """
 
 
-@query(f"WITH {RECORDS_SQL} SELECT {_TOTALS}, {_AVERAGES} FROM records")
+@query("corpus_job", f"WITH {RECORDS_SQL} SELECT {_TOTALS}, {_AVERAGES} FROM records")
 def corpus_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract, transform and aggregate in one pass over the corpus."""
     rules = {name: {"source": name} for name in ("filename", "size", "lines", "wordCount")}
     return corpus_totals_of(corpus_files(spark, sf_dir), rules)
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", jsonData AS "jsonData",
+@query("extract_stage", f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", jsonData AS "jsonData",
     parseError AS "parseError", preview FROM records""")
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
@@ -58,13 +58,13 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("jsonData", F.when(F.col("jsonData").isNotNull(), order))
 
 
-@query(f"""WITH {FILES_SQL} SELECT filename, {sql_units("content")} AS size, {sql_lines("content")} AS lines,
+@query("extract_single", f"""WITH {FILES_SQL} SELECT filename, {sql_units("content")} AS size, {sql_lines("content")} AS lines,
     {sql_words("content")} AS "wordCount" FROM files WHERE content <> ''""")
 def extracted_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_single(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
 
 
-@query(f"WITH {FILES_SQL} SELECT path, filename FROM files WHERE content <> ''")
+@query("non_empty", f"WITH {FILES_SQL} SELECT path, filename FROM files WHERE content <> ''")
 def non_empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return non_empty(corpus_files(spark, sf_dir)).select("path", "filename")
 
@@ -79,7 +79,7 @@ _RULES = {
 }
 
 
-@query(f"""WITH {FILES_SQL}, parsed AS (
+@query("transform_stage", f"""WITH {FILES_SQL}, parsed AS (
         SELECT filename, content, json_valid(content) AS ok,
             CASE WHEN json_valid(content) THEN content END AS j FROM files
         WHERE ends_with(filename, '.json') AND content <> '')
@@ -100,30 +100,30 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {FILES_SQL} SELECT CASE WHEN json_valid(content) THEN 'success' ELSE 'error' END AS status,
+@query("transform_outcomes", f"""WITH {FILES_SQL} SELECT CASE WHEN json_valid(content) THEN 'success' ELSE 'error' END AS status,
     CAST(count(*) AS BIGINT) AS files FROM files WHERE ends_with(filename, '.json') AND content <> '' GROUP BY 1""")
 def transform_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_outcomes(transform_stage(corpus_files(spark, sf_dir), _RULES))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT {_TOTALS} FROM records")
+@query("corpus_totals", f"WITH {RECORDS_SQL} SELECT {_TOTALS} FROM records")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_totals(extract_stage(corpus_files(spark, sf_dir), RUN_TS))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT {_AVERAGES} FROM records")
+@query("corpus_averages", f"WITH {RECORDS_SQL} SELECT {_AVERAGES} FROM records")
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_averages(extract_stage(corpus_files(spark, sf_dir), RUN_TS))
 
 
-@query(f"""WITH {FILES_SQL} SELECT CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE string_split(filename, '.')[-1] END
+@query("file_type_counts", f"""WITH {FILES_SQL} SELECT CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE string_split(filename, '.')[-1] END
     AS extension, CAST(count(*) AS BIGINT) AS files FROM files GROUP BY 1""")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus_files(spark, sf_dir)
     return file_type_counts(files.withColumn("filename", F.expr("CASE WHEN doc_id % 9 <> 0 THEN filename END")))
 
 
-@query(f"""SELECT concat('item_', item_id, '.txt') AS filename, {sql_units("text")} AS size,
+@query("collect_documents", f"""SELECT concat('item_', item_id, '.txt') AS filename, {sql_units("text")} AS size,
     {sql_lines("text")} AS lines, {sql_words("text")} AS "wordCount" FROM benchmark""")
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(
@@ -143,13 +143,13 @@ def _event_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT path, CAST(json(content) AS VARCHAR) AS data FROM ({_SOURCES})
+@query("merge_sources", f"""SELECT path, CAST(json(content) AS VARCHAR) AS data FROM ({_SOURCES})
     WHERE content <> '' AND json_valid(content)""")
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sources(_event_sources(spark, sf_dir)).select("path", F.to_json("data").alias("data"))
 
 
-@query(f"""SELECT CAST(count(*) AS BIGINT) AS sources,
+@query("merge_summary", f"""SELECT CAST(count(*) AS BIGINT) AS sources,
     CAST(count(*) FILTER (content <> '' AND json_valid(content)) AS BIGINT) AS merged FROM ({_SOURCES})""")
 def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_summary(_event_sources(spark, sf_dir))
@@ -163,7 +163,7 @@ _FLAGS_SQL = [
 ]
 
 
-@query(f"""SELECT conv_id, bool_and(coalesce(success, true) AND coalesce("exists", true)
+@query("all_passed", f"""SELECT conv_id, bool_and(coalesce(success, true) AND coalesce("exists", true)
         AND coalesce(contentMatches, true)) AS "allPassed"
     FROM (SELECT conv_id, {', '.join(_FLAGS_SQL).replace('AS exists', 'AS "exists"')} FROM conversations)
     GROUP BY conv_id""")
@@ -172,7 +172,7 @@ def runs_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_passed(rows, "conv_id", _FLAGS)
 
 
-@query(f"""WITH {FILES_SQL} SELECT regexp_extract(path, '^(.*)/', 1) AS directory,
+@query("directory_summary", f"""WITH {FILES_SQL} SELECT regexp_extract(path, '^(.*)/', 1) AS directory,
     CAST(count(*) AS BIGINT) AS "totalItems", CAST(sum(strlen(content)) AS BIGINT) AS "totalSize"
     FROM files GROUP BY 1""")
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ _EVENT_RULES = {
 }
 
 
-@query("""SELECT upper(event_type) AS label, lower(event_type) AS kind, value * 100 AS cents, value AS same,
+@query("apply_rules", """SELECT upper(event_type) AS label, lower(event_type) AS kind, value * 100 AS cents, value AS same,
     floor(value) + CASE WHEN value - floor(value) >= 0.5 THEN 1 ELSE 0 END AS whole, event_id AS id,
     user_id AS passed, 'none' AS filled FROM events""")
 def ruled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ _MEMBERS = """CASE event_id % 6
     ELSE props END"""
 
 
-@query("""SELECT event_id, concat('{"n":', CASE event_id % 6
+@query("rule_default", """SELECT event_id, concat('{"n":', CASE event_id % 6
         WHEN 0 THEN '0' WHEN 1 THEN '-1' WHEN 2 THEN CAST(user_id * 2 AS VARCHAR) WHEN 3 THEN 'null'
         WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN '2' ELSE '0' END
         ELSE CAST(CAST(props ->> '$.k' AS BIGINT) * 2 AS VARCHAR) END,
@@ -226,10 +226,11 @@ def rule_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
         "t": {"source": "t", "transform": "uppercase", "default": {"d": [1]}},
     }
     rows = table(spark, sf_dir, "events").select("event_id", F.expr(_MEMBERS).alias("text"))
-    return rows.select("event_id", rules_json(parse_json(F.col("text")), rules).alias("record"))
+    parsed = with_json(rows, "value", F.col("text"))
+    return parsed.select("event_id", rules_json(F.col("value"), rules).alias("record"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '),
+@query("items_filter", """SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '),
     lambda w: length(w) > 4 AND w LIKE '%e%'), ' ') AS words FROM conversations""")
 def filtered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
@@ -237,7 +238,7 @@ def filtered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("words", F.array_join("words", " "))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '),
+@query("items_map", """SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '),
     lambda w: concat(substring(w, 1, 3), length(w))), ' ') AS words FROM conversations""")
 def mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
@@ -251,26 +252,29 @@ _VALUES = """CASE event_id % 4
     WHEN 2 THEN 'null' ELSE concat('"', event_type, '"') END"""
 
 
-@query("""SELECT event_id, CASE event_id % 4
+def _json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_VALUES).alias("text"))
+    return with_json(rows, "data", F.col("text")).select("event_id", "data")
+
+
+@query("extract_keys", """SELECT event_id, CASE event_id % 4
         WHEN 0 THEN concat('{"0":', user_id, ',"length":3}')
         WHEN 1 THEN concat('{"b":null,"c":"', event_type, '"}')
         WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""")
 def extracted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", parse_json(F.expr(_VALUES)).alias("data"))
-    reduced = extract_keys(rows, "data", ["c", "b", "0", "length", "zz"])
+    reduced = extract_keys(_json_values(spark, sf_dir), "data", ["c", "b", "0", "length", "zz"])
     return reduced.withColumn("data", F.to_json("data"))
 
 
-@query("""SELECT event_id, CASE event_id % 4
+@query("apply_transform", """SELECT event_id, CASE event_id % 4
         WHEN 0 THEN concat('[', array_to_string(list_filter([user_id, event_id, event_id % 7],
             lambda n: n % 2 = 0), ','), ']')
         WHEN 1 THEN concat('{"a":', user_id, ',"b":null}')
         WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""")
 def transformed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three transforms given: arrays are filtered, the rest is reduced to keys."""
-    rows = table(spark, sf_dir, "events").select("event_id", parse_json(F.expr(_VALUES)).alias("data"))
     spec = {"filter": "item::bigint % 2 = 0", "map": "item::bigint + 1", "extract": ["b", "a"]}
-    return apply_transform(rows, "data", spec).withColumn("data", F.to_json("data"))
+    return apply_transform(_json_values(spark, sf_dir), "data", spec).withColumn("data", F.to_json("data"))
 
 
 # ---- sources and sinks: the corpus written to the shared folder as text files
@@ -293,7 +297,7 @@ def _text_folder(spark: SparkSession, sf_dir: str) -> str:
     return _folders[key]
 
 
-@query("""SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
+@query("scan_files", """SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
     FROM documents GROUP BY lang""")
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes per folder, from the listing alone."""
@@ -304,7 +308,7 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT lang, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
+@query("read_text_files", f"""SELECT lang, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
     CAST(sum({sql_lines("text")}) AS BIGINT) AS lines FROM documents GROUP BY lang""")
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and lines per folder, from whole files; each file ends in a newline."""
@@ -315,7 +319,7 @@ def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
+@query("read_json_files", """SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
     CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source""")
 def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file per source, cut off for sources with an odd number of documents."""
@@ -342,7 +346,7 @@ _CONFIG_VALUE = """CASE event_id % 9 WHEN 6 THEN concat('"', event_id, '''') WHE
     WHEN 8 THEN '' ELSE CAST(event_id AS VARCHAR) END"""
 
 
-@query(f"""SELECT user_id AS file, event_id AS line_no, event_type AS key, {_CONFIG_VALUE} AS value
+@query("config_lines", f"""SELECT user_id AS file, event_id AS line_no, event_type AS key, {_CONFIG_VALUE} AS value
     FROM events WHERE event_id % 9 >= 4""")
 def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(
@@ -351,7 +355,7 @@ def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_config_lines(lines)
 
 
-@query("""SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
+@query("read_config_lines", """SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Config files as written by several tasks; the last line of a file wins, then the last file."""
     path = scratch_path(spark, "config")
@@ -365,7 +369,7 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_config_lines(spark, files).select("key", F.col("value").cast("double").alias("value"))
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", preview FROM records""")
+@query("write_json", f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", preview FROM records""")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "extracted")
     records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).select(
@@ -375,7 +379,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(records.schema).json(path)
 
 
-@query("""SELECT unnest(string_split(text, chr(10))) AS line FROM documents""")
+@query("write_text", """SELECT unnest(string_split(text, chr(10))) AS line FROM documents""")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lines")
     write_text(table(spark, sf_dir, "documents"), path, "text")

@@ -40,23 +40,23 @@ def _manifest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).select("doc_id", F.expr("concat('/labels/', doc_id)").alias("path"))
 
 
-@query(f"""SELECT doc_id, m.path, f.path IS NOT NULL AS "exists"
+@query("exists_flag", f"""SELECT doc_id, m.path, f.path IS NOT NULL AS "exists"
     FROM ({_MANIFEST}) m LEFT JOIN ({_LABELLED}) f ON m.path = f.path""")
 def exists_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exists_flag(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query(f"SELECT * FROM ({_MANIFEST}) WHERE path IN ({_LABELLED})")
+@query("existing_only", f"SELECT * FROM ({_MANIFEST}) WHERE path IN ({_LABELLED})")
 def existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return existing(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query(f"SELECT * FROM ({_MANIFEST}) WHERE path NOT IN ({_LABELLED})")
+@query("missing_only", f"SELECT * FROM ({_MANIFEST}) WHERE path NOT IN ({_LABELLED})")
 def missing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query("""SELECT conv_id, turn, wanted AS "promptName",
+@query("catalog_lookup", """SELECT conv_id, turn, wanted AS "promptName",
         CASE WHEN wanted IN ('user', 'assistant') THEN concat('Answer as ', wanted) END AS template,
         CASE WHEN wanted IN ('user', 'assistant') THEN concat('[{"name":"', wanted, '"}]') END AS arguments,
         CASE WHEN wanted IN ('user', 'assistant') THEN concat(wanted, ': Answer as ', wanted) END AS message,
@@ -74,7 +74,7 @@ def prompts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt_lookup(asked, prompts.distinct())
 
 
-@query("""SELECT conv_id, turn, role AS "resourceName",
+@query("catalog_lookup_resources", """SELECT conv_id, turn, role AS "resourceName",
         CASE WHEN role <> 'user' THEN concat(role, ': take a look following link:', chr(10), 'res://', role)
             ELSE 'Failed to load resource: user' END AS text,
         CASE WHEN role <> 'user' THEN concat('res://', role) ELSE '' END AS uri,
@@ -93,7 +93,7 @@ _PARAMS = """CASE (conv_id + turn) % 6 WHEN 0 THEN '{}' WHEN 1 THEN '{"testHandl
     WHEN 3 THEN '{"testHandler":""}' WHEN 4 THEN '{"testHandler":"other"}' ELSE '[1]' END"""
 
 
-@query("""WITH named AS (SELECT conv_id, turn, (conv_id + turn) % 6 = 2 AS broken, CASE (conv_id + turn) % 6
+@query("resolve_calls", """WITH named AS (SELECT conv_id, turn, (conv_id + turn) % 6 = 2 AS broken, CASE (conv_id + turn) % 6
         WHEN 1 THEN 'assistant' WHEN 2 THEN NULL WHEN 4 THEN 'other' ELSE role END AS handler FROM conversations)
     SELECT conv_id, turn, handler, CASE WHEN handler IN ('user', 'assistant') THEN concat('mod_', handler) END AS module,
         CASE WHEN broken THEN 'SyntaxError: not valid JSON'
@@ -111,7 +111,7 @@ _TARGET = """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '
     concat('/tmp/', coalesce(nullif(string_split(url, '/')[-1], ''), 'download.txt')))"""
 
 
-@query(f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
+@query("download_info", f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
     stored AS (SELECT path, max(length(html)) AS size FROM downloads WHERE page_id % 2 = 0 GROUP BY path)
     SELECT page_id, url, d.path, CAST(coalesce(size, 0) AS BIGINT) AS size, s.path IS NOT NULL AS "exists"
     FROM downloads d LEFT JOIN stored s ON d.path = s.path""")
@@ -128,12 +128,12 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return download_info(asked, stored)
 
 
-@query("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+@query("last_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value")
 
 
-@query("""WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
+@query("env_overlay", """WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
         WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1),
     parsed AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
         WHERE event_type = 'click' GROUP BY 1)
@@ -148,7 +148,7 @@ def env_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- call records and envelopes
 
 
-@query("""SELECT role AS name, 'CustomTool' AS "toolType", concat('do_', role) AS "execHandler",
+@query("call_fields", """SELECT role AS name, 'CustomTool' AS "toolType", concat('do_', role) AS "execHandler",
     CAST(conv_id AS VARCHAR) AS "sessionId", 'plugin' AS "pluginName", turn AS turn_argument, text AS text_argument,
     'toolEntry' AS "execMethod" FROM conversations""")
 def call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("arguments")
 
 
-@query("""SELECT '2.0' AS jsonrpc, concat(conv_id, '-', turn) AS id,
+@query("message_fields", """SELECT '2.0' AS jsonrpc, concat(conv_id, '-', turn) AS id,
     CASE WHEN role = 'user' THEN 'tools/call' END AS method, CASE WHEN role = 'user' THEN text END AS asked,
     CASE WHEN role <> 'user' THEN text END AS answered FROM conversations""")
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, concat('{"text":', to_json(concat('{', chr(10), '  "event_id": ', event_id, ',', chr(10),
+@query("result_envelope", """SELECT event_id, concat('{"text":', to_json(concat('{', chr(10), '  "event_id": ', event_id, ',', chr(10),
         '  "tags": [', chr(10), '    "', event_type, '",', chr(10), '    "x"', chr(10), '  ],', chr(10),
         '  "note": null', chr(10), '}')),
         ',"success":true,"metadata":{"operation":"', event_type, '","path":null}}') AS envelope,
@@ -227,21 +227,21 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr(_ENVELOPE).alias("envelope"))
 
 
-@query(f"""SELECT event_id, concat('t', event_id) AS text, {_SUCCESS} AS success, event_type AS operation,
+@query("envelope_fields", f"""SELECT event_id, concat('t', event_id) AS text, {_SUCCESS} AS success, event_type AS operation,
     CASE WHEN event_id % 4 = 2 THEN 'bad' END AS error, CASE WHEN event_id % 4 = 1 THEN 'a b' END AS stdout FROM events""")
 def envelope_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_envelope(_envelopes(spark, sf_dir))
     return read.select("event_id", "text", "success", "operation", "error", F.array_join("stdout", " ").alias("stdout"))
 
 
-@query(f"""SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS total,
+@query("result_counts", f"""SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS total,
     CAST(count(*) FILTER (success) AS BIGINT) AS succeeded, CAST(count(*) FILTER (NOT success) AS BIGINT) AS failed
     FROM (SELECT event_type, {_SUCCESS} AS success FROM events) GROUP BY 1""")
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_counts(read_envelope(_envelopes(spark, sf_dir)))
 
 
-@query("""SELECT conv_id, turn, concat('[Run] ', role, chr(10), text,
+@query("output_text", """SELECT conv_id, turn, concat('[Run] ', role, chr(10), text,
     CASE WHEN turn % 3 > 0 THEN concat(chr(10), 'Errors and Warnings:', chr(10), role, chr(10), turn) ELSE '' END)
     AS output FROM conversations""")
 def output_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,14 +263,14 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT level, CAST(count(*) AS BIGINT) AS records,
+@query("log_counts", f"""SELECT level, CAST(count(*) AS BIGINT) AS records,
     CAST(CASE level WHEN 'debug' THEN 0 WHEN 'info' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS BIGINT) AS rank
     FROM (SELECT lower({_LEVEL}) AS level FROM events) GROUP BY 1""")
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_counts(_logs(spark, sf_dir))
 
 
-@query(f"""SELECT event_id, {_LEVEL} AS level, event_type AS category, props AS context FROM events
+@query("log_filter", f"""SELECT event_id, {_LEVEL} AS level, event_type AS category, props AS context FROM events
     WHERE event_type IN ('error', 'purchase')""")
 def warnings_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_filter(_logs(spark, sf_dir), "warning")
@@ -281,7 +281,7 @@ def warnings_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBE_LINE = "CASE WHEN line_no % 7 = 3 THEN concat('=== ', substring(line, 1, 12), ' ===') ELSE line END"
 
 
-@query(f"""WITH lines AS (SELECT doc_id AS run, unnest(string_split(text, chr(10))) AS line,
+@query("probe_sections", f"""WITH lines AS (SELECT doc_id AS run, unnest(string_split(text, chr(10))) AS line,
             generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     probe AS (SELECT run, line_no, {_PROBE_LINE} AS text, CASE WHEN line_no % 7 = 3 THEN substring(line, 1, 12) END
         AS title FROM lines)
@@ -313,12 +313,12 @@ def _probe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_VERDICTS_SQL)
+@query("probe_verdicts", _VERDICTS_SQL)
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_verdicts(_probe_lines(spark, sf_dir))
 
 
-@query(f"""SELECT host, bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO')
+@query("probe_capabilities", f"""SELECT host, bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO')
     AS lto, bool_or(supported) FILTER (feature = '-flto') AS flag, bool_or(supported) FILTER (feature = 'ASLR') AS aslr
     FROM ({_VERDICTS_SQL}) GROUP BY host""")
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,7 @@ _REPORT_JSON = """concat('{"type":"', event_type, '","value":', value, ',"detail
     CASE WHEN event_id % 10 = 9 THEN '}' ELSE '' END)"""
 
 
-@query("""WITH reports AS (SELECT event_id, [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
+@query("report_lines", """WITH reports AS (SELECT event_id, [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
         'Generated: 2024-01-01T00:00:00.000Z', '', concat('type: "', event_type, '"'),
         concat('value: ', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '')), '', 'detail:',
         concat('  user: ', user_id), '  list: 1,a,', '  deep: [object Object]', '  none: null',
@@ -347,7 +347,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_lines(texts, "event_id", "text", "2024-01-01T00:00:00.000Z")
 
 
-@query("""WITH runs AS (SELECT conv_id AS run, concat('t', min(turn)) AS s, concat('t', max(turn)) AS e,
+@query("stage_report", """WITH runs AS (SELECT conv_id AS run, concat('t', min(turn)) AS s, concat('t', max(turn)) AS e,
             count(*) AS n FROM conversations GROUP BY 1),
     blocks AS (
         SELECT run, 0 AS part, 0 AS seq, [repeat('=', 40), 'Pipeline Execution Report', repeat('=', 40),

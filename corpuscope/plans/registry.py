@@ -14,18 +14,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name, with the SQL that must agree with it."""
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under the operator's name, with the SQL that must agree with it."""
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return function(configure(spark), sf_dir)
 
-        run.__name__ = function.__name__
+        run.__name__ = name
         run.__doc__ = function.__doc__
-        QUERIES[function.__name__] = run
+        QUERIES[name] = run
         if sql is not None:
-            ORACLES[function.__name__] = sql
+            ORACLES[name] = sql
         return function
 
     return register

@@ -27,7 +27,7 @@ from corpuscope.plans.text_queries import LINKS_SQL, TEXT_SQL, _TITLE
 from corpuscope.sources.records import read_responses
 
 
-@query(f"""WITH {RESPONSES_SQL} SELECT event_id, url, CAST(status_code AS INTEGER) AS status_code, status_text,
+@query("response_fields", f"""WITH {RESPONSES_SQL} SELECT event_id, url, CAST(status_code AS INTEGER) AS status_code, status_text,
     header, media, body, error FROM responses""")
 def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses written as JSON and read back."""
@@ -49,7 +49,7 @@ def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumns({"header": entry["key"], "media": entry["value"]}).drop("headers")
 
 
-@query(f"""WITH {RESPONSES_SQL} SELECT event_id, outcome, CASE outcome
+@query("response_gate", f"""WITH {RESPONSES_SQL} SELECT event_id, outcome, CASE outcome
         WHEN 'transport_error' THEN concat('HTTP request failed: ', error)
         WHEN 'http_error' THEN http_message END AS message FROM gated""")
 def gated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def gated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONLINE = "coalesce(error, '') = '' AND coalesce(status_code >= 200 AND status_code < 400, false)"
 
 
-@query(f"WITH {RESPONSES_SQL} SELECT event_id, coalesce(error, '') <> '' AS failed, {_ONLINE} AS online FROM responses")
+@query("online_flag", f"WITH {RESPONSES_SQL} SELECT event_id, coalesce(error, '') <> '' AS failed, {_ONLINE} AS online FROM responses")
 def online_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_responses(spark, sf_dir).select(
         "event_id", has_error().alias("failed"), is_online().alias("online")
@@ -71,12 +71,12 @@ _STATUS_ROWS = f"""SELECT url, CAST(coalesce(status_code, 0) AS INTEGER) AS stat
     FROM responses"""
 
 
-@query(f"WITH {RESPONSES_SQL} {_STATUS_ROWS}")
+@query("check_status", f"WITH {RESPONSES_SQL} {_STATUS_ROWS}")
 def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_status(event_responses(spark, sf_dir))
 
 
-@query(f"""WITH {RESPONSES_SQL} SELECT CAST(count(*) AS BIGINT) AS total,
+@query("status_summary", f"""WITH {RESPONSES_SQL} SELECT CAST(count(*) AS BIGINT) AS total,
     CAST(count(*) FILTER (online) AS BIGINT) AS online, CAST(count(*) FILTER (NOT online) AS BIGINT) AS offline
     FROM ({_STATUS_ROWS})""")
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ _FETCH_ERROR = _PAGE_ERROR.format(prefix="HTTP request failed: ")
 _SCRAPE_ERROR = _PAGE_ERROR.format(prefix="Failed to fetch webpage: ")
 
 
-@query(f"""WITH {PAGES_SQL}, checked AS (SELECT *, {_FETCH_ERROR} AS message FROM pages_fetched)
+@query("fetch_data", f"""WITH {PAGES_SQL}, checked AS (SELECT *, {_FETCH_ERROR} AS message FROM pages_fetched)
     SELECT url, CASE WHEN message IS NULL THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN message IS NULL THEN {sql_units("body")} END AS "contentLength",
         CASE WHEN message IS NULL THEN body END AS content,
@@ -99,7 +99,7 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched.withColumn("media", F.try_element_at("headers", F.lit("Content-Type"))).drop("headers")
 
 
-@query(f"""WITH {RESPONSES_SQL} SELECT url,
+@query("fetch_json", f"""WITH {RESPONSES_SQL} SELECT url,
         CASE WHEN outcome = 'ok' AND json_valid(body) THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN outcome = 'ok' AND json_valid(body) THEN
             CASE WHEN body LIKE '[%' THEN '[2,4]' ELSE CAST(json(body) AS VARCHAR) END END AS data,
@@ -119,18 +119,18 @@ def _posted_sql(message: str) -> str:
         CASE WHEN message IS NULL THEN body END AS response, message AS error FROM checked"""
 
 
-@query(_posted_sql("""CASE outcome WHEN 'transport_error' THEN concat('POST request failed: ', error)
+@query("post_result", _posted_sql("""CASE outcome WHEN 'transport_error' THEN concat('POST request failed: ', error)
     WHEN 'http_error' THEN http_message END"""))
 def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post_result(event_responses(spark, sf_dir))
 
 
-@query(_posted_sql("CASE outcome WHEN 'transport_error' THEN concat('Webhook call failed: ', error) END"))
+@query("webhook_result", _posted_sql("CASE outcome WHEN 'transport_error' THEN concat('Webhook call failed: ', error) END"))
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webhook_result(event_responses(spark, sf_dir))
 
 
-@query(f"""WITH {RESPONSES_SQL}, checked AS (SELECT *, outcome <> 'transport_error' AS good,
+@query("api_result", f"""WITH {RESPONSES_SQL}, checked AS (SELECT *, outcome <> 'transport_error' AS good,
         header = 'Content-Type' AND media LIKE '%application/json%' AND json_valid(body) AS parsed FROM gated)
     SELECT url, CASE WHEN good THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN good THEN status_text END AS "statusText",
@@ -145,7 +145,7 @@ def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADING = "<h1>([^<]*)</h1>"
 
 
-@query(f"""WITH {PAGES_SQL}, checked AS (SELECT url, body AS html, {_SCRAPE_ERROR} AS message FROM pages_fetched)
+@query("scrape_pages", f"""WITH {PAGES_SQL}, checked AS (SELECT url, body AS html, {_SCRAPE_ERROR} AS message FROM pages_fetched)
     SELECT url, CASE WHEN message IS NULL THEN {_TITLE} END AS title,
         CASE WHEN message IS NULL THEN {TEXT_SQL} END AS text,
         CASE WHEN message IS NULL THEN array_to_string({LINKS_SQL}, ' ') END AS links,
@@ -165,7 +165,7 @@ def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, event_id % 4 <> 1 AND event_type <> 'click' AS passed FROM events""")
+@query("header_echo", """SELECT event_id, event_id % 4 <> 1 AND event_type <> 'click' AS passed FROM events""")
 def echoed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the received ids is changed, and clicks come back without their type."""
     headers = table(spark, sf_dir, "events").select(
@@ -187,7 +187,7 @@ _DATA = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '"plain text"' WHEN 2
 _CALL_HEADER = "CASE WHEN user_id % 4 = 0 THEN 'Content-Type' ELSE 'Accept' END"
 
 
-@query(f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, {_CALL_URL} AS url, {_METHOD} AS given, {_DATA} AS data,
+@query("build_requests", f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, {_CALL_URL} AS url, {_METHOD} AS given, {_DATA} AS data,
         {_CALL_HEADER} AS header FROM events),
     shaped AS (SELECT *, event_id % 5 IN (0, 1) AS has_data,
         CASE WHEN kind IN ('fetchData', 'fetchJSON', 'scrapeWebpage', 'checkStatus') THEN 'GET'

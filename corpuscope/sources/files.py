@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import parse_json
+from corpuscope.functions.jsontext import with_json
 from corpuscope.functions.paths import base_name, has_extension
 from corpuscope.operators.corpus import PARSE_ERROR
 
@@ -52,7 +52,7 @@ def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Replace ``content`` by ``jsonData``, or ``parseError`` where it is not valid JSON."""
-    parsed = files.withColumn("jsonData", parse_json(F.col("content"))).drop("content")
+    parsed = with_json(files, "jsonData", F.col("content")).drop("content")
     return parsed.withColumn("parseError", F.when(F.col("jsonData").isNull(), PARSE_ERROR))
 
 
