@@ -87,8 +87,12 @@ def _scalar_text(value: Column, type_name: Column) -> Column:
 
 
 def scalar_text(value: Column) -> Column:
-    """String form of a VARIANT; of arrays only the JSON text."""
-    return once(value, lambda v: once(kind(v), lambda k: _scalar_text(v, k)))
+    """String form of a VARIANT; of arrays only the JSON text.
+
+    Here and below ``value`` is a column, or bound by :func:`once`: it appears
+    several times in the result.
+    """
+    return once(kind(value), lambda k: _scalar_text(value, k))
 
 
 def _value_text(value: Column, type_name: Column) -> Column:
@@ -104,31 +108,27 @@ def value_text(value: Column) -> Column:
 
     Arrays inside arrays appear as JSON text.
     """
-    return once(value, lambda v: once(kind(v), lambda k: _value_text(v, k)))
+    return once(kind(value), lambda k: _value_text(value, k))
 
 
 def value_number(value: Column) -> Column:
     """Number of a VARIANT: null is 0, text that is no number is NULL."""
 
-    def number(v: Column, k: Column) -> Column:
+    def number(k: Column) -> Column:
         return (
             F.when(k == NULL, F.lit(0.0))
-            .when(k == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
-            .when(k.isin(STRING, ARRAY), once(_value_text(v, k), text_to_number))
-            .when(k != OBJECT, F.try_variant_get(v, "$", "double"))
+            .when(k == BOOLEAN, F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
+            .when(k.isin(STRING, ARRAY), once(_value_text(value, k), text_to_number))
+            .when(k != OBJECT, F.try_variant_get(value, "$", "double"))
         )
 
-    return once(value, lambda v: once(kind(v), lambda k: number(v, k)))
+    return once(kind(value), number)
 
 
 def value_json(value: Column) -> Column:
     """JSON text of a VARIANT, a number printed as :func:`number_text` does."""
-    return once(
-        value,
-        lambda v: F.when(
-            kind(v).isin(*NUMBERS), number_text(F.try_variant_get(v, "$", "double"))
-        ).otherwise(F.to_json(v)),
-    )
+    number = number_text(F.try_variant_get(value, "$", "double"))
+    return F.when(kind(value).isin(*NUMBERS), number).otherwise(F.to_json(value))
 
 
 def member(record: Column, key: str) -> Column:

@@ -159,7 +159,10 @@ def collect_documents(records: DataFrame, order_by: str = "filename") -> DataFra
 def merge_sources(files: DataFrame) -> DataFrame:
     """The parsed sources as rows: path and data; sources that do not parse are dropped."""
     parsed = with_json(non_empty(files), "data", F.col("content"))
-    return parsed.where(F.col("data").isNotNull()).select("path", "data")
+    # a plain filter on the parsed value would be pushed below it and parse twice;
+    # the output of a generator stays where it is
+    single = parsed.select("path", F.explode_outer(F.array("data")).alias("data"))
+    return single.where(F.col("data").isNotNull())
 
 
 def merge_summary(files: DataFrame) -> DataFrame:

@@ -15,57 +15,54 @@ def _text_lines(*lines: str | Column) -> Column:
     return F.array(*(F.lit(line) for line in lines))
 
 
-def _report_body(keys: Column, members: Column, raw: Column) -> Column:
-    """Lines of a JSON object in member order, nested objects one level down.
-
-    ``members`` holds the parsed values and ``raw`` their JSON text. Parsed
-    objects sort their members, so the order of nested ones comes from ``raw``.
-    """
-    none = F.array().cast("array<string>")
-
-    def nested(name: Column, item: Column) -> Column:
-        names = F.array_distinct(F.json_object_keys(F.try_element_at(raw, name)))
-        rows = once(
-            F.try_variant_get(item, "$", "map<string,variant>"),
-            lambda below: F.transform(
-                names, lambda sub: F.concat(F.lit("  "), sub, F.lit(": "), value_text(F.try_element_at(below, sub)))
-            ),
-        )
-        return F.concat(F.array(F.lit(""), F.concat(name, F.lit(":"))), F.coalesce(rows, none))
-
-    def lines_for(name: Column, item: Column) -> Column:
-        scalar = F.array(F.concat(name, F.lit(": "), value_json(item)))
-        return F.when(kind(item).isin(OBJECT, NULL), nested(name, item)).otherwise(scalar)
-
-    lines = F.transform(
-        keys, lambda name: once(F.try_element_at(members, name), lambda item: lines_for(name, item))
+def _nested_lines(name: Column, item: Column, raw: Column) -> Column:
+    """Lines of a nested object; ``raw`` is its JSON text, which has the members in their order."""
+    below = F.try_variant_get(item, "$", "map<string,variant>")
+    rows = F.transform(
+        F.array_distinct(F.json_object_keys(raw)),
+        lambda sub: F.concat(F.lit("  "), sub, F.lit(": "), once(F.try_element_at(below, sub), value_text)),
     )
-    return F.coalesce(F.flatten(lines), none)
+    return F.concat(F.array(F.lit(""), F.concat(name, F.lit(":"))), F.coalesce(rows, F.array().cast("array<string>")))
 
 
 def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: str = "text") -> DataFrame:
-    """Report of each JSON text as rows: key, line_no, line.
+    """Report of each JSON text as rows: key, seq, line_no, line; in that order it reads from top to bottom.
 
-    ``output="json"`` prints the object instead. Texts that do not parse have
-    no report.
+    ``seq`` 0 is the head, then every member in the object's order, nested
+    objects one level down, then the foot. ``output="json"`` prints the object
+    instead. Texts that do not parse have no report.
     """
-    text = F.col(json_col)
-    parsed = with_json(df, "_value", text).where(F.col("_value").isNotNull())
+    text, value = F.col(json_col), F.col("_value")
+    parsed = with_json(df, "_value", text)
     if output == "json":
-        return parsed.select(key, F.lit(0).alias("line_no"), value_json(F.col("_value")).alias("line"))
-    parsed = parsed.withColumns(
-        {
-            "_keys": F.array_distinct(F.json_object_keys(text)),
-            "_members": F.try_variant_get("_value", "$", "map<string,variant>"),
-            "_raw": F.from_json(text, "map<string,string>"),
-        }
+        rows = parsed.select(key, F.lit(0).alias("seq"), F.lit(0).alias("line_no"), value_json(value).alias("line"))
+        return rows.where(F.col("line").isNotNull())
+    none = F.array(F.lit(None).cast("string"))
+    names = F.coalesce(F.array_distinct(F.json_object_keys(text)), F.array().cast("array<string>"))
+    prepared = parsed.select(
+        key,
+        F.try_variant_get(value, "$", "map<string,variant>").alias("_members"),
+        F.from_json(text, "map<string,string>").alias("_raw"),
+        # NULL names stand for head and foot; no names at all where nothing parsed
+        F.when(value.isNotNull(), F.concat(none, names, none)).alias("_names"),
+    )
+    members = prepared.select("*", F.posexplode_outer("_names").alias("seq", "_name"))
+    # a test on generated rows is not pushed below the parse, where it would parse twice
+    members = members.where(F.col("seq").isNotNull()).select(
+        key,
+        "seq",
+        "_name",
+        F.try_element_at("_members", "_name").alias("_item"),
+        F.try_element_at("_raw", "_name").alias("_text"),
     )
-    lines = F.concat(
-        _text_lines(RULE, "Data Processing Report", RULE, f"Generated: {run_ts}", ""),
-        _report_body(F.col("_keys"), F.col("_members"), F.col("_raw")),
-        _text_lines("", RULE),
+    name, item = F.col("_name"), F.col("_item")
+    lines = (
+        F.when(F.col("seq") == 0, _text_lines(RULE, "Data Processing Report", RULE, f"Generated: {run_ts}", ""))
+        .when(name.isNull(), _text_lines("", RULE))
+        .when(kind(item).isin(OBJECT, NULL), _nested_lines(name, item, F.col("_text")))
+        .otherwise(F.array(F.concat(name, F.lit(": "), value_json(item))))
     )
-    return parsed.select(key, F.posexplode(lines).alias("line_no", "line"))
+    return members.select(key, "seq", F.posexplode_outer(lines).alias("line_no", "line"))
 
 
 def stage_report(

@@ -335,13 +335,18 @@ _REPORT_JSON = """concat('{"type":"', event_type, '","value":', value, ',"detail
     CASE WHEN event_id % 10 = 9 THEN '}' ELSE '' END)"""
 
 
-@query("report_lines", """WITH reports AS (SELECT event_id, [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
-        'Generated: 2024-01-01T00:00:00.000Z', '', concat('type: "', event_type, '"'),
-        concat('value: ', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '')), '', 'detail:',
-        concat('  user: ', user_id), '  list: 1,a,', '  deep: [object Object]', '  none: null',
-        concat('list: [', event_id, ',"b"]'), '', 'none:', '', repeat('=', 40)] AS lines
-        FROM events WHERE event_id % 10 <> 9)
-    SELECT event_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no, unnest(lines) AS line FROM reports""")
+@query("report_lines", """WITH reports AS (SELECT event_id, unnest([
+        {'seq': 0, 'lines': [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
+            'Generated: 2024-01-01T00:00:00.000Z', '']},
+        {'seq': 1, 'lines': [concat('type: "', event_type, '"')]},
+        {'seq': 2, 'lines': [concat('value: ', regexp_replace(CAST(value AS VARCHAR), '\\.0$', ''))]},
+        {'seq': 3, 'lines': ['', 'detail:', concat('  user: ', user_id), '  list: 1,a,', '  deep: [object Object]',
+            '  none: null']},
+        {'seq': 4, 'lines': [concat('list: [', event_id, ',"b"]')]},
+        {'seq': 5, 'lines': ['', 'none:']},
+        {'seq': 6, 'lines': ['', repeat('=', 40)]}]) AS part FROM events WHERE event_id % 10 <> 9)
+    SELECT event_id, CAST(part.seq AS INTEGER) AS seq,
+        CAST(generate_subscripts(part.lines, 1) - 1 AS INTEGER) AS line_no, unnest(part.lines) AS line FROM reports""")
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "events").select("event_id", F.expr(_REPORT_JSON).alias("text"))
     return report_lines(texts, "event_id", "text", "2024-01-01T00:00:00.000Z")

@@ -99,7 +99,7 @@ def test_capabilities(spark):
 def test_report(spark):
     text = '{"b":"x","a":{"z":1,"y":[1,"q",null],"o":{"k":1},"n":null},"l":[1.0,"s"],"n":null,"f":2.50}'
     df = spark.createDataFrame([(1, text), (2, "broken"), (3, "{}"), (4, "[5]")], "i int, t string")
-    got = reports.report_lines(df, "i", "t", "TS").orderBy("i", "line_no").collect()
+    got = reports.report_lines(df, "i", "t", "TS").orderBy("i", "seq", "line_no").collect()
     rule = "=" * 40
     head = [rule, "Data Processing Report", rule, "Generated: TS", ""]
     assert [r.line for r in got if r.i == 1] == head + [
