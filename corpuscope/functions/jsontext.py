@@ -151,8 +151,8 @@ def json_body(content_type: Column, body: Column) -> Column:
 
 def json_object_or_empty(text: Column) -> Column:
     """JSON text of the object in ``text``; anything else gives ``{}``."""
-    value = parse_json(text)
-    return F.when(is_object(value), F.to_json(value)).otherwise("{}")
+    found = once(parse_json(text), lambda value: F.when(is_object(value), F.to_json(value)))
+    return F.coalesce(found, F.lit("{}"))
 
 
 def object_json(value: Column) -> Column:

@@ -14,7 +14,7 @@ from corpuscope.functions.jsontext import with_json
 from corpuscope.functions.numbers import round_half_up
 from corpuscope.functions.paths import base_name, file_extension, has_extension, parent_path
 from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars
-from corpuscope.operators.rules import Rules, apply_rules, rules_json
+from corpuscope.operators.rules import Rules, apply_rules, rules_json, typed_number
 
 PARSE_ERROR = "SyntaxError: not valid JSON"
 JSON_SUFFIX = ".json"
@@ -101,7 +101,12 @@ def transform_outcomes(results: DataFrame) -> DataFrame:
 
 
 def _member_or_zero(df: DataFrame, name: str) -> Column:
-    return F.coalesce(F.col(name).cast("bigint"), F.lit(0)) if name in df.columns else F.lit(0)
+    """Whole numbers stay whole; a member that rules made text or fractional counts as a double."""
+    type_name = dict(df.dtypes).get(name)
+    if type_name is None:
+        return F.lit(0)
+    whole = type_name in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(name) if whole else typed_number(F.col(name), type_name), F.lit(0))
 
 
 def corpus_totals(records: DataFrame) -> DataFrame:

@@ -33,10 +33,11 @@ def lookup(
     right: DataFrame,
     key: str,
     small: bool,
+    how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join to a right side with one row per key.
+    """Join to a right side with one row per key; ``how`` is left, left_semi or left_anti.
 
     A small right side is broadcast, so the left is not shuffled at all. For a
     large one both sides are shuffled by key, and the rows of a hot key are
@@ -44,7 +45,7 @@ def lookup(
     task is run anew), the one right row by a copy for every salt.
     """
     if small:
-        return left.join(F.broadcast(right), key, "left")
+        return left.join(F.broadcast(right), key, how)
     hot = (
         left.groupBy(key)
         .agg(F.count("*").alias("_rows"))
@@ -60,7 +61,7 @@ def lookup(
     ).drop("_hot", "_part")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
 def exists_flag(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
@@ -71,14 +72,16 @@ def exists_flag(manifest: DataFrame, files: DataFrame, key: str = "path", **limi
     return found.withColumn("exists", F.col("_found").isNotNull()).drop("_found")
 
 
-def existing(manifest: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """Manifest rows whose file exists. A hot key is split by the adaptive skew join."""
-    return manifest.join(files.select(key), key, "left_semi")
+def existing(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
+    """Manifest rows whose file exists."""
+    paths = files.select(key)
+    return lookup(manifest, paths.distinct(), key, fits_broadcast(paths), "left_semi", **limits)
 
 
-def missing(manifest: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+def missing(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
     """Manifest rows whose file does not exist."""
-    return manifest.join(files.select(key), key, "left_anti")
+    paths = files.select(key)
+    return lookup(manifest, paths.distinct(), key, fits_broadcast(paths), "left_anti", **limits)
 
 
 def _one_per_name(catalog: DataFrame, columns: list[str]) -> DataFrame:

@@ -47,15 +47,25 @@ def apply_rules(df: DataFrame, rules: Rules) -> DataFrame:
 def _typed(value: Column, type_name: str, rule: dict[str, Any]) -> Column:
     transform = rule.get("transform")
     if transform in ("uppercase", "lowercase"):
-        text = number_text(value.cast("double")) if type_name in ("double", "float") else value.cast("string")
+        if type_name == "variant":
+            text = value_text(value)
+        elif type_name in ("double", "float"):
+            text = number_text(value.cast("double"))
+        else:
+            text = value.cast("string")
         return F.upper(text) if transform == "uppercase" else F.lower(text)
     if transform == "multiply":
-        return to_number(value, type_name) * F.lit(float(rule.get("factor") or 1))
+        return typed_number(value, type_name) * F.lit(float(rule.get("factor") or 1))
     if transform == "round":
-        return round_half_up(to_number(value, type_name))
+        return round_half_up(typed_number(value, type_name))
     return value
 
 
+def typed_number(value: Column, type_name: str) -> Column:
+    """Number of a typed or VARIANT column; what is not a number gives NULL."""
+    return value_number(value) if type_name == "variant" else to_number(value, type_name)
+
+
 def rules_json(record: Column, rules: Rules) -> Column:
     """JSON text of the new record, from a VARIANT object.
 

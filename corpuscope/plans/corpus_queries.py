@@ -24,7 +24,15 @@ from corpuscope.operators.corpus import (
 )
 from corpuscope.operators.items import apply_transform, extract_keys, items_filter, items_map
 from corpuscope.operators.rules import apply_rules, rules_json
-from corpuscope.plans.bases import FILES_SQL, RECORDS_SQL, corpus_files, sql_lines, sql_units, sql_words
+from corpuscope.plans.bases import (
+    FILES_SQL,
+    RECORDS_SQL,
+    corpus_files,
+    sql_lines,
+    sql_trim,
+    sql_units,
+    sql_words,
+)
 from corpuscope.plans.corpus_job import corpus_totals_of
 from corpuscope.plans.registry import query, table
 from corpuscope.session import scratch_path
@@ -342,12 +350,15 @@ _CONFIG = """CASE event_id % 9
     WHEN 4 THEN concat('  ', event_type, ' = "', event_id, '"  ') WHEN 5 THEN concat(event_type, '=''', event_id, '''')
     WHEN 6 THEN concat(event_type, '="', event_id, '''') WHEN 7 THEN concat(event_type, '=a=', event_id)
     ELSE concat(event_type, '=') END"""
-_CONFIG_VALUE = """CASE event_id % 9 WHEN 6 THEN concat('"', event_id, '''') WHEN 7 THEN concat('a=', event_id)
-    WHEN 8 THEN '' ELSE CAST(event_id AS VARCHAR) END"""
+_LINE = sql_trim(_CONFIG)
 
 
-@query("config_lines", f"""SELECT user_id AS file, event_id AS line_no, event_type AS key, {_CONFIG_VALUE} AS value
-    FROM events WHERE event_id % 9 >= 4""")
+@query("config_lines", f"""WITH lines AS (SELECT user_id AS file, event_id AS line_no, {_LINE} AS line FROM events),
+    halves AS (SELECT file, line_no, {sql_trim("substring(line, 1, instr(line, '=') - 1)")} AS key,
+        {sql_trim("substring(line, instr(line, '=') + 1)")} AS value
+        FROM lines WHERE NOT starts_with(line, '#') AND instr(line, '=') >= 2)
+    SELECT file, line_no, key, CASE WHEN regexp_full_match(value, '".*"|''.*''') THEN
+        substring(value, 2, length(value) - 2) ELSE value END AS value FROM halves""")
 def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), F.expr(_CONFIG).alias("line")

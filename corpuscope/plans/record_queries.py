@@ -112,7 +112,7 @@ _TARGET = """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '
 
 
 @query("download_info", f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
-    stored AS (SELECT path, max(length(html)) AS size FROM downloads WHERE page_id % 2 = 0 GROUP BY path)
+    stored AS (SELECT path, max(length(html)) AS size FROM downloads WHERE starts_with(url, 'https') GROUP BY path)
     SELECT page_id, url, d.path, CAST(coalesce(size, 0) AS BIGINT) AS size, s.path IS NOT NULL AS "exists"
     FROM downloads d LEFT JOIN stored s ON d.path = s.path""")
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = pages.selectExpr(
         "page_id", "url", "CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '.html') ELSE '' END AS destination"
     )
-    stored = pages.where("page_id % 2 = 0").selectExpr(
+    stored = pages.where("startswith(url, 'https')").selectExpr(
         """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '.html') END,
         concat('/tmp/', coalesce(nullif(substring_index(url, '/', -1), ''), 'download.txt'))) AS path""",
         "CAST(length(html) AS BIGINT) AS size",
@@ -134,13 +134,13 @@ def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("env_overlay", """WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
-        WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1),
+        WHERE event_type = 'view' AND value > 300 GROUP BY 1),
     parsed AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
         WHERE event_type = 'click' GROUP BY 1)
     SELECT * FROM env UNION ALL SELECT * FROM parsed WHERE key NOT IN (SELECT key FROM env)""")
 def env_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("key", F.expr("concat('KEY_', user_id)"))
-    env = last_wins(events.where("event_type = 'view' AND user_id % 2 = 0"), ["key"], "event_id", "value")
+    env = last_wins(events.where("event_type = 'view' AND value > 300"), ["key"], "event_id", "value")
     parsed = last_wins(events.where("event_type = 'click'"), ["key"], "event_id", "value")
     return env_overlay(env, parsed)
 
@@ -344,7 +344,7 @@ _REPORT_JSON = """concat('{"type":"', event_type, '","value":', value, ',"detail
             '  none: null']},
         {'seq': 4, 'lines': [concat('list: [', event_id, ',"b"]')]},
         {'seq': 5, 'lines': ['', 'none:']},
-        {'seq': 6, 'lines': ['', repeat('=', 40)]}]) AS part FROM events WHERE event_id % 10 <> 9)
+        {'seq': 6, 'lines': ['', repeat('=', 40)]}]) AS part FROM events WHERE json_valid(""" + _REPORT_JSON + """))
     SELECT event_id, CAST(part.seq AS INTEGER) AS seq,
         CAST(generate_subscripts(part.lines, 1) - 1 AS INTEGER) AS line_no, unnest(part.lines) AS line FROM reports""")
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """One JSON object per line; NULL members are left out."""
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).json(path)
+def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None, keep_nulls: bool = False) -> None:
+    """One JSON object per line; NULL members are left out, or written as null."""
+    writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
+    writer.option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
 
 
 def write_text(df: DataFrame, path: str, column: str = "line", order_by: list[str] | None = None) -> None:

@@ -131,6 +131,12 @@ def test_aggregates(spark):
     assert [r.filename for r in corpus.collect_documents(df.na.fill("~")).collect()][:2] == ["", "Makefile"]
 
 
+def test_totals_of_changed_members(spark):
+    df = spark.createDataFrame([(1.5, "7"), (2.0, "many")], "size double, lines string")
+    total = corpus.corpus_totals(df).first()
+    assert (total.totalSize, total.totalLines, total.totalWords) == (3.5, 7, 0)
+
+
 def test_merge(spark):
     df = spark.createDataFrame([("a", "{}"), ("b", "{"), ("c", ""), ("d", None), ("e", "null")], "path string, content string")
     assert corpus.merge_summary(df).first().asDict() == {"sources": 5, "merged": 2}
