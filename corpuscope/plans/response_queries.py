@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import parse_json
+from corpuscope.functions.jsontext import with_json
 from corpuscope.operators.requests import build_requests
 from corpuscope.operators.responses import (
     api_result,
@@ -215,9 +215,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(_CALL_URL).alias("url"),
         F.expr(_METHOD).alias("method"),
         F.create_map(F.expr(_CALL_HEADER), F.lit("given")).alias("headers"),
-        parse_json(F.expr(_DATA)).alias("data"),
+        F.expr(_DATA).alias("text"),
     )
-    built = build_requests(calls, "test agent")
+    built = build_requests(with_json(calls, "data", F.col("text")).drop("text"), "test agent")
     names = {"media": "Content-Type", "accept": "Accept", "agent": "User-Agent"}
     columns = {column: F.try_element_at("headers", F.lit(name)) for column, name in names.items()}
     return built.withColumns(columns).drop("headers")

@@ -249,6 +249,22 @@ def test_stream_totals(spark, folder):
     assert got == corpus.corpus_totals(corpus.extract_stage(files.read_text_files(spark, folder), TS)).collect()
 
 
+def test_stream_of_pages(spark, tmp_path):
+    from corpuscope.operators.responses import scrape_pages
+    from corpuscope.plans.bases import page_responses
+    from tests.conftest import DATA
+
+    pages = page_responses(spark, DATA)
+    stored = str(tmp_path / "pages")
+    pages.repartition(3).write.parquet(stored)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(stored)
+    out = str(tmp_path / "scraped")
+    append_json(scrape_pages(stream, {"h": "<h1>([^<]*)"}), out, str(tmp_path / "cp")).awaitTermination(120)
+    batch = scrape_pages(pages, {"h": "<h1>([^<]*)"})
+    again = spark.read.schema(batch.schema).json(out)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, batch.collect()))
+
+
 def test_shared_dir(spark, monkeypatch):
     first = session.scratch_path(spark, "x")
     assert first != session.scratch_path(spark, "x")
