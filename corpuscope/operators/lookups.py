@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.binding import once
 from corpuscope.functions.jsontext import STRING, is_object, kind, member, scalar_text, with_json
 from corpuscope.functions.paths import url_filename
 
@@ -128,19 +127,15 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     that do not parse, and unknown names, give an error. ``handlers`` has
     ``handler`` and any columns to add.
     """
+    params, given, text = F.col("_params"), F.col("_given"), F.col("_text")
     parsed = with_json(calls, "_params", F.col("params"))
-    params = F.col("_params")
+    parsed = parsed.withColumn("_given", F.when(is_object(params), member(params, "testHandler")))
+    parsed = parsed.withColumn("_text", scalar_text(given))
     usable = params.isNotNull() & ~F.is_variant_null(params)
-    given = F.when(is_object(params), member(params, "testHandler"))
     # '', false, 0 and null count as not given
-    override = once(
-        given,
-        lambda v: F.when(
-            F.when(kind(v) == STRING, scalar_text(v) != "").otherwise(~scalar_text(v).isin("false", "0", "null")),
-            scalar_text(v),
-        ),
-    )
-    named = parsed.withColumn("handler", F.when(usable, F.coalesce(override, F.col("handlerName"))))
+    counts = F.when(kind(given) == STRING, text != "").otherwise(~text.isin("false", "0", "null"))
+    handler = F.coalesce(F.when(counts, text), F.col("handlerName"))
+    named = parsed.withColumn("handler", F.when(usable, handler)).drop("_given", "_text")
     extra = [c for c in handlers.columns if c != "handler"]
     known = handlers.groupBy("handler").agg(F.min(F.struct(F.lit(True).alias("_known"), *extra)).alias("_entry"))
     found = lookup(named, known.select("handler", "_entry.*"), "handler", fits_broadcast(handlers))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import BOOLEAN, JSON_TYPE, NUMBERS, STRING, WHOLE, kind, scalar_text, value_json
+from corpuscope.functions.jsontext import JSON_TYPE, NULL, STRING, kind, value_json
 
 CONTENT_TYPE = "Content-Type"
 USER_AGENT = "Mozilla/5.0 (compatible)"
@@ -20,12 +20,10 @@ def _with_header(headers: Column, name: str, value: str) -> Column:
     return F.map_concat(others, F.create_map(F.lit(name), F.lit(value)))
 
 
-def _truthy(data: Column) -> Column:
-    """Whether a VARIANT counts as given: not absent, null, '', 0 or false."""
-    empty = F.when(kind(data).isin(STRING, WHOLE, BOOLEAN, *NUMBERS), scalar_text(data)).isin(
-        "", "0", "false"
-    )
-    return data.isNotNull() & ~F.is_variant_null(data) & ~F.coalesce(empty, F.lit(False))
+def _truthy(data: Column, text: Column, type_name: Column) -> Column:
+    """Whether a value counts as given: not absent, null, '', 0 or false; ``text`` is its JSON."""
+    empty = (type_name == NULL) | text.isin('""', "0", "false")
+    return data.isNotNull() & ~empty
 
 
 def build_requests(df: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
@@ -33,36 +31,43 @@ def build_requests(df: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
 
     Takes ``kind`` (fetchData, postData, fetchJSON, apiRequest, webhookCall,
     scrapeWebpage, checkStatus), ``url``, ``method``, ``headers`` and ``data``
-    (VARIANT; the payload of a webhook). Adds nothing but replaces them by
-    ``method``, ``url``, ``headers``, ``body`` and ``error``; other columns stay.
+    (VARIANT; the payload of a webhook). ``data`` gives way to ``body`` and
+    ``error``, ``method`` and ``headers`` are filled in, other columns stay.
     """
-    call, data = F.col("kind"), F.col("data")
+    call, data, method, body = F.col("kind"), F.col("data"), F.col("method"), F.col("body")
     webhook = call == "webhookCall"
+
+    # one step each, so that no expression is copied into the next
     given = F.nullif(F.col("method"), F.lit(""))
-    method = (
+    filled = (
         F.when(call.isin(*READING), "GET")
         .when(call == "postData", "POST")
         .when(webhook, F.coalesce(given, F.lit("POST")))
         .otherwise(F.upper(F.coalesce(given, F.lit("GET"))))
     )
-    serialised = F.when(kind(data) == STRING, scalar_text(data)).otherwise(value_json(data))
+    steps = df.withColumns({"method": filled, "_type": kind(data), "_json": value_json(data)})
+    steps = steps.withColumn("_given", _truthy(data, F.col("_json"), F.col("_type")))
+
+    plain = F.when(F.col("_type") == STRING, F.try_variant_get(data, "$", "string")).otherwise(F.col("_json"))
     empty_object = F.lit("{}")
-    body = (
-        F.when(call == "postData", F.when(_truthy(data), serialised).otherwise(empty_object))
-        .when(webhook, F.when(_truthy(data), value_json(data)).otherwise(empty_object))
-        .when((call == "apiRequest") & method.isin(*BODY_METHODS) & _truthy(data), serialised)
+    steps = steps.withColumn(
+        "body",
+        F.when(call == "postData", F.when(F.col("_given"), plain).otherwise(empty_object))
+        .when(webhook, F.when(F.col("_given"), F.col("_json")).otherwise(empty_object))
+        .when((call == "apiRequest") & method.isin(*BODY_METHODS) & F.col("_given"), plain),
     )
-    plain = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
-    typed = F.coalesce(F.try_element_at(plain, F.lit(CONTENT_TYPE)), F.lit("")) != ""
+
+    sent = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
+    typed = F.coalesce(F.try_element_at(sent, F.lit(CONTENT_TYPE)), F.lit("")) != ""
     headers = (
-        F.when(call == "fetchJSON", _with_header(plain, "Accept", JSON_TYPE))
+        F.when(call == "fetchJSON", _with_header(sent, "Accept", JSON_TYPE))
         .when(call == "scrapeWebpage", F.create_map(F.lit("User-Agent"), F.lit(user_agent)))
         .when(call == "checkStatus", F.lit(None))
-        .when(webhook | (body.isNotNull() & ~typed), _with_header(plain, CONTENT_TYPE, JSON_TYPE))
-        .otherwise(plain)
+        .when(webhook | (body.isNotNull() & ~typed), _with_header(sent, CONTENT_TYPE, JSON_TYPE))
+        .otherwise(sent)
     )
     label = F.when(webhook, "Webhook URL is required").otherwise("URL is required")
     error = F.when(F.coalesce(F.col("url"), F.lit("")) == "", label).when(
         webhook & ~method.isin("POST", "PUT"), "Webhook method must be POST or PUT"
     )
-    return df.withColumns({"method": method, "headers": headers, "body": body, "error": error}).drop("data")
+    return steps.withColumns({"headers": headers, "error": error}).drop("data", "_type", "_json", "_given")

@@ -285,7 +285,7 @@ _PROBE_LINE = "CASE WHEN line_no % 7 = 3 THEN concat('=== ', substring(line, 1,
             generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     probe AS (SELECT run, line_no, {_PROBE_LINE} AS text, CASE WHEN line_no % 7 = 3 THEN substring(line, 1, 12) END
         AS title FROM lines)
-    SELECT run, line_no, text, last_value(title IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
+    SELECT run, CAST(line_no AS INTEGER) AS line_no, text, last_value(title IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM probe""")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents, every seventh made a header."""

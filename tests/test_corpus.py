@@ -187,7 +187,7 @@ def test_job_stops_without_input(spark, tmp_path):
 
 
 def test_config(spark, tmp_path):
-    lines = ["# c", "", " A = 1 ", "=x", "none", "B='q'", 'C="m\'', "D=", 'E="', "A=2", "F = a = b", " G = h"]
+    lines = ["# c", "", " A = 1 ", "=x", "none", "B='q'", 'C="m\'', "D=", 'E="', "A=2", "F = a = b", "\u00a0G\u00a0=\u00a0h"]
     (tmp_path / ".env").write_text("\n".join(lines))
     (tmp_path / "x.env").write_text("\n".join(lines))
     got = {r.key: r.value for r in config.read_config_lines(spark, str(tmp_path / "x.env")).collect()}

@@ -18,7 +18,7 @@ def test_count_words(values):
 
 
 def test_count_words_against_python(values):
-    spaces = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    spaces = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
     rng = random.Random(7)
     letters = "ab\xe9\u4e2d\u1681\u200b\u2030"
     items = ["".join(rng.choice(spaces if rng.random() < 0.4 else letters) for _ in range(30)) for _ in range(300)]

@@ -69,7 +69,7 @@ def test_json_rules_convert(spark):
 def test_json_rule_with_odd_names(spark):
     rules = {'k"': {"source": "it's"}}
     assert ruled(spark, '{"it\'s":1}', rules) == '{"k\\"":1}'
-    for name in ('a.b', 'x y', 'é', '', '["q"]', "?"):
+    for name in ('a.b', 'x y', '\u00e9', '', '["q"]', "?"):
         text = json.dumps({name: 5}, ensure_ascii=False)
         assert ruled(spark, text, {"v": {"source": name, "default": 0}}) == ('{"v":5}' if name else '{"v":0}')
 
