@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.jsontext import with_json
 from corpuscope.functions.numbers import round_half_up
 from corpuscope.functions.paths import base_name, file_extension, has_extension, parent_path
-from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars
+from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars, preview_lines
 from corpuscope.operators.rules import Rules, apply_rules, rules_json, typed_number
 
 PARSE_ERROR = "SyntaxError: not valid JSON"
@@ -61,6 +61,18 @@ def extract_single(files: DataFrame, run_ts: str | None = None) -> DataFrame:
     )
 
 
+def preview_files(files: DataFrame) -> DataFrame:
+    """Line, word and character counts of each non-empty file, and its first ten lines."""
+    content = F.col("content")
+    return non_empty(files).select(
+        F.col("path").alias("filePath"),
+        count_lines(content).alias("lineCount"),
+        count_words(content).alias("wordCount"),
+        char_count(content).alias("charCount"),
+        preview_lines(content, 10).alias("preview"),
+    )
+
+
 def _run_time(run_ts: str | None) -> Column:
     return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
 

@@ -63,10 +63,15 @@ def lookup(
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def exists_flag(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
-    """The manifest with a column ``exists``."""
-    paths = files.select(key)
-    known = paths.distinct().withColumn("_found", F.lit(True))
+def exists_flag(
+    manifest: DataFrame, files: DataFrame, key: str = "path", details: tuple[str, ...] = (), **limits: int
+) -> DataFrame:
+    """The manifest with a column ``exists``, and the ``details`` columns of the files found.
+
+    For a path listed twice the details are the largest of each.
+    """
+    paths = files.select(key, *details)
+    known = paths.groupBy(key).agg(F.lit(True).alias("_found"), *(F.max(c).alias(c) for c in details))
     found = lookup(manifest, known, key, fits_broadcast(paths), **limits)
     return found.withColumn("exists", F.col("_found").isNotNull()).drop("_found")
 

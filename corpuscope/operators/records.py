@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import stringify
+from corpuscope.functions.jsontext import STRING, kind, stringify
 
 # Log levels in ascending order.
 LOG_LEVELS = ["debug", "info", "warning", "error"]
 
 METADATA_TYPE = (
     "struct<operation:string,path:string,success:boolean,code:string,error:string,"
-    "exitCode:bigint,stdout:array<string>,stderr:array<string>>"
+    "exitCode:bigint,stdout:variant,stderr:variant>"
+)
+ENVELOPE_TYPE = (
+    f"struct<text:string,success:boolean,error:string,message:string,code:string,metadata:{METADATA_TYPE}>"
 )
-ENVELOPE_TYPE = f"struct<text:string,success:boolean,error:string,metadata:{METADATA_TYPE}>"
 
 
 def to_envelope(df: DataFrame, data: str, metadata: str, with_success: bool = True) -> DataFrame:
@@ -44,22 +46,35 @@ def _json(value: Column) -> Column:
 
 
 def read_envelope(df: DataFrame, envelope: str = "envelope") -> DataFrame:
-    """Replace envelope JSON by its fields; ``success`` from the top level, else the metadata."""
+    """Replace envelope JSON by its fields.
+
+    ``success`` comes from the top level, else the metadata; a result with an
+    error at the top level and no flag has failed.
+    """
     parsed = df.withColumn("_e", F.from_json(envelope, ENVELOPE_TYPE)).drop(envelope)
+    error = F.col("_e.error")
+    failed = F.when(~error.isin("", "false"), F.lit(False))
     return parsed.select(
         *(c for c in parsed.columns if c != "_e"),
         F.col("_e.text").alias("text"),
-        F.coalesce("_e.success", "_e.metadata.success").alias("success"),
+        F.coalesce("_e.success", "_e.metadata.success", failed).alias("success"),
         F.col("_e.metadata.operation").alias("operation"),
         F.col("_e.metadata.path").alias("path"),
-        F.col("_e.metadata.code").alias("code"),
+        F.coalesce("_e.metadata.code", "_e.code").alias("code"),
         F.col("_e.metadata.exitCode").alias("exitCode"),
-        F.coalesce("_e.metadata.error", "_e.error").alias("error"),
-        F.col("_e.metadata.stdout").alias("stdout"),
-        F.col("_e.metadata.stderr").alias("stderr"),
+        F.coalesce("_e.metadata.error", "_e.message", F.when(failed.isNotNull(), error)).alias("error"),
+        _output_lines(F.col("_e.metadata.stdout")).alias("stdout"),
+        _output_lines(F.col("_e.metadata.stderr")).alias("stderr"),
     )
 
 
+def _output_lines(output: Column) -> Column:
+    """Output comes as an array of lines, or as one text where a handler joined them."""
+    text = F.when(kind(output) == STRING, F.try_variant_get(output, "$", "string"))
+    joined = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+    return F.coalesce(joined, F.try_variant_get(output, "$", "array<string>"))
+
+
 def output_text(prefix: Column, stdout: Column, stderr: Column) -> Column:
     """Prefix line, output lines, and a block of error lines if there are any."""
     lines = F.coalesce(F.array_join(stdout, "\n", ""), F.lit(""))

@@ -19,6 +19,7 @@ from corpuscope.operators.corpus import (
     merge_sources,
     merge_summary,
     non_empty,
+    preview_files,
     transform_outcomes,
     transform_stage,
 )
@@ -72,6 +73,16 @@ def extracted_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_single(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
 
 
+@query(
+    "preview_files",
+    f"""WITH {FILES_SQL} SELECT path AS "filePath", {sql_lines("content")} AS "lineCount",
+    {sql_words("content")} AS "wordCount", {sql_units("content")} AS "charCount",
+    array_to_string(string_split(content, chr(10))[1:10], chr(10)) AS preview FROM files WHERE content <> ''""",
+)
+def file_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview_files(corpus_files(spark, sf_dir))
+
+
 @query("non_empty", f"WITH {FILES_SQL} SELECT path, filename FROM files WHERE content <> ''")
 def non_empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return non_empty(corpus_files(spark, sf_dir)).select("path", "filename")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions.jsontext import with_json
-from corpuscope.functions.paths import base_name, has_extension
+from corpuscope.functions.paths import base_name
 from corpuscope.operators.corpus import PARSE_ERROR
 
 FILE_TYPE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -25,15 +25,16 @@ def scan_files(
     extensions: list[str] | None = None,
     sort: str | None = None,
 ) -> DataFrame:
-    """List files: path, name, length, modificationTime."""
+    """List files: path, name, length, modificationTime.
+
+    Only names with one of the extensions are listed; ``sort`` names a column.
+    """
     reader = _reader(spark, recursive)
-    if extensions and len(extensions) == 1:
-        # one suffix is a glob, so other files do not even become tasks
-        reader = reader.option("pathGlobFilter", "*" + extensions[0])
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
     listing = reader.load(path).select("path", base_name(F.col("path")).alias("name"), "length", "modificationTime")
-    if extensions and len(extensions) > 1:
-        listing = listing.where(has_extension(F.col("name"), extensions))
-    return listing.orderBy(sort) if sort else listing
+    # the path breaks ties, so files of one name need not end up in one task
+    return listing.orderBy(sort, "path") if sort else listing
 
 
 def _reader(spark: SparkSession, recursive: bool):

@@ -93,6 +93,12 @@ def test_single(spark, folder):
     assert got["good.json"].wordCount == 4
 
 
+def test_preview(spark, folder):
+    got = {os.path.basename(r.filePath): r for r in corpus.preview_files(files.read_text_files(spark, folder)).collect()}
+    row = got["notes.txt"]
+    assert (row.lineCount, row.wordCount, row.charCount, row.preview) == (3, 3, 14, FILES["notes.txt"])
+
+
 def test_transform_stage(spark):
     rows = [("x.extracted.json", '{"a":1}'), ("y.json", "{"), ("z.txt", "{}"), ("e.json", ""), ("n.json", "null")]
     df = spark.createDataFrame(rows, "filename string, content string")

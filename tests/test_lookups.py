@@ -48,6 +48,9 @@ def test_exists(spark):
     flags = lk.exists_flag(left, files).orderBy("n").collect()
     assert [(r.n, r.exists) for r in flags] == [(1, True), (2, False), (3, True), (4, False)]
     assert sorted(r.n for r in lk.existing(left, files).collect()) == [1, 3]
+    sized = spark.createDataFrame([("a", 5), ("c", 6)], "path string, length int")
+    detailed = lk.exists_flag(left, sized, details=("length",)).orderBy("n").collect()
+    assert [(r.exists, r.length) for r in detailed] == [(True, 5), (False, None), (True, 5), (False, None)]
     assert sorted(r.n for r in lk.missing(left, files).collect()) == [2, 4]
 
 

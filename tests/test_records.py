@@ -35,10 +35,16 @@ def test_read_envelope_and_counts(spark):
     got = read.orderBy("i").collect()
     assert [(r.success, r.operation, r.exitCode, r.stderr, r.error) for r in got] == [
         (True, "x", None, None, None), (False, "x", 2, ["e"], None), (None, "x", None, None, None),
-        (None, None, None, None, "boom"), (None, None, None, None, None),
+        (False, None, None, None, "boom"), (None, None, None, None, None),
     ]
+    joined = '{"text":"t","metadata":{"operation":"c","stdout":"a\\nb","stderr":"","success":true}}'
+    row = records.read_envelope(spark.createDataFrame([(joined,)], "envelope string")).first()
+    assert (row.operation, row.stdout, row.stderr) == ("c", ["a", "b"], [])
+    documented = spark.createDataFrame([('{"error":true,"message":"no file","code":"FILE_NOT_FOUND"}',)], "envelope string")
+    row = records.read_envelope(documented).first()
+    assert (row.success, row.code, row.error) == (False, "FILE_NOT_FOUND", "no file")
     counts = {r.operation: (r.total, r.succeeded, r.failed) for r in records.result_counts(read).collect()}
-    assert counts == {"x": (3, 1, 1), None: (2, 0, 0)}
+    assert counts == {"x": (3, 1, 1), None: (2, 0, 1)}
 
 
 def test_output_text(spark):
