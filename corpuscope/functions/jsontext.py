@@ -77,30 +77,22 @@ def is_array(value: Column) -> Column:
     return F.coalesce(kind(value) == ARRAY, F.lit(False))
 
 
-def _scalar_text(value: Column, type_name: Column) -> Column:
-    return (
-        F.when(type_name == NULL, "null")
-        .when(type_name == OBJECT, "[object Object]")
-        .when(type_name.isin(*NUMBERS), number_text(F.try_variant_get(value, "$", "double")))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
-
-
 def scalar_text(value: Column) -> Column:
     """String form of a VARIANT; of arrays only the JSON text.
 
     Here and below ``value`` is a column, or bound by :func:`once`: it appears
     several times in the result.
     """
-    return once(kind(value), lambda k: _scalar_text(value, k))
 
+    def text(k: Column) -> Column:
+        return (
+            F.when(k == NULL, "null")
+            .when(k == OBJECT, "[object Object]")
+            .when(k.isin(*NUMBERS), number_text(F.try_variant_get(value, "$", "double")))
+            .otherwise(F.try_variant_get(value, "$", "string"))
+        )
 
-def _value_text(value: Column, type_name: Column) -> Column:
-    items = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda item: F.when(F.is_variant_null(item), "").otherwise(scalar_text(item)),
-    )
-    return F.when(type_name == ARRAY, F.array_join(items, ",", "")).otherwise(_scalar_text(value, type_name))
+    return once(kind(value), text)
 
 
 def value_text(value: Column) -> Column:
@@ -108,7 +100,12 @@ def value_text(value: Column) -> Column:
 
     Arrays inside arrays appear as JSON text.
     """
-    return once(kind(value), lambda k: _value_text(value, k))
+    items = F.coalesce(
+        F.when(kind(value) == ARRAY, F.try_variant_get(value, "$", "array<variant>")),
+        F.when(~F.is_variant_null(value), F.array(value)),
+    )
+    texts = F.transform(items, lambda item: F.when(~F.is_variant_null(item), scalar_text(item)))
+    return F.when(F.is_variant_null(value), "null").otherwise(F.array_join(texts, ",", ""))
 
 
 def value_number(value: Column) -> Column:
@@ -118,7 +115,7 @@ def value_number(value: Column) -> Column:
         return (
             F.when(k == NULL, F.lit(0.0))
             .when(k == BOOLEAN, F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
-            .when(k.isin(STRING, ARRAY), once(_value_text(value, k), text_to_number))
+            .when(k.isin(STRING, ARRAY), once(value_text(value), text_to_number))
             .when(k != OBJECT, F.try_variant_get(value, "$", "double"))
         )
 

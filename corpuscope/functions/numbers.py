@@ -51,20 +51,17 @@ def number_text(number: Column) -> Column:
 
     def from_java(value: Column, java: Column) -> Column:
         size = F.abs(value)
-        plain = F.when(F.endswith(java, F.lit(".0")), F.substring_index(java, ".", 1)).otherwise(java)
-        fraction = F.when(size < 1, java.try_cast("decimal(38,28)").cast("string")).otherwise(
+        plain = F.when(java.endswith(".0"), F.substring_index(java, ".", 1)).otherwise(java)
+        digits = F.when(size < 1, java.try_cast("decimal(38,28)").cast("string")).otherwise(
             java.try_cast("decimal(38,17)").cast("string")
         )
-        whole = java.try_cast("decimal(38,0)").cast("string")
-        mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-        power = F.substring_index(java, "E", -1)
-        signed = F.when(F.startswith(power, F.lit("-")), power).otherwise(F.concat(F.lit("+"), power))
+        # 1.0E-7 and 1.5E21 become 1e-7 and 1.5e+21
+        power = F.regexp_replace(F.regexp_replace(java, r"(\.0)?E", "e"), r"e(?=\d)", "e+")
         return (
             F.when(value == 0, "0")
-            .when(~F.contains(java, F.lit("E")), plain)
-            .when((size >= 1e21) | (size < 1e-6), F.concat(mantissa, F.lit("e"), signed))
-            .when(value == F.floor(value), whole)
-            .otherwise(F.regexp_replace(fraction, r"\.?0+$", ""))
+            .when(~java.contains("E"), plain)
+            .when((size >= 1e21) | (size < 1e-6), power)
+            .otherwise(F.regexp_replace(digits, r"\.?0+$", ""))
         )
 
     return once(number, lambda value: once(value.cast("string"), lambda java: from_java(value, java)))

@@ -23,7 +23,10 @@ def test_count_words_against_python(values):
     letters = "ab\xe9\u4e2d\u1681\u200b\u2030"
     items = ["".join(rng.choice(spaces if rng.random() < 0.4 else letters) for _ in range(30)) for _ in range(300)]
     table = str.maketrans({c: " " for c in spaces})
-    assert values(text.count_words, items) == [len([w for w in i.translate(table).split(" ") if w]) for i in items]
+    counts = [len([w for w in i.translate(table).split(" ") if w]) for i in items]
+    assert values(text.count_words, items) == counts
+    assert values(lambda c: text.count_words(c, long_text=10), items) == counts
+    assert values(lambda c: text.count_words(c, long_text=-1), ["", " ", "a"]) == [0, 0, 1]
     collapsed = [" ".join(w for w in i.translate(table).split(" ") if w) for i in items]
     assert [v.strip(" ") for v in values(text.collapse_ws, items)] == collapsed
     assert values(text.trim_ws, items) == [i.strip(spaces) for i in items]
