@@ -83,9 +83,8 @@ def _fragment(record: Column, name: str, rule: dict[str, Any]) -> Column:
     default = F.lit(json.dumps(rule["default"], **_COMPACT) if "default" in rule else None).cast("string")
     text = default
     if rule.get("source"):
-        text = once(
-            member(record, rule["source"]), lambda value: F.when(value.isNotNull(), _json(value, rule)).otherwise(default)
-        )
+        found = member(record, rule["source"])
+        text = once(found, lambda value: F.when(value.isNotNull(), _json(value, rule)).otherwise(default))
     return F.concat(F.lit(json.dumps(name, **_COMPACT) + ":"), text)
 
 

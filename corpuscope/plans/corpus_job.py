@@ -74,33 +74,27 @@ def _report(
     ended: str,
 ) -> DataFrame:
     """Stage report with the counts of each stage; the records themselves are in the stage tables."""
-    result = "struct<filesProcessed:bigint,outputDir:string,outputPath:string,totalFiles:bigint,totalSize:bigint>"
 
-    def stage(seq: int, name: str, rows: DataFrame, **members) -> DataFrame:
-        fields = ("filesProcessed", "outputDir", "outputPath", "totalFiles", "totalSize")
-        values = [members.get(field, F.lit(None)).alias(field) for field in fields]
+    def stage(seq: int, title: str, rows: DataFrame, folder: str, **counts: str) -> DataFrame:
+        result = F.struct(
+            F.lit(f"{output_path}/{folder}").alias("outputDir"),
+            *(
+                (F.col(counts[name]) if name in counts else F.lit(None)).cast("bigint").alias(name)
+                for name in ("filesProcessed", "totalFiles", "totalSize")
+            ),
+        )
         return rows.select(
-            F.lit(0).alias("run"), F.lit(seq).alias("seq"), F.lit(name).alias("stage"),
-            F.struct(*values).cast(result).alias("result"),
+            F.lit(0).alias("run"), F.lit(seq).alias("seq"), F.lit(title).alias("stage"), result.alias("result")
         )
 
     def count(df: DataFrame) -> DataFrame:
         return df.agg(F.count("*").alias("files"))
 
     stages = (
-        stage(0, "extract", count(extracted), filesProcessed=F.col("files"), outputDir=F.lit(f"{output_path}/extracted"))
-        .unionByName(
-            stage(
-                1, "transform", count(transformed),
-                filesProcessed=F.col("files"), outputDir=F.lit(f"{output_path}/transformed"),
-            )
-        )
-        .unionByName(
-            stage(
-                2, "aggregate", aggregate,
-                outputPath=F.lit(f"{output_path}/totals"), totalFiles=F.col("totalFiles"), totalSize=F.col("totalSize"),
-            )
-        )
+        stage(0, "extract", count(extracted), "extracted", filesProcessed="files")
+        .unionByName(stage(1, "transform", count(transformed), "transformed", filesProcessed="files"))
+        .unionByName(stage(2, "aggregate", aggregate, "totals", totalFiles="totalFiles", totalSize="totalSize"))
     )
-    runs = spark.range(1).select(F.lit(0).alias("run"), F.lit(started).alias("startTime"), F.lit(ended).alias("endTime"))
+    times = {"run": F.lit(0), "startTime": F.lit(started), "endTime": F.lit(ended)}
+    runs = spark.range(1).select(*(value.alias(name) for name, value in times.items()))
     return stage_report(runs, stages)

@@ -50,15 +50,21 @@ _AVERAGES = """CAST(floor(sum(size) / count(*) + 0.5) AS BIGINT) AS "averageSize
     CAST(floor(sum(coalesce(wordCount, 0)) / count(*) + 0.5) AS BIGINT) AS "averageWords" """
 
 
-@query("corpus_job", f"WITH {RECORDS_SQL} SELECT {_TOTALS}, {_AVERAGES} FROM records")
+@query(
+    "corpus_job",
+    f"WITH {RECORDS_SQL} SELECT {_TOTALS}, {_AVERAGES} FROM records",
+)
 def corpus_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract, transform and aggregate in one pass over the corpus."""
     rules = {name: {"source": name} for name in ("filename", "size", "lines", "wordCount")}
     return corpus_totals_of(corpus_files(spark, sf_dir), rules)
 
 
-@query("extract_stage", f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", jsonData AS "jsonData",
-    parseError AS "parseError", preview FROM records""")
+@query(
+    "extract_stage",
+    f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", jsonData AS "jsonData",
+    parseError AS "parseError", preview FROM records""",
+)
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
     # members of parsed JSON come back sorted by name, so print them as they were
@@ -67,8 +73,11 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("jsonData", F.when(F.col("jsonData").isNotNull(), order))
 
 
-@query("extract_single", f"""WITH {FILES_SQL} SELECT filename, {sql_units("content")} AS size, {sql_lines("content")} AS lines,
-    {sql_words("content")} AS "wordCount" FROM files WHERE content <> ''""")
+@query(
+    "extract_single",
+    f"""WITH {FILES_SQL} SELECT filename, {sql_units("content")} AS size, {sql_lines("content")} AS lines,
+    {sql_words("content")} AS "wordCount" FROM files WHERE content <> ''""",
+)
 def extracted_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_single(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
 
@@ -83,7 +92,10 @@ def file_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview_files(corpus_files(spark, sf_dir))
 
 
-@query("non_empty", f"WITH {FILES_SQL} SELECT path, filename FROM files WHERE content <> ''")
+@query(
+    "non_empty",
+    f"WITH {FILES_SQL} SELECT path, filename FROM files WHERE content <> ''",
+)
 def non_empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return non_empty(corpus_files(spark, sf_dir)).select("path", "filename")
 
@@ -98,7 +110,9 @@ _RULES = {
 }
 
 
-@query("transform_stage", f"""WITH {FILES_SQL}, parsed AS (
+@query(
+    "transform_stage",
+    f"""WITH {FILES_SQL}, parsed AS (
         SELECT filename, content, json_valid(content) AS ok,
             CASE WHEN json_valid(content) THEN content END AS j FROM files
         WHERE ends_with(filename, '.json') AND content <> '')
@@ -108,7 +122,8 @@ _RULES = {
         CASE WHEN ok THEN concat('{{"name":"', upper(j ->> '$.filename'), '","language":"', lower(j ->> '$.lang'),
             '","label":"untitled","doc":', j ->> '$.doc', '}}') END AS result,
         CASE WHEN ok THEN CAST(j ->> '$.size' AS DOUBLE) * 0.001 END AS kilo
-    FROM parsed""")
+    FROM parsed""",
+)
 def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = transform_stage(corpus_files(spark, sf_dir), _RULES)
     # number text differs between engines: compare that member as a number
@@ -119,31 +134,46 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("transform_outcomes", f"""WITH {FILES_SQL} SELECT CASE WHEN json_valid(content) THEN 'success' ELSE 'error' END AS status,
-    CAST(count(*) AS BIGINT) AS files FROM files WHERE ends_with(filename, '.json') AND content <> '' GROUP BY 1""")
+@query(
+    "transform_outcomes",
+    f"""WITH {FILES_SQL} SELECT CASE WHEN json_valid(content) THEN 'success' ELSE 'error' END AS status,
+    CAST(count(*) AS BIGINT) AS files FROM files WHERE ends_with(filename, '.json') AND content <> '' GROUP BY 1""",
+)
 def transform_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_outcomes(transform_stage(corpus_files(spark, sf_dir), _RULES))
 
 
-@query("corpus_totals", f"WITH {RECORDS_SQL} SELECT {_TOTALS} FROM records")
+@query(
+    "corpus_totals",
+    f"WITH {RECORDS_SQL} SELECT {_TOTALS} FROM records",
+)
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_totals(extract_stage(corpus_files(spark, sf_dir), RUN_TS))
 
 
-@query("corpus_averages", f"WITH {RECORDS_SQL} SELECT {_AVERAGES} FROM records")
+@query(
+    "corpus_averages",
+    f"WITH {RECORDS_SQL} SELECT {_AVERAGES} FROM records",
+)
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_averages(extract_stage(corpus_files(spark, sf_dir), RUN_TS))
 
 
-@query("file_type_counts", f"""WITH {FILES_SQL} SELECT CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE string_split(filename, '.')[-1] END
-    AS extension, CAST(count(*) AS BIGINT) AS files FROM files GROUP BY 1""")
+@query(
+    "file_type_counts",
+    f"""WITH {FILES_SQL} SELECT CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE string_split(filename, '.')[-1] END
+    AS extension, CAST(count(*) AS BIGINT) AS files FROM files GROUP BY 1""",
+)
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus_files(spark, sf_dir)
     return file_type_counts(files.withColumn("filename", F.expr("CASE WHEN doc_id % 9 <> 0 THEN filename END")))
 
 
-@query("collect_documents", f"""SELECT concat('item_', item_id, '.txt') AS filename, {sql_units("text")} AS size,
-    {sql_lines("text")} AS lines, {sql_words("text")} AS "wordCount" FROM benchmark""")
+@query(
+    "collect_documents",
+    f"""SELECT concat('item_', item_id, '.txt') AS filename, {sql_units("text")} AS size,
+    {sql_lines("text")} AS lines, {sql_words("text")} AS "wordCount" FROM benchmark""",
+)
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(
         F.expr("concat('/items/item_', item_id, '.txt')").alias("path"), F.col("text").alias("content")
@@ -162,14 +192,20 @@ def _event_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("merge_sources", f"""SELECT path, CAST(json(content) AS VARCHAR) AS data FROM ({_SOURCES})
-    WHERE content <> '' AND json_valid(content)""")
+@query(
+    "merge_sources",
+    f"""SELECT path, CAST(json(content) AS VARCHAR) AS data FROM ({_SOURCES})
+    WHERE content <> '' AND json_valid(content)""",
+)
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sources(_event_sources(spark, sf_dir)).select("path", F.to_json("data").alias("data"))
 
 
-@query("merge_summary", f"""SELECT CAST(count(*) AS BIGINT) AS sources,
-    CAST(count(*) FILTER (content <> '' AND json_valid(content)) AS BIGINT) AS merged FROM ({_SOURCES})""")
+@query(
+    "merge_summary",
+    f"""SELECT CAST(count(*) AS BIGINT) AS sources,
+    CAST(count(*) FILTER (content <> '' AND json_valid(content)) AS BIGINT) AS merged FROM ({_SOURCES})""",
+)
 def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_summary(_event_sources(spark, sf_dir))
 
@@ -182,18 +218,24 @@ _FLAGS_SQL = [
 ]
 
 
-@query("all_passed", f"""SELECT conv_id, bool_and(coalesce(success, true) AND coalesce("exists", true)
+@query(
+    "all_passed",
+    f"""SELECT conv_id, bool_and(coalesce(success, true) AND coalesce("exists", true)
         AND coalesce(contentMatches, true)) AS "allPassed"
     FROM (SELECT conv_id, {', '.join(_FLAGS_SQL).replace('AS exists', 'AS "exists"')} FROM conversations)
-    GROUP BY conv_id""")
+    GROUP BY conv_id""",
+)
 def runs_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", *_FLAGS_SQL)
     return all_passed(rows, "conv_id", _FLAGS)
 
 
-@query("directory_summary", f"""WITH {FILES_SQL} SELECT regexp_extract(path, '^(.*)/', 1) AS directory,
+@query(
+    "directory_summary",
+    f"""WITH {FILES_SQL} SELECT regexp_extract(path, '^(.*)/', 1) AS directory,
     CAST(count(*) AS BIGINT) AS "totalItems", CAST(sum(strlen(content)) AS BIGINT) AS "totalSize"
-    FROM files GROUP BY 1""")
+    FROM files GROUP BY 1""",
+)
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a manifest; empty files count as items."""
     return directory_summary(
@@ -216,9 +258,12 @@ _EVENT_RULES = {
 }
 
 
-@query("apply_rules", """SELECT upper(event_type) AS label, lower(event_type) AS kind, value * 100 AS cents, value AS same,
+@query(
+    "apply_rules",
+    """SELECT upper(event_type) AS label, lower(event_type) AS kind, value * 100 AS cents, value AS same,
     floor(value) + CASE WHEN value - floor(value) >= 0.5 THEN 1 ELSE 0 END AS whole, event_id AS id,
-    user_id AS passed, 'none' AS filled FROM events""")
+    user_id AS passed, 'none' AS filled FROM events""",
+)
 def ruled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "events"), _EVENT_RULES)
 
@@ -232,12 +277,15 @@ _MEMBERS = """CASE event_id % 6
     ELSE props END"""
 
 
-@query("rule_default", """SELECT event_id, concat('{"n":', CASE event_id % 6
+@query(
+    "rule_default",
+    """SELECT event_id, concat('{"n":', CASE event_id % 6
         WHEN 0 THEN '0' WHEN 1 THEN '-1' WHEN 2 THEN CAST(user_id * 2 AS VARCHAR) WHEN 3 THEN 'null'
         WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN '2' ELSE '0' END
         ELSE CAST(CAST(props ->> '$.k' AS BIGINT) * 2 AS VARCHAR) END,
     ',"t":', CASE event_id % 6 WHEN 0 THEN concat('"', upper(event_type), '"') WHEN 2 THEN '"1,B,"'
-        WHEN 3 THEN '"[OBJECT OBJECT]"' WHEN 4 THEN '"NULL"' ELSE '{"d":[1]}' END, '}') AS record FROM events""")
+        WHEN 3 THEN '"[OBJECT OBJECT]"' WHEN 4 THEN '"NULL"' ELSE '{"d":[1]}' END, '}') AS record FROM events""",
+)
 def rule_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absent members take the default, JSON null does not."""
     rules = {
@@ -249,16 +297,22 @@ def rule_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", rules_json(F.col("value"), rules).alias("record"))
 
 
-@query("items_filter", """SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '),
-    lambda w: length(w) > 4 AND w LIKE '%e%'), ' ') AS words FROM conversations""")
+@query(
+    "items_filter",
+    """SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '),
+    lambda w: length(w) > 4 AND w LIKE '%e%'), ' ') AS words FROM conversations""",
+)
 def filtered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
     kept = items_filter(words, "words", "length(item) > 4 AND item LIKE '%e%'")
     return kept.withColumn("words", F.array_join("words", " "))
 
 
-@query("items_map", """SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '),
-    lambda w: concat(substring(w, 1, 3), length(w))), ' ') AS words FROM conversations""")
+@query(
+    "items_map",
+    """SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '),
+    lambda w: concat(substring(w, 1, 3), length(w))), ' ') AS words FROM conversations""",
+)
 def mapped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
     changed = items_map(words, "words", "concat(substring(item, 1, 3), length(item))")
@@ -276,20 +330,26 @@ def _json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_json(rows, "data", F.col("text")).select("event_id", "data")
 
 
-@query("extract_keys", """SELECT event_id, CASE event_id % 4
+@query(
+    "extract_keys",
+    """SELECT event_id, CASE event_id % 4
         WHEN 0 THEN concat('{"0":', user_id, ',"length":3}')
         WHEN 1 THEN concat('{"b":null,"c":"', event_type, '"}')
-        WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""")
+        WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""",
+)
 def extracted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     reduced = extract_keys(_json_values(spark, sf_dir), "data", ["c", "b", "0", "length", "zz"])
     return reduced.withColumn("data", F.to_json("data"))
 
 
-@query("apply_transform", """SELECT event_id, CASE event_id % 4
+@query(
+    "apply_transform",
+    """SELECT event_id, CASE event_id % 4
         WHEN 0 THEN concat('[', array_to_string(list_filter([user_id, event_id, event_id % 7],
             lambda n: n % 2 = 0), ','), ']')
         WHEN 1 THEN concat('{"a":', user_id, ',"b":null}')
-        WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""")
+        WHEN 3 THEN concat('"', event_type, '"') END AS data FROM events""",
+)
 def transformed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three transforms given: arrays are filtered, the rest is reduced to keys."""
     spec = {"filter": "item::bigint % 2 = 0", "map": "item::bigint + 1", "extract": ["b", "a"]}
@@ -316,8 +376,11 @@ def _text_folder(spark: SparkSession, sf_dir: str) -> str:
     return _folders[key]
 
 
-@query("scan_files", """SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
-    FROM documents GROUP BY lang""")
+@query(
+    "scan_files",
+    """SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
+    FROM documents GROUP BY lang""",
+)
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes per folder, from the listing alone."""
     listing = scan_files(spark, _text_folder(spark, sf_dir), recursive=True, extensions=[".txt"])
@@ -327,8 +390,11 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("read_text_files", f"""SELECT lang, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
-    CAST(sum({sql_lines("text")}) AS BIGINT) AS lines FROM documents GROUP BY lang""")
+@query(
+    "read_text_files",
+    f"""SELECT lang, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
+    CAST(sum({sql_lines("text")}) AS BIGINT) AS lines FROM documents GROUP BY lang""",
+)
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and lines per folder, from whole files; each file ends in a newline."""
     files = read_text_files(spark, _text_folder(spark, sf_dir), recursive=True)
@@ -338,8 +404,11 @@ def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("read_json_files", """SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
-    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source""")
+@query(
+    "read_json_files",
+    """SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
+    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source""",
+)
 def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file per source, cut off for sources with an odd number of documents."""
     path = scratch_path(spark, "sources")
@@ -364,12 +433,15 @@ _CONFIG = """CASE event_id % 9
 _LINE = sql_trim(_CONFIG)
 
 
-@query("config_lines", f"""WITH lines AS (SELECT user_id AS file, event_id AS line_no, {_LINE} AS line FROM events),
+@query(
+    "config_lines",
+    f"""WITH lines AS (SELECT user_id AS file, event_id AS line_no, {_LINE} AS line FROM events),
     halves AS (SELECT file, line_no, {sql_trim("substring(line, 1, instr(line, '=') - 1)")} AS key,
         {sql_trim("substring(line, instr(line, '=') + 1)")} AS value
         FROM lines WHERE NOT starts_with(line, '#') AND instr(line, '=') >= 2)
     SELECT file, line_no, key, CASE WHEN regexp_full_match(value, '".*"|''.*''') THEN
-        substring(value, 2, length(value) - 2) ELSE value END AS value FROM halves""")
+        substring(value, 2, length(value) - 2) ELSE value END AS value FROM halves""",
+)
 def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), F.expr(_CONFIG).alias("line")
@@ -377,7 +449,10 @@ def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_config_lines(lines)
 
 
-@query("read_config_lines", """SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
+@query(
+    "read_config_lines",
+    """SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY 1""",
+)
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Config files as written by several tasks; the last line of a file wins, then the last file."""
     path = scratch_path(spark, "config")
@@ -391,7 +466,10 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_config_lines(spark, files).select("key", F.col("value").cast("double").alias("value"))
 
 
-@query("write_json", f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", preview FROM records""")
+@query(
+    "write_json",
+    f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", preview FROM records""",
+)
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "extracted")
     records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).select(
@@ -401,7 +479,10 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(records.schema).json(path)
 
 
-@query("write_text", """SELECT unnest(string_split(text, chr(10))) AS line FROM documents""")
+@query(
+    "write_text",
+    """SELECT unnest(string_split(text, chr(10))) AS line FROM documents""",
+)
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lines")
     write_text(table(spark, sf_dir, "documents"), path, "text")

@@ -40,29 +40,41 @@ def _manifest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).select("doc_id", F.expr("concat('/labels/', doc_id)").alias("path"))
 
 
-@query("exists_flag", f"""SELECT doc_id, m.path, f.path IS NOT NULL AS "exists"
-    FROM ({_MANIFEST}) m LEFT JOIN ({_LABELLED}) f ON m.path = f.path""")
+@query(
+    "exists_flag",
+    f"""SELECT doc_id, m.path, f.path IS NOT NULL AS "exists"
+    FROM ({_MANIFEST}) m LEFT JOIN ({_LABELLED}) f ON m.path = f.path""",
+)
 def exists_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exists_flag(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query("existing_only", f"SELECT * FROM ({_MANIFEST}) WHERE path IN ({_LABELLED})")
+@query(
+    "existing_only",
+    f"SELECT * FROM ({_MANIFEST}) WHERE path IN ({_LABELLED})",
+)
 def existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return existing(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query("missing_only", f"SELECT * FROM ({_MANIFEST}) WHERE path NOT IN ({_LABELLED})")
+@query(
+    "missing_only",
+    f"SELECT * FROM ({_MANIFEST}) WHERE path NOT IN ({_LABELLED})",
+)
 def missing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
-@query("catalog_lookup", """SELECT conv_id, turn, wanted AS "promptName",
+@query(
+    "catalog_lookup",
+    """SELECT conv_id, turn, wanted AS "promptName",
         CASE WHEN wanted IN ('user', 'assistant') THEN concat('Answer as ', wanted) END AS template,
         CASE WHEN wanted IN ('user', 'assistant') THEN concat('[{"name":"', wanted, '"}]') END AS arguments,
         CASE WHEN wanted IN ('user', 'assistant') THEN concat(wanted, ': Answer as ', wanted) END AS message,
         CASE WHEN wanted = '' THEN 'Prompt name requiered'
             WHEN wanted = 'system' THEN 'Failed to get prompt system' END AS error
-    FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN '' ELSE role END AS wanted FROM conversations)""")
+    FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN '' ELSE role END AS wanted FROM conversations)""",
+)
 def prompts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     prompts = conversations.where("role <> 'system'").select(
@@ -74,16 +86,21 @@ def prompts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt_lookup(asked, prompts.distinct())
 
 
-@query("catalog_lookup_resources", """SELECT conv_id, turn, role AS "resourceName",
+@query(
+    "catalog_lookup_resources",
+    """SELECT conv_id, turn, role AS "resourceName",
         CASE WHEN role <> 'user' THEN concat(role, ': take a look following link:', chr(10), 'res://', role)
             ELSE 'Failed to load resource: user' END AS text,
         CASE WHEN role <> 'user' THEN concat('res://', role) ELSE '' END AS uri,
         CASE WHEN role <> 'user' THEN 'text/plain' ELSE 'plain/text' END AS "mimeType",
-        CASE WHEN role = 'user' THEN 'Failed to load resource: user' END AS error FROM conversations""")
+        CASE WHEN role = 'user' THEN 'Failed to load resource: user' END AS error FROM conversations""",
+)
 def resources_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     resources = conversations.where("role <> 'user'").select(
-        F.col("role").alias("name"), F.expr("concat('res://', role)").alias("uri"), F.lit("text/plain").alias("mimeType")
+        F.col("role").alias("name"),
+        F.expr("concat('res://', role)").alias("uri"),
+        F.lit("text/plain").alias("mimeType"),
     )
     asked = conversations.select("conv_id", "turn", F.col("role").alias("resourceName"))
     return resource_lookup(asked, resources.distinct())
@@ -93,11 +110,16 @@ _PARAMS = """CASE (conv_id + turn) % 6 WHEN 0 THEN '{}' WHEN 1 THEN '{"testHandl
     WHEN 3 THEN '{"testHandler":""}' WHEN 4 THEN '{"testHandler":"other"}' ELSE '[1]' END"""
 
 
-@query("resolve_calls", """WITH named AS (SELECT conv_id, turn, (conv_id + turn) % 6 = 2 AS broken, CASE (conv_id + turn) % 6
+@query(
+    "resolve_calls",
+    """WITH named AS (SELECT conv_id, turn, (conv_id + turn) % 6 = 2 AS broken, CASE (conv_id + turn) % 6
         WHEN 1 THEN 'assistant' WHEN 2 THEN NULL WHEN 4 THEN 'other' ELSE role END AS handler FROM conversations)
-    SELECT conv_id, turn, handler, CASE WHEN handler IN ('user', 'assistant') THEN concat('mod_', handler) END AS module,
+    SELECT conv_id, turn, handler,
+        CASE WHEN handler IN ('user', 'assistant') THEN concat('mod_', handler) END AS module,
         CASE WHEN broken THEN 'SyntaxError: not valid JSON'
-            WHEN handler NOT IN ('user', 'assistant') THEN concat('Unknown handler: ', handler) END AS error FROM named""")
+            WHEN handler NOT IN ('user', 'assistant') THEN concat('Unknown handler: ', handler) END AS error
+    FROM named""",
+)
 def calls_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     handlers = conversations.where("role <> 'system'").select(
@@ -111,10 +133,13 @@ _TARGET = """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '
     concat('/tmp/', coalesce(nullif(string_split(url, '/')[-1], ''), 'download.txt')))"""
 
 
-@query("download_info", f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
+@query(
+    "download_info",
+    f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
     stored AS (SELECT path, max(length(html)) AS size FROM downloads WHERE starts_with(url, 'https') GROUP BY path)
     SELECT page_id, url, d.path, CAST(coalesce(size, 0) AS BIGINT) AS size, s.path IS NOT NULL AS "exists"
-    FROM downloads d LEFT JOIN stored s ON d.path = s.path""")
+    FROM downloads d LEFT JOIN stored s ON d.path = s.path""",
+)
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     asked = pages.selectExpr(
@@ -128,16 +153,22 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return download_info(asked, stored)
 
 
-@query("last_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+@query(
+    "last_wins",
+    "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
+)
 def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value")
 
 
-@query("env_overlay", """WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
+@query(
+    "env_overlay",
+    """WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
         WHERE event_type = 'view' AND value > 300 GROUP BY 1),
     parsed AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
         WHERE event_type = 'click' GROUP BY 1)
-    SELECT * FROM env UNION ALL SELECT * FROM parsed WHERE key NOT IN (SELECT key FROM env)""")
+    SELECT * FROM env UNION ALL SELECT * FROM parsed WHERE key NOT IN (SELECT key FROM env)""",
+)
 def env_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("key", F.expr("concat('KEY_', user_id)"))
     env = last_wins(events.where("event_type = 'view' AND value > 300"), ["key"], "event_id", "value")
@@ -148,9 +179,12 @@ def env_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- call records and envelopes
 
 
-@query("call_fields", """SELECT role AS name, 'CustomTool' AS "toolType", concat('do_', role) AS "execHandler",
+@query(
+    "call_fields",
+    """SELECT role AS name, 'CustomTool' AS "toolType", concat('do_', role) AS "execHandler",
     CAST(conv_id AS VARCHAR) AS "sessionId", 'plugin' AS "pluginName", turn AS turn_argument, text AS text_argument,
-    'toolEntry' AS "execMethod" FROM conversations""")
+    'toolEntry' AS "execMethod" FROM conversations""",
+)
 def call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select(
         call_json(
@@ -170,9 +204,12 @@ def call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("arguments")
 
 
-@query("message_fields", """SELECT '2.0' AS jsonrpc, concat(conv_id, '-', turn) AS id,
+@query(
+    "message_fields",
+    """SELECT '2.0' AS jsonrpc, concat(conv_id, '-', turn) AS id,
     CASE WHEN role = 'user' THEN 'tools/call' END AS method, CASE WHEN role = 'user' THEN text END AS asked,
-    CASE WHEN role <> 'user' THEN text END AS answered FROM conversations""")
+    CASE WHEN role <> 'user' THEN text END AS answered FROM conversations""",
+)
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("role") == "user"
     stored = table(spark, sf_dir, "conversations").select(
@@ -193,12 +230,15 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("result_envelope", """SELECT event_id, concat('{"text":', to_json(concat('{', chr(10), '  "event_id": ', event_id, ',', chr(10),
+@query(
+    "result_envelope",
+    """SELECT event_id, concat('{"text":', to_json(concat('{', chr(10), '  "event_id": ', event_id, ',', chr(10),
         '  "tags": [', chr(10), '    "', event_type, '",', chr(10), '    "x"', chr(10), '  ],', chr(10),
         '  "note": null', chr(10), '}')),
         ',"success":true,"metadata":{"operation":"', event_type, '","path":null}}') AS envelope,
     concat('{"text":"', event_type, ' failed","metadata":{"success":false,"error":"', event_type, ' failed"}}')
-        AS failure FROM events""")
+        AS failure FROM events""",
+)
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id",
@@ -227,23 +267,33 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr(_ENVELOPE).alias("envelope"))
 
 
-@query("envelope_fields", f"""SELECT event_id, concat('t', event_id) AS text, {_SUCCESS} AS success, event_type AS operation,
-    CASE WHEN event_id % 4 = 2 THEN 'bad' END AS error, CASE WHEN event_id % 4 = 1 THEN 'a b' END AS stdout FROM events""")
+@query(
+    "envelope_fields",
+    f"""SELECT event_id, concat('t', event_id) AS text, {_SUCCESS} AS success, event_type AS operation,
+    CASE WHEN event_id % 4 = 2 THEN 'bad' END AS error,
+    CASE WHEN event_id % 4 = 1 THEN 'a b' END AS stdout FROM events""",
+)
 def envelope_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_envelope(_envelopes(spark, sf_dir))
     return read.select("event_id", "text", "success", "operation", "error", F.array_join("stdout", " ").alias("stdout"))
 
 
-@query("result_counts", f"""SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS total,
+@query(
+    "result_counts",
+    f"""SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS total,
     CAST(count(*) FILTER (success) AS BIGINT) AS succeeded, CAST(count(*) FILTER (NOT success) AS BIGINT) AS failed
-    FROM (SELECT event_type, {_SUCCESS} AS success FROM events) GROUP BY 1""")
+    FROM (SELECT event_type, {_SUCCESS} AS success FROM events) GROUP BY 1""",
+)
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_counts(read_envelope(_envelopes(spark, sf_dir)))
 
 
-@query("output_text", """SELECT conv_id, turn, concat('[Run] ', role, chr(10), text,
+@query(
+    "output_text",
+    """SELECT conv_id, turn, concat('[Run] ', role, chr(10), text,
     CASE WHEN turn % 3 > 0 THEN concat(chr(10), 'Errors and Warnings:', chr(10), role, chr(10), turn) ELSE '' END)
-    AS output FROM conversations""")
+    AS output FROM conversations""",
+)
 def output_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stderr = F.when(F.col("turn") % 3 > 0, F.array("role", F.col("turn").cast("string"))).otherwise(
         F.array().cast("array<string>")
@@ -254,24 +304,34 @@ def output_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- logs
 
-_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'info' ELSE 'debug' END"
+_LEVEL = """CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'info'
+    ELSE 'debug' END"""
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        "event_id", F.expr(_LEVEL).alias("level"), F.col("event_type").alias("category"), F.col("props").alias("context")
+        "event_id",
+        F.expr(_LEVEL).alias("level"),
+        F.col("event_type").alias("category"),
+        F.col("props").alias("context"),
     )
 
 
-@query("log_counts", f"""SELECT level, CAST(count(*) AS BIGINT) AS records,
+@query(
+    "log_counts",
+    f"""SELECT level, CAST(count(*) AS BIGINT) AS records,
     CAST(CASE level WHEN 'debug' THEN 0 WHEN 'info' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS BIGINT) AS rank
-    FROM (SELECT lower({_LEVEL}) AS level FROM events) GROUP BY 1""")
+    FROM (SELECT lower({_LEVEL}) AS level FROM events) GROUP BY 1""",
+)
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_counts(_logs(spark, sf_dir))
 
 
-@query("log_filter", f"""SELECT event_id, {_LEVEL} AS level, event_type AS category, props AS context FROM events
-    WHERE event_type IN ('error', 'purchase')""")
+@query(
+    "log_filter",
+    f"""SELECT event_id, {_LEVEL} AS level, event_type AS category, props AS context FROM events
+    WHERE event_type IN ('error', 'purchase')""",
+)
 def warnings_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_filter(_logs(spark, sf_dir), "warning")
 
@@ -281,12 +341,15 @@ def warnings_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBE_LINE = "CASE WHEN line_no % 7 = 3 THEN concat('=== ', substring(line, 1, 12), ' ===') ELSE line END"
 
 
-@query("probe_sections", f"""WITH lines AS (SELECT doc_id AS run, unnest(string_split(text, chr(10))) AS line,
+@query(
+    "probe_sections",
+    f"""WITH lines AS (SELECT doc_id AS run, unnest(string_split(text, chr(10))) AS line,
             generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     probe AS (SELECT run, line_no, {_PROBE_LINE} AS text, CASE WHEN line_no % 7 = 3 THEN substring(line, 1, 12) END
         AS title FROM lines)
-    SELECT run, CAST(line_no AS INTEGER) AS line_no, text, last_value(title IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM probe""")
+    SELECT run, CAST(line_no AS INTEGER) AS line_no, text, last_value(title IGNORE NULLS) OVER (
+        PARTITION BY run ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM probe""",
+)
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents, every seventh made a header."""
     lines = table(spark, sf_dir, "documents").select(
@@ -313,14 +376,20 @@ def _probe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("probe_verdicts", _VERDICTS_SQL)
+@query(
+    "probe_verdicts",
+    _VERDICTS_SQL,
+)
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_verdicts(_probe_lines(spark, sf_dir))
 
 
-@query("probe_capabilities", f"""SELECT host, bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO')
+@query(
+    "probe_capabilities",
+    f"""SELECT host, bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO')
     AS lto, bool_or(supported) FILTER (feature = '-flto') AS flag, bool_or(supported) FILTER (feature = 'ASLR') AS aslr
-    FROM ({_VERDICTS_SQL}) GROUP BY host""")
+    FROM ({_VERDICTS_SQL}) GROUP BY host""",
+)
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_capabilities(_probe_lines(spark, sf_dir)).select(
         "host", F.col("`-O3`").alias("o3"), F.col("LTO").alias("lto"), F.col("`-flto`").alias("flag"),
@@ -335,7 +404,9 @@ _REPORT_JSON = """concat('{"type":"', event_type, '","value":', value, ',"detail
     CASE WHEN event_id % 10 = 9 THEN '}' ELSE '' END)"""
 
 
-@query("report_lines", """WITH reports AS (SELECT event_id, unnest([
+@query(
+    "report_lines",
+    """WITH reports AS (SELECT event_id, unnest([
         {'seq': 0, 'lines': [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
             'Generated: 2024-01-01T00:00:00.000Z', '']},
         {'seq': 1, 'lines': [concat('type: "', event_type, '"')]},
@@ -346,13 +417,16 @@ _REPORT_JSON = """concat('{"type":"', event_type, '","value":', value, ',"detail
         {'seq': 5, 'lines': ['', 'none:']},
         {'seq': 6, 'lines': ['', repeat('=', 40)]}]) AS part FROM events WHERE json_valid(""" + _REPORT_JSON + """))
     SELECT event_id, CAST(part.seq AS INTEGER) AS seq,
-        CAST(generate_subscripts(part.lines, 1) - 1 AS INTEGER) AS line_no, unnest(part.lines) AS line FROM reports""")
+        CAST(generate_subscripts(part.lines, 1) - 1 AS INTEGER) AS line_no, unnest(part.lines) AS line FROM reports""",
+)
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "events").select("event_id", F.expr(_REPORT_JSON).alias("text"))
     return report_lines(texts, "event_id", "text", "2024-01-01T00:00:00.000Z")
 
 
-@query("stage_report", """WITH runs AS (SELECT conv_id AS run, concat('t', min(turn)) AS s, concat('t', max(turn)) AS e,
+@query(
+    "stage_report",
+    """WITH runs AS (SELECT conv_id AS run, concat('t', min(turn)) AS s, concat('t', max(turn)) AS e,
             count(*) AS n FROM conversations GROUP BY 1),
     blocks AS (
         SELECT run, 0 AS part, 0 AS seq, [repeat('=', 40), 'Pipeline Execution Report', repeat('=', 40),
@@ -367,7 +441,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
             (SELECT conv_id FROM conversations WHERE role = 'system')
         UNION ALL SELECT run, 4, 0, [repeat('=', 40)] FROM runs)
     SELECT run, part, CAST(seq AS BIGINT) AS seq, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no,
-        unnest(lines) AS line FROM blocks""")
+        unnest(lines) AS line FROM blocks""",
+)
 def stage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as runs, turns as stages, system turns as errors."""
     turns = table(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "run", "turn": "seq"})

@@ -27,8 +27,11 @@ from corpuscope.plans.text_queries import LINKS_SQL, TEXT_SQL, _TITLE
 from corpuscope.sources.records import read_responses
 
 
-@query("response_fields", f"""WITH {RESPONSES_SQL} SELECT event_id, url, CAST(status_code AS INTEGER) AS status_code, status_text,
-    header, media, body, error FROM responses""")
+@query(
+    "response_fields",
+    f"""WITH {RESPONSES_SQL} SELECT event_id, url, CAST(status_code AS INTEGER) AS status_code, status_text,
+    header, media, body, error FROM responses""",
+)
 def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses written as JSON and read back."""
     stored = event_responses(spark, sf_dir).select(
@@ -49,9 +52,12 @@ def response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumns({"header": entry["key"], "media": entry["value"]}).drop("headers")
 
 
-@query("response_gate", f"""WITH {RESPONSES_SQL} SELECT event_id, outcome, CASE outcome
+@query(
+    "response_gate",
+    f"""WITH {RESPONSES_SQL} SELECT event_id, outcome, CASE outcome
         WHEN 'transport_error' THEN concat('HTTP request failed: ', error)
-        WHEN 'http_error' THEN http_message END AS message FROM gated""")
+        WHEN 'http_error' THEN http_message END AS message FROM gated""",
+)
 def gated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_gate(event_responses(spark, sf_dir)).select("event_id", "outcome", "message")
 
@@ -59,7 +65,10 @@ def gated_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONLINE = "coalesce(error, '') = '' AND coalesce(status_code >= 200 AND status_code < 400, false)"
 
 
-@query("online_flag", f"WITH {RESPONSES_SQL} SELECT event_id, coalesce(error, '') <> '' AS failed, {_ONLINE} AS online FROM responses")
+@query(
+    "online_flag",
+    f"WITH {RESPONSES_SQL} SELECT event_id, coalesce(error, '') <> '' AS failed, {_ONLINE} AS online FROM responses",
+)
 def online_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_responses(spark, sf_dir).select(
         "event_id", has_error().alias("failed"), is_online().alias("online")
@@ -71,14 +80,20 @@ _STATUS_ROWS = f"""SELECT url, CAST(coalesce(status_code, 0) AS INTEGER) AS stat
     FROM responses"""
 
 
-@query("check_status", f"WITH {RESPONSES_SQL} {_STATUS_ROWS}")
+@query(
+    "check_status",
+    f"WITH {RESPONSES_SQL} {_STATUS_ROWS}",
+)
 def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_status(event_responses(spark, sf_dir))
 
 
-@query("status_summary", f"""WITH {RESPONSES_SQL} SELECT CAST(count(*) AS BIGINT) AS total,
+@query(
+    "status_summary",
+    f"""WITH {RESPONSES_SQL} SELECT CAST(count(*) AS BIGINT) AS total,
     CAST(count(*) FILTER (online) AS BIGINT) AS online, CAST(count(*) FILTER (NOT online) AS BIGINT) AS offline
-    FROM ({_STATUS_ROWS})""")
+    FROM ({_STATUS_ROWS})""",
+)
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_summary(check_status(event_responses(spark, sf_dir)))
 
@@ -89,24 +104,30 @@ _FETCH_ERROR = _PAGE_ERROR.format(prefix="HTTP request failed: ")
 _SCRAPE_ERROR = _PAGE_ERROR.format(prefix="Failed to fetch webpage: ")
 
 
-@query("fetch_data", f"""WITH {PAGES_SQL}, checked AS (SELECT *, {_FETCH_ERROR} AS message FROM pages_fetched)
+@query(
+    "fetch_data",
+    f"""WITH {PAGES_SQL}, checked AS (SELECT *, {_FETCH_ERROR} AS message FROM pages_fetched)
     SELECT url, CASE WHEN message IS NULL THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN message IS NULL THEN {sql_units("body")} END AS "contentLength",
         CASE WHEN message IS NULL THEN body END AS content,
-        CASE WHEN message IS NULL THEN 'text/html' END AS media, message AS error FROM checked""")
+        CASE WHEN message IS NULL THEN 'text/html' END AS media, message AS error FROM checked""",
+)
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = fetch_data(page_responses(spark, sf_dir))
     return fetched.withColumn("media", F.try_element_at("headers", F.lit("Content-Type"))).drop("headers")
 
 
-@query("fetch_json", f"""WITH {RESPONSES_SQL} SELECT url,
+@query(
+    "fetch_json",
+    f"""WITH {RESPONSES_SQL} SELECT url,
         CASE WHEN outcome = 'ok' AND json_valid(body) THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN outcome = 'ok' AND json_valid(body) THEN
             CASE WHEN body LIKE '[%' THEN '[2,4]' ELSE CAST(json(body) AS VARCHAR) END END AS data,
         CASE outcome WHEN 'transport_error' THEN concat('Failed to fetch JSON: ', error)
             WHEN 'http_error' THEN http_message
             ELSE CASE WHEN NOT json_valid(body) THEN 'Failed to parse JSON response: SyntaxError' END END AS error
-    FROM gated""")
+    FROM gated""",
+)
 def fetched_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"filter": "item::int % 2 = 0", "extract": ["k", "none"]}
     return fetch_json(event_responses(spark, sf_dir), spec).withColumn("data", F.to_json("data"))
@@ -119,24 +140,33 @@ def _posted_sql(message: str) -> str:
         CASE WHEN message IS NULL THEN body END AS response, message AS error FROM checked"""
 
 
-@query("post_result", _posted_sql("""CASE outcome WHEN 'transport_error' THEN concat('POST request failed: ', error)
-    WHEN 'http_error' THEN http_message END"""))
+@query(
+    "post_result",
+    _posted_sql("""CASE outcome WHEN 'transport_error' THEN concat('POST request failed: ', error)
+    WHEN 'http_error' THEN http_message END"""),
+)
 def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post_result(event_responses(spark, sf_dir))
 
 
-@query("webhook_result", _posted_sql("CASE outcome WHEN 'transport_error' THEN concat('Webhook call failed: ', error) END"))
+@query(
+    "webhook_result",
+    _posted_sql("CASE outcome WHEN 'transport_error' THEN concat('Webhook call failed: ', error) END"),
+)
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webhook_result(event_responses(spark, sf_dir))
 
 
-@query("api_result", f"""WITH {RESPONSES_SQL}, checked AS (SELECT *, outcome <> 'transport_error' AS good,
+@query(
+    "api_result",
+    f"""WITH {RESPONSES_SQL}, checked AS (SELECT *, outcome <> 'transport_error' AS good,
         header = 'Content-Type' AND media LIKE '%application/json%' AND json_valid(body) AS parsed FROM gated)
     SELECT url, CASE WHEN good THEN CAST(status_code AS INTEGER) END AS status,
         CASE WHEN good THEN status_text END AS "statusText",
         CASE WHEN good AND parsed THEN CAST(json(body) AS VARCHAR) END AS "bodyJson",
         CASE WHEN good AND NOT parsed THEN body END AS "bodyText",
-        CASE WHEN NOT good THEN concat('API request failed: ', error) END AS error FROM checked""")
+        CASE WHEN NOT good THEN concat('API request failed: ', error) END AS error FROM checked""",
+)
 def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = api_result(event_responses(spark, sf_dir)).drop("headers")
     return result.withColumn("bodyJson", F.to_json("bodyJson"))
@@ -145,14 +175,17 @@ def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADING = "<h1>([^<]*)</h1>"
 
 
-@query("scrape_pages", f"""WITH {PAGES_SQL}, checked AS (SELECT url, body AS html, {_SCRAPE_ERROR} AS message FROM pages_fetched)
+@query(
+    "scrape_pages",
+    f"""WITH {PAGES_SQL}, checked AS (SELECT url, body AS html, {_SCRAPE_ERROR} AS message FROM pages_fetched)
     SELECT url, CASE WHEN message IS NULL THEN {_TITLE} END AS title,
         CASE WHEN message IS NULL THEN {TEXT_SQL} END AS text,
         CASE WHEN message IS NULL THEN array_to_string({LINKS_SQL}, ' ') END AS links,
         CASE WHEN message IS NULL THEN '' END AS images,
         CASE WHEN message IS NULL THEN array_to_string(regexp_extract_all(html, '{_HEADING}', 1, 'i'), '|') END
             AS headings,
-        CASE WHEN message IS NULL THEN '' END AS broken, message AS error FROM checked""")
+        CASE WHEN message IS NULL THEN '' END AS broken, message AS error FROM checked""",
+)
 def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scraped = scrape_pages(page_responses(spark, sf_dir), {"headings": _HEADING, "broken": "(["})
     return scraped.withColumns(
@@ -165,12 +198,15 @@ def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("header_echo", """SELECT event_id, event_id % 4 <> 1 AND event_type <> 'click' AS passed FROM events""")
+@query(
+    "header_echo",
+    """SELECT event_id, event_id % 4 <> 1 AND event_type <> 'click' AS passed FROM events""",
+)
 def echoed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the received ids is changed, and clicks come back without their type."""
     headers = table(spark, sf_dir, "events").select(
         "event_id",
-        F.create_map(F.lit("X-Event-ID"), F.col("event_id").cast("string"), F.lit("X-Type"), "event_type").alias("sent"),
+        F.expr("map('X-Event-ID', CAST(event_id AS STRING), 'X-Type', event_type)").alias("sent"),
         F.expr(
             """map('X-Event-Id', CAST(CASE WHEN event_id % 4 = 1 THEN event_id + 1 ELSE event_id END AS STRING),
             CASE WHEN event_type = 'click' THEN 'X-Other' ELSE 'x-type' END, event_type)"""
@@ -187,7 +223,9 @@ _DATA = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '"plain text"' WHEN 2
 _CALL_HEADER = "CASE WHEN user_id % 4 = 0 THEN 'Content-Type' ELSE 'Accept' END"
 
 
-@query("build_requests", f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, {_CALL_URL} AS url, {_METHOD} AS given, {_DATA} AS data,
+@query(
+    "build_requests",
+    f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, {_CALL_URL} AS url, {_METHOD} AS given, {_DATA} AS data,
         {_CALL_HEADER} AS header FROM events),
     shaped AS (SELECT *, event_id % 5 IN (0, 1) AS has_data,
         CASE WHEN kind IN ('fetchData', 'fetchJSON', 'scrapeWebpage', 'checkStatus') THEN 'GET'
@@ -207,7 +245,8 @@ _CALL_HEADER = "CASE WHEN user_id % 4 = 0 THEN 'Content-Type' ELSE 'Accept' END"
         CASE WHEN url IS NULL THEN CASE WHEN kind = 'webhookCall' THEN 'Webhook URL is required'
                 ELSE 'URL is required' END
             WHEN kind = 'webhookCall' AND method NOT IN ('POST', 'PUT') THEN 'Webhook method must be POST or PUT'
-            END AS error FROM bodied""")
+            END AS error FROM bodied""",
+)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select(
         "event_id",
