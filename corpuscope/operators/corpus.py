@@ -168,7 +168,9 @@ def collect_documents(records: DataFrame, order_by: str = "filename") -> DataFra
     """All records in listing order.
 
     The rows stand for one ordered array, which would not fit one task. The sort
-    is range-partitioned; rows of one name may end up in several partitions.
+    is range-partitioned; rows of one name may end up in several partitions. It
+    reads its input twice, once to find the ranges, so sort a stage table rather
+    than records still to be computed.
     """
     return records.orderBy(F.col(order_by), F.spark_partition_id())
 

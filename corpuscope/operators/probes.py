@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Header form and the verdicts that end a feature line.
 HEADER = r"^=== (.*) ===$"
-SUPPORTED = r"^(.+?) (?:supported|compatible)$"
-UNSUPPORTED = r"^(.+?) (?:not available|not supported or failed)$"
+SUPPORTED = [" supported", " compatible"]
+UNSUPPORTED = [" not available", " not supported or failed"]
 
 # The features that are probed.
 FEATURES = [
@@ -66,16 +69,22 @@ def feature_name(label: Column) -> Column:
 def probe_verdicts(lines: DataFrame, host: str = "host", line_no: str = "line_no", text: str = "text") -> DataFrame:
     """Per host and feature whether it is supported, by the last line that says so."""
     line = F.col(text)
-    no = F.regexp_extract(line, UNSUPPORTED, 1)
-    yes = F.regexp_extract(line, SUPPORTED, 1)
-    found = lines.select(
+    no, yes = _label(line, UNSUPPORTED), _label(line, SUPPORTED)
+    # tested on the line, not on the feature: this is what gets pushed below
+    judged = reduce(or_, (line.endswith(v) for v in UNSUPPORTED + SUPPORTED))
+    found = lines.where(judged).select(
         host,
         line_no,
-        feature_name(F.when(no != "", no).otherwise(yes)).alias("feature"),
-        (no == "").alias("supported"),
+        feature_name(F.coalesce(no, yes)).alias("feature"),
+        no.isNull().alias("supported"),
     )
-    return found.where(F.col("feature") != "").groupBy(host, "feature").agg(
-        F.max_by("supported", line_no).alias("supported")
+    return found.groupBy(host, "feature").agg(F.max_by("supported", line_no).alias("supported"))
+
+
+def _label(line: Column, verdicts: list[str]) -> Column:
+    """The line without the verdict it ends in, NULL if it ends in none of them."""
+    return F.coalesce(
+        *(F.when(line.endswith(v), F.left(line, F.length(line) - len(v))) for v in verdicts)
     )
 
 

@@ -34,7 +34,7 @@ from corpuscope.plans.bases import (
     sql_units,
     sql_words,
 )
-from corpuscope.plans.corpus_job import corpus_totals_of
+from corpuscope.plans.corpus_job import corpus_totals_of, run_corpus_job
 from corpuscope.plans.registry import query, table
 from corpuscope.session import scratch_path
 from corpuscope.sources.config import parse_config_lines, read_config_lines
@@ -404,6 +404,28 @@ def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "corpus_job_on_files",
+    f"""SELECT CAST(sum({sql_units("text")} + 1) AS BIGINT) AS size, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
+    CAST(sum({sql_lines("text")}) AS BIGINT) AS newlines, 'txt' AS extension FROM documents""",
+)
+def job_on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on text files, with its stage tables and report.
+
+    How many files the documents make depends on the cluster, so newlines are
+    compared instead of lines.
+    """
+    output = scratch_path(spark, "job")
+    total = run_corpus_job(spark, f"{_text_folder(spark, sf_dir)}/*", output, run_ts=RUN_TS)
+    types = spark.read.json(f"{output}/file_types")
+    return total.join(types, total.totalFiles == types.files).select(
+        F.col("totalSize").alias("size"),
+        F.col("totalWords").alias("words"),
+        (F.col("totalLines") - F.col("totalFiles")).alias("newlines"),
+        "extension",
+    )
+
+
 @query(
     "read_json_files",
     """SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import trim_ws
+from corpuscope.functions.text import WS, trim_ws
 from corpuscope.operators.lookups import last_wins
 from corpuscope.sources.files import read_text_files
 
+# Behind white space something that is neither a comment nor a '=', and then a '='.
+SETTING = rf"^{WS}*+[^#=][^=]*="
+
 
 def parse_config_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Replace each line by ``key`` and ``value``; other columns stay.
@@ -22,8 +25,8 @@ def parse_config_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
     quoted = (F.length(value) >= 2) & (first == last) & first.isin('"', "'")
     return (
-        lines.withColumn("_line", trimmed)
-        .where((F.substring("_line", 1, 1) != "#") & (split_at >= 2))
+        lines.where(F.col(line).rlike(SETTING))
+        .withColumn("_line", trimmed)
         .withColumn("key", trim_ws(F.col("_line").substr(F.lit(1), split_at - 1)))
         .withColumn("_value", trim_ws(F.col("_line").substr(split_at + 1, F.length("_line"))))
         .withColumn("value", F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value))
