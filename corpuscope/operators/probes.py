@@ -57,7 +57,8 @@ def probe_sections(
     before = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inherited = per_block.select(run, "_block", F.last("_last", ignorenulls=True).over(before).alias("_inherited"))
 
-    joined = own.join(inherited, [run, "_block"], "left")
+    # the lines are already sorted by run and block, so a merge moves only the other side
+    joined = own.join(inherited.hint("merge"), [run, "_block"], "left")
     return joined.withColumn("section", F.coalesce("_own", "_inherited")).select(*lines.columns, "section")
 
 
