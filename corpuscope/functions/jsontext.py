@@ -200,8 +200,9 @@ def stringify(value: Column, data_type: T.DataType, pad: str = "\n", absent_null
         text = number_text(value.cast("double"))
     elif isinstance(data_type, (T.IntegralType, T.BooleanType, T.DecimalType)):
         text = value.cast("string")
-    elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        text = quote(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    elif isinstance(data_type, T.TimestampType):
+        utc = F.to_utc_timestamp(value, F.current_timezone())
+        text = quote(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     else:
         text = quote(value.cast("string"))
     return F.coalesce(text, F.lit("null"))

@@ -35,30 +35,62 @@ def apply_rules(df: DataFrame, rules: Rules) -> DataFrame:
     for name, rule in rules.items():
         source = rule.get("source")
         if source in types:
-            value = _typed(F.col(f"`{source}`"), types[source], rule)
+            column = F.col(f"`{source}`")
+            value, type_name = _typed(column, types[source], rule)
             if "default" in rule:
-                value = F.when(F.col(f"`{source}`").isNull(), F.lit(rule["default"])).otherwise(value)
+                value = _filled(column.isNotNull(), value, type_name, rule["default"])
             columns.append(value.alias(name))
         elif "default" in rule:
-            columns.append(F.lit(rule["default"]).alias(name))
+            columns.append(_constant(rule["default"]).alias(name))
     return df.select(*columns)
 
 
-def _typed(value: Column, type_name: str, rule: dict[str, Any]) -> Column:
+def _typed(value: Column, type_name: str, rule: dict[str, Any]) -> tuple[Column, str]:
+    """The transformed value and its type."""
     transform = rule.get("transform")
     if transform in ("uppercase", "lowercase"):
-        if type_name == "variant":
-            text = value_text(value)
-        elif type_name in ("double", "float"):
-            text = number_text(value.cast("double"))
-        else:
-            text = value.cast("string")
-        return F.upper(text) if transform == "uppercase" else F.lower(text)
+        text = _text(value, type_name)
+        return (F.upper(text) if transform == "uppercase" else F.lower(text)), "string"
     if transform == "multiply":
-        return typed_number(value, type_name) * F.lit(float(rule.get("factor") or 1))
+        return typed_number(value, type_name) * F.lit(float(rule.get("factor") or 1)), "double"
     if transform == "round":
-        return round_half_up(typed_number(value, type_name))
-    return value
+        return round_half_up(typed_number(value, type_name)), "double"
+    return value, type_name
+
+
+def _text(value: Column, type_name: str) -> Column:
+    if type_name == "variant":
+        return value_text(value)
+    if type_name in ("double", "float"):
+        return number_text(value.cast("double"))
+    return value.cast("string")
+
+
+def _constant(default: Any) -> Column:
+    """A default as a column; a list or an object becomes VARIANT."""
+    if isinstance(default, (dict, list)):
+        return F.parse_json(F.lit(json.dumps(default, **_COMPACT)))
+    return F.lit(default)
+
+
+def _filled(present: Column, value: Column, type_name: str, default: Any) -> Column:
+    """The value where present, else the default; both as text if their types do not go together."""
+    if type_name == "variant":
+        other = F.parse_json(F.lit(json.dumps(default, **_COMPACT)))
+    elif default is None or _fits(default, type_name):
+        other = F.lit(default)
+    else:
+        value = _text(value, type_name)
+        other = F.lit(default if isinstance(default, str) else json.dumps(default, **_COMPACT))
+    return F.when(present, value).otherwise(other)
+
+
+def _fits(default: Any, type_name: str) -> bool:
+    if isinstance(default, bool):
+        return type_name == "boolean"
+    if isinstance(default, (int, float)):
+        return type_name in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return isinstance(default, str) and type_name == "string"
 
 
 def typed_number(value: Column, type_name: str) -> Column:

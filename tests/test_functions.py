@@ -163,5 +163,12 @@ def test_stringify(spark):
         '{\n  "i": 1,\n  "d": 2,\n  "s": "q\\"\\\\",\n  "a": [\n    1.5,\n    2\n  ],\n  "e": [],\n'
         '  "m": {\n    "k": true\n  },\n  "n": null,\n  "t": "2024-01-02T03:04:05.678Z"\n}'
     )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        moment = spark.sql("SELECT timestamp_millis(1704164645678) AS v")
+        printed = moment.select(jsontext.stringify(F.col("v"), moment.schema["v"].dataType).alias("r")).first().r
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert printed == '"2024-01-02T03:04:05.678Z"'
     short = df.select(jsontext.stringify(F.col("v"), df.schema["v"].dataType, absent_null=True).alias("r")).first().r
     assert '"n"' not in short

@@ -46,6 +46,25 @@ def test_typed_rules(spark):
     ]
 
 
+def test_defaults_of_another_type(spark):
+    df = spark.sql("SELECT * FROM VALUES (5L, 2.5D, parse_json('1')), (NULL, NULL, NULL) AS t(n, d, v)")
+    rules = {
+        "a": {"source": "n", "default": "none"},
+        "b": {"source": "n", "default": 0},
+        "c": {"source": "d", "default": True},
+        "d": {"source": "d", "transform": "round", "default": "none"},
+        "e": {"source": "v", "default": {"k": [1]}},
+        "f": {"source": "d", "default": 1},
+        "g": {"default": [1, 2]},
+        "h": {"source": "n", "default": None},
+    }
+    plain = [[x.toPython() if hasattr(x, "toPython") else x for x in r] for r in apply_rules(df, rules).collect()]
+    assert plain == [
+        ["5", 5, "2.5", "3", 1, 2.5, [1, 2], 5],
+        ["none", 0, "true", "none", {"k": [1]}, 1.0, [1, 2], None],
+    ]
+
+
 def test_json_rules_tell_absent_from_null(spark):
     rules = {"x": {"source": "a", "default": "none"}, "y": {"source": "b", "default": [1]}, "z": {"source": "c"}}
     assert ruled(spark, '{"a":null}', rules) == '{"x":null,"y":[1]}'
