@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from corpuscope.functions.jsontext import STRING, is_object, kind, member, scalar_text, with_json
 from corpuscope.functions.paths import url_filename
 
+# Messages of failed lookups, and what a missing resource shows.
+NO_PROMPT_NAME = "Prompt name requiered"
+NO_PROMPT = "Failed to get prompt "
+NO_RESOURCE_NAME = "MCP resource name required"
+NO_RESOURCE = "Failed to load resource: "
+NO_RESOURCE_TYPE = "plain/text"
+NO_HANDLER = "Unknown handler: "
+
+BAD_PARAMS = "SyntaxError: not valid JSON"
+
 # A side is broadcast only if it is measured to stay within both bounds.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -100,8 +110,8 @@ def prompt_lookup(df: DataFrame, prompts: DataFrame, name: str = "promptName") -
     entries = _one_per_name(prompts, columns).withColumnRenamed("name", name)
     found = lookup(df, entries, name, fits_broadcast(prompts.select("name", *columns)))
     wanted = F.col(name)
-    error = F.when(F.coalesce(wanted, F.lit("")) == "", "Prompt name requiered").when(
-        F.col("_known").isNull(), F.concat(F.lit("Failed to get prompt "), wanted)
+    error = F.when(F.coalesce(wanted, F.lit("")) == "", NO_PROMPT_NAME).when(
+        F.col("_known").isNull(), F.concat(F.lit(NO_PROMPT), wanted)
     )
     message = F.when(F.col("_known"), F.concat(wanted, F.lit(": "), F.col("template")))
     return found.withColumn("message", message).withColumn("error", error).drop("_known")
@@ -113,14 +123,14 @@ def resource_lookup(df: DataFrame, resources: DataFrame, name: str = "resourceNa
     entries = _one_per_name(resources, columns).withColumnRenamed("name", name)
     found = lookup(df, entries, name, fits_broadcast(resources.select("name", *columns)))
     wanted, known = F.col(name), F.col("_known")
-    asked = F.coalesce(F.nullif(wanted, F.lit("")), F.lit("MCP resource name required"))
-    error = F.when(known.isNull(), F.concat(F.lit("Failed to load resource: "), asked))
+    asked = F.coalesce(F.nullif(wanted, F.lit("")), F.lit(NO_RESOURCE_NAME))
+    error = F.when(known.isNull(), F.concat(F.lit(NO_RESOURCE), asked))
     text = F.when(known, F.concat(wanted, F.lit(": take a look following link:\n"), F.col("uri"))).otherwise(error)
     return (
         found.withColumn("text", text)
         .withColumn("error", error)
         .withColumn("uri", F.when(known, F.col("uri")).otherwise(""))
-        .withColumn("mimeType", F.when(known, F.col("mimeType")).otherwise("plain/text"))
+        .withColumn("mimeType", F.when(known, F.col("mimeType")).otherwise(NO_RESOURCE_TYPE))
         .drop("_known")
     )
 
@@ -144,9 +154,9 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     extra = [c for c in handlers.columns if c != "handler"]
     known = handlers.groupBy("handler").agg(F.min(F.struct(F.lit(True).alias("_known"), *extra)).alias("_entry"))
     found = lookup(named, known.select("handler", "_entry.*"), "handler", fits_broadcast(handlers))
-    error = F.when(~usable, "SyntaxError: not valid JSON").when(
+    error = F.when(~usable, BAD_PARAMS).when(
         F.col("_known").isNull(),
-        F.concat(F.lit("Unknown handler: "), F.coalesce(F.col("handler"), F.lit("undefined"))),
+        F.concat(F.lit(NO_HANDLER), F.coalesce(F.col("handler"), F.lit("undefined"))),
     )
     return found.withColumn("error", error).drop("_params", "_known")
 

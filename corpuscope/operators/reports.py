@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from corpuscope.functions.binding import once
 from corpuscope.functions.jsontext import NULL, OBJECT, kind, stringify, value_json, value_text, with_json
 
+# Titles and labels of the reports.
 RULE = "=" * 40
+DATA_TITLE = "Data Processing Report"
+JOB_TITLE = "Pipeline Execution Report"
+ERRORS_TITLE = "--- Errors ---"
 
 
 def _text_lines(*lines: str | Column) -> Column:
@@ -57,7 +61,7 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
     )
     name, item = F.col("_name"), F.col("_item")
     lines = (
-        F.when(F.col("seq") == 0, _text_lines(RULE, "Data Processing Report", RULE, f"Generated: {run_ts}", ""))
+        F.when(F.col("seq") == 0, _text_lines(RULE, DATA_TITLE, RULE, f"Generated: {run_ts}", ""))
         .when(name.isNull(), _text_lines("", RULE))
         .when(kind(item).isin(OBJECT, NULL), _nested_lines(name, item, F.col("_text")))
         .otherwise(F.array(F.concat(name, F.lit(": "), value_json(item))))
@@ -84,7 +88,7 @@ def stage_report(
             F.lit(0),
             _text_lines(
                 RULE,
-                "Pipeline Execution Report",
+                JOB_TITLE,
                 RULE,
                 F.concat(F.lit("Start Time: "), "startTime"),
                 F.concat(F.lit("End Time: "), "endTime"),
@@ -110,7 +114,7 @@ def stage_report(
     ]
     if errors is not None:
         failed = errors.select("run").distinct()
-        parts.append(_rows(failed, 2, F.lit(0), _text_lines("--- Errors ---")))
+        parts.append(_rows(failed, 2, F.lit(0), _text_lines(ERRORS_TITLE)))
         parts.append(_rows(errors, 2, F.col("seq") + 1, F.array(F.concat(F.lit("- "), "message"))))
         parts.append(_rows(failed, 3, F.lit(0), _text_lines("")))
     report = parts[0]

@@ -12,6 +12,12 @@ USER_AGENT = "Mozilla/5.0 (compatible)"
 # The kinds of request and the methods that carry a body.
 READING = ["fetchData", "fetchJSON", "scrapeWebpage", "checkStatus"]
 BODY_METHODS = ["POST", "PUT", "PATCH"]
+WEBHOOK_METHODS = ["POST", "PUT"]
+
+# Messages for calls that cannot be sent.
+NO_URL = "URL is required"
+NO_WEBHOOK_URL = "Webhook URL is required"
+BAD_WEBHOOK_METHOD = "Webhook method must be POST or PUT"
 
 
 def _with_header(headers: Column, name: str, value: str) -> Column:
@@ -66,8 +72,8 @@ def build_requests(df: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
         .when(webhook | (body.isNotNull() & ~typed), _with_header(sent, CONTENT_TYPE, JSON_TYPE))
         .otherwise(sent)
     )
-    label = F.when(webhook, "Webhook URL is required").otherwise("URL is required")
+    label = F.when(webhook, NO_WEBHOOK_URL).otherwise(NO_URL)
     error = F.when(F.coalesce(F.col("url"), F.lit("")) == "", label).when(
-        webhook & ~method.isin("POST", "PUT"), "Webhook method must be POST or PUT"
+        webhook & ~method.isin(*WEBHOOK_METHODS), BAD_WEBHOOK_METHOD
     )
     return steps.withColumns({"headers": headers, "error": error}).drop("data", "_type", "_json", "_given")

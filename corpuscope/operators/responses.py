@@ -23,6 +23,17 @@ from corpuscope.functions.jsontext import is_json_type, with_json
 from corpuscope.functions.text import char_count
 from corpuscope.operators.items import apply_transform
 
+# What stands in front of a transport error, by kind of call.
+FETCH_FAILED = "HTTP request failed: "
+JSON_FAILED = "Failed to fetch JSON: "
+PAGE_FAILED = "Failed to fetch webpage: "
+POST_FAILED = "POST request failed: "
+WEBHOOK_FAILED = "Webhook call failed: "
+API_FAILED = "API request failed: "
+
+PARSE_FAILED = "Failed to parse JSON response: SyntaxError"
+NO_BODY = "TypeError: response has no body"
+
 
 def has_error() -> Column:
     """Whether the transport failed; an empty message does not count."""
@@ -33,7 +44,7 @@ def _failed(prefix: str) -> Column:
     return F.when(has_error(), F.concat(F.lit(prefix), F.col("error")))
 
 
-def response_gate(df: DataFrame, prefix: str = "HTTP request failed: ") -> DataFrame:
+def response_gate(df: DataFrame, prefix: str = FETCH_FAILED) -> DataFrame:
     """Add ``outcome`` (transport_error, http_error, ok) and ``message``."""
     http = F.col("status_code") >= 400
     text = F.coalesce(F.col("status_text"), F.lit("undefined"))
@@ -78,9 +89,9 @@ def _ok(value: Column) -> Column:
 
 def fetch_data(df: DataFrame) -> DataFrame:
     """Status, length and content of the responses that pass the gate."""
-    gated = response_gate(df, "HTTP request failed: ")
+    gated = response_gate(df, FETCH_FAILED)
     body = F.col("body")
-    message = F.coalesce(F.col("message"), F.when(body.isNull(), "TypeError: response has no body"))
+    message = F.coalesce(F.col("message"), F.when(body.isNull(), NO_BODY))
     return gated.withColumn("message", message).select(
         "url",
         _ok(F.col("status_code")).alias("status"),
@@ -93,10 +104,10 @@ def fetch_data(df: DataFrame) -> DataFrame:
 
 def fetch_json(df: DataFrame, transform: dict[str, Any] | None = None) -> DataFrame:
     """Status and parsed, transformed body; ``data`` is VARIANT."""
-    gated = response_gate(df, "Failed to fetch JSON: ")
+    gated = response_gate(df, JSON_FAILED)
     gated = with_json(gated, "data", F.col("body"), F.col("message").isNull())
     shaped = apply_transform(gated, "data", transform)
-    broken = F.when(F.col("data").isNull(), "Failed to parse JSON response: SyntaxError")
+    broken = F.when(F.col("data").isNull(), PARSE_FAILED)
     return shaped.select(
         "url",
         F.when(F.col("data").isNotNull(), F.col("status_code")).alias("status"),
@@ -107,12 +118,12 @@ def fetch_json(df: DataFrame, transform: dict[str, Any] | None = None) -> DataFr
 
 def post_result(df: DataFrame) -> DataFrame:
     """Outcome of a POST: the gate, then status, text and raw response."""
-    return _posted(response_gate(df, "POST request failed: "))
+    return _posted(response_gate(df, POST_FAILED))
 
 
 def webhook_result(df: DataFrame) -> DataFrame:
     """Outcome of a webhook call: only a transport error fails it."""
-    return _posted(df.withColumn("message", _failed("Webhook call failed: ")))
+    return _posted(df.withColumn("message", _failed(WEBHOOK_FAILED)))
 
 
 def _posted(df: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def api_result(df: DataFrame) -> DataFrame:
     ``bodyJson`` is the parsed body where the ``Content-Type`` header (this
     letter case only) says JSON and the body parses; ``bodyText`` otherwise.
     """
-    result = df.withColumn("message", _failed("API request failed: "))
+    result = df.withColumn("message", _failed(API_FAILED))
     wanted = F.col("message").isNull() & is_json_type(F.try_element_at("headers", F.lit("Content-Type")))
     return with_json(result, "bodyJson", F.col("body"), wanted).select(
         "url",
@@ -150,7 +161,7 @@ def scrape_pages(df: DataFrame, selectors: dict[str, str] | None = None) -> Data
     ``selectors`` adds one array column per pattern. One named like a standard
     column replaces it; an invalid pattern gives an empty array.
     """
-    gated = response_gate(df, "Failed to fetch webpage: ")
+    gated = response_gate(df, PAGE_FAILED)
     body = F.col("body")
     columns = {
         "title": html_title(body),
