@@ -14,8 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Rows handed to Python at a time: with documents of some kilobytes a batch stays at a few megabytes.
-BATCH_ROWS = "512"
+#: What is handed to Python at a time.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -38,7 +41,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators here count on."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark
 
 
