@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from corpuscope.llm import bpe, embeddings, fingerprints, langid, mixing, quality, sharding, suffix_dedup, token_files  # noqa: F401
+from corpuscope.llm import bpe, embeddings, fingerprints, jaccard, langid, mixing, quality, sharding, suffix_dedup, token_files  # noqa: F401
 from corpuscope.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
