@@ -120,10 +120,10 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the number of words of the text (null: 0)."""
+def word_sizes(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``source`` and ``size``, the number of words of the text (null: 0), then ``extra`` columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), *extra)
 
 
 @query(
