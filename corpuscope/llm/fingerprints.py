@@ -285,7 +285,9 @@ def _range_number(doc_id: Column, df: DataFrame, ranges: int) -> tuple[DataFrame
     """Number the ranges of an id, null in the first; as many numbers at most."""
     shares = [i / ranges for i in range(1, ranges)]
     bounds = df.select(F.percentile_approx(doc_id.cast("double"), F.array(*map(F.lit, shares)), 20 * ranges)).first()[0]
-    splits = [-float("inf"), *sorted(set(bounds or [])), float("inf")]
+    if not bounds:  # one range, or no id at all
+        return df.withColumn("_range", F.lit(0)), 1
+    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
     numbered = df.withColumn("_id", F.coalesce(doc_id.cast("double"), F.lit(-float("inf"))))
     numbered = Bucketizer(splits=splits, inputCol="_id", outputCol="_range").transform(numbered)
     return numbered.withColumn("_range", F.col("_range").cast("int")).drop("_id"), len(splits) - 1
