@@ -58,19 +58,25 @@ def _suffix_order(text: np.ndarray, piece: np.ndarray, is_end: np.ndarray) -> np
         open_ &= ~end
     key = (key << _PIECE_BITS) | np.where(ended == 1, piece, 0)
     order = np.argsort(key)
+    ordered = key[order]
     span = width
+    # a rank is the first slot of the suffixes that are alike so far; only these are sorted on
+    slots, fresh = np.arange(n), np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    ranks = np.empty(n, dtype=np.int64)
     while True:
-        ordered = key[order]
-        rank_of = np.zeros(n, dtype=np.int64)
-        rank_of[1:] = np.cumsum(ordered[1:] != ordered[:-1])
-        if rank_of[-1] == n - 1:
+        ranks[order[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        tied = ~(fresh & np.concatenate([fresh[1:], [True]]))
+        slots = slots[tied]
+        if not len(slots):
             return order
-        ranks = np.empty(n, dtype=np.int64)
-        ranks[order] = rank_of
-        behind = np.zeros(n, dtype=np.int64)
-        behind[: max(0, n - span)] = ranks[span:] + 1
-        key = ranks * (n + 1) + behind
-        order = np.argsort(key)
+        open_ones = order[slots]
+        ahead = open_ones + span
+        behind = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, 0)
+        key = ranks[open_ones] * (n + 1) + behind
+        turn = np.argsort(key)
+        order[slots] = open_ones[turn]
+        key = key[turn]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         span *= 2
 
 

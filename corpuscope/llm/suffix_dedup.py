@@ -133,15 +133,13 @@ def _cut_passages(window: int):
 
 def _index_marks(window: int):
     def marks(keys: list[tuple[int, int, int]], bodies: list[bytes]) -> pa.RecordBatch:
-        # a passage that stands at several places is put in twice; run compression makes that cheap
-        pieces = [body for (_, _, copies), body in zip(keys, bodies, strict=True) for _ in range(min(copies, 2))]
-        index, offsets = build(pieces)
+        index, offsets = build(bodies)
         found = matching_statistics(index) >= window
         anchors, passages, starts, ends = [], [], [], []
-        piece = 0
-        for (anchor, passage, copies), body in zip(keys, bodies, strict=True):
-            here = found[offsets[piece] : offsets[piece] + len(body)]
-            piece += min(copies, 2)
+        for (anchor, passage, copies), body, offset in zip(keys, bodies, offsets[:-1], strict=True):
+            here = found[offset : offset + len(body)]
+            if copies > 1:  # its copies match it to the end; one of them is enough for the others
+                here = np.arange(len(body)) + window <= len(body)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
             if len(edges):
                 anchors.append(anchor)
