@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import collapse_ws, preview_chars, trim_ws
 
-# What is looked for, and how much of it is kept.
+# What is looked for.
 TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
 SCRIPT = r"(?i)<script[^>]*>[^\n\r\u2028\u2029]*?</script>"
 STYLE = r"(?i)<style[^>]*>[^\n\r\u2028\u2029]*?</style>"
 TAG = r"<[^>]+>"
 LINK = r"""(?i)<a[^>]+href=["']([^"']+)["'][^>]*>"""
 IMAGE = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*>"""
-TEXT_LIMIT = 1000
-LINK_LIMIT = 50
-IMAGE_LIMIT = 20
 
 
 def html_title(html: Column) -> Column:
@@ -25,25 +22,30 @@ def html_title(html: Column) -> Column:
     return trim_ws(F.regexp_extract(html, TITLE, 1))
 
 
-def html_text(html: Column) -> Column:
-    """Text without tags and without one-line scripts and styles.
+def html_text(html: Column, limit: int | None = None) -> Column:
+    """Text without tags and without one-line scripts and styles, or its first ``limit`` characters.
 
     A script or style element that spans lines keeps its content.
     """
     without = F.regexp_replace(F.regexp_replace(html, SCRIPT, ""), STYLE, "")
     spaced = F.regexp_replace(without, TAG, " ")
     # every run of white space is one blank by now, so a plain trim is enough
-    return preview_chars(F.trim(collapse_ws(spaced)), TEXT_LIMIT)
+    text = F.trim(collapse_ws(spaced))
+    return text if limit is None else preview_chars(text, limit)
 
 
-def html_links(html: Column) -> Column:
-    """Link targets in document order, duplicates kept."""
-    return F.slice(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), 1, LINK_LIMIT)
+def _first(found: Column, limit: int | None) -> Column:
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def html_images(html: Column) -> Column:
-    """Image sources in document order."""
-    return F.slice(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(1)), 1, IMAGE_LIMIT)
+def html_links(html: Column, limit: int | None = None) -> Column:
+    """Link targets in document order, duplicates kept; with ``limit`` the first so many."""
+    return _first(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), limit)
+
+
+def html_images(html: Column, limit: int | None = None) -> Column:
+    """Image sources in document order; with ``limit`` the first so many."""
+    return _first(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(1)), limit)
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:

@@ -8,20 +8,40 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.numbers import number_text, text_to_number
+from corpuscope.functions.numbers import finite_text, number_text, text_to_number
+from corpuscope.session import configure
 
 JSON_TYPE = "application/json"
 
+# What stands for the value of a text that is no JSON, and of JSON that no variant can hold.
+PARSE_ERROR = "SyntaxError: not valid JSON"
+TOO_LARGE = "RangeError: JSON value too large"
+
+# Nothing but JSON is read, and the parser's own limits on strings, names, numbers and nesting are
+# lifted, as they lie far below what a variant holds.
+NO_LIMITS = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "maxStringLen": "2147483647",
+    "maxNameLen": "2147483647",
+    "maxNumLen": "2147483647",
+    "maxNestingDepth": "2147483647",
+}
+
 
 def _seal(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("string")
 
 
+def _with_seal(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit(',"'), _seal(text), F.lit('"]'))
+
+
 def _sealed(text: Column) -> Column:
     """The text as first item of an array whose second item is the text's checksum.
 
@@ -29,7 +49,7 @@ def _sealed(text: Column) -> Column:
     ``{"a":1} x``. Inside the array anything left over breaks it, adds an item
     or hides the second one, and no text can supply its own checksum.
     """
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), _seal(text), F.lit('"]')))
+    return F.from_json(_with_seal(text), "variant", NO_LIMITS)
 
 
 def _unseal(pair: Column, text: Column) -> Column:
@@ -38,16 +58,39 @@ def _unseal(pair: Column, text: Column) -> Column:
 
 
 def parse_json(text: Column) -> Column:
-    """VARIANT of a JSON text, NULL where the text is not one whole JSON value."""
+    """VARIANT of a JSON text, NULL where the text is not one whole JSON value.
+
+    NULL also where the value takes more than a variant may (128 MB); :func:`json_error`
+    tells the two apart.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:  # how repeated member names are read is a setting
+        configure(active)
     return once(_sealed(text), lambda pair: _unseal(pair, text))
 
 
+def valid_json(text: Column) -> Column:
+    """Whether a text is one JSON value, of any size; its parts are not turned into values."""
+    parts = F.from_json(_with_seal(text), "array<string>", NO_LIMITS)
+    return F.coalesce(F.get(parts, F.lit(1)) == _seal(text), F.lit(False))
+
+
+def json_error(value: Column, text: Column) -> Column:
+    """Why a text has no value: it is no JSON, or JSON beyond a variant; NULL where it has one, or there is no text.
+
+    Only texts without a value are read again, member by member, which needs no room for the whole.
+    """
+    reason = F.when(valid_json(text), TOO_LARGE).otherwise(PARSE_ERROR)
+    return F.when(value.isNull() & text.isNotNull(), reason)
+
+
 def with_json(df: DataFrame, name: str, text: Column, condition: Column | None = None) -> DataFrame:
     """Add :func:`parse_json` of a text as a column, for the rows that meet the condition.
 
     The unchecked value is a column of its own, which keeps all of it in
     generated code.
     """
+    configure(df.sparkSession)
     pair = _sealed(text) if condition is None else F.when(condition, _sealed(text))
     sealed = df.withColumn("_sealed", pair)
     return sealed.withColumn(name, _unseal(F.col("_sealed"), text)).drop("_sealed")
@@ -124,8 +167,9 @@ def value_number(value: Column) -> Column:
 
 def value_json(value: Column) -> Column:
     """JSON text of a VARIANT, a number printed as :func:`number_text` does."""
-    number = number_text(F.try_variant_get(value, "$", "double"))
-    return F.when(kind(value).isin(*NUMBERS), number).otherwise(F.to_json(value))
+    number = F.try_variant_get(value, "$", "double")
+    text = F.coalesce(finite_text(number), F.lit("null"))
+    return F.when(kind(value).isin(*NUMBERS), text).otherwise(F.to_json(value))
 
 
 def member(record: Column, key: str) -> Column:
@@ -142,19 +186,21 @@ def is_json_type(content_type: Column) -> Column:
 
 
 def json_body(content_type: Column, body: Column) -> Column:
-    """Parsed body if the content type says JSON, else (or if broken) NULL."""
+    """Parsed body if the content type says JSON, else (or if broken, or beyond a variant) NULL."""
     return F.when(is_json_type(content_type), parse_json(body))
 
 
 def json_object_or_empty(text: Column) -> Column:
-    """JSON text of the object in ``text``; anything else gives ``{}``."""
-    found = once(parse_json(text), lambda value: F.when(is_object(value), F.to_json(value)))
-    return F.coalesce(found, F.lit("{}"))
+    """JSON text of the object in ``text``; anything else gives ``{}``.
+
+    An object beyond a variant comes back as it was given.
+    """
 
+    def found(value: Column) -> Column:
+        large = (json_error(value, text) == TOO_LARGE) & F.ltrim(text).startswith("{")
+        return F.when(is_object(value), F.to_json(value)).when(large, text).otherwise(F.lit("{}"))
 
-def object_json(value: Column) -> Column:
-    """JSON text of an object, '' for a missing one."""
-    return F.coalesce(F.to_json(value), F.lit(""))
+    return once(parse_json(text), found)
 
 
 def object_text(fragments: list[Column]) -> Column:
@@ -197,7 +243,7 @@ def stringify(value: Column, data_type: T.DataType, pad: str = "\n", absent_null
     elif isinstance(data_type, T.VariantType):
         text = value_json(value)
     elif isinstance(data_type, (T.DoubleType, T.FloatType)):
-        text = number_text(value.cast("double"))
+        text = finite_text(value.cast("double"))
     elif isinstance(data_type, (T.IntegralType, T.BooleanType, T.DecimalType)):
         text = value.cast("string")
     elif isinstance(data_type, T.TimestampType):

@@ -9,7 +9,8 @@ from corpuscope.functions.binding import once
 from corpuscope.functions.text import trim_ws
 
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_HEX = r"^0[xX][0-9a-fA-F]{1,13}$"
+_HEX = r"^0[xX][0-9a-fA-F]+$"
+_HEX_DIGITS = 31  # as many fit a decimal of 38 digits
 
 
 def text_to_number(text: Column) -> Column:
@@ -19,12 +20,39 @@ def text_to_number(text: Column) -> Column:
         return (
             F.when(trimmed == "", F.lit(0.0))
             .when(trimmed.rlike(_DECIMAL), trimmed.try_cast("double"))
-            .when(trimmed.rlike(_HEX), F.conv(F.substring(trimmed, 3, 13), 16, 10).try_cast("double"))
+            .when(trimmed.rlike(_HEX), _hex_number(F.regexp_replace(F.substr(trimmed, F.lit(3)), "^0+(?=.)", "")))
         )
 
     return once(trim_ws(text), parsed)
 
 
+def _hex_number(digits: Column) -> Column:
+    """Double nearest to a hexadecimal number of any length, without leading zeros.
+
+    31 digits are summed as a decimal, which a cast rounds once; if any of the rest is
+    not zero the last bit stands for it, and the rest only moves the exponent.
+    """
+
+    def part(first: int, size: int) -> Column:
+        taken = F.conv(F.nullif(F.substring(kept, first, size), F.lit("")), 16, 10)
+        return F.coalesce(taken, F.lit("0")).cast("decimal(38,0)")
+
+    rest = F.greatest(F.length(digits) - _HEX_DIGITS, F.lit(0))
+    kept = F.lpad(F.substring(digits, 1, _HEX_DIGITS), _HEX_DIGITS, "0")
+    total = (part(1, 10) * F.lit(16**10).cast("decimal(19,0)")).cast("decimal(38,0)") + part(11, 10)
+    total = (total.cast("decimal(25,0)") * F.lit(16**11).cast("decimal(14,0)")).cast("decimal(38,0)") + part(21, 11)
+    sticky = F.when(F.substr(digits, F.lit(_HEX_DIGITS + 1)).rlike("[1-9a-fA-F]"), 1).otherwise(0)
+    odd = F.substring(kept, -1, 1).rlike("[13579bdfBDF]")
+    exact = total.cast("decimal(38,0)") + F.when(odd, 0).otherwise(sticky).cast("decimal(1,0)")
+    return exact.cast("double") * F.pow(F.lit(16.0), rest)
+
+
+def finite_text(number: Column) -> Column:
+    """:func:`number_text` of a double; NULL for one that is infinite or no number, which JSON cannot say."""
+    finite = F.abs(number) < F.lit(float("inf"))  # NaN is above every number
+    return F.when(finite, number_text(number))
+
+
 def to_number(value: Column, type_name: str) -> Column:
     """Number of a typed column; what is not a number gives NULL."""
     if type_name == "string":

@@ -19,10 +19,6 @@ WS = (
 RARE_WS = WS.replace(r"\t-\r ", r"\t\x0B-\r", 1)
 
 
-# Beyond this many bytes a text is not split into a list of words.
-LONG_TEXT = 4 * 1024 * 1024
-
-
 def trim_ws(text: Column) -> Column:
     """Strip white space, Unicode spaces included, from both ends."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
@@ -44,19 +40,16 @@ def _occurrences(text: Column, char: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def count_words(text: Column, long_text: int = LONG_TEXT) -> Column:
+def count_words(text: Column) -> Column:
     """Number of runs of non-white-space characters.
 
-    Splitting is fastest, on plain blanks where there is no rare white space. Of
-    a long text no word list is made; there the blanks between words are counted.
+    The blanks between words are counted, so a text of any length needs no list of
+    its words.
     """
-    plain = F.replace(text, F.lit("\n"), F.lit(" "))
-    pieces = F.when(plain.rlike(RARE_WS), F.split(plain, WS)).otherwise(F.split(plain, " "))
-    words = F.size(F.array_remove(pieces, ""))
     gaps = once(
         F.trim(collapse_ws(text)), lambda line: F.when(line == "", 0).otherwise(_occurrences(line, " ") + 1)
     )
-    return F.when(F.octet_length(text) > long_text, gaps).otherwise(words).cast("bigint")
+    return gaps.cast("bigint")
 
 
 def count_lines(text: Column) -> Column:

@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import with_json
+from corpuscope.functions.jsontext import PARSE_ERROR, TOO_LARGE, json_error, with_json
 from corpuscope.functions.numbers import round_half_up
 from corpuscope.functions.paths import base_name, file_extension, has_extension, parent_path
 from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars, preview_lines
-from corpuscope.operators.rules import Rules, apply_rules, rules_json, typed_number
+from corpuscope.operators.rules import Rules, rules_json, typed_number
 
-PARSE_ERROR = "SyntaxError: not valid JSON"
 JSON_SUFFIX = ".json"
+# Suffixes of stage files, and messages for files that cannot be read.
 EXTRACTED_SUFFIX = ".extracted.json"
 TRANSFORMED_SUFFIX = ".transformed.json"
+NO_INPUT = "Input file not found: "
+NO_CONTENT = "Failed to read file"
+NO_PATH = "filePath parameter is required"
+NO_FILE = "File not found: "
+UNREADABLE = "Failed to read file: "
 
 
 def non_empty(df: DataFrame, content: str = "content") -> DataFrame:
@@ -27,11 +32,14 @@ def non_empty(df: DataFrame, content: str = "content") -> DataFrame:
     return df.where(F.col(content) != "")
 
 
-def extract_stage(files: DataFrame, run_ts: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_stage(
+    files: DataFrame, run_ts: str | None = None, keep: tuple[str, ...] = (), preview: int = 100
+) -> DataFrame:
     """One record per non-empty file.
 
     JSON files get ``jsonData`` or ``parseError`` and no word count; the others
-    get ``wordCount`` and ``preview``. Columns named in ``keep`` pass through.
+    get ``wordCount`` and ``preview``, their first characters. Columns named in
+    ``keep`` pass through. JSON beyond what a variant holds has an error of its own.
     """
     content = F.col("content")
     is_json = has_extension(F.col("filename"), [JSON_SUFFIX])
@@ -43,43 +51,69 @@ def extract_stage(files: DataFrame, run_ts: str | None = None, keep: tuple[str,
         count_lines(content).alias("lines"),
         _run_time(run_ts).alias("extractedAt"),
         "jsonData",
-        F.when(is_json & F.col("jsonData").isNull(), PARSE_ERROR).alias("parseError"),
+        F.when(is_json, json_error(F.col("jsonData"), content)).alias("parseError"),
         F.when(~is_json, count_words(content)).alias("wordCount"),
-        F.when(~is_json, preview_chars(content, 100)).alias("preview"),
+        F.when(~is_json, preview_chars(content, preview)).alias("preview"),
     )
 
 
 def extract_single(files: DataFrame, run_ts: str | None = None) -> DataFrame:
-    """The per-file form: ``path`` and ``content`` in, a word count for every file."""
-    content = F.col("content")
-    return non_empty(files).select(
-        base_name(F.col("path")).alias("filename"),
-        char_count(content).alias("size"),
-        count_lines(content).alias("lines"),
-        count_words(content).alias("wordCount"),
-        _run_time(run_ts).alias("extractedAt"),
+    """The per-file form: ``path`` and ``content`` in, a word count for every file.
+
+    A row whose file is missing (NULL content) or empty has an ``error`` and no counts.
+    """
+    content, path = F.col("content"), F.col("path")
+    missing = F.concat(F.lit(NO_INPUT), F.coalesce(path, F.lit("undefined")))
+    error = F.when((F.coalesce(path, F.lit("")) == "") | content.isNull(), missing).when(content == "", NO_CONTENT)
+    return _described(
+        files,
+        {
+            "filename": base_name(path),
+            "size": char_count(content),
+            "lines": count_lines(content),
+            "wordCount": count_words(content),
+            "extractedAt": _run_time(run_ts),
+        },
+        error,
     )
 
 
-def preview_files(files: DataFrame) -> DataFrame:
-    """Line, word and character counts of each non-empty file, and its first ten lines."""
-    content = F.col("content")
-    return non_empty(files).select(
-        F.col("path").alias("filePath"),
-        count_lines(content).alias("lineCount"),
-        count_words(content).alias("wordCount"),
-        char_count(content).alias("charCount"),
-        preview_lines(content, 10).alias("preview"),
+def preview_files(files: DataFrame, lines: int = 10) -> DataFrame:
+    """Line, word and character counts of each file, and its first lines.
+
+    A row without a path, or whose file is missing (NULL content) or empty, has an
+    ``error`` and no counts.
+    """
+    content, path = F.col("content"), F.col("path")
+    error = (
+        F.when(F.coalesce(path, F.lit("")) == "", NO_PATH)
+        .when(content.isNull(), F.concat(F.lit(NO_FILE), path))
+        .when(content == "", F.concat(F.lit(UNREADABLE), path))
+    )
+    counted = _described(
+        files,
+        {
+            "lineCount": count_lines(content),
+            "wordCount": count_words(content),
+            "charCount": char_count(content),
+            "preview": preview_lines(content, lines),
+        },
+        error,
+        keep=(path.alias("filePath"),),
     )
+    return counted
 
 
-def _run_time(run_ts: str | None) -> Column:
-    return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
+def _described(files: DataFrame, columns: dict[str, Column], error: Column, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """The columns of files without an error, and the error."""
+    usable = error.isNull()
+    return files.select(
+        *keep, *(F.when(usable, value).alias(name) for name, value in columns.items()), error.alias("error")
+    )
 
 
-def transform_records(records: DataFrame, rules: Rules) -> DataFrame:
-    """Apply the rules to typed records."""
-    return apply_rules(records, rules)
+def _run_time(run_ts: str | None) -> Column:
+    return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
 
 
 def transform_stage(files: DataFrame, rules: Rules) -> DataFrame:
@@ -101,7 +135,7 @@ def transform_stage(files: DataFrame, rules: Rules) -> DataFrame:
     return parsed.select(
         "filename",
         F.when(usable, "success").otherwise("error").alias("status"),
-        F.when(~usable, PARSE_ERROR).alias("error"),
+        F.when(~usable, F.coalesce(json_error(record, F.col("content")), F.lit(PARSE_ERROR))).alias("error"),
         F.when(usable, renamed).alias("outputName"),
         F.when(usable, rules_json(record, rules)).alias("result"),
     )
@@ -164,30 +198,44 @@ def file_type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy(extension.alias("extension")).agg(F.count("*").alias("files"))
 
 
-def collect_documents(records: DataFrame, order_by: str = "filename") -> DataFrame:
-    """All records in listing order.
+def collect_documents(records: DataFrame, order_by: tuple[str, ...] = ("filename", "path")) -> DataFrame:
+    """All records in listing order: by file name, and by path where names repeat.
+
+    Columns of ``order_by`` that the records do not have are passed over. Records that tie
+    stand in order of their other columns.
 
     The rows stand for one ordered array, which would not fit one task. The sort
     is range-partitioned; rows of one name may end up in several partitions. It
     reads its input twice, once to find the ranges, so sort a stage table rather
     than records still to be computed.
     """
-    return records.orderBy(F.col(order_by), F.spark_partition_id())
+    first = [c for c in order_by if c in records.columns]
+    others = [n for n, kind in records.dtypes if n not in first and not kind.startswith(("variant", "map"))]
+    return records.orderBy(*first, *others)
 
 
 def merge_sources(files: DataFrame) -> DataFrame:
-    """The parsed sources as rows: path and data; sources that do not parse are dropped."""
+    """The parsed sources as rows: path, data and error; sources that are not JSON are dropped.
+
+    A source that is JSON, but more than a variant holds, keeps its row, with an error
+    in place of its data.
+    """
     parsed = with_json(non_empty(files), "data", F.col("content"))
+    error = F.nullif(json_error(F.col("data"), F.col("content")), F.lit(PARSE_ERROR))
     # a plain filter on the parsed value would be pushed below it and parse twice;
     # the output of a generator stays where it is
-    single = parsed.select("path", F.explode_outer(F.array("data")).alias("data"))
-    return single.where(F.col("data").isNotNull())
+    entry = F.struct("data", error.alias("error"))
+    single = parsed.select("path", F.explode_outer(F.array(entry)).alias("_entry")).select("path", "_entry.*")
+    return single.where(F.col("data").isNotNull() | F.col("error").isNotNull())
 
 
 def merge_summary(files: DataFrame) -> DataFrame:
-    """Number of sources given and number of sources that parse."""
+    """Number of sources given, of sources that parse, and of those that are JSON beyond a variant."""
     parsed = with_json(files, "_data", F.col("content"))
-    return parsed.agg(F.count("*").alias("sources"), F.count("_data").alias("merged"))
+    large = json_error(F.col("_data"), F.col("content")) == TOO_LARGE
+    return parsed.agg(
+        F.count("*").alias("sources"), F.count("_data").alias("merged"), F.count_if(large).alias("tooLarge")
+    )
 
 
 def all_passed(df: DataFrame, run: str, flags: list[str]) -> DataFrame:

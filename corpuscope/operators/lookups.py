@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import STRING, is_object, kind, member, scalar_text, with_json
+from corpuscope.functions.jsontext import (
+    PARSE_ERROR,
+    STRING,
+    is_object,
+    json_error,
+    kind,
+    member,
+    scalar_text,
+    with_json,
+)
 from corpuscope.functions.paths import url_filename
 
 # Messages of failed lookups, and what a missing resource shows.
@@ -14,125 +23,100 @@ NO_PROMPT = "Failed to get prompt "
 NO_RESOURCE_NAME = "MCP resource name required"
 NO_RESOURCE = "Failed to load resource: "
 NO_RESOURCE_TYPE = "plain/text"
+BAD_PROMPT = "Failed to parse prompt "
+BAD_RESOURCE = "Failed to parse resource: "
 NO_HANDLER = "Unknown handler: "
+NO_URL = "URL is required"
+NO_DOWNLOAD = "Failed to download file"
 
-BAD_PARAMS = "SyntaxError: not valid JSON"
+BAD_PARAMS = PARSE_ERROR
 
-# A side is broadcast only if it is measured to stay within both bounds.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 32 * 1024 * 1024
+def one_per_key(df: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """Aggregate a right side to one row per key.
 
-# Beyond them a key with this many rows on the left is spread over SALTS tasks.
-# At most HOT_KEYS keys are treated so; the next one then holds less than
-# 1/HOT_KEYS of all rows and needs no help.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure whether a DataFrame is small; reads max_rows + 1 rows at most."""
-    size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-    return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+    Grouped by a hash besides the key, its rows are not yet dealt by the key alone, so a join
+    deals both sides anew; only then can adaptive execution split a hot key of the left.
+    """
+    return df.groupBy(F.xxhash64(key).alias("_hash"), key).agg(F.lit(True).alias("_found"), *columns).drop("_hash")
 
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    small: bool,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join to a right side with one row per key; ``how`` is left, left_semi or left_anti.
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join to the one row per key of :func:`one_per_key`; ``how`` is left, left_semi or left_anti.
 
-    A small right side is broadcast, so the left is not shuffled at all. For a
-    large one both sides are shuffled by key, and the rows of a hot key are
-    spread: the left rows by their input partition (the same again when a lost
-    task is run anew), the one right row by a copy for every salt.
+    No hint and no job of its own: adaptive execution sees the real sizes and broadcasts
+    a small right side, or splits the partitions that a hot key of the left makes large, by
+    as much as they are larger.
     """
-    if small:
-        return left.join(F.broadcast(right), key, how)
-    hot = (
-        left.groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    salted_left = left.withColumn("_part", F.spark_partition_id()).join(F.broadcast(hot), key, "left")
-    salted_left = salted_left.withColumn(
-        # rows without a key match nothing, so they can go anywhere
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.col("_part") % salts).otherwise(F.lit(0))
-    ).drop("_hot", "_part")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, key, how)
 
 
 def exists_flag(
-    manifest: DataFrame, files: DataFrame, key: str = "path", details: tuple[str, ...] = (), **limits: int
+    manifest: DataFrame, files: DataFrame, key: str = "path", details: tuple[str, ...] = ()
 ) -> DataFrame:
     """The manifest with a column ``exists``, and the ``details`` columns of the files found.
 
     For a path listed twice the details are the largest of each.
     """
-    paths = files.select(key, *details)
-    known = paths.groupBy(key).agg(F.lit(True).alias("_found"), *(F.max(c).alias(c) for c in details))
-    found = lookup(manifest, known, key, fits_broadcast(paths), **limits)
+    known = one_per_key(files, key, *(F.max(c).alias(c) for c in details))
+    found = lookup(manifest, known, key)
     return found.withColumn("exists", F.col("_found").isNotNull()).drop("_found")
 
 
-def existing(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
+def existing(manifest: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
     """Manifest rows whose file exists."""
-    paths = files.select(key)
-    return lookup(manifest, paths.distinct(), key, fits_broadcast(paths), "left_semi", **limits)
+    return lookup(manifest, one_per_key(files, key), key, "left_semi")
 
 
-def missing(manifest: DataFrame, files: DataFrame, key: str = "path", **limits: int) -> DataFrame:
+def missing(manifest: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
     """Manifest rows whose file does not exist."""
-    paths = files.select(key)
-    return lookup(manifest, paths.distinct(), key, fits_broadcast(paths), "left_anti", **limits)
+    return lookup(manifest, one_per_key(files, key), key, "left_anti")
 
 
-def _one_per_name(catalog: DataFrame, columns: list[str]) -> DataFrame:
-    """One definition per name; of several the smallest, so that reruns agree."""
-    chosen = catalog.groupBy("name").agg(F.min(F.struct(*columns)).alias("_entry"))
-    return chosen.select("name", "_entry.*", F.lit(True).alias("_known"))
+def _definitions(catalog: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """One definition per name; of several the smallest, so that reruns agree.
+
+    A definition without any member stands for JSON null: it is known, but says nothing.
+    """
+    said = F.greatest(F.lit(False), *(F.col(c).isNotNull() for c in columns)).alias("_said")
+    named = catalog.withColumnRenamed("name", name)
+    chosen = one_per_key(named, name, F.min(F.struct(~said, *columns, said)).alias("_entry"))
+    fields = [f"_entry.{c}" for c in [*columns, "_said"]]
+    return chosen.select(name, "_found", *fields)
 
 
 def prompt_lookup(df: DataFrame, prompts: DataFrame, name: str = "promptName") -> DataFrame:
     """Template and arguments of each named prompt, or an error."""
-    columns = ["template", "arguments"]
-    entries = _one_per_name(prompts, columns).withColumnRenamed("name", name)
-    found = lookup(df, entries, name, fits_broadcast(prompts.select("name", *columns)))
+    found = lookup(df, _definitions(prompts, ["template", "arguments"], name), name)
     wanted = F.col(name)
-    error = F.when(F.coalesce(wanted, F.lit("")) == "", NO_PROMPT_NAME).when(
-        F.col("_known").isNull(), F.concat(F.lit(NO_PROMPT), wanted)
+    error = (
+        F.when(F.coalesce(wanted, F.lit("")) == "", NO_PROMPT_NAME)
+        .when(F.col("_found").isNull(), F.concat(F.lit(NO_PROMPT), wanted))
+        .when(~F.col("_said"), F.concat(F.lit(BAD_PROMPT), wanted))
     )
-    message = F.when(F.col("_known"), F.concat(wanted, F.lit(": "), F.col("template")))
-    return found.withColumn("message", message).withColumn("error", error).drop("_known")
+    message = F.when(error.isNull(), F.concat(wanted, F.lit(": "), F.coalesce("template", F.lit("undefined"))))
+    return found.withColumns({"message": message, "error": error}).drop("_found", "_said")
 
 
 def resource_lookup(df: DataFrame, resources: DataFrame, name: str = "resourceName") -> DataFrame:
-    """Address and media type of each named resource, or an error."""
-    columns = ["uri", "mimeType"]
-    entries = _one_per_name(resources, columns).withColumnRenamed("name", name)
-    found = lookup(df, entries, name, fits_broadcast(resources.select("name", *columns)))
-    wanted, known = F.col(name), F.col("_known")
+    """Address, media type and ``name`` of each named resource, or an error."""
+    found = lookup(df, _definitions(resources, ["uri", "mimeType"], name), name)
+    wanted = F.col(name)
     asked = F.coalesce(F.nullif(wanted, F.lit("")), F.lit(NO_RESOURCE_NAME))
-    error = F.when(known.isNull(), F.concat(F.lit(NO_RESOURCE), asked))
-    text = F.when(known, F.concat(wanted, F.lit(": take a look following link:\n"), F.col("uri"))).otherwise(error)
-    return (
-        found.withColumn("text", text)
-        .withColumn("error", error)
-        .withColumn("uri", F.when(known, F.col("uri")).otherwise(""))
-        .withColumn("mimeType", F.when(known, F.col("mimeType")).otherwise(NO_RESOURCE_TYPE))
-        .drop("_known")
+    error = F.when(F.col("_found").isNull(), F.concat(F.lit(NO_RESOURCE), asked)).when(
+        ~F.col("_said"), F.concat(F.lit(BAD_RESOURCE), asked)
     )
+    known = error.isNull()
+    uri = F.coalesce("uri", F.lit("undefined"))
+    text = F.when(known, F.concat(wanted, F.lit(": take a look following link:\n"), uri)).otherwise(error)
+    return found.withColumns(
+        {
+            "text": text,
+            "error": error,
+            "uri": F.when(known, F.col("uri")).otherwise(""),
+            "mimeType": F.when(known, F.col("mimeType")).otherwise(NO_RESOURCE_TYPE),
+            "name": F.when(known, wanted).otherwise(""),
+        }
+    ).drop("_found", "_said")
 
 
 def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -152,9 +136,10 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     handler = F.coalesce(F.when(counts, text), F.col("handlerName"))
     named = parsed.withColumn("handler", F.when(usable, handler)).drop("_given", "_text")
     extra = [c for c in handlers.columns if c != "handler"]
-    known = handlers.groupBy("handler").agg(F.min(F.struct(F.lit(True).alias("_known"), *extra)).alias("_entry"))
-    found = lookup(named, known.select("handler", "_entry.*"), "handler", fits_broadcast(handlers))
-    error = F.when(~usable, BAD_PARAMS).when(
+    known = one_per_key(handlers, "handler", F.min(F.struct(F.lit(True).alias("_known"), *extra)).alias("_entry"))
+    found = lookup(named, known.select("handler", "_entry.*"), "handler")
+    reason = F.coalesce(json_error(params, F.col("params")), F.lit(BAD_PARAMS))
+    error = F.when(~usable, reason).when(
         F.col("_known").isNull(),
         F.concat(F.lit(NO_HANDLER), F.coalesce(F.col("handler"), F.lit("undefined"))),
     )
@@ -162,20 +147,24 @@ def resolve_calls(calls: DataFrame, handlers: DataFrame) -> DataFrame:
 
 
 def download_info(downloads: DataFrame, files: DataFrame, temp_dir: str = "/tmp") -> DataFrame:
-    """Path, size and existence of each download.
+    """Path, size, existence and outcome of each download.
 
     ``downloads`` has ``url`` and ``destination``; where that is NULL or empty
     it is the URL's file name in ``temp_dir``. ``files`` has ``path`` and
-    ``size``, one row per path.
+    ``size``, one row per path. A download without a URL, or whose ``downloaded`` (where
+    that column is given) is false, has an ``error``.
     """
     given = F.nullif(F.col("destination"), F.lit(""))
     default = F.concat(F.lit(temp_dir.rstrip("/") + "/"), url_filename(F.col("url")))
     wanted = downloads.withColumn("path", F.coalesce(given, default)).drop("destination")
-    sizes = files.groupBy("path").agg(F.max("size").alias("_size"), F.lit(True).alias("_found"))
-    found = lookup(wanted, sizes, "path", fits_broadcast(files.select("path", "size")))
+    found = lookup(wanted, one_per_key(files, "path", F.max("size").alias("_size")), "path")
+    failed = ~F.col("downloaded") if "downloaded" in downloads.columns else F.lit(False)
+    error = F.when(F.coalesce("url", F.lit("")) == "", NO_URL).when(failed, NO_DOWNLOAD)
     return (
         found.withColumn("size", F.coalesce(F.col("_size"), F.lit(0)))
         .withColumn("exists", F.col("_found").isNotNull())
+        .withColumn("error", error)
+        .withColumn("success", F.col("error").isNull())
         .drop("_size", "_found")
     )
 
@@ -191,5 +180,5 @@ def last_wins(df: DataFrame, keys: list[str], order: str | Column, value: str) -
 
 def env_overlay(env: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:
     """The environment plus the parsed keys it does not have."""
-    added = parsed.join(env.select(key), key, "left_anti")
+    added = lookup(parsed, one_per_key(env, key), key, "left_anti")
     return env.unionByName(added.select(*env.columns))

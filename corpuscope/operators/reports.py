@@ -6,7 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
-from corpuscope.functions.jsontext import NULL, OBJECT, kind, stringify, value_json, value_text, with_json
+from corpuscope.functions.jsontext import (
+    NO_LIMITS,
+    NULL,
+    NUMBERS,
+    OBJECT,
+    TOO_LARGE,
+    json_error,
+    kind,
+    stringify,
+    valid_json,
+    value_json,
+    value_text,
+    with_json,
+)
+from corpuscope.functions.numbers import finite_text
+from corpuscope.functions.text import char_count
+from corpuscope.session import configure
 
 # Titles and labels of the reports.
 RULE = "=" * 40
@@ -19,12 +35,86 @@ def _text_lines(*lines: str | Column) -> Column:
     return F.array(*(F.lit(line) for line in lines))
 
 
-def _nested_lines(name: Column, item: Column, raw: Column) -> Column:
+# Names that are whole numbers come first, in ascending order, as a script engine lists them.
+WHOLE_NAME = r"^(0|[1-9][0-9]{0,9})$"
+
+
+def _in_order(entries: Column) -> Column:
+    """Entries (a struct with ``key``) with whole numbers first."""
+
+    def sorted_entries(given: Column) -> Column:
+        def place(entry: Column, i: Column) -> Column:
+            number = F.when(entry["key"].rlike(WHOLE_NAME), entry["key"].cast("bigint"))
+            return F.struct(number.isNull().alias("named"), F.coalesce(number, F.lit(0)).alias("number"), i.alias("i"))
+
+        places = F.array_sort(F.transform(given, place))
+        return F.transform(places, lambda at: F.get(given, at["i"]))
+
+    def in_order(given: Column) -> Column:
+        whole = F.exists(given, lambda entry: entry["key"].rlike(WHOLE_NAME))
+        return F.when(whole, sorted_entries(given)).otherwise(given)
+
+    return once(entries, in_order)
+
+
+def _members(text: Column, raw: bool) -> Column:
+    """Members of the object in a JSON text: key, value (VARIANT) and, if asked for, the raw text of each.
+
+    Both readings list the members in the text's order, so an entry carries all of its
+    member. A name given twice keeps its first place and its last value.
+    """
+    entry = "array<struct<key:string,value:variant,raw:string>>"
+
+    def read(values: Column) -> Column:
+        pairs = F.map_entries(values)
+        if raw:
+            texts = F.map_values(F.from_json(text, "map<string,string>", NO_LIMITS))
+            joined = F.zip_with(
+                pairs, texts, lambda e, r: F.struct(e["key"].alias("key"), e["value"].alias("value"), r.alias("raw"))
+            )
+        else:
+            joined = F.transform(
+                pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(None).alias("raw"))
+            )
+        joined = joined.cast(entry)
+        names = F.map_keys(values)
+        last = F.transform(
+            F.array_distinct(names),
+            lambda name: F.element_at(F.filter(joined, lambda e: e["key"] == name), -1),
+        )
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), last).otherwise(joined)
+
+    return once(F.from_json(text, "map<string,variant>", NO_LIMITS), read)
+
+
+def _items(values: Column, texts: Column | None) -> Column:
+    """Items of an array as entries, their places as keys."""
+    texts = F.transform(values, lambda _: F.lit(None).cast("string")) if texts is None else texts
+    pairs = F.zip_with(values, texts, lambda v, t: F.struct(v.alias("value"), t.alias("raw")))
+    return F.transform(
+        pairs, lambda e, i: F.struct(i.cast("string").alias("key"), e["value"].alias("value"), e["raw"].alias("raw"))
+    )
+
+
+def _entries(text: Column) -> Column:
+    """What a report has a block or line for: members of an object, items of an array, characters of a string."""
+    start = F.substring(F.ltrim(text), 1, 1)
+    items = once(
+        F.from_json(text, "array<variant>", NO_LIMITS),
+        lambda values: _items(values, F.from_json(text, "array<string>", NO_LIMITS)),
+    )
+    letters = F.to_variant_object(F.filter(F.split(F.get_json_object(text, "$"), ""), lambda c: c != ""))
+    return (
+        F.when(start == "{", _in_order(_members(text, raw=True)))
+        .when(start == "[", items)
+        .when(start == '"', _items(F.try_variant_get(letters, "$", "array<variant>"), None))
+    )
+
+
+def _nested_lines(name: Column, raw: Column) -> Column:
     """Lines of a nested object; ``raw`` is its JSON text, which has the members in their order."""
-    below = F.try_variant_get(item, "$", "map<string,variant>")
     rows = F.transform(
-        F.array_distinct(F.json_object_keys(raw)),
-        lambda sub: F.concat(F.lit("  "), sub, F.lit(": "), once(F.try_element_at(below, sub), value_text)),
+        _in_order(_members(raw, raw=False)), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), value_text(e["value"]))
     )
     return F.concat(F.array(F.lit(""), F.concat(name, F.lit(":"))), F.coalesce(rows, F.array().cast("array<string>")))
 
@@ -32,43 +122,58 @@ def _nested_lines(name: Column, item: Column, raw: Column) -> Column:
 def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: str = "text") -> DataFrame:
     """Report of each JSON text as rows: key, seq, line_no, line; in that order it reads from top to bottom.
 
-    ``seq`` 0 is the head, then every member in the object's order, nested
-    objects one level down, then the foot. ``output="json"`` prints the object
-    instead. Texts that do not parse have no report.
+    ``seq`` 0 is the head, then every member of an object (whole-number names first,
+    the others in the text's order), item of an array or character of a string, nested
+    objects one level down, then the foot. ``output="json"`` prints the value instead.
+    Texts that are not JSON have no report.
+
+    The text is checked in one pass and read once for the values and once for the raw texts
+    of the members; each row then carries its own member, so the work grows with the
+    number of members.
     """
-    text, value = F.col(json_col), F.col("_value")
-    parsed = with_json(df, "_value", text)
+    text = F.col(json_col)
     if output == "json":
-        rows = parsed.select(key, F.lit(0).alias("seq"), F.lit(0).alias("line_no"), value_json(value).alias("line"))
+        parsed = with_json(df, "_value", text)
+        large = F.when(json_error(F.col("_value"), text) == TOO_LARGE, text)
+        line = F.coalesce(value_json(F.col("_value")), large)
+        rows = parsed.select(key, F.lit(0).alias("seq"), F.lit(0).alias("line_no"), line.alias("line"))
         return rows.where(F.col("line").isNotNull())
-    none = F.array(F.lit(None).cast("string"))
-    names = F.coalesce(F.array_distinct(F.json_object_keys(text)), F.array().cast("array<string>"))
-    prepared = parsed.select(
-        key,
-        F.try_variant_get(value, "$", "map<string,variant>").alias("_members"),
-        F.from_json(text, "map<string,string>").alias("_raw"),
-        # NULL names stand for head and foot; no names at all where nothing parsed
-        F.when(value.isNotNull(), F.concat(none, names, none)).alias("_names"),
-    )
-    members = prepared.select("*", F.posexplode_outer("_names").alias("seq", "_name"))
-    # a test on generated rows is not pushed below the parse, where it would parse twice
-    members = members.where(F.col("seq").isNotNull()).select(
+    configure(df.sparkSession)
+    entry = "array<struct<key:string,value:variant,raw:string>>"
+    none = F.array(F.lit(None).cast("struct<key:string,value:variant,raw:string>"))
+    listed = F.coalesce(_entries(text).cast(entry), F.array().cast(entry))
+    # missing entries stand for head and foot; none at all where the text is no JSON
+    prepared = df.select(key, F.when(valid_json(text), F.concat(none, listed, none)).alias("_entries"))
+    # the output of a generator stays where it is: a filter below it would read the text again
+    members = prepared.select(key, F.posexplode_outer("_entries").alias("seq", "_entry")).where(F.col("seq").isNotNull())
+    # one step each, so that no expression is copied into the next
+    members = members.select(
         key,
         "seq",
-        "_name",
-        F.try_element_at("_members", "_name").alias("_item"),
-        F.try_element_at("_raw", "_name").alias("_text"),
+        F.col("_entry.key").alias("_name"),
+        F.col("_entry.value").alias("_item"),
+        F.col("_entry.raw").alias("_raw"),
+        kind(F.col("_entry.value")).alias("_kind"),
     )
     name, item = F.col("_name"), F.col("_item")
+    number = F.coalesce(finite_text(F.try_variant_get(item, "$", "double")), F.lit("null"))
+    printed = F.when(F.col("_kind").isin(*NUMBERS), number).otherwise(F.to_json(item))
     lines = (
         F.when(F.col("seq") == 0, _text_lines(RULE, DATA_TITLE, RULE, f"Generated: {run_ts}", ""))
         .when(name.isNull(), _text_lines("", RULE))
-        .when(kind(item).isin(OBJECT, NULL), _nested_lines(name, item, F.col("_text")))
-        .otherwise(F.array(F.concat(name, F.lit(": "), value_json(item))))
+        .when(F.col("_kind").isin(OBJECT, NULL), _nested_lines(name, F.col("_raw")))
+        .otherwise(F.array(F.concat(name, F.lit(": "), printed)))
     )
     return members.select(key, "seq", F.posexplode_outer(lines).alias("line_no", "line"))
 
 
+def report_sizes(lines: DataFrame, key: str, output: str = "text") -> DataFrame:
+    """The result row of each report of :func:`report_lines`: key, format, size in UTF-16 units with line ends."""
+    return lines.groupBy(key).agg(
+        F.lit(output).alias("format"), F.sum(char_count(F.col("line")) + (1 if output == "text" else 0)).alias("size")
+    )
+
+
 def stage_report(
     runs: DataFrame, stages: DataFrame, errors: DataFrame | None = None, result: str = "result"
 ) -> DataFrame:

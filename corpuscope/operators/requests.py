@@ -36,13 +36,17 @@ def build_requests(df: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """Turn calls into requests.
 
     Takes ``kind`` (fetchData, postData, fetchJSON, apiRequest, webhookCall,
-    scrapeWebpage, checkStatus), ``url``, ``method``, ``headers`` and ``data``
+    scrapeWebpage, checkStatus), ``url`` (of a webhook ``webhookUrl`` before it, if given), ``method``, ``headers`` and ``data``
     (VARIANT; the payload of a webhook). ``data`` gives way to ``body`` and
     ``error``, ``method`` and ``headers`` are filled in, other columns stay.
     """
     call, data, method, body = F.col("kind"), F.col("data"), F.col("method"), F.col("body")
     webhook = call == "webhookCall"
 
+    if "webhookUrl" in df.columns:
+        own = F.when(webhook, F.nullif(F.col("webhookUrl"), F.lit("")))
+        df = df.withColumn("url", F.coalesce(own, F.col("url"))).drop("webhookUrl")
+
     # one step each, so that no expression is copied into the next
     given = F.nullif(F.col("method"), F.lit(""))
     filled = (

@@ -19,7 +19,7 @@ from corpuscope.functions.html import (
     html_title,
     valid_pattern,
 )
-from corpuscope.functions.jsontext import is_json_type, with_json
+from corpuscope.functions.jsontext import TOO_LARGE, is_json_type, json_error, with_json
 from corpuscope.functions.text import char_count
 from corpuscope.operators.items import apply_transform
 
@@ -32,6 +32,7 @@ WEBHOOK_FAILED = "Webhook call failed: "
 API_FAILED = "API request failed: "
 
 PARSE_FAILED = "Failed to parse JSON response: SyntaxError"
+LARGE_FAILED = "Failed to parse JSON response: RangeError"
 NO_BODY = "TypeError: response has no body"
 
 
@@ -106,8 +107,9 @@ def fetch_json(df: DataFrame, transform: dict[str, Any] | None = None) -> DataFr
     """Status and parsed, transformed body; ``data`` is VARIANT."""
     gated = response_gate(df, JSON_FAILED)
     gated = with_json(gated, "data", F.col("body"), F.col("message").isNull())
+    gated = gated.withColumn("_large", json_error(F.col("data"), F.col("body")) == TOO_LARGE)
     shaped = apply_transform(gated, "data", transform)
-    broken = F.when(F.col("data").isNull(), PARSE_FAILED)
+    broken = F.when(F.col("data").isNull(), F.when(F.col("_large"), LARGE_FAILED).otherwise(PARSE_FAILED))
     return shaped.select(
         "url",
         F.when(F.col("data").isNotNull(), F.col("status_code")).alias("status"),
@@ -155,19 +157,26 @@ def api_result(df: DataFrame) -> DataFrame:
     )
 
 
-def scrape_pages(df: DataFrame, selectors: dict[str, str] | None = None) -> DataFrame:
+def scrape_pages(
+    df: DataFrame,
+    selectors: dict[str, str] | None = None,
+    text_limit: int | None = None,
+    link_limit: int | None = None,
+    image_limit: int | None = None,
+) -> DataFrame:
     """Title, text, links and images of each page that passes the gate.
 
-    ``selectors`` adds one array column per pattern. One named like a standard
-    column replaces it; an invalid pattern gives an empty array.
+    All of them, unless a limit is given. ``selectors`` adds one array column per
+    pattern. One named like a standard column replaces it; an invalid pattern gives an
+    empty array.
     """
     gated = response_gate(df, PAGE_FAILED)
     body = F.col("body")
     columns = {
         "title": html_title(body),
-        "text": html_text(body),
-        "links": html_links(body),
-        "images": html_images(body),
+        "text": html_text(body, text_limit),
+        "links": html_links(body, link_limit),
+        "images": html_images(body, image_limit),
     }
     for name, pattern in (selectors or {}).items():
         usable = valid_pattern(df.sparkSession, pattern)

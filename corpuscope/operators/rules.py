@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.binding import once
 from corpuscope.functions.jsontext import member, object_text, quote, value_json, value_number, value_text
-from corpuscope.functions.numbers import number_text, round_half_up, to_number
+from corpuscope.functions.numbers import finite_text, number_text, round_half_up, to_number
 
 Rules = dict[str, dict[str, Any]]
 
 _COMPACT = {"ensure_ascii": False, "separators": (",", ":")}
 
 
-def apply_rules(df: DataFrame, rules: Rules) -> DataFrame:
+def apply_rules(df: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
     """New record per row, from typed columns.
 
     A column that is missing or NULL counts as absent. Without rules the input
-    comes back; fields without a rule are dropped.
+    comes back; fields without a rule are dropped, but for those named in ``keep``.
     """
     if not rules:
         return df
@@ -42,7 +42,7 @@ def apply_rules(df: DataFrame, rules: Rules) -> DataFrame:
             columns.append(value.alias(name))
         elif "default" in rule:
             columns.append(_constant(rule["default"]).alias(name))
-    return df.select(*columns)
+    return df.select(*keep, *columns)
 
 
 def _typed(value: Column, type_name: str, rule: dict[str, Any]) -> tuple[Column, str]:
@@ -132,5 +132,5 @@ def _json(value: Column, rule: dict[str, Any]) -> Column:
             number = number * F.lit(float(rule.get("factor") or 1))
         else:
             number = round_half_up(number)
-        return F.coalesce(number_text(number), F.lit("null"))
+        return F.coalesce(finite_text(number), F.lit("null"))
     return value_json(value)

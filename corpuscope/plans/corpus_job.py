@@ -13,21 +13,24 @@ from corpuscope.operators.corpus import (
     corpus_totals,
     extract_stage,
     file_type_counts,
-    transform_records,
 )
 from corpuscope.operators.reports import stage_report
-from corpuscope.operators.rules import Rules
+from corpuscope.operators.rules import Rules, apply_rules
 from corpuscope.sources.files import read_text_files
 from corpuscope.sources.sinks import write_json, write_text
 
 
+#: The column that carries a record's file through the stages.
+SOURCE = "_path"
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
 def corpus_totals_of(files: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Totals and averages of a corpus in one pass, without stage output."""
-    records = transform_records(extract_stage(files), rules or {})
+    records = apply_rules(extract_stage(files), rules or {})
     return add_averages(corpus_totals(records))
 
 
@@ -36,27 +39,32 @@ def run_corpus_job(
 ) -> DataFrame:
     """Run all stages and return the aggregate row.
 
-    Output below ``output_path``: ``extracted``, ``transformed``, ``totals``,
-    ``file_types``, ``data`` (all records in file name order) as JSON lines, and
-    ``report`` as text. The texts are read once; the later stages start from the
+    Output below ``output_path``, in place of that of an earlier run: ``extracted`` and
+    ``transformed`` as Parquet with the source file's ``_path``; ``totals``,
+    ``file_types`` and ``data`` (all records in order of path) as JSON lines; ``report``
+    as text. Rules that give a record no member make it ``{}``. The texts are read once; the later stages start from the
     stage tables, so a lost executor costs no second pass over them. A missing
     input folder stops the job before anything is written.
     """
     started = run_ts or _now()
     files = read_text_files(spark, input_path)
     extracted_path = f"{output_path}/extracted"
-    extract_stage(files, run_ts).write.mode("overwrite").parquet(extracted_path)
+    files = files.withColumnRenamed("path", SOURCE)
+    extract_stage(files, run_ts, keep=(SOURCE,)).write.mode("overwrite").parquet(extracted_path)
     extracted = spark.read.parquet(extracted_path)
 
     transformed_path = f"{output_path}/transformed"
-    transform_records(extracted, rules or {}).write.mode("overwrite").parquet(transformed_path)
+    apply_rules(extracted, rules or {}, keep=(SOURCE,)).write.mode("overwrite").parquet(transformed_path)
     transformed = spark.read.parquet(transformed_path)
 
     totals = add_averages(corpus_totals(transformed))
     write_json(totals, f"{output_path}/totals")
     write_json(file_type_counts(transformed), f"{output_path}/file_types")
-    if "filename" in transformed.columns:
-        write_json(collect_documents(transformed), f"{output_path}/data")
+    data = collect_documents(transformed, (SOURCE,)).drop(SOURCE)
+    if data.columns:
+        write_json(data, f"{output_path}/data")
+    else:
+        write_text(data.select(F.lit("{}").alias("record")), f"{output_path}/data", "record")
 
     aggregate = spark.read.schema(totals.schema).json(f"{output_path}/totals")
     report = _report(spark, extracted, transformed, aggregate, output_path, started, run_ts or _now())

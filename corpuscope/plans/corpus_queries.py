@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscope.functions.jsontext import with_json
@@ -38,7 +39,7 @@ from corpuscope.plans.corpus_job import corpus_totals_of, run_corpus_job
 from corpuscope.plans.registry import query, table
 from corpuscope.session import scratch_path
 from corpuscope.sources.config import parse_config_lines, read_config_lines
-from corpuscope.sources.files import read_json_files, read_text_files, scan_files
+from corpuscope.sources.files import read_json_files, read_text_files, scan_files, text_file_stats
 from corpuscope.sources.sinks import write_json, write_text
 
 RUN_TS = "2024-01-01T00:00:00Z"
@@ -62,21 +63,22 @@ def corpus_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "extract_stage",
-    f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", jsonData AS "jsonData",
+    f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount", CASE WHEN jsonData IS NOT NULL THEN
+        concat('{{"doc":', jsonData -> '$.doc', ',"filename":', jsonData -> '$.filename', ',"lang":',
+            jsonData -> '$.lang', ',"size":', jsonData -> '$.size', '}}') END AS "jsonData",
     parseError AS "parseError", preview FROM records""",
 )
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed JSON is printed by the library, members in order of name."""
     records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
-    # members of parsed JSON come back sorted by name, so print them as they were
-    order = F.expr("""concat('{"doc":', jsonData:doc, ',"lang":"', jsonData:lang::string, '","size":', jsonData:size,
-        ',"filename":"', jsonData:filename::string, '"}')""")
-    return records.withColumn("jsonData", F.when(F.col("jsonData").isNotNull(), order))
+    return records.withColumn("jsonData", F.to_json("jsonData"))
 
 
 @query(
     "extract_single",
     f"""WITH {FILES_SQL} SELECT filename, {sql_units("content")} AS size, {sql_lines("content")} AS lines,
-    {sql_words("content")} AS "wordCount" FROM files WHERE content <> ''""",
+    {sql_words("content")} AS "wordCount", NULL AS error FROM files WHERE content <> ''
+    UNION ALL SELECT NULL, NULL, NULL, NULL, 'Failed to read file' FROM files WHERE content = ''""",
 )
 def extracted_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_single(corpus_files(spark, sf_dir), RUN_TS).drop("extractedAt")
@@ -86,7 +88,9 @@ def extracted_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     "preview_files",
     f"""WITH {FILES_SQL} SELECT path AS "filePath", {sql_lines("content")} AS "lineCount",
     {sql_words("content")} AS "wordCount", {sql_units("content")} AS "charCount",
-    array_to_string(string_split(content, chr(10))[1:10], chr(10)) AS preview FROM files WHERE content <> ''""",
+    array_to_string(string_split(content, chr(10))[1:10], chr(10)) AS preview, NULL AS error
+    FROM files WHERE content <> ''
+    UNION ALL SELECT path, NULL, NULL, NULL, NULL, concat('Failed to read file: ', path) FROM files WHERE content = ''""",
 )
 def file_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview_files(corpus_files(spark, sf_dir))
@@ -178,7 +182,7 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(
         F.expr("concat('/items/item_', item_id, '.txt')").alias("path"), F.col("text").alias("content")
     )
-    return collect_documents(extract_single(items, RUN_TS).drop("extractedAt"))
+    return collect_documents(extract_single(items, RUN_TS).drop("extractedAt", "error"))
 
 
 _SOURCES = """SELECT concat('/props/', event_id) AS path, CASE event_id % 6
@@ -194,17 +198,18 @@ def _event_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merge_sources",
-    f"""SELECT path, CAST(json(content) AS VARCHAR) AS data FROM ({_SOURCES})
+    f"""SELECT path, CAST(json(content) AS VARCHAR) AS data, NULL AS error FROM ({_SOURCES})
     WHERE content <> '' AND json_valid(content)""",
 )
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_sources(_event_sources(spark, sf_dir)).select("path", F.to_json("data").alias("data"))
+    return merge_sources(_event_sources(spark, sf_dir)).withColumn("data", F.to_json("data"))
 
 
 @query(
     "merge_summary",
     f"""SELECT CAST(count(*) AS BIGINT) AS sources,
-    CAST(count(*) FILTER (content <> '' AND json_valid(content)) AS BIGINT) AS merged FROM ({_SOURCES})""",
+    CAST(count(*) FILTER (content <> '' AND json_valid(content)) AS BIGINT) AS merged,
+    CAST(0 AS BIGINT) AS "tooLarge" FROM ({_SOURCES})""",
 )
 def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_summary(_event_sources(spark, sf_dir))
@@ -390,6 +395,56 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "sort_by_name",
+    """SELECT 'part-' AS prefix, CAST(count(DISTINCT lang) AS BIGINT) AS folders, true AS ordered FROM documents""",
+)
+def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing sorted by name and path: no row of a task comes before the one ahead of it."""
+    listing = scan_files(spark, _text_folder(spark, sf_dir), recursive=True, extensions=[".txt"], sort="name")
+    place = F.struct(F.col("name").alias("name"), F.col("path").alias("path"))
+    numbered = listing.select("path", "name", F.monotonically_increasing_id().alias("position"), place.alias("place"))
+    # rows of a task stand together in the numbering, so neighbours are compared within each
+    within = W.partitionBy(F.shiftright("position", 33)).orderBy("position")
+    checked = numbered.withColumn("later", F.coalesce(F.lag("place").over(within) < F.col("place"), F.lit(True)))
+    return checked.agg(
+        F.min(F.substring("name", 1, 5)).alias("prefix"),
+        F.count_distinct(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1)).alias("folders"),
+        F.bool_and("later").alias("ordered"),
+    )
+
+
+@query(
+    "text_file_stats",
+    f"""SELECT lang, CAST(sum({sql_units("text")} + 1) AS BIGINT) AS size, CAST(sum({sql_words("text")}) AS BIGINT)
+        AS words, CAST(sum({sql_lines("text")}) AS BIGINT) AS lines FROM documents GROUP BY lang""",
+)
+def line_based_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of text files that need not fit a row, summed by folder."""
+    stats = text_file_stats(spark, _text_folder(spark, sf_dir), recursive=True)
+    return stats.groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum("size").alias("size"), F.sum("wordCount").alias("words"), F.sum(F.col("lines") - 1).alias("lines")
+    )
+
+
+@query(
+    "corpus_job_with_rules",
+    f"""WITH {RECORDS_SQL} SELECT upper(filename) AS name, CAST(size * 2 AS DOUBLE) AS twice, 'none' AS note
+    FROM records WHERE NOT ends_with(filename, '.json')""",
+)
+def job_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records through real rules; each keeps its file's path on the way."""
+    rules = {
+        "name": {"source": "filename", "transform": "uppercase"},
+        "twice": {"source": "size", "transform": "multiply", "factor": 2},
+        "note": {"source": "title", "default": "none"},
+        "gone": {"source": "nothing"},
+    }
+    records = extract_stage(corpus_files(spark, sf_dir), RUN_TS, keep=("path",))
+    ruled = apply_rules(records, rules, keep=("path",))
+    return ruled.where("NOT endswith(path, '.json')").drop("path")
+
+
 @query(
     "read_text_files",
     f"""SELECT lang, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
@@ -428,21 +483,34 @@ def job_on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_json_files",
-    """SELECT source, CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
-    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source""",
+    """SELECT source, lang, CASE WHEN count(*) % 2 = 0 THEN CAST(count(*) AS BIGINT) END AS n,
+    CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
+    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source, lang""",
 )
 def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON file per source, cut off for sources with an odd number of documents."""
+    """A JSON array per source and language with an item for each document, cut off if their number is odd.
+
+    The reader gets the items; only then are they counted and summed.
+    """
     path = scratch_path(spark, "sources")
-    per_source = table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("n"), F.sum("n_chars").alias("chars")
+    group = ["source", "lang"]
+    documents = table(spark, sf_dir, "documents").select(*group, "doc_id", "n_chars")
+    ends = documents.groupBy(*group).agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = documents.groupBy(*group).agg(F.min("doc_id").alias("first"))
+    line = F.expr(
+        """concat(IF(doc_id = first, '[', ''), '{"doc":', doc_id, ',"chars":', n_chars, '}',
+        IF(doc_id <> last, ',', IF(n % 2 = 0, ']', '')))"""
     )
-    text = F.expr("""concat('{"chars":', chars, CASE WHEN n % 2 = 0 THEN '}' ELSE '' END)""")
-    per_source.select("source", text.alias("value")).write.partitionBy("source").text(path)
+    lines = documents.join(ends, group).join(first, group).select(*group, "doc_id", line.alias("value"))
+    ordered = lines.repartition(*group).sortWithinPartitions(*group, "doc_id").select(*group, "value")
+    ordered.write.partitionBy(*group).text(path)
     files = read_json_files(spark, path, recursive=True)
+    items = F.try_variant_get("jsonData", "$", "array<struct<doc:bigint,chars:bigint>>")
     return files.select(
         F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"),
-        F.try_variant_get("jsonData", "$.chars", "bigint").alias("chars"),
+        F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"),
+        F.when(items.isNotNull(), F.size(items).cast("bigint")).alias("n"),
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda total, item: total + item["chars"]).alias("chars"),
         F.col("parseError").alias("error"),
     )
 
@@ -473,19 +541,21 @@ def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_config_lines",
-    """SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY 1""",
+    """SELECT event_type AS file, concat('user', user_id) AS key, arg_max(value, event_id) AS value
+    FROM events GROUP BY 1, 2""",
 )
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Config files as written by several tasks; the last line of a file wins, then the last file."""
+    """A config file per event type with a line for each event, between comments; the last line of a key wins."""
     path = scratch_path(spark, "config")
-    latest = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("value", "event_id").alias("value"))
-    old = F.concat("event_type", F.lit("=0"))
-    new = F.concat("event_type", F.lit(" = '"), F.col("value").cast("string"), F.lit("'"))
-    latest.select("event_type", F.concat(old, F.lit("\n# later\n"), new).alias("value")).write.partitionBy(
-        "event_type"
-    ).text(path)
-    files = [f"{path}/event_type=*"]
-    return read_config_lines(spark, files).select("key", F.col("value").cast("double").alias("value"))
+    line = F.concat(F.lit("# event\n user"), "user_id", F.lit(" = '"), F.col("value").cast("string"), F.lit("'"))
+    lines = table(spark, sf_dir, "events").select("event_type", "event_id", line.alias("value"))
+    ordered = lines.repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    ordered.select("event_type", "value").write.partitionBy("event_type").text(path)
+    return read_config_lines(spark, f"{path}/event_type=*").select(
+        F.regexp_extract("path", "/event_type=([^/]*)/", 1).alias("file"),
+        "key",
+        F.col("value").cast("double").alias("value"),
+    )
 
 
 @query(

@@ -28,7 +28,9 @@ from corpuscope.operators.records import (
 )
 from corpuscope.operators.reports import report_lines, stage_report
 from corpuscope.plans.registry import query, table
-from corpuscope.sources.records import call_json, read_calls, read_messages
+from corpuscope.session import scratch_path
+from corpuscope.sources.records import call_json, read_calls, read_catalog, read_messages
+from corpuscope.sources.sinks import write_json
 
 # ---- existence and lookups
 
@@ -65,6 +67,51 @@ def missing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing(_manifest(spark, sf_dir, "documents"), _manifest(spark, sf_dir, "labels"))
 
 
+_HOT_PATH = "CASE WHEN event_id % 3 = 0 THEN '/hot' ELSE concat('/users/', user_id) END"
+
+
+@query(
+    "hot_lookup",
+    f"""SELECT event_id, path, path IN (SELECT concat('/users/', c_custkey) FROM customer UNION ALL SELECT '/hot')
+        AS "exists" FROM (SELECT event_id, {_HOT_PATH} AS path FROM events)""",
+)
+def hot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all events ask for one path."""
+    asked = table(spark, sf_dir, "events").select("event_id", F.expr(_HOT_PATH).alias("path"))
+    known = table(spark, sf_dir, "customer").select(
+        F.explode(F.array(F.expr("concat('/users/', c_custkey)"), F.lit("/hot"))).alias("path")
+    )
+    return exists_flag(asked, known)
+
+
+@query(
+    "read_catalog",
+    """SELECT 'prompt' AS kind, concat('p', conv_id, '-', turn) AS name, text AS template,
+        concat('[{"name":"', role, '"}]') AS arguments, NULL AS uri, NULL AS "mimeType" FROM conversations
+    UNION ALL SELECT 'resource', concat('r', conv_id, '-', turn), NULL, NULL, concat('res://', role), 'text/plain'
+        FROM conversations""",
+)
+def catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and resources written as JSON lines and read back."""
+    rows = table(spark, sf_dir, "conversations")
+    prompts = rows.select(
+        F.expr("concat('p', conv_id, '-', turn)").alias("name"),
+        F.col("text").alias("template"),
+        F.array(F.struct(F.col("role").alias("name"))).alias("arguments"),
+    )
+    resources = rows.select(
+        F.expr("concat('r', conv_id, '-', turn)").alias("name"),
+        F.expr("concat('res://', role)").alias("uri"),
+        F.lit("text/plain").alias("mimeType"),
+    )
+    read = []
+    for kind, entries in (("prompt", prompts), ("resource", resources)):
+        path = scratch_path(spark, kind)
+        write_json(entries, path)
+        read.append(read_catalog(spark, path, kind).withColumn("kind", F.lit(kind)))
+    return read[0].unionByName(read[1], allowMissingColumns=True)
+
+
 @query(
     "catalog_lookup",
     """SELECT conv_id, turn, wanted AS "promptName",
@@ -93,6 +140,7 @@ def prompts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             ELSE 'Failed to load resource: user' END AS text,
         CASE WHEN role <> 'user' THEN concat('res://', role) ELSE '' END AS uri,
         CASE WHEN role <> 'user' THEN 'text/plain' ELSE 'plain/text' END AS "mimeType",
+        CASE WHEN role <> 'user' THEN role ELSE '' END AS name,
         CASE WHEN role = 'user' THEN 'Failed to load resource: user' END AS error FROM conversations""",
 )
 def resources_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +183,15 @@ _TARGET = """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '
 
 @query(
     "download_info",
-    f"""WITH downloads AS (SELECT page_id, url, html, {_TARGET} AS path FROM pages),
+    f"""WITH downloads AS (SELECT page_id, url, html, page_id % 7 <> 5 AS downloaded, {_TARGET} AS path FROM pages),
     stored AS (SELECT path, max(length(html)) AS size FROM downloads WHERE starts_with(url, 'https') GROUP BY path)
-    SELECT page_id, url, d.path, CAST(coalesce(size, 0) AS BIGINT) AS size, s.path IS NOT NULL AS "exists"
-    FROM downloads d LEFT JOIN stored s ON d.path = s.path""",
+    SELECT page_id, url, downloaded, d.path, CAST(coalesce(size, 0) AS BIGINT) AS size, s.path IS NOT NULL AS "exists",
+        downloaded AS success, CASE WHEN NOT downloaded THEN 'Failed to download file' END AS error FROM downloads d LEFT JOIN stored s ON d.path = s.path""",
 )
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     asked = pages.selectExpr(
-        "page_id", "url", "CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '.html') ELSE '' END AS destination"
+        "page_id", "url", "page_id % 7 <> 5 AS downloaded", "CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '.html') ELSE '' END AS destination"
     )
     stored = pages.where("startswith(url, 'https')").selectExpr(
         """coalesce(CASE WHEN page_id % 3 = 0 THEN concat('/data/', page_id, '.html') END,
@@ -164,15 +212,16 @@ def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "env_overlay",
     """WITH env AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
-        WHERE event_type = 'view' AND value > 300 GROUP BY 1),
+        WHERE event_id % 3 = 0 GROUP BY 1),
     parsed AS (SELECT concat('KEY_', user_id) AS key, arg_max(value, event_id) AS value FROM events
-        WHERE event_type = 'click' GROUP BY 1)
+        WHERE event_id % 3 <> 0 GROUP BY 1)
     SELECT * FROM env UNION ALL SELECT * FROM parsed WHERE key NOT IN (SELECT key FROM env)""",
 )
 def env_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all events is the environment, the others are parsed settings."""
     events = table(spark, sf_dir, "events").withColumn("key", F.expr("concat('KEY_', user_id)"))
-    env = last_wins(events.where("event_type = 'view' AND value > 300"), ["key"], "event_id", "value")
-    parsed = last_wins(events.where("event_type = 'click'"), ["key"], "event_id", "value")
+    env = last_wins(events.where("event_id % 3 = 0"), ["key"], "event_id", "value")
+    parsed = last_wins(events.where("event_id % 3 <> 0"), ["key"], "event_id", "value")
     return env_overlay(env, parsed)
 
 

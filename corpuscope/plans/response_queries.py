@@ -173,21 +173,26 @@ def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEADING = "<h1>([^<]*)</h1>"
+_WITH_IMAGES = """replace(body, '<a href=', '<img alt="" src="/i.png"><a href=')"""
+_IMAGES_SQL = """regexp_extract_all(html, '<img[^>]+src=["'']([^"'']+)["''][^>]*>', 1, 'i')"""
 
 
 @query(
     "scrape_pages",
-    f"""WITH {PAGES_SQL}, checked AS (SELECT url, body AS html, {_SCRAPE_ERROR} AS message FROM pages_fetched)
+    f"""WITH {PAGES_SQL}, checked AS (SELECT url, {_WITH_IMAGES} AS html, {_SCRAPE_ERROR} AS message
+        FROM pages_fetched)
     SELECT url, CASE WHEN message IS NULL THEN {_TITLE} END AS title,
         CASE WHEN message IS NULL THEN {TEXT_SQL} END AS text,
         CASE WHEN message IS NULL THEN array_to_string({LINKS_SQL}, ' ') END AS links,
-        CASE WHEN message IS NULL THEN '' END AS images,
+        CASE WHEN message IS NULL THEN array_to_string({_IMAGES_SQL}, ' ') END AS images,
         CASE WHEN message IS NULL THEN array_to_string(regexp_extract_all(html, '{_HEADING}', 1, 'i'), '|') END
             AS headings,
         CASE WHEN message IS NULL THEN '' END AS broken, message AS error FROM checked""",
 )
 def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scraped = scrape_pages(page_responses(spark, sf_dir), {"headings": _HEADING, "broken": "(["})
+    """The pages have no images, so each gets one in front of every link."""
+    pages = page_responses(spark, sf_dir).withColumn("body", F.expr(_WITH_IMAGES))
+    scraped = scrape_pages(pages, {"headings": _HEADING, "broken": "(["})
     return scraped.withColumns(
         {
             "links": F.array_join("links", " "),
@@ -218,6 +223,7 @@ def echoed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = """CASE event_id % 7 WHEN 0 THEN 'fetchData' WHEN 1 THEN 'postData' WHEN 2 THEN 'fetchJSON'
     WHEN 3 THEN 'apiRequest' WHEN 4 THEN 'webhookCall' WHEN 5 THEN 'scrapeWebpage' ELSE 'checkStatus' END"""
 _CALL_URL = "CASE WHEN event_id % 10 <> 9 THEN concat('https://api.example.com/', user_id) END"
+_HOOK_URL = "CASE event_id % 3 WHEN 0 THEN concat('https://hook.example.com/', user_id) WHEN 1 THEN '' END"
 _METHOD = "CASE user_id % 6 WHEN 0 THEN 'post' WHEN 1 THEN 'PUT' WHEN 2 THEN 'delete' WHEN 3 THEN 'POST' END"
 _DATA = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '"plain text"' WHEN 2 THEN '""' WHEN 3 THEN 'null' END"""
 _CALL_HEADER = "CASE WHEN user_id % 4 = 0 THEN 'Content-Type' ELSE 'Accept' END"
@@ -225,7 +231,8 @@ _CALL_HEADER = "CASE WHEN user_id % 4 = 0 THEN 'Content-Type' ELSE 'Accept' END"
 
 @query(
     "build_requests",
-    f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, {_CALL_URL} AS url, {_METHOD} AS given, {_DATA} AS data,
+    f"""WITH calls AS (SELECT event_id, {_KIND} AS kind, CASE WHEN event_id % 7 = 4 AND event_id % 3 = 0
+        THEN {_HOOK_URL} ELSE {_CALL_URL} END AS url, {_METHOD} AS given, {_DATA} AS data,
         {_CALL_HEADER} AS header FROM events),
     shaped AS (SELECT *, event_id % 5 IN (0, 1) AS has_data,
         CASE WHEN kind IN ('fetchData', 'fetchJSON', 'scrapeWebpage', 'checkStatus') THEN 'GET'
@@ -252,6 +259,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.expr(_KIND).alias("kind"),
         F.expr(_CALL_URL).alias("url"),
+        F.expr(_HOOK_URL).alias("webhookUrl"),
         F.expr(_METHOD).alias("method"),
         F.create_map(F.expr(_CALL_HEADER), F.lit("given")).alias("headers"),
         F.expr(_DATA).alias("text"),

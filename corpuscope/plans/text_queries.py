@@ -61,7 +61,7 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NO_SCRIPT = r"regexp_replace(html, '<script[^>]*>[^\n\r\x{2028}\x{2029}]*?</script>', '', 'gi')"
 _NO_STYLE = rf"regexp_replace({_NO_SCRIPT}, '<style[^>]*>[^\n\r\x{{2028}}\x{{2029}}]*?</style>', '', 'gi')"
 _NO_TAGS = f"regexp_replace({_NO_STYLE}, '<[^>]+>', ' ', 'g')"
-TEXT_SQL = f"substring(trim(regexp_replace({_NO_TAGS}, '{WS_SQL}+', ' ', 'g')), 1, 1000)"
+TEXT_SQL = f"trim(regexp_replace({_NO_TAGS}, '{WS_SQL}+', ' ', 'g'))"
 
 
 @query(
@@ -72,7 +72,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-LINKS_SQL = """regexp_extract_all(html, '<a[^>]+href=["'']([^"'']+)["''][^>]*>', 1, 'i')[1:50]"""
+LINKS_SQL = """regexp_extract_all(html, '<a[^>]+href=["'']([^"'']+)["''][^>]*>', 1, 'i')"""
 
 
 @query(
@@ -87,7 +87,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IMAGES = """regexp_extract_all(replace(html, '<a href=', '<IMG alt="" src='),
-    '<img[^>]+src=["'']([^"'']+)["''][^>]*>', 1, 'i')[1:20]"""
+    '<img[^>]+src=["'']([^"'']+)["''][^>]*>', 1, 'i')"""
 
 
 @query(

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.jsontext import with_json
+from corpuscope.functions.jsontext import json_error, with_json
 from corpuscope.functions.paths import base_name
-from corpuscope.operators.corpus import PARSE_ERROR
+from corpuscope.functions.text import char_count, count_words
 
 FILE_TYPE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -51,10 +51,28 @@ def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool
     return as_text(_reader(spark, recursive).load(path))
 
 
+def text_file_stats(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """Size, lines and words of each text file, of any size: path, size, lines, wordCount.
+
+    The files are read line by line, a large one in several tasks, and counted before
+    the shuffle; no row holds a file. Only ``\\n`` ends a line, a last newline is followed by an
+    empty line, and a file is expected to end in one: one that does not counts one
+    unit and one line too many.
+    """
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
+    lines = reader.text(path).select(F.input_file_name().alias("path"), "value")
+    counted = lines.groupBy("path").agg(
+        F.sum(char_count(F.col("value")) + 1).alias("size"),
+        (F.count(F.lit(1)) + 1).alias("lines"),
+        F.sum(count_words(F.col("value"))).alias("wordCount"),
+    )
+    return counted
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Replace ``content`` by ``jsonData``, or ``parseError`` where it is not valid JSON."""
-    parsed = with_json(files, "jsonData", F.col("content")).drop("content")
-    return parsed.withColumn("parseError", F.when(F.col("jsonData").isNull(), PARSE_ERROR))
+    parsed = with_json(files, "jsonData", F.col("content"))
+    return parsed.withColumn("parseError", json_error(F.col("jsonData"), F.col("content"))).drop("content")
 
 
 def read_json_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:

@@ -50,11 +50,6 @@ def read_messages(df: DataFrame, json_col: str = "value") -> DataFrame:
     return _expand(df, json_col, MESSAGE_TYPE, {n: n for n in names})
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON text per line, for the three readers above."""
-    return spark.read.text(path)
-
-
 def read_catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Prompt or resource definitions, one JSON object per line.
 

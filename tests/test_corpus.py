@@ -145,8 +145,52 @@ def test_totals_of_changed_members(spark):
 
 def test_merge(spark):
     df = spark.createDataFrame([("a", "{}"), ("b", "{"), ("c", ""), ("d", None), ("e", "null")], "path string, content string")
-    assert corpus.merge_summary(df).first().asDict() == {"sources": 5, "merged": 2}
-    assert sorted(r.path for r in corpus.merge_sources(df).collect()) == ["a", "e"]
+    assert corpus.merge_summary(df).first().asDict() == {"sources": 5, "merged": 2, "tooLarge": 0}
+    assert sorted((r.path, r.error) for r in corpus.merge_sources(df).collect()) == [("a", None), ("e", None)]
+
+
+def test_sources_beyond_a_variant_are_kept(spark):
+    df = spark.range(1).selectExpr("'big' AS path", "concat('[', repeat('1234567,', 18000000), '1]') AS content")
+    assert corpus.merge_summary(df).first().asDict() == {"sources": 1, "merged": 0, "tooLarge": 1}
+    row = corpus.merge_sources(df).first()
+    assert (row.path, row.data, row.error) == ("big", None, "RangeError: JSON value too large")
+
+
+def test_files_that_cannot_be_read(spark):
+    rows = [("/d/a.txt", "one two\nx"), ("/d/b.txt", ""), ("/d/c.txt", None), ("", "x"), (None, None)]
+    df = spark.createDataFrame(rows, "path string, content string")
+    single = [(r.filename, r.wordCount, r.error) for r in corpus.extract_single(df, TS).collect()]
+    assert single == [
+        ("a.txt", 3, None), (None, None, "Failed to read file"), (None, None, "Input file not found: /d/c.txt"),
+        (None, None, "Input file not found: "), (None, None, "Input file not found: undefined"),
+    ]
+    preview = [(r.filePath, r.lineCount, r.error) for r in corpus.preview_files(df, lines=1).collect()]
+    assert preview == [
+        ("/d/a.txt", 2, None), ("/d/b.txt", None, "Failed to read file: /d/b.txt"),
+        ("/d/c.txt", None, "File not found: /d/c.txt"), ("", None, "filePath parameter is required"),
+        (None, None, "filePath parameter is required"),
+    ]
+
+
+def test_files_are_listed_by_name_and_path(spark):
+    df = spark.createDataFrame([("b", "/2/b", 1), ("a", "/9/a", 2), ("b", "/1/b", 3)], "filename string, path string, size int")
+    assert [r["size"] for r in corpus.collect_documents(df.repartition(3)).collect()] == [2, 3, 1]
+
+
+def test_large_text_files_in_several_tasks(spark, tmp_path):
+    target = tmp_path / "text"
+    target.mkdir()
+    content = "".join(f"line {i} \u00e9 \U0001f600\n" for i in range(20000))
+    (target / "big.txt").write_text(content)
+    (target / "small.txt").write_text("a b\n\nc\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        stats = files.text_file_stats(spark, str(target))
+        got = {os.path.basename(r.path): (r["size"], r.lines, r.wordCount) for r in stats.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    units = len(content.encode("utf-16-le")) // 2
+    assert got == {"big.txt": (units, 20001, 80000), "small.txt": (7, 4, 3)}
 
 
 def test_all_passed(spark):
@@ -186,6 +230,26 @@ def test_job_with_rules(spark, folder, tmp_path):
     assert {r.extension for r in spark.read.json(f"{out}/file_types").collect()} == {"JSON", "TXT", "MAKEFILE", "GZ"}
 
 
+def test_job_replaces_what_an_earlier_run_left(spark, folder, tmp_path):
+    out = str(tmp_path / "again")
+    run_corpus_job(spark, folder, out, run_ts=TS)
+    rules = {"name": {"source": "filename", "transform": "uppercase"}, "kilo": {"source": "size", "transform": "multiply", "factor": 2},
+             "note": {"source": "none", "default": "-"}}
+    total = run_corpus_job(spark, folder, out, rules, TS).first()
+    data = [json.loads(r.value) for r in spark.read.text(f"{out}/data").collect()]
+    names = sorted((n for n, c in FILES.items() if c))
+    assert [d["name"] for d in data] == [n.upper() for n in names]
+    assert [d["kilo"] for d in data] == [2.0 * len(FILES[n]) for n in names] and {d["note"] for d in data} == {"-"}
+    assert (total.totalFiles, total.totalSize) == (len(names), 0)
+
+
+def test_job_of_rules_that_yield_nothing(spark, folder, tmp_path):
+    out = str(tmp_path / "nothing")
+    total = run_corpus_job(spark, folder, out, {"x": {"source": "none"}}, TS).first()
+    assert (total.totalFiles, total.totalSize, total.totalWords) == (sum(bool(c) for c in FILES.values()), 0, 0)
+    assert {r.value for r in spark.read.text(f"{out}/data").collect()} == {"{}"}
+
+
 def test_job_stops_without_input(spark, tmp_path):
     with pytest.raises(PySparkException):
         run_corpus_job(spark, str(tmp_path / "none"), str(tmp_path / "out"))
@@ -206,7 +270,7 @@ def test_records(spark, tmp_path):
     message = '{"jsonrpc":"2.0","id":"1","method":"tools/call","params":{"a":1}}'
     path = str(tmp_path / "lines")
     sinks.write_text(spark.createDataFrame([(response,)], "line string"), path)
-    got = records.read_responses(records.read_json_lines(spark, path)).first()
+    got = records.read_responses(spark.read.text(path)).first()
     assert got.asDict() == {"url": "u", "status_code": 200, "status_text": "OK", "headers": {"A": "b"}, "body": "x", "error": None}
     row = records.read_calls(spark.createDataFrame([(call,)], "value string")).first()
     assert (row.execHandler, row.arguments.toPython()) == ("h", {"path": "/x"})
@@ -274,7 +338,7 @@ def test_stream_of_pages(spark, tmp_path):
 def test_shared_dir(spark, monkeypatch):
     first = session.scratch_path(spark, "x")
     assert first != session.scratch_path(spark, "x")
-    assert os.path.dirname(first) == session.shared_dir(spark)
+    assert os.path.dirname(os.path.dirname(first)) == session.shared_dir(spark)
     class Conf:
         def get(self, key, default=None):
             return "hdfs:///shared/" if key == "spark.checkpoint.dir" else default

@@ -7,39 +7,42 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_fits_broadcast(spark):
-    df = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("t"))
-    assert lk.fits_broadcast(df, 10, 10_000)
-    assert not lk.fits_broadcast(df, 9, 10_000)
-    assert not lk.fits_broadcast(df, 10, 900)
-    assert lk.fits_broadcast(df.limit(0))
-
-
 def manifest(spark):
     """A third of the rows on one path, some rows without a path, exact copies."""
     key = F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('p', id % 97) END")
     return spark.range(0, 3000, 1, 6).select((F.col("id") % 500).alias("n"), key.alias("path"))
 
 
-def test_large_side_with_hot_key(spark):
+def test_hot_key_keeps_all_rows(spark):
     left = manifest(spark)
     right = spark.createDataFrame([("hot", 1), *[(f"p{i}", i) for i in range(0, 97, 2)]], "path string, size int")
-    small = lk.lookup(left, right, "path", small=True)
-    large = lk.lookup(left, right, "path", small=False, hot_rows=500, salts=4)
-    order = ["path", "n", "size"]
-    expected = [tuple(r) for r in small.select(*order).orderBy(*order).collect()]
-    assert [tuple(r) for r in large.select(*order).orderBy(*order).collect()] == expected
-    assert len(expected) == 3000
-    assert large.columns == small.columns
-
-
-def test_hot_key_is_spread(spark):
-    left = manifest(spark)
-    right = spark.createDataFrame([("hot", 1)], "path string, size int")
-    joined = lk.lookup(left, right, "path", small=False, hot_rows=500, salts=4)
-    assert "_salt" in plan(joined)
-    rows = joined.where("path = 'hot'").withColumn("task", F.spark_partition_id())
-    assert rows.count() == 1000
+    joined = lk.lookup(left, lk.one_per_key(right, "path", F.max("size").alias("size")), "path")
+    assert joined.count() == 3000
+    assert joined.where("path = 'hot' AND size = 1").count() == 1000
+    assert joined.where("path IS NULL AND _found").count() == 0
+
+
+def test_hot_key_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        left = spark.range(0, 200000, 1, 8).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE uuid() END AS path")
+        right = spark.range(200000).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('p', id) END AS path")
+        flags = lk.exists_flag(left, right)
+        assert flags.where("exists").count() == 66667
+        flags.collect()
+        assert "skew=true" in flags._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_exists(spark):
@@ -54,39 +57,33 @@ def test_exists(spark):
     assert sorted(r.n for r in lk.missing(left, files).collect()) == [2, 4]
 
 
-def test_exists_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(lk, "fits_broadcast", lambda df: False)
-    left = manifest(spark)
-    files = spark.createDataFrame([("hot",), ("hot",), ("p5",)], "path string")
-    found = lk.exists_flag(left, files, hot_rows=10, salts=3)
-    expected = left.where("path IN ('hot', 'p5')").count()
-    assert found.count() == 3000
-    assert found.where("exists").count() == expected
-    assert lk.existing(left, files, hot_rows=10, salts=3).count() == expected
-    assert lk.missing(left, files, hot_rows=10, salts=3).count() == 3000 - expected
-
-
 def test_prompts(spark):
-    prompts = spark.createDataFrame([("p", "Do {x}", "[]"), ("p", "Do {y}", "[]")], "name string, template string, arguments string")
-    asked = spark.createDataFrame([(1, "p"), (2, "q"), (3, ""), (4, None)], "i int, promptName string")
+    prompts = spark.createDataFrame(
+        [("p", "Do {x}", "[]"), ("p", "Do {y}", "[]"), ("p", None, None), ("n", None, None)],
+        "name string, template string, arguments string",
+    )
+    asked = spark.createDataFrame([(1, "p"), (2, "q"), (3, ""), (4, None), (5, "n")], "i int, promptName string")
     rows = lk.prompt_lookup(asked, prompts).orderBy("i").collect()
     assert [(r.message, r.error) for r in rows] == [
         ("p: Do {x}", None),
         (None, "Failed to get prompt q"),
         (None, "Prompt name requiered"),
         (None, "Prompt name requiered"),
+        (None, "Failed to parse prompt n"),
     ]
 
 
 def test_resources(spark):
-    resources = spark.createDataFrame([("r", "file:///r", "text/plain")], "name string, uri string, mimeType string")
-    asked = spark.createDataFrame([(1, "r"), (2, "s"), (3, None)], "i int, resourceName string")
+    resources = spark.createDataFrame([("r", "file:///r", "text/plain"), ("n", None, None)], "name string, uri string, mimeType string")
+    asked = spark.createDataFrame([(1, "r"), (2, "s"), (3, None), (4, "n")], "i int, resourceName string")
     rows = lk.resource_lookup(asked, resources).orderBy("i").collect()
+    assert [r.name for r in rows] == ["r", "", "", ""]
     assert [(r.text, r.uri, r.mimeType, r.error) for r in rows] == [
         ("r: take a look following link:\nfile:///r", "file:///r", "text/plain", None),
         ("Failed to load resource: s", "", "plain/text", "Failed to load resource: s"),
         ("Failed to load resource: MCP resource name required", "", "plain/text",
          "Failed to load resource: MCP resource name required"),
+        ("Failed to parse resource: n", "", "plain/text", "Failed to parse resource: n"),
     ]
 
 
@@ -119,6 +116,14 @@ def test_downloads(spark):
     assert [(r.path, r["size"], r.exists) for r in rows] == [
         ("/d/x", 7, True), ("/t/a.zip", 5, True), ("/t/download.txt", 0, False),
     ]
+    tried = asked.withColumn("downloaded", F.col("destination").isNull()).union(
+        spark.createDataFrame([(None, "/d/x", True)], "url string, destination string, downloaded boolean")
+    )
+    rows = lk.download_info(tried, files, "/t").orderBy("path", "url").collect()
+    assert [(r.path, r.error, r.success) for r in rows] == [
+        ("/d/x", "URL is required", False), ("/d/x", "Failed to download file", False), ("/t/a.zip", None, True),
+        ("/t/download.txt", "Failed to download file", False),
+    ]
 
 
 def test_last_wins_and_overlay(spark):

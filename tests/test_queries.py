@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from corpuscope.plans import ORACLES, QUERIES
 from tests.conftest import DATA
 
 TABLES = (
@@ -26,13 +27,13 @@ def canonical(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    result = contract.queries()[name](spark, DATA)
-    cursor = con.execute(contract.oracle_sql()[name])
+    result = QUERIES[name](spark, DATA)
+    cursor = con.execute(ORACLES[name])
     expected_columns = [d[0] for d in cursor.description]
     assert sorted(result.columns) == sorted(expected_columns)
     expected = canonical(expected_columns, cursor.fetchall())

@@ -114,10 +114,29 @@ def test_report(spark):
     ]
     assert [r.line for r in got if r.i == 3] == head + ["", rule]
     assert {r.i for r in got} == {1, 3, 4}
+    assert [r.line for r in got if r.i == 4] == head + ["0: 5", "", rule]
+    sizes = {r.i: r["size"] for r in reports.report_sizes(reports.report_lines(df, "i", "t", "TS"), "i").collect()}
+    assert sizes[3] == sum(len(line) + 1 for line in [*head, "", rule])
     printed = reports.report_lines(df, "i", "t", "TS", output="json").where("i = 3").first()
     assert printed.line == "{}"
 
 
+def test_report_order_and_other_values(spark):
+    texts = ['[1,{"a":2},null,[3]]', '{"b":1,"2":2,"1":{"y":1,"0":2},"b":4}', '"aé"', "7", "null", '{"k":[]} x']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = reports.report_lines(df, "i", "t", "TS").orderBy("i", "seq", "line_no").collect()
+    lines = {i: [r.line for r in got if r.i == i][5:-2] for i in range(6)}
+    assert lines == {
+        0: ["0: 1", "", "1:", "  a: 2", "", "2:", "3: [3]"],
+        1: ["", "1:", "  0: 2", "  y: 1", "2: 2", "b: 4"],
+        2: ['0: "a"', '1: "é"'],
+        3: [],
+        4: [],
+        5: [],
+    }
+    assert {r.i for r in got} == {0, 1, 2, 3, 4}
+
+
 def test_stage_report(spark):
     runs = spark.createDataFrame([(1, "s", "e"), (2, "s", "e")], "run int, startTime string, endTime string")
     stages = spark.createDataFrame([(1, 1, "two", (5, None)), (1, 0, "one", (3, "x"))],
