@@ -52,7 +52,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline_queries_total",
-                "value": round(sum(seconds.values()), 3),
+                "value": round(sum(seconds[name] for name in WARMED), 3),
                 "unit": "sec",
                 "queries": seconds,
                 "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
