@@ -63,20 +63,14 @@ def _members(text: Column, raw: bool) -> Column:
     Both readings list the members in the text's order, so an entry carries all of its
     member. A name given twice keeps its first place and its last value.
     """
-    entry = "array<struct<key:string,value:variant,raw:string>>"
 
     def read(values: Column) -> Column:
-        pairs = F.map_entries(values)
+        joined = F.map_entries(values)
         if raw:
             texts = F.map_values(F.from_json(text, "map<string,string>", NO_LIMITS))
             joined = F.zip_with(
-                pairs, texts, lambda e, r: F.struct(e["key"].alias("key"), e["value"].alias("value"), r.alias("raw"))
-            )
-        else:
-            joined = F.transform(
-                pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(None).alias("raw"))
+                joined, texts, lambda e, r: F.struct(e["key"].alias("key"), e["value"].alias("value"), r.alias("raw"))
             )
-        joined = joined.cast(entry)
         names = F.map_keys(values)
         last = F.transform(
             F.array_distinct(names),
@@ -141,7 +135,7 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
     configure(df.sparkSession)
     entry = "array<struct<key:string,value:variant,raw:string>>"
     none = F.array(F.lit(None).cast("struct<key:string,value:variant,raw:string>"))
-    listed = F.coalesce(_entries(text).cast(entry), F.array().cast(entry))
+    listed = F.coalesce(_entries(text), F.array().cast(entry))
     # missing entries stand for head and foot; none at all where the text is no JSON
     prepared = df.select(key, F.when(valid_json(text), F.concat(none, listed, none)).alias("_entries"))
     # the output of a generator stays where it is: a filter below it would read the text again
