@@ -18,7 +18,7 @@ from corpuscope.session import shuffle_partitions, stored
 #: Length of a repeated string, in bytes.
 MIN_BYTES = 200
 #: Bytes that each anchor hashes, out of the window that chooses it.
-ANCHOR_BYTES = 100
+ANCHOR_BYTES = 80
 #: Distinct passages around one anchor that go into one index; an anchor with more is decided window by window.
 MOST_PASSAGES = 1024
 #: Bytes of passages per index.
@@ -160,9 +160,11 @@ def _index_marks(window: int):
         keys: list[tuple[int, int, int]] = []
         bodies: list[bytes] = []
         size = 0
-        for batch in batches:  # sorted by anchor
+        for batch in batches:  # sorted by anchor and passage
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for anchor, passage, copies, body in zip(*columns, strict=True):
+                if keys and keys[-1][:2] == (anchor, passage):
+                    continue  # cut from a row that repeats
                 if size >= INDEX_BYTES and anchor != keys[-1][0]:
                     yield marks(keys, bodies)
                     keys, bodies, size = [], [], 0
@@ -255,6 +257,8 @@ def repeated_bytes(
     key = [F.col("doc_id"), F.col("text_hash")]
     anchors = stored(keyed.select(*key, "text").mapInArrow(_anchors(min_bytes, anchor_bytes), _ANCHORS), "anchors")
     seen = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("_seen")).filter("_seen > 1")
+    # written, so that the join deals both sides anew and a hot anchor's partition can be split
+    seen = stored(seen.select("anchor"), "seen")
     places = stored(anchors.join(seen, "anchor", "left_semi"), "places")
 
     passages = places.groupBy("anchor", "passage").agg(
@@ -271,9 +275,8 @@ def repeated_bytes(
     same_doc = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
     once = keyed.select(*key, "text").join(asked, same_doc)
     bodies = stored(once.select("text", "_asked").mapInArrow(_cut_passages(min_bytes), _PASSAGES), "bodies")
-    # a repeated row is cut twice
     whole = bodies.filter("body is not null").select("anchor", "passage", "copies", "body")
-    whole = whole.dropDuplicates(["anchor", "passage"]).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    whole = whole.repartition(parts, "anchor").sortWithinPartitions("anchor", "passage")
     marks = whole.mapInArrow(_index_marks(min_bytes), _MARKS)
 
     windows = bodies.filter("window is not null").select(
