@@ -8,6 +8,7 @@ with another set bounds what they can share with it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +23,18 @@ from corpuscope.llm.textbytes import flat, mixed, row_groups
 from corpuscope.llm.words import LOWER, word_hashes
 from corpuscope.session import shuffle_partitions, stored
 
-#: Cells in which the frequency of shingles is counted; their number bounds what is gathered.
-CELLS = 1 << 16
+#: Cells in which the frequency of shingles is counted, as bits of a hash; their number bounds what is gathered.
+CELL_BITS = 20
+#: Cells that travel together.
+CELL_BLOCK = 1 << 12
 #: Entries of a list from which it is cut into blocks, and positions and entries per block.
 LONG_LIST = 256
 BAND = 16
 #: Bits of the filter that keeps texts which are not asked for from being shuffled.
 FILTER_BITS = 1 << 23
 
-_LOW = np.uint64((1 << 48) - 1)
+_SHIFT = np.uint64(64 - CELL_BITS)
+_LOW = np.uint64((1 << (64 - CELL_BITS)) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -80,7 +84,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nda
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each text in the global order, each once, and the bounds of the texts."""
     tokens, rows = _shingles(data, offsets, words)
-    tokens = (places[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (tokens & _LOW)
+    tokens = (places[(tokens >> _SHIFT).astype(np.int64)].astype(np.uint64) << _SHIFT) | (tokens & _LOW)
     order = np.lexsort((tokens, rows))
     tokens, rows = tokens[order], rows[order]
     if len(tokens):
@@ -91,19 +95,56 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int, places: np.ndarray)
 
 def _cell_counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for first, last in row_groups(offsets):
                 begin = offsets[first]
                 tokens, _ = _shingles(data[begin : offsets[last]], offsets[first : last + 1] - begin, words)
-                counts += np.bincount((tokens >> np.uint64(48)).astype(np.int64), minlength=CELLS)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "seen"])
+                counts += np.bincount((tokens >> _SHIFT).astype(np.int64), minlength=1 << CELL_BITS)
+        yield _cell_blocks(dict(enumerate(counts.reshape(-1, CELL_BLOCK))))
 
     return run
 
 
+def _cell_blocks(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Blocks of counts in which something was seen, packed."""
+    used = [number for number, counts in blocks.items() if counts.any()]
+    packed = [zlib.compress(blocks[number].astype("<i8").tobytes(), 1) for number in used]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "seen"]
+    )
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<i8")
+
+
+def _added_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + _unpacked(packed)
+    yield _cell_blocks(sums)
+
+
+def _global_order(texts: DataFrame, words: int) -> np.ndarray:
+    """The place of each cell, the one with the fewest shingles first.
+
+    A block of cells from each task is added up before all of them, some megabytes,
+    are gathered.
+    """
+    parts = min(shuffle_partitions(texts.sparkSession), (1 << CELL_BITS) // CELL_BLOCK)
+    schema = "block int, seen binary"
+    counted = texts.mapInArrow(_cell_counts(words), schema).repartition(parts, "block").mapInArrow(_added_blocks, schema)
+    seen = np.zeros((1 << CELL_BITS) // CELL_BLOCK * CELL_BLOCK, dtype=np.int64).reshape(-1, CELL_BLOCK)
+    for row in counted.toLocalIterator():
+        seen[row.block] = _unpacked(row.seen)
+    places = np.empty(1 << CELL_BITS, dtype=np.uint32)
+    places[np.argsort(seen.reshape(-1), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
+    return places
+
+
 def _prefixes(join: Join, places: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +155,8 @@ def _prefixes(join: Join, places: np.ndarray):
                     data[begin : offsets[last]], offsets[first : last + 1] - begin, join.words, places
                 )
                 sizes = np.diff(bounds)
-                sums = np.concatenate([[0], np.cumsum(mixed(tokens ^ _STEP), dtype=np.uint64)]).astype(np.uint64)
+                sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+                np.cumsum(mixed(tokens ^ _STEP), out=sums[1:])
                 prints = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64))
                 keep = np.where(sizes > 0, sizes + (-(sizes * join.over) // join.under) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(keep)])
@@ -166,6 +208,26 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the second set of each pair has and the first lacks."""
+    for batch in batches:
+        sizes, extras = [], []
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+            sizes.append((len(a), len(b)))
+            extras.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                *(pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1)),
+                pa.array([s[1] - len(e) for s, e in zip(sizes, extras, strict=True)], pa.int64()),
+                pa.array(extras, pa.list_(pa.int64())),
+            ],
+            names=["a", "b", "size_a", "size_b", "shared", "extras"],
+        )
+
+
 def _list_pairs(join: Join):
     fields = ("lead", "comp", "low", "high", "first", "last")
 
@@ -185,8 +247,16 @@ def _list_pairs(join: Join):
                     keep &= a["lead"] < b["lead"]
                 i, j = np.nonzero(keep)
                 x, y = a["lead"][i, 0], b["lead"][0, j]
+                # the least number of lists that the two must share
+                overlap = -(-(a["low"][i, 0] + b["low"][0, j]) * join.over // (join.over + join.under))
+                rest = -(-np.maximum(a["high"][i, 0], b["high"][0, j]) * join.over // join.under) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
+                    [
+                        pa.array(np.minimum(x, y)),
+                        pa.array(np.maximum(x, y)),
+                        pa.array(np.maximum(overlap - rest, 1)),
+                    ],
+                    names=["a", "b", "least"],
                 )
 
     return run
@@ -215,8 +285,8 @@ class _Texts:
         ).mapInArrow(_asked_sets(self._join.words, self._places, bits.view(np.uint8)), "doc_id long, body binary")
         return found.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """``a``, ``b``, ``size_a``, ``size_b``, ``shared`` for pairs ``a``, ``b`` of ids."""
+    def compared(self, pairs: DataFrame, extras: bool = False) -> DataFrame:
+        """``a``, ``b``, ``size_a``, ``size_b``, ``shared`` for pairs ``a``, ``b`` of ids; and what b has beyond a."""
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
         bodies = stored(self._asked(ids), "sets")
@@ -225,7 +295,10 @@ class _Texts:
             .join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b")
             .select("a", "b", "body_a", "body_b")
         )
-        return stored(full.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, shared long"), "overlaps")
+        schema = "a long, b long, size_a long, size_b long, shared long"
+        if extras:
+            return stored(full.mapInArrow(_extras, f"{schema}, extras array<long>"), "extras")
+        return stored(full.mapInArrow(_overlaps, schema), "overlaps")
 
 
 def _leaders(lists: DataFrame, join: Join) -> DataFrame:
@@ -285,6 +358,56 @@ def _list_tiles(entries: DataFrame, join: Join) -> DataFrame:
     return tiles.select("sets", F.col("o_sets"), (place == o_place).alias("same"))
 
 
+def _derived(apart: DataFrame, members: DataFrame, groups: DataFrame, texts: _Texts, join: Join) -> DataFrame:
+    """Similar pairs of followers, or of a leader and a follower, of leaders that are not similar: ``a``, ``b``.
+
+    Followers x of a and y of b share at most what a and b share, and what a and b lack of
+    them; pairs of leaders are kept if this bound allows any. Of the two let a be the one whose
+    followers are further away. Each y is compared with a. A follower x of a then shares
+    with y at most what a shares, and those of its own shingles that a lacks and y has. So x and y are compared
+    themselves only if what a shares is enough for the size of x, or if x and y have
+    enough shingles in common that a lacks, which short lists of these few tell.
+    """
+
+    def of(side: str) -> DataFrame:
+        return groups.select(F.col("lead").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "lack")))
+
+    near = apart.select("a", "b", "shared").join(of("a"), "a").join(of("b"), "b")
+    reach = F.col("shared") + F.col("lack_a") + F.col("lack_b")
+    low = join.overlap(F.col("low_a") + F.col("low_b"))
+    near = near.filter((F.col("lack_a") + F.col("lack_b") > 0) & (reach >= low))
+    turn = F.col("lack_a") < F.col("lack_b")
+    near = near.select(
+        F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("lead")
+    )
+    near = stored(near, "near")
+    crossed = near.join(members.select("lead", "cid"), "lead").select("a", F.col("cid").alias("b"))
+    met = texts.compared(crossed, extras=True)  # leader a, and y with its extras
+    direct = _similar(met, join).select("a", "b")
+
+    far = met.join(direct, ["a", "b"], "left_anti").select(
+        "a", F.col("b").alias("y"), F.col("size_b").alias("n_y"), F.col("shared").alias("common"), "extras"
+    )
+    far = stored(far, "far")
+    own = members.join(near.select(F.col("a").alias("lead")).distinct(), "lead", "left_semi").filter("cid <> lead")
+    own = stored(own.select(F.col("lead").alias("a"), F.col("cid").alias("b")), "own")
+    x = texts.compared(own, extras=True).select(
+        "a", F.col("b").alias("x"), F.col("size_b").alias("n_x"), F.col("extras").alias("own")
+    )
+    x = stored(x, "followers")
+    least = join.overlap(F.col("n_x") + F.col("n_y"))
+    fit = join.sizes_fit(F.col("n_x"), F.col("n_y"))
+    enough = x.select("a", "x", "n_x").join(far.select("a", "y", "n_y", "common"), "a").filter((F.col("common") >= least) & fit)
+    few = x.select("a", "x", "n_x", F.explode("own").alias("token"))
+    theirs = far.select("a", "y", "n_y", "common", F.explode("extras").alias("token"))
+    gained = few.join(theirs, ["a", "token"]).groupBy("a", "x", "y", "n_x", "n_y", "common").agg(
+        F.count(F.lit(1)).alias("gain")
+    )
+    gained = gained.filter((F.col("common") + F.col("gain") >= least) & fit)
+    pairs = enough.select("x", "y").union(gained.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return direct.union(_similar(texts.compared(pairs), join).select("a", "b"))
+
+
 def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """Components of documents whose sets of word shingles are similar: ``doc_id``, ``n_shingles``, ``component_id``.
 
@@ -295,7 +418,7 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     least id reachable. Rows that share an id are one document; a row with a null id links
     with nothing and has a null component. Extra columns are left aside.
 
-    1. Shingles are counted in 65,536 cells, which gives the global order.
+    1. Shingles are counted in a million cells, which gives the global order.
     2. Equal sets are one class, so copies cost one set. The prefix of a class goes to the lists of its shingles;
        lists of one class are dropped.
     3. Each class is compared with its leader, the list head it shares most with.
@@ -303,17 +426,10 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     4. In every list, pairs of leaders of different components are candidates if sizes,
        positions and the number of lists that they share allow it; whole blocks are
        skipped by these. They are compared with each other in full.
-    5. Followers x of a and y of b share at most what a and b share, and what a and b
-       lack of x and y; only pairs that this bound allows are compared themselves.
+    5. Followers of leaders that are not similar: see :func:`_derived`.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = plain.select("text").mapInArrow(_cell_counts(join.words), "cell long, seen long")
-    seen = np.zeros(CELLS, dtype=np.int64)
-    for row in counts.groupBy("cell").agg(F.sum("seen").alias("seen")).collect():  # at most 65,536 rows
-        seen[row.cell] = row.seen
-    places = np.empty(CELLS, dtype=np.uint64)
-    places[np.lexsort((np.arange(CELLS), seen))] = np.arange(CELLS, dtype=np.uint64)
+    places = _global_order(plain.select("text"), join.words)
 
     sets = stored(plain.mapInArrow(_prefixes(join, places), "doc_id long, n long, print long, prefix array<long>"), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
@@ -360,28 +476,12 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
     several = several.filter(F.col("_least") != F.col("_most")).select("token", "k")
     tiles = _list_tiles(entries.join(several, "token"), join)
-    pairs = tiles.mapInArrow(_list_pairs(join), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
-
-    def of(side: str) -> DataFrame:
-        return groups.select(F.col("lead").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "lack")))
-
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
-    low = F.col("low_a") + F.col("low_b")
-    pairs = stored(pairs.filter(F.col("lists") >= join.shared_prefix(low, F.col("high_a"), F.col("high_b"))), "candidates")
-    compared = texts.compared(pairs)
+    pairs = tiles.mapInArrow(_list_pairs(join), "a long, b long, least long")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.max("least").alias("least"))
+    compared = texts.compared(pairs.filter("lists >= least").select("a", "b"))
     linked = _similar(compared, join)
-    apart = compared.join(linked.select("a", "b"), ["a", "b"], "left_anti").join(pairs, ["a", "b"])
-    reach = F.col("shared") + F.col("lack_a") + F.col("lack_b")
-    apart = apart.filter((F.col("lack_a") + F.col("lack_b") > 0) & (reach >= join.overlap(low)))
-    least = join.overlap(low)
-    x = members.select(F.col("lead").alias("a"), F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("lack").alias("lack_x"))
-    y = members.select(F.col("lead").alias("b"), F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("lack").alias("lack_y"))
-    near = apart.join(x, "a").filter(F.col("shared") + F.col("lack_x") + F.col("lack_b") >= least)
-    near = near.join(y, "b").filter(
-        (F.col("shared") + F.col("lack_x") + F.col("lack_y") >= join.overlap(F.col("n_x") + F.col("n_y")))
-        & join.sizes_fit(F.col("n_x"), F.col("n_y"))
-    )
-    derived = _similar(texts.compared(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), join)
+    apart = compared.join(linked.select("a", "b"), ["a", "b"], "left_anti")
+    derived = _derived(apart, members, groups, texts, join)
 
     edges = close.select("a", "b").union(linked.select("a", "b")).union(derived.select("a", "b"))
     reached = components(edges)
