@@ -23,7 +23,7 @@ SEGMENT_IDS = 1 << 18
 #: The id behind each document.
 END_ID = 1
 #: Words that a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 
 _SEGMENTS = "part int, segment int, before long, n_ids long, payload binary"
 
@@ -48,9 +48,10 @@ class LibraryWords:
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all these words at hand."""
-        new = words - self.ids.keys()
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self._piece_ids, new = {}, {}, words
+        known = self.ids
+        new = [word for word in words if word not in known]
+        if len(known) + len(new) > REMEMBERED:
+            self.ids, self._piece_ids, new = {}, {}, list(words)
         for word in new:
             self.ids[word] = b"".join(map(self._piece, self._cut.pieces(word)))
 
