@@ -163,12 +163,13 @@ class WordCodes:
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all these words at hand: decimal, a space between."""
-        new = words - self.id_text.keys()
+        new = [word for word in words if word not in self.id_text]
         if len(self.id_text) + len(new) > REMEMBERED:
-            self.id_text, self._piece_ids, new = {}, {}, words
+            self.id_text, self._piece_ids, new = {}, {}, list(words)
         known = self._piece_ids
         cut = {word: self._cut.pieces(word) for word in new}
-        missing = {piece for pieces in cut.values() for piece in pieces if isinstance(piece, str)} - known.keys()
+        pieces_of_new = (piece for pieces in cut.values() for piece in pieces if isinstance(piece, str))
+        missing = {piece for piece in pieces_of_new if piece not in known}
         for piece, ids in self._bpe.encode(missing):
             known[piece] = " ".join(map(str, ids))
         for word, pieces in cut.items():
