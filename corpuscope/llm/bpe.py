@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuscope.llm.pretokens import WORDS, pretokenizer
 from corpuscope.llm.registry import query, table
 
-#: Words that a Python worker remembers; beyond, it starts anew.
+#: Words that a task remembers; beyond, it starts anew.
 REMEMBERED = 400_000
-_REMEMBERED_PAIRS = 400_000
+_REMEMBERED_PAIRS = 200_000
 _NEVER = 1 << 60
 
 
@@ -178,6 +178,10 @@ class WordCodes:
             else:
                 self.id_text[word] = " ".join([known[p] if isinstance(p, str) else str(p) for p in pieces])
 
+    def forget(self) -> None:
+        """Leave the words; the worker may go on with other work."""
+        self.id_text, self._piece_ids = {}, {}
+
     def encode(self, words: list[str]) -> str:
         """The ids of words that were learned."""
         return " ".join(filter(None, map(self.id_text.__getitem__, words)))
@@ -231,6 +235,7 @@ def _encoded(path: str, with_ids: bool):
                     columns["decoded"] = pa.array(decoded, pa.string())
                 done += len(texts)
                 yield pa.RecordBatch.from_pydict(columns)
+        codes.forget()
 
     return run
 
