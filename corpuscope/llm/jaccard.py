@@ -362,7 +362,9 @@ def _derived(apart: DataFrame, members: DataFrame, groups: DataFrame, texts: _Te
     """Similar pairs of followers, or of a leader and a follower, of leaders that are not similar: ``a``, ``b``.
 
     Followers x of a and y of b share at most what a and b share, and what a and b lack of
-    them; pairs of leaders are kept if this bound allows any. Of the two let a be the one whose
+    them; pairs of leaders are kept if this bound allows any. Followers that a leader lacks
+    nothing of are smaller than it, so they may be similar where the leaders are not; only two leaders
+    without any follower are left aside. Of the two let a be the one whose
     followers are further away. Each y is compared with a. A follower x of a then shares
     with y at most what a shares, and those of its own shingles that a lacks and y has. So x and y are compared
     themselves only if what a shares is enough for the size of x, or if x and y have
@@ -370,12 +372,12 @@ def _derived(apart: DataFrame, members: DataFrame, groups: DataFrame, texts: _Te
     """
 
     def of(side: str) -> DataFrame:
-        return groups.select(F.col("lead").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "lack")))
+        return groups.select(F.col("lead").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "lack", "sets")))
 
     near = apart.select("a", "b", "shared").join(of("a"), "a").join(of("b"), "b")
     reach = F.col("shared") + F.col("lack_a") + F.col("lack_b")
     low = join.overlap(F.col("low_a") + F.col("low_b"))
-    near = near.filter((F.col("lack_a") + F.col("lack_b") > 0) & (reach >= low))
+    near = near.filter(((F.col("sets_a") > 1) | (F.col("sets_b") > 1)) & (reach >= low))
     turn = F.col("lack_a") < F.col("lack_b")
     near = near.select(
         F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("lead")
@@ -461,14 +463,15 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
     members = stored(members, "members")
     groups = members.groupBy("lead").agg(
-        F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("lack").alias("lack")
-    )
+        F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("lack").alias("lack"),
+        F.count(F.lit(1)).alias("sets"),
+    )
     groups = stored(groups, "groups")
     entries = (
         lists.join(members.select("cid", "lead"), "cid")
         .groupBy("token", "lead")
         .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-        .join(groups.drop("lack"), "lead")
+        .join(groups.drop("lack", "sets"), "lead")
     )
     entries = stored(entries, "entries")
     several = entries.groupBy("token").agg(

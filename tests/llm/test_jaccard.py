@@ -71,6 +71,25 @@ def test_long_lists_are_cut_into_blocks(documents, sentence, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == sorted(map(str, brute(rows, Join(4, 7, 10))))
 
 
+def test_followers_cut_at_the_ends_link_groups(documents):
+    """Two texts of one body with other endings, too far apart, and copies of both without some words at the ends."""
+    families = {
+        3: [(1, 2, 3), (0, 2, 0), (1, 1, 1), (0, 0, 0), (1, 2, 0), (1, 0, 0)],
+        23: [(1, 2, 0), (0, 3, 1), (0, 0, 0), (1, 0, 0), (1, 0, 3), (1, 1, 3)],
+        26: [(0, 0, 0), (1, 0, 0), (0, 0, 2), (1, 3, 0), (1, 3, 3), (1, 1, 0)],
+        73: [(0, 0, 0), (0, 2, 1), (1, 1, 2), (1, 0, 0)],
+        96: [(0, 3, 0), (0, 0, 0), (1, 3, 3), (1, 0, 0), (1, 3, 0), (1, 0, 1)],
+    }
+    rows = []
+    for f, copies in families.items():
+        whole = [[f"f{f}b{i}" for i in range(131)] + [f"f{f}t{t}_{i}" for i in range(12)] for t in (0, 1)]
+        rows += [(10 * f + i + 1, " ".join(whole[t][a : 143 - b])) for i, (t, a, b) in enumerate(copies)]
+    want = brute(rows, Join(4, 85, 100))
+    assert {c for _, _, c in want} == {10 * f + 1 for f in families}
+    got = similar_sets(documents(rows), Join(4, 85, 100)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_empty_table(documents):
     assert similar_sets(documents([])).collect() == []
 
