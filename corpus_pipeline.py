@@ -54,14 +54,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least id of each group that shares 80 percent of its shingles of five words.
 
-    Rows that repeat an id are one document, of which one row stays; of rows without
-    an id only equal texts are copies.
+    Rows are compared by their texts: rows that repeat an id with different texts are
+    documents of their own, and so are rows without an id, which stand behind those that have one. Rows
+    of one id and text are one document, known by a 64-bit hash of both.
     """
-    groups = similar_sets(docs, Join(5, 80, 100))
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(nameless).select(*COLUMNS)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    groups = similar_sets(keyed.select(F.col("_row").alias("doc_id"), "text"), Join(5, 80, 100))
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")
+    first = keyed.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(F.min(place).alias("_first"))
+    kept = keyed.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
+    # rows of one id and text may differ in the rest; the least is the same one in every rerun
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    return kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*COLUMNS)
 
 
 @stage

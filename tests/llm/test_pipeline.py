@@ -59,6 +59,17 @@ def test_stages_of_a_small_corpus(llm, documents, sentence, tmp_path):
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
 
 
+def test_near_copies_of_rows_that_repeat_an_id_or_have_none(llm, documents, sentence, tmp_path):
+    a, b, c, d, e = (sentence(f"near{i}", 60) for i in range(5))
+    rows = [(1, a), (1, b), (1, b), (2, f"{b} more"), (3, f"{a} more"), (None, c), (None, f"{c} more"), (4, d)]
+    rows += [(None, f"{d} more"), (5, e), (5, f"{e} more"), (None, None), (6, ""), (6, " ")]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(llm, documents(rows), str(tmp_path)).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    assert {(1, a), (1, b), (4, d), (None, None), (6, ""), (6, " ")} <= set(kept)
+    rest = [(i, t.removesuffix(" more")) for i, t in set(kept) - {(1, a), (1, b), (4, d), (None, None), (6, ""), (6, " ")}]
+    assert sorted(rest, key=str) == sorted([(None, c), (5, e)], key=str)
+
+
 def test_empty_table(llm, documents, tmp_path):
     pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}).to_parquet(tmp_path / "labels.parquet")
     docs = documents([])
