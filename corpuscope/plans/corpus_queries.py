@@ -400,18 +400,34 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'part-' AS prefix, CAST(count(DISTINCT lang) AS BIGINT) AS folders, true AS ordered FROM documents""",
 )
 def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing sorted by name and path: no row of a task comes before the one ahead of it."""
+    """The listing sorted by name and path: no row comes before the one ahead of it."""
     listing = scan_files(spark, _text_folder(spark, sf_dir), recursive=True, extensions=[".txt"], sort="name")
+    return listing_order(listing)
+
+
+def listing_order(listing: DataFrame) -> DataFrame:
+    """Prefix and folders of a listing, and whether its rows stand in the order of name and path.
+
+    Neighbours are compared within each task, and the first row of each task with the greatest
+    of all tasks before it, for which one row per task is enough.
+    """
     place = F.struct(F.col("name").alias("name"), F.col("path").alias("path"))
     numbered = listing.select("path", "name", F.monotonically_increasing_id().alias("position"), place.alias("place"))
-    # rows of a task stand together in the numbering, so neighbours are compared within each
-    within = W.partitionBy(F.shiftright("position", 33)).orderBy("position")
+    # rows of a task stand together in the numbering
+    numbered = numbered.withColumn("task", F.shiftright("position", 33))
+    within = W.partitionBy("task").orderBy("position")
     checked = numbered.withColumn("later", F.coalesce(F.lag("place").over(within) < F.col("place"), F.lit(True)))
-    return checked.agg(
+    tasks = checked.groupBy("task").agg(
+        F.bool_and("later").alias("later"), F.min_by("place", "position").alias("first"), F.max("place").alias("last")
+    )
+    before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    between = F.coalesce(F.max("last").over(before) < F.col("first"), F.lit(True))
+    ordered = tasks.withColumn("between", between).agg(F.bool_and(F.col("later") & F.col("between")).alias("ordered"))
+    # two rows side by side
+    return listing.agg(
         F.min(F.substring("name", 1, 5)).alias("prefix"),
         F.count_distinct(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1)).alias("folders"),
-        F.bool_and("later").alias("ordered"),
-    )
+    ).crossJoin(ordered)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscope import session
 from corpuscope.operators import corpus
 from corpuscope.plans.corpus_job import run_corpus_job
+from corpuscope.plans.corpus_queries import listing_order
 from corpuscope.sources import config, files, records, sinks
 from corpuscope.streaming.files import append_json, stream_text_files
 
@@ -193,6 +194,17 @@ def test_large_text_files_in_several_tasks(spark, tmp_path):
     assert got == {"big.txt": (units, 20001, 80000), "small.txt": (7, 4, 3)}
 
 
+def test_order_of_a_listing_between_tasks(spark):
+    def ordered(names):
+        rows = [(f"/x/lang=en/{n}", n) for n in names]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "path string, name string")
+        return listing_order(df).first()
+
+    assert ordered(["part-a", "part-b", "part-c", "part-d"]).asDict() == {"prefix": "part-", "folders": 1, "ordered": True}
+    assert not ordered(["part-c", "part-d", "part-a", "part-b"]).ordered
+    assert not ordered(["part-b", "part-a", "part-c", "part-d"]).ordered
+
+
 def test_all_passed(spark):
     df = spark.createDataFrame([(1, True, None), (1, None, None), (2, True, False), (2, True, True)],
                                "run int, success boolean, exists boolean")
