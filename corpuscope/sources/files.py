@@ -17,6 +17,9 @@ from corpuscope.functions.text import char_count, count_words
 
 FILE_TYPE = "path string, modificationTime timestamp, length bigint, content binary"
 
+#: Names of files that Spark's line reader unpacks.
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
+
 
 def scan_files(
     spark: SparkSession,
@@ -56,17 +59,26 @@ def text_file_stats(spark: SparkSession, path: str | list[str], recursive: bool
 
     The files are read line by line, a large one in several tasks, and counted before
     the shuffle; no row holds a file. Only ``\\n`` ends a line, a last newline is followed by an
-    empty line, and a file is expected to end in one: one that does not counts one
-    unit and one line too many.
+    empty line. Whether a file ends in one, and whether the reader has dropped a byte order mark of three
+    bytes, is told by the file's length. A file that Spark unpacks because of its
+    name has no such length; it is expected to end in a newline.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
-    lines = reader.text(path).select(F.input_file_name().alias("path"), "value")
+    lines = reader.text(path).select(
+        F.input_file_name().alias("path"), "value", F.col("_metadata.file_size").alias("length")
+    )
     counted = lines.groupBy("path").agg(
         F.sum(char_count(F.col("value")) + 1).alias("size"),
         (F.count(F.lit(1)) + 1).alias("lines"),
         F.sum(count_words(F.col("value"))).alias("wordCount"),
+        (F.sum(F.octet_length("value") + F.lit(1).cast("long")) - F.max("length")).alias("_over"),
+    )
+    packed = F.col("path").rlike(PACKED)
+    unended = F.when(~packed & F.col("_over").isin(1, -2), 1).otherwise(0)
+    mark = F.when(~packed & F.col("_over").isin(-2, -3), 1).otherwise(0)
+    return counted.select(
+        "path", (F.col("size") - unended + mark).alias("size"), (F.col("lines") - unended).alias("lines"), "wordCount"
     )
-    return counted
 
 
 def parse_files(files: DataFrame) -> DataFrame:

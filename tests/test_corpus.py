@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpuscope import session
+from corpuscope.functions.text import char_count, count_lines, count_words
 from corpuscope.operators import corpus
 from corpuscope.plans.corpus_job import run_corpus_job
 from corpuscope.plans.corpus_queries import listing_order
@@ -194,6 +195,24 @@ def test_large_text_files_in_several_tasks(spark, tmp_path):
     assert got == {"big.txt": (units, 20001, 80000), "small.txt": (7, 4, 3)}
 
 
+def test_text_files_without_a_last_newline(spark, tmp_path):
+    texts = {"open.txt": "a b\n\nc \u00e9 \U0001f600", "one.txt": "x", "shut.txt": "a\n", "blank.txt": "\n", "empty_end.txt": "a\n\n"}
+    texts |= {"mark.txt": "\ufeffa b\nc", "mark_shut.txt": "\ufeffa b\nc\n", "big.txt": "line \u00e9\n" * 9000 + "end"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        stats = files.text_file_stats(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {os.path.basename(r.path): (r["size"], r.lines, r.wordCount) for r in stats}
+    whole = files.read_text_files(spark, str(tmp_path)).select(
+        "filename", char_count(F.col("content")), count_lines(F.col("content")), count_words(F.col("content"))
+    )
+    assert got == {name: tuple(rest) for name, *rest in whole.collect()}
+    assert got["open.txt"] == (len(texts["open.txt"]) + 1, 3, 5) and got["one.txt"] == (1, 1, 1)
+
+
 def test_order_of_a_listing_between_tasks(spark):
     def ordered(names):
         rows = [(f"/x/lang=en/{n}", n) for n in names]
