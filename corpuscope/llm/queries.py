@@ -1,7 +1,19 @@
 """All registered queries of this subpackage."""
 
 import corpus_pipeline
-from corpuscope.llm import bpe, embeddings, fingerprints, jaccard, langid, mixing, quality, sharding, suffix_dedup, token_files  # noqa: F401
+from corpuscope.llm import (  # noqa: F401
+    bpe,
+    embeddings,
+    fingerprints,
+    jaccard,
+    langid,
+    mixing,
+    quality,
+    search,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
 from corpuscope.llm.registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
