@@ -9,6 +9,7 @@ from corpuscope.llm import (  # noqa: F401
     langid,
     mixing,
     quality,
+    repair,
     search,
     sharding,
     suffix_dedup,
