@@ -14,6 +14,7 @@ from corpuscope.llm import (  # noqa: F401
     sharding,
     suffix_dedup,
     token_files,
+    wrappers,
 )
 from corpuscope.llm.registry import ORACLES, QUERIES
 
