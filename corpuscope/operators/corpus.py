@@ -14,6 +14,7 @@ from corpuscope.functions.jsontext import PARSE_ERROR, TOO_LARGE, json_error, wi
 from corpuscope.functions.numbers import round_half_up
 from corpuscope.functions.paths import base_name, file_extension, has_extension, parent_path
 from corpuscope.functions.text import char_count, count_lines, count_words, preview_chars, preview_lines
+from corpuscope.operators.ranking import ranked
 from corpuscope.operators.rules import Rules, rules_json, typed_number
 
 JSON_SUFFIX = ".json"
@@ -49,7 +50,7 @@ def extract_stage(
         "filename",
         char_count(content).alias("size"),
         count_lines(content).alias("lines"),
-        _run_time(run_ts).alias("extractedAt"),
+        run_time(run_ts).alias("extractedAt"),
         "jsonData",
         F.when(is_json, json_error(F.col("jsonData"), content)).alias("parseError"),
         F.when(~is_json, count_words(content)).alias("wordCount"),
@@ -72,7 +73,7 @@ def extract_single(files: DataFrame, run_ts: str | None = None) -> DataFrame:
             "size": char_count(content),
             "lines": count_lines(content),
             "wordCount": count_words(content),
-            "extractedAt": _run_time(run_ts),
+            "extractedAt": run_time(run_ts),
         },
         error,
     )
@@ -112,7 +113,7 @@ def _described(files: DataFrame, columns: dict[str, Column], error: Column, keep
     )
 
 
-def _run_time(run_ts: str | None) -> Column:
+def run_time(run_ts: str | None) -> Column:
     return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
 
 
@@ -198,11 +199,14 @@ def file_type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy(extension.alias("extension")).agg(F.count("*").alias("files"))
 
 
-def collect_documents(records: DataFrame, order_by: tuple[str, ...] = ("filename", "path")) -> DataFrame:
+def collect_documents(
+    records: DataFrame, order_by: tuple[str, ...] = ("filename", "path"), rank: str | None = None
+) -> DataFrame:
     """All records in listing order: by file name, and by path where names repeat.
 
     Columns of ``order_by`` that the records do not have are passed over. Records that tie
-    stand in order of their other columns.
+    stand in order of their other columns. With ``rank`` the place of each record (from 1) is a column of
+    that name, which survives a write or a join as the order of rows does not.
 
     The rows stand for one ordered array, which would not fit one task. The sort
     is range-partitioned; rows of one name may end up in several partitions. It
@@ -211,7 +215,7 @@ def collect_documents(records: DataFrame, order_by: tuple[str, ...] = ("filename
     """
     first = [c for c in order_by if c in records.columns]
     others = [n for n, kind in records.dtypes if n not in first and not kind.startswith(("variant", "map"))]
-    return records.orderBy(*first, *others)
+    return ranked(records, [*first, *others], rank) if rank else records.orderBy(*first, *others)
 
 
 def merge_sources(files: DataFrame) -> DataFrame:

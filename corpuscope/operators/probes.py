@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.functions.jsontext import NO_LIMITS, quote
+
 # Header form and the verdicts that end a feature line.
 HEADER = r"^=== (.*) ===$"
 SUPPORTED = [" supported", " compatible"]
@@ -92,6 +94,19 @@ def _label(line: Column, verdicts: list[str]) -> Column:
 def probe_capabilities(
     lines: DataFrame, host: str = "host", features: list[str] | None = None, **columns: str
 ) -> DataFrame:
-    """One row per host, one boolean column per feature; NULL where nothing was said."""
-    verdicts = probe_verdicts(lines, host, **columns)
-    return verdicts.groupBy(host).pivot("feature", features or FEATURES).agg(F.bool_or("supported"))
+    """One row per host, one boolean column per listed feature, NULL where nothing was said; and ``others``.
+
+    The set of features is open: ``others`` is a map of all features that are not listed, in order of name, to
+    whether they are supported, NULL if there are none. Two aggregates: the last verdict of each host and
+    feature, one row per task before the shuffle, then the features of a host.
+    """
+    listed = FEATURES if features is None else features
+    named = F.col("feature").isin(*listed) if listed else F.lit(False)
+    member = F.when(~named, F.concat(quote(F.col("feature")), F.lit(":"), F.col("supported").cast("string")))
+    verdicts = probe_verdicts(lines, host, **columns).withColumn("_member", member)
+    found = verdicts.groupBy(host).agg(
+        *(F.bool_or(F.when(F.col("feature") == name, F.col("supported"))).alias(name) for name in listed),
+        F.expr("listagg(_member, ',') WITHIN GROUP (ORDER BY feature)").alias("_others"),
+    )
+    others = F.from_json(F.concat(F.lit("{"), "_others", F.lit("}")), "map<string,boolean>", NO_LIMITS)
+    return found.withColumn("others", others).drop("_others")

@@ -22,6 +22,7 @@ from corpuscope.functions.jsontext import (
 )
 from corpuscope.functions.numbers import finite_text
 from corpuscope.functions.text import char_count
+from corpuscope.operators.ranking import ranked
 from corpuscope.session import configure
 
 # Titles and labels of the reports.
@@ -140,15 +141,14 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
     prepared = df.select(key, F.when(valid_json(text), F.concat(none, listed, none)).alias("_entries"))
     # the output of a generator stays where it is: a filter below it would read the text again
     members = prepared.select(key, F.posexplode_outer("_entries").alias("seq", "_entry")).where(F.col("seq").isNotNull())
+    return _lines_of(members.select(key, "seq", F.col("_entry.key").alias("_name"), F.col("_entry.value").alias("_item"),
+                                    F.col("_entry.raw").alias("_raw")), key, run_ts)
+
+
+def _lines_of(members: DataFrame, key: str, run_ts: str) -> DataFrame:
+    """The lines of head (``seq`` 0), members and foot (no ``_name``)."""
     # one step each, so that no expression is copied into the next
-    members = members.select(
-        key,
-        "seq",
-        F.col("_entry.key").alias("_name"),
-        F.col("_entry.value").alias("_item"),
-        F.col("_entry.raw").alias("_raw"),
-        kind(F.col("_entry.value")).alias("_kind"),
-    )
+    members = members.withColumn("_kind", kind(F.col("_item")))
     name, item = F.col("_name"), F.col("_item")
     number = F.coalesce(finite_text(F.try_variant_get(item, "$", "double")), F.lit("null"))
     printed = F.when(F.col("_kind").isin(*NUMBERS), number).otherwise(F.to_json(item))
@@ -156,11 +156,42 @@ def report_lines(df: DataFrame, key: str, json_col: str, run_ts: str, output: st
         F.when(F.col("seq") == 0, _text_lines(RULE, DATA_TITLE, RULE, f"Generated: {run_ts}", ""))
         .when(name.isNull(), _text_lines("", RULE))
         .when(F.col("_kind").isin(OBJECT, NULL), _nested_lines(name, F.col("_raw")))
-        .otherwise(F.array(F.concat(name, F.lit(": "), printed)))
+        .otherwise(F.array(F.concat(name, F.lit(": "), F.coalesce(printed, F.col("_raw")))))
     )
     return members.select(key, "seq", F.posexplode_outer(lines).alias("line_no", "line"))
 
 
+def report_members(members: DataFrame, key: str, run_ts: str) -> DataFrame:
+    """The rows of :func:`report_lines` for JSON of any size, which is given member by member.
+
+    ``members`` is what :func:`corpuscope.sources.ranges.read_json_members` returns, ``key`` one of its columns that tells the
+    files apart. Files that are not JSON have no report, an empty array or object one of head and foot; plain values none but
+    these. A member beyond a variant prints as its text. The place of a member among all of its file comes
+    from a global order, so no task sees a file whole.
+    """
+    sound = members.filter(F.col("kind").isNotNull())
+    given = sound.filter("position is not null and kind <> 'value'")
+    name = F.coalesce("name", F.col("position").cast("string"))
+    number = F.when(F.col("name").rlike(WHOLE_NAME), F.col("name").cast("bigint"))
+    pair = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>", NO_LIMITS)
+    raw = F.when(F.col("kind") == "object", F.get(F.map_values(pair), F.lit(0))).otherwise(F.col("text"))
+    placed = ranked(
+        given.select(
+            key, name.alias("_name"), F.col("value").alias("_item"), raw.alias("_raw"),
+            number.isNull().alias("_named"), F.coalesce(number, F.lit(0)).alias("_number"), "position",
+        ),
+        [key, "_named", "_number", "position"],
+        "_rank",
+    )
+    counts = placed.groupBy(key).agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last"))
+    entries = placed.join(counts, key).select(key, (F.col("_rank") - F.col("_first") + 1).alias("seq"), "_name", "_item", "_raw")
+    ends = sound.select(key).distinct().join(counts, key, "left")
+    foot = F.coalesce(F.col("_last") - F.col("_first") + 2, F.lit(1)).cast("bigint")
+    nothing = (F.lit(None).cast("string").alias("_name"), F.lit(None).cast("variant").alias("_item"), F.lit(None).cast("string").alias("_raw"))
+    around = ends.select(key, F.explode(F.array(F.lit(0).cast("bigint"), foot)).alias("seq"), *nothing)
+    return _lines_of(entries.union(around), key, run_ts)
+
+
 def report_sizes(lines: DataFrame, key: str, output: str = "text") -> DataFrame:
     """The result row of each report of :func:`report_lines`: key, format, size in UTF-16 units with line ends."""
     return lines.groupBy(key).agg(

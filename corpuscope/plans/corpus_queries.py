@@ -25,6 +25,7 @@ from corpuscope.operators.corpus import (
     transform_stage,
 )
 from corpuscope.operators.items import apply_transform, extract_keys, items_filter, items_map
+from corpuscope.operators.reports import report_members
 from corpuscope.operators.rules import apply_rules, rules_json
 from corpuscope.plans.bases import (
     FILES_SQL,
@@ -37,9 +38,10 @@ from corpuscope.plans.bases import (
 )
 from corpuscope.plans.corpus_job import corpus_totals_of, run_corpus_job
 from corpuscope.plans.registry import query, table
-from corpuscope.session import scratch_path
+from corpuscope.session import scratch_path, stored
 from corpuscope.sources.config import parse_config_lines, read_config_lines
-from corpuscope.sources.files import read_json_files, read_text_files, scan_files, text_file_stats
+from corpuscope.sources.files import read_json_files, read_text_files, scan_files, sort_listing, text_file_stats
+from corpuscope.sources.ranges import extract_ranges, range_size, read_json_members, read_lines
 from corpuscope.sources.sinks import write_json, write_text
 
 RUN_TS = "2024-01-01T00:00:00Z"
@@ -175,14 +177,13 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "collect_documents",
-    f"""SELECT concat('item_', item_id, '.txt') AS filename, {sql_units("text")} AS size,
-    {sql_lines("text")} AS lines, {sql_words("text")} AS "wordCount" FROM benchmark""",
+    f"""WITH {RECORDS_SQL} SELECT filename, size, lines, wordCount AS "wordCount",
+    row_number() OVER (ORDER BY filename, doc_id) AS rank FROM records""",
 )
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(
-        F.expr("concat('/items/item_', item_id, '.txt')").alias("path"), F.col("text").alias("content")
-    )
-    return collect_documents(extract_single(items, RUN_TS).drop("extractedAt", "error"))
+    """The records of all documents with their place in listing order."""
+    records = extract_stage(corpus_files(spark, sf_dir), RUN_TS).select("filename", "size", "lines", "wordCount")
+    return collect_documents(records, rank="rank")
 
 
 _SOURCES = """SELECT concat('/props/', event_id) AS path, CASE event_id % 6
@@ -381,28 +382,49 @@ def _text_folder(spark: SparkSession, sf_dir: str) -> str:
     return _folders[key]
 
 
+# A folder for each 200 documents, with one file in it.
+_SHARD = "concat('d', lpad(CAST({} AS {}), 9, '0'))"
+_shards: dict[tuple[str, str], str] = {}
+
+
+def _shard_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files in folders of known names, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _shards:
+        path = scratch_path(spark, "shards")
+        shard = F.expr(_SHARD.format("doc_id DIV 200", "STRING"))
+        documents = table(spark, sf_dir, "documents").select(shard.alias("shard"), F.col("text").alias("value"))
+        documents.repartition("shard").write.partitionBy("shard").text(path)
+        _shards[key] = path
+    return _shards[key]
+
+
 @query(
     "scan_files",
-    """SELECT concat('lang=', lang) AS folder, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
-    FROM documents GROUP BY lang""",
+    f"""SELECT concat('shard=', {_SHARD.format("doc_id // 200", "VARCHAR")}) AS folder, '.txt' AS extension,
+        CAST(sum(strlen(text) + 1) AS BIGINT) AS length,
+        row_number() OVER (ORDER BY {_SHARD.format("doc_id // 200", "VARCHAR")}) AS rank
+    FROM documents GROUP BY doc_id // 200""",
 )
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes per folder, from the listing alone."""
-    listing = scan_files(spark, _text_folder(spark, sf_dir), recursive=True, extensions=[".txt"])
-    folder = F.regexp_extract("path", "/([^/]*)/[^/]*$", 1)
-    return listing.groupBy(folder.alias("folder"), F.regexp_extract("name", r"\.[^.]*$", 0).alias("extension")).agg(
-        F.sum("length").alias("bytes")
+    """Every file of the listing by its folder, with its length and its place in order of path."""
+    listing = scan_files(spark, _shard_folder(spark, sf_dir), recursive=True, extensions=[".txt"])
+    return sort_listing(listing, "path").select(
+        F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder"),
+        F.regexp_extract("name", r"\.[^.]*$", 0).alias("extension"),
+        "length",
+        "rank",
     )
 
 
 @query(
     "sort_by_name",
-    """SELECT 'part-' AS prefix, CAST(count(DISTINCT lang) AS BIGINT) AS folders, true AS ordered FROM documents""",
+    f"""WITH {FILES_SQL} SELECT path, filename AS name, row_number() OVER (ORDER BY filename, path) AS rank FROM files""",
 )
 def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing sorted by name and path: no row comes before the one ahead of it."""
-    listing = scan_files(spark, _text_folder(spark, sf_dir), recursive=True, extensions=[".txt"], sort="name")
-    return listing_order(listing)
+    """The place of every file of the corpus in order of name, and of path where names repeat."""
+    manifest = corpus_files(spark, sf_dir).select("path", F.col("filename").alias("name"))
+    return sort_listing(manifest)
 
 
 def listing_order(listing: DataFrame) -> DataFrame:
@@ -417,17 +439,16 @@ def listing_order(listing: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("task", F.shiftright("position", 33))
     within = W.partitionBy("task").orderBy("position")
     checked = numbered.withColumn("later", F.coalesce(F.lag("place").over(within) < F.col("place"), F.lit(True)))
-    tasks = checked.groupBy("task").agg(
-        F.bool_and("later").alias("later"), F.min_by("place", "position").alias("first"), F.max("place").alias("last")
-    )
+    tasks = checked.groupBy("task").agg(F.min_by("place", "position").alias("first"), F.max("place").alias("last"))
     before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     between = F.coalesce(F.max("last").over(before) < F.col("first"), F.lit(True))
-    ordered = tasks.withColumn("between", between).agg(F.bool_and(F.col("later") & F.col("between")).alias("ordered"))
-    # two rows side by side
-    return listing.agg(
-        F.min(F.substring("name", 1, 5)).alias("prefix"),
-        F.count_distinct(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1)).alias("folders"),
-    ).crossJoin(ordered)
+    nothing = F.lit(None).cast("string")
+    rows = checked.select(
+        F.substring("name", 1, 5).alias("prefix"), F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder"), "later"
+    ).union(tasks.select(nothing, nothing, between))
+    return rows.agg(
+        F.min("prefix").alias("prefix"), F.count_distinct("folder").alias("folders"), F.bool_and("later").alias("ordered")
+    )
 
 
 @query(
@@ -499,32 +520,33 @@ def job_on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_json_files",
-    """SELECT source, lang, CASE WHEN count(*) % 2 = 0 THEN CAST(count(*) AS BIGINT) END AS n,
+    """SELECT lang, doc_id // 200 AS part, CASE WHEN count(*) % 2 = 0 THEN CAST(count(*) AS BIGINT) END AS n,
     CASE WHEN count(*) % 2 = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS chars,
-    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY source, lang""",
+    CASE WHEN count(*) % 2 = 1 THEN 'SyntaxError: not valid JSON' END AS error FROM documents GROUP BY ALL""",
 )
 def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array per source and language with an item for each document, cut off if their number is odd.
+    """A JSON array for each language and 200 documents, with an item for each, cut off if their number is odd.
 
     The reader gets the items; only then are they counted and summed.
     """
-    path = scratch_path(spark, "sources")
-    group = ["source", "lang"]
-    documents = table(spark, sf_dir, "documents").select(*group, "doc_id", "n_chars")
-    ends = documents.groupBy(*group).agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    first = documents.groupBy(*group).agg(F.min("doc_id").alias("first"))
+    path = scratch_path(spark, "arrays")
+    group = ["lang", "part"]
+    documents = table(spark, sf_dir, "documents").select(
+        "lang", F.expr("doc_id DIV 200").alias("part"), "doc_id", "n_chars"
+    )
+    ends = documents.groupBy(*group).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     line = F.expr(
         """concat(IF(doc_id = first, '[', ''), '{"doc":', doc_id, ',"chars":', n_chars, '}',
         IF(doc_id <> last, ',', IF(n % 2 = 0, ']', '')))"""
     )
-    lines = documents.join(ends, group).join(first, group).select(*group, "doc_id", line.alias("value"))
+    lines = documents.join(ends, group).select(*group, "doc_id", line.alias("value"))
     ordered = lines.repartition(*group).sortWithinPartitions(*group, "doc_id").select(*group, "value")
     ordered.write.partitionBy(*group).text(path)
     files = read_json_files(spark, path, recursive=True)
     items = F.try_variant_get("jsonData", "$", "array<struct<doc:bigint,chars:bigint>>")
     return files.select(
-        F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"),
         F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"),
+        F.regexp_extract("path", "/part=([^/]*)/", 1).cast("bigint").alias("part"),
         F.when(items.isNotNull(), F.size(items).cast("bigint")).alias("n"),
         F.aggregate(items, F.lit(0).cast("bigint"), lambda total, item: total + item["chars"]).alias("chars"),
         F.col("parseError").alias("error"),
@@ -557,18 +579,23 @@ def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_config_lines",
-    """SELECT event_type AS file, concat('user', user_id) AS key, arg_max(value, event_id) AS value
+    """SELECT event_id // 2500 AS file, concat('user', user_id % 300) AS key, arg_max(value, event_id) AS value
     FROM events GROUP BY 1, 2""",
 )
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A config file per event type with a line for each event, between comments; the last line of a key wins."""
+    """A config file for each 2,500 events, with a line for each between comments; the last line of a key wins.
+
+    The files are read in ranges of 64 KB.
+    """
     path = scratch_path(spark, "config")
-    line = F.concat(F.lit("# event\n user"), "user_id", F.lit(" = '"), F.col("value").cast("string"), F.lit("'"))
-    lines = table(spark, sf_dir, "events").select("event_type", "event_id", line.alias("value"))
-    ordered = lines.repartition("event_type").sortWithinPartitions("event_type", "event_id")
-    ordered.select("event_type", "value").write.partitionBy("event_type").text(path)
-    return read_config_lines(spark, f"{path}/event_type=*").select(
-        F.regexp_extract("path", "/event_type=([^/]*)/", 1).alias("file"),
+    line = F.concat(F.lit("# event\n user"), F.col("user_id") % 300, F.lit(" = '"), F.col("value").cast("string"), F.lit("'"))
+    lines = table(spark, sf_dir, "events").select(F.expr("event_id DIV 2500").alias("part"), "event_id", line.alias("value"))
+    ordered = lines.repartition("part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+    with range_size(spark, 1 << 16):
+        settings = stored(read_config_lines(spark, path, recursive=True), "settings")
+    return settings.select(
+        F.regexp_extract("path", "/part=([^/]*)/", 1).cast("bigint").alias("file"),
         "key",
         F.col("value").cast("double").alias("value"),
     )

@@ -433,16 +433,34 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_verdicts(_probe_lines(spark, sf_dir))
 
 
+# Besides, features that no list names: as many as there are users at some hosts.
+_OPEN_LINE = f"CASE WHEN event_type = 'error' THEN concat('-fx', user_id % 97, ' odd option supported') ELSE {_VERDICT_LINE} END"
+_OPEN_FEATURE = f"CASE WHEN event_type = 'error' THEN concat('-fx', user_id % 97) ELSE {_FEATURE} END"
+
+
 @query(
     "probe_capabilities",
-    f"""SELECT host, bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO')
-    AS lto, bool_or(supported) FILTER (feature = '-flto') AS flag, bool_or(supported) FILTER (feature = 'ASLR') AS aslr
-    FROM ({_VERDICTS_SQL}) GROUP BY host""",
+    f"""WITH verdicts AS (SELECT user_id % 500 AS host, {_OPEN_FEATURE} AS feature,
+        arg_max(event_type = 'error' OR value > 250, event_id) AS supported FROM events GROUP BY 1, 2)
+    SELECT host, concat('{{', string_agg(concat('"', feature, '":', supported), ',' ORDER BY feature)
+            FILTER (starts_with(feature, '-fx') OR feature = 'ASLR'), '}}') AS others,
+        bool_or(supported) FILTER (feature = '-O3') AS o3, bool_or(supported) FILTER (feature = 'LTO') AS lto,
+        bool_or(supported) FILTER (feature = '-flto') AS flag, bool_or(supported) FILTER (feature = 'PIE') AS pie
+    FROM verdicts GROUP BY host""",
 )
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe_capabilities(_probe_lines(spark, sf_dir)).select(
-        "host", F.col("`-O3`").alias("o3"), F.col("LTO").alias("lto"), F.col("`-flto`").alias("flag"),
-        F.col("ASLR").alias("aslr"),
+    """Four features of each host as columns, and all others, those that no list names too."""
+    lines = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 500).alias("host"), F.col("event_id").alias("line_no"), F.expr(_OPEN_LINE).alias("text")
+    )
+    found = probe_capabilities(lines, features=["-O3", "LTO", "-flto", "PIE"])
+    return found.select(
+        "host",
+        F.coalesce(F.to_json("others"), F.lit("{}")).alias("others"),
+        F.col("`-O3`").alias("o3"),
+        F.col("LTO").alias("lto"),
+        F.col("`-flto`").alias("flag"),
+        F.col("PIE").alias("pie"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import WS, trim_ws
 from corpuscope.operators.lookups import last_wins
-from corpuscope.sources.files import read_text_files
+from corpuscope.sources.ranges import PLACE, read_pieces
 
 # Behind white space something that is neither a comment nor a '=', and then a '='.
 SETTING = rf"^{WS}*+[^#=][^=]*="
@@ -34,7 +34,11 @@ def parse_config_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def read_config_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Settings of each file: path, key, value; a later line wins over an earlier one."""
-    lines = read_text_files(spark, path).select("path", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    return last_wins(parse_config_lines(lines), ["path", "key"], "line_no", "value")
+def read_config_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """Settings of each file: path, key, value; a later line wins over an earlier one.
+
+    A file may be of any size: it is read in byte ranges by several tasks, each sends one row
+    for a key, and the place of a line tells which one is later.
+    """
+    lines = read_pieces(spark, path, recursive=recursive).select("path", F.struct(*PLACE).alias("_place"), "piece")
+    return last_wins(parse_config_lines(lines, "piece"), ["path", "key"], "_place", "value")

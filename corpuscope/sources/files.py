@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.jsontext import json_error, with_json
 from corpuscope.functions.paths import base_name
 from corpuscope.functions.text import char_count, count_words
+from corpuscope.operators.ranking import ranked
 
 FILE_TYPE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -30,7 +31,8 @@ def scan_files(
 ) -> DataFrame:
     """List files: path, name, length, modificationTime.
 
-    Only names with one of the extensions are listed; ``sort`` names a column.
+    Only names with one of the extensions are listed; ``sort`` names a column. For the
+    order as a column see :func:`sort_listing`.
     """
     reader = _reader(spark, recursive)
     if extensions:
@@ -40,6 +42,11 @@ def scan_files(
     return listing.orderBy(sort, "path") if sort else listing
 
 
+def sort_listing(listing: DataFrame, sort: str = "name", rank: str = "rank") -> DataFrame:
+    """A listing, or any manifest with ``path``, and the place of each entry (from 1) in order of ``sort`` and path."""
+    return ranked(listing, [sort, "path"], rank)
+
+
 def _reader(spark: SparkSession, recursive: bool):
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
 
