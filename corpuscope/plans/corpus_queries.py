@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from corpuscope.operators.corpus import (
     transform_stage,
 )
 from corpuscope.operators.items import apply_transform, extract_keys, items_filter, items_map
-from corpuscope.operators.reports import report_members
+from corpuscope.operators.reports import report_lines, report_members, report_sizes
 from corpuscope.operators.rules import apply_rules, rules_json
 from corpuscope.plans.bases import (
     FILES_SQL,
@@ -553,6 +553,124 @@ def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- files in byte ranges
+
+
+def _json_files(spark: SparkSession, sf_dir: str, member: str, opening: str, closing: str) -> str:
+    """JSON files of one line each with a member for each event, 2,500 in a file."""
+    path = scratch_path(spark, "json")
+    events = table(spark, sf_dir, "events").select(
+        F.expr("event_id DIV 2500").alias("part"), "event_id", F.expr(member).alias("value")
+    )
+    ends = events.groupBy("part").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    value = F.expr(f"concat(IF(event_id = first, '{opening}', ''), value, IF(event_id = last, '{closing}', ','))")
+    lines = events.join(ends, "part").select("part", "event_id", value.alias("value"))
+    ordered = lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value")
+    ordered.write.partitionBy("part").option("lineSep", " ").text(path)
+    return path
+
+
+def _part(name: str) -> Column:
+    return F.regexp_extract("path", f"/{name}=([^/]*)/", 1).cast("bigint").alias(name)
+
+
+_ITEM = """concat('{"id":', event_id, ',"text":"', event_type, ',],{\\\\"[","list":[', user_id, ',{"v":', value, '}]}')"""
+
+
+@query(
+    "read_json_members",
+    """SELECT event_id // 2500 AS part, event_id, user_id, event_type, value, CAST(row_number() OVER (
+        PARTITION BY event_id // 2500 ORDER BY event_id) - 1 AS BIGINT) AS position FROM events""",
+)
+def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as members of JSON arrays of one line each, read in ranges of 64 KB.
+
+    Their texts hold commas, quotes and brackets.
+    """
+    members = read_json_members(spark, _json_files(spark, sf_dir, _ITEM, "[", "]"), recursive=True, range_bytes=1 << 16)
+    item = F.try_variant_get("value", "$", "struct<id:bigint,text:string,list:array<variant>>")
+    return members.select(
+        _part("part"),
+        item["id"].alias("event_id"),
+        F.try_variant_get(F.col("value"), "$.list[0]", "bigint").alias("user_id"),
+        F.substring_index(item["text"], ",", 1).alias("event_type"),
+        F.try_variant_get(F.col("value"), "$.list[1].v", "double").alias("value"),
+        "position",
+    )
+
+
+_MEMBER = """CASE event_id % 3 WHEN 0 THEN concat('"', event_id, '":', user_id)
+    WHEN 1 THEN concat('"m', event_id, '":{"user":', user_id, ',"none":null}')
+    ELSE concat('"n', event_id, '":"', event_type, ' {["') END"""
+
+
+@query(
+    "report_members",
+    """WITH placed AS (SELECT *, event_id // 2500 AS part, row_number() OVER (PARTITION BY event_id // 2500
+            ORDER BY event_id % 3 <> 0, event_id) AS seq FROM events),
+    lines AS (SELECT part, seq, CASE event_id % 3 WHEN 0 THEN [concat(event_id, ': ', user_id)]
+            WHEN 1 THEN ['', concat('m', event_id, ':'), concat('  user: ', user_id), '  none: null']
+            ELSE [concat('n', event_id, ': "', event_type, ' {["')] END AS lines FROM placed
+        UNION ALL SELECT DISTINCT part, 0, [repeat('=', 40), 'Data Processing Report', repeat('=', 40),
+            'Generated: 2024-01-01T00:00:00Z', ''] FROM placed
+        UNION ALL SELECT part, max(seq) + 1, ['', repeat('=', 40)] FROM placed GROUP BY part)
+    SELECT part, CAST(seq AS BIGINT) AS seq, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no,
+        unnest(lines) AS line FROM lines""",
+)
+def reports_of_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of JSON objects that together hold all events, read in ranges of 64 KB."""
+    members = read_json_members(spark, _json_files(spark, sf_dir, _MEMBER, "{", "}"), recursive=True, range_bytes=1 << 16)
+    return report_members(members.withColumn("part", _part("part")), "part", RUN_TS)
+
+
+def _ordered_shards(spark: SparkSession, sf_dir: str) -> str:
+    """The documents in order of id as text files, a folder and a file for each 200."""
+    path = scratch_path(spark, "ordered")
+    documents = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id DIV 200").alias("shard"), "doc_id", F.col("text").alias("value")
+    )
+    ordered = documents.repartition("shard").sortWithinPartitions("shard", "doc_id").select("shard", "value")
+    ordered.write.partitionBy("shard").text(path)
+    return path
+
+
+@query(
+    "read_lines",
+    """WITH numbered AS (SELECT doc_id // 200 AS shard, doc_id, text, sum(len(string_split(text, chr(10)))) OVER (
+        PARTITION BY doc_id // 200 ORDER BY doc_id) - len(string_split(text, chr(10))) AS ahead FROM documents)
+    SELECT shard, CAST(ahead + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no,
+        unnest(string_split(text, chr(10))) AS line FROM numbered""",
+)
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of text files with its number, a file read in ranges of 64 KB."""
+    lines = read_lines(spark, _ordered_shards(spark, sf_dir), recursive=True, range_bytes=1 << 16)
+    return lines.select(_part("shard"), "line_no", "line")
+
+
+@query(
+    "extract_ranges",
+    f"""WITH whole AS (SELECT doc_id // 200 AS shard, concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS content
+        FROM documents GROUP BY 1)
+    SELECT shard, {sql_units("content")} AS size, {sql_lines("content")} AS lines, {sql_words("content")} AS "wordCount",
+        substring(content, 1, 100) AS preview FROM whole""",
+)
+def range_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of text files that are read in ranges of 64 KB."""
+    records = extract_ranges(spark, _ordered_shards(spark, sf_dir), RUN_TS, recursive=True, range_bytes=1 << 16)
+    return records.select(_part("shard"), "size", "lines", "wordCount", "preview")
+
+
+@query(
+    "report_sizes",
+    r"""WITH sizes AS (SELECT event_id, length(concat('{"type":"', event_type, '"}')) AS chars FROM events)
+    SELECT event_id, 'text' AS format, CAST(41 + 23 + 41 + 32 + 1 + (chars - 3 + 1) + 1 + 41 AS BIGINT) AS size FROM sizes""",
+)
+def sizes_of_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result row of a report for every event."""
+    given = table(spark, sf_dir, "events").select("event_id", F.expr("""concat('{"type":"', event_type, '"}')""").alias("text"))
+    return report_sizes(report_lines(given, "event_id", "text", RUN_TS), "event_id")
+
+
 _CONFIG = """CASE event_id % 9
     WHEN 0 THEN concat('# ', event_type) WHEN 1 THEN '   ' WHEN 2 THEN event_type WHEN 3 THEN concat('=', value)
     WHEN 4 THEN concat('  ', event_type, ' = "', event_id, '"  ') WHEN 5 THEN concat(event_type, '=''', event_id, '''')
