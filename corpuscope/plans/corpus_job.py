@@ -17,12 +17,13 @@ from corpuscope.operators.corpus import (
 from corpuscope.operators.reports import stage_report
 from corpuscope.operators.rules import Rules, apply_rules
 from corpuscope.sources.files import read_text_files
-from corpuscope.sources.sinks import write_json, write_text
-
+from corpuscope.sources.sinks import replacing, write_json, write_text
 
 #: The column that carries a record's file through the stages.
 SOURCE = "_path"
 
+_FOLDERS = ("extracted", "transformed", "totals", "file_types", "data", "report")
+
 
 def _now() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
@@ -39,7 +40,8 @@ def run_corpus_job(
 ) -> DataFrame:
     """Run all stages and return the aggregate row.
 
-    Output below ``output_path``, in place of that of an earlier run: ``extracted`` and
+    Output below ``output_path``, in place of that of an earlier run once all of it is written (a run that
+    breaks leaves the old output as it was): ``extracted`` and
     ``transformed`` as Parquet with the source file's ``_path``; ``totals``,
     ``file_types`` and ``data`` (all records in order of path) as JSON lines; ``report``
     as text. Rules that give a record no member make it ``{}``. The texts are read once; the later stages start from the
@@ -47,29 +49,27 @@ def run_corpus_job(
     input folder stops the job before anything is written.
     """
     started = run_ts or _now()
-    files = read_text_files(spark, input_path)
-    extracted_path = f"{output_path}/extracted"
-    files = files.withColumnRenamed("path", SOURCE)
-    extract_stage(files, run_ts, keep=(SOURCE,)).write.mode("overwrite").parquet(extracted_path)
-    extracted = spark.read.parquet(extracted_path)
-
-    transformed_path = f"{output_path}/transformed"
-    apply_rules(extracted, rules or {}, keep=(SOURCE,)).write.mode("overwrite").parquet(transformed_path)
-    transformed = spark.read.parquet(transformed_path)
-
-    totals = add_averages(corpus_totals(transformed))
-    write_json(totals, f"{output_path}/totals")
-    write_json(file_type_counts(transformed), f"{output_path}/file_types")
-    data = collect_documents(transformed, (SOURCE,)).drop(SOURCE)
-    if data.columns:
-        write_json(data, f"{output_path}/data")
-    else:
-        write_text(data.select(F.lit("{}").alias("record")), f"{output_path}/data", "record")
-
-    aggregate = spark.read.schema(totals.schema).json(f"{output_path}/totals")
-    report = _report(spark, extracted, transformed, aggregate, output_path, started, run_ts or _now())
-    write_text(report, f"{output_path}/report", "line", ["run", "part", "seq", "line_no"])
-    return aggregate
+    with replacing(spark, output_path, _FOLDERS) as folder:
+        files = read_text_files(spark, input_path).withColumnRenamed("path", SOURCE)
+        extract_stage(files, run_ts, keep=(SOURCE,)).write.parquet(f"{folder}/extracted")
+        extracted = spark.read.parquet(f"{folder}/extracted")
+
+        apply_rules(extracted, rules or {}, keep=(SOURCE,)).write.parquet(f"{folder}/transformed")
+        transformed = spark.read.parquet(f"{folder}/transformed")
+
+        totals = add_averages(corpus_totals(transformed))
+        write_json(totals, f"{folder}/totals")
+        write_json(file_type_counts(transformed), f"{folder}/file_types")
+        data = collect_documents(transformed, (SOURCE,)).drop(SOURCE)
+        if data.columns:
+            write_json(data, f"{folder}/data")
+        else:
+            write_text(data.select(F.lit("{}").alias("record")), f"{folder}/data", "record")
+
+        aggregate = spark.read.schema(totals.schema).json(f"{folder}/totals")
+        report = _report(spark, extracted, transformed, aggregate, output_path, started, run_ts or _now())
+        write_text(report, f"{folder}/report", "line", ["run", "part", "seq", "line_no"])
+    return spark.read.schema(totals.schema).json(f"{output_path}/totals")
 
 
 def _report(

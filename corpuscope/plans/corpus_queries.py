@@ -37,12 +37,14 @@ from corpuscope.plans.bases import (
     sql_words,
 )
 from corpuscope.plans.corpus_job import corpus_totals_of, run_corpus_job
+from corpuscope.plans.incremental_job import run_incremental_job
 from corpuscope.plans.registry import query, table
 from corpuscope.session import scratch_path, stored
 from corpuscope.sources.config import parse_config_lines, read_config_lines
 from corpuscope.sources.files import read_json_files, read_text_files, scan_files, sort_listing, text_file_stats
 from corpuscope.sources.ranges import extract_ranges, range_size, read_json_members, read_lines
 from corpuscope.sources.sinks import write_json, write_text
+from corpuscope.sources.versions import current_version
 
 RUN_TS = "2024-01-01T00:00:00Z"
 
@@ -660,6 +662,33 @@ def range_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(_part("shard"), "size", "lines", "wordCount", "preview")
 
 
+@query(
+    "incremental_job",
+    f"""WITH whole AS (SELECT text, 0 AS added FROM documents UNION ALL SELECT text, 1 FROM benchmark)
+    SELECT CAST(sum({sql_units("text")} + 1) AS BIGINT) AS size, CAST(sum({sql_words("text")}) AS BIGINT) AS words,
+        CAST(sum({sql_lines("text")}) AS BIGINT) AS newlines,
+        CAST(sum(added * ({sql_units("text")} + 1)) AS BIGINT) AS read_again FROM whole""",
+)
+def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the documents as files, then one after the benchmark's items have come as more files.
+
+    The second run reads the new files only; its totals are those of all.
+    """
+    folder, output = _ordered_shards(spark, sf_dir), scratch_path(spark, "incremental")
+    run_incremental_job(spark, folder, output, run_ts=RUN_TS, recursive=True)
+    items = table(spark, sf_dir, "benchmark").select(F.lit("items").alias("shard"), F.col("text").alias("value"))
+    items.write.mode("append").partitionBy("shard").text(folder)
+    total = run_incremental_job(spark, folder, output, run_ts=RUN_TS, recursive=True)
+    now = current_version(spark, output).folder
+    again = spark.read.parquet(f"{output}/{now}/extracted").select(F.sum("size").alias("read_again"), F.lit(1).alias("one"))
+    return total.withColumn("one", F.lit(1)).join(again, "one").select(
+        F.col("totalSize").alias("size"),
+        F.col("totalWords").alias("words"),
+        (F.col("totalLines") - F.col("totalFiles")).alias("newlines"),
+        "read_again",
+    )
+
+
 @query(
     "report_sizes",
     r"""WITH sizes AS (SELECT event_id, length(concat('{"type":"', event_type, '"}')) AS chars FROM events)
