@@ -680,13 +680,11 @@ def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     items.write.mode("append").partitionBy("shard").text(folder)
     total = run_incremental_job(spark, folder, output, run_ts=RUN_TS, recursive=True)
     now = current_version(spark, output).folder
-    again = spark.read.parquet(f"{output}/{now}/extracted").select(F.sum("size").alias("read_again"), F.lit(1).alias("one"))
-    return total.withColumn("one", F.lit(1)).join(again, "one").select(
-        F.col("totalSize").alias("size"),
-        F.col("totalWords").alias("words"),
-        (F.col("totalLines") - F.col("totalFiles")).alias("newlines"),
-        "read_again",
-    )
+    names, none = ("size", "words", "newlines", "read_again"), F.lit(None).cast("bigint")
+    again = spark.read.parquet(f"{output}/{now}/extracted").agg(F.sum("size").alias("size"))
+    sums = total.select("totalSize", "totalWords", F.col("totalLines") - F.col("totalFiles"), none).toDF(*names)
+    # two rows as one
+    return sums.union(again.select(none, none, none, "size")).agg(*(F.max(name).alias(name) for name in names))
 
 
 @query(
