@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ LONG_LIST = 256
 BAND = 16
 #: Bits of the filter that keeps texts which are not asked for from being shuffled.
 FILTER_BITS = 1 << 23
+FILTER_BLOCK = 1 << 16
 
 _SHIFT = np.uint64(64 - CELL_BITS)
 _LOW = np.uint64((1 << (64 - CELL_BITS)) - 1)
@@ -128,8 +130,8 @@ def _added_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _cell_blocks(sums)
 
 
-def _global_order(texts: DataFrame, words: int) -> np.ndarray:
-    """The place of each cell, the one with the fewest shingles first.
+def _global_order(texts: DataFrame, words: int) -> Broadcast:
+    """The place of each cell, the one with the fewest shingles first, as a broadcast of 4 MB.
 
     A block of cells from each task is added up before all of them, some megabytes,
     are gathered.
@@ -142,22 +144,24 @@ def _global_order(texts: DataFrame, words: int) -> np.ndarray:
         seen[row.block] = _unpacked(row.seen)
     places = np.empty(1 << CELL_BITS, dtype=np.uint32)
     places[np.argsort(seen.reshape(-1), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
-    return places
+    return texts.sparkSession.sparkContext.broadcast(places)
 
 
-def _prefixes(join: Join, places: np.ndarray):
+def _prefixes(join: Join, places: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for first, last in row_groups(offsets):
                 begin = offsets[first]
                 tokens, bounds = _sets(
-                    data[begin : offsets[last]], offsets[first : last + 1] - begin, join.words, places
+                    data[begin : offsets[last]], offsets[first : last + 1] - begin, join.words, places.value
                 )
                 sizes = np.diff(bounds)
                 sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
                 np.cumsum(mixed(tokens ^ _STEP), out=sums[1:])
                 prints = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64))
+                np.cumsum(mixed(tokens * _STEP + np.uint64(1)), out=sums[1:])
+                more = mixed(sums[bounds[1:]] - sums[bounds[:-1]])
                 keep = np.where(sizes > 0, sizes + (-(sizes * join.over) // join.under) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(keep)])
                 at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], keep)
@@ -166,15 +170,16 @@ def _prefixes(join: Join, places: np.ndarray):
                         batch.column(0).slice(first, last - first),
                         pa.array(sizes),
                         pa.array(prints.view(np.int64)),
+                        pa.array(more.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[at].view(np.int64))),
                     ],
-                    names=["doc_id", "n", "print", "prefix"],
+                    names=["doc_id", "n", "print", "more", "prefix"],
                 )
 
     return run
 
 
-def _asked_sets(words: int, places: np.ndarray, bits: np.ndarray):
+def _asked_sets(words: int, places: Broadcast, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = np.asarray(batch.column(2))
@@ -185,7 +190,7 @@ def _asked_sets(words: int, places: np.ndarray, bits: np.ndarray):
             data, offsets = flat(batch.column(1))
             for first, last in row_groups(offsets):
                 begin = offsets[first]
-                tokens, bounds = _sets(data[begin : offsets[last]], offsets[first : last + 1] - begin, words, places)
+                tokens, bounds = _sets(data[begin : offsets[last]], offsets[first : last + 1] - begin, words, places.value)
                 bodies = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(bodies, pa.binary())], names=["doc_id", "body"]
@@ -229,6 +234,12 @@ def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _list_pairs(join: Join):
+    """Pairs of a tile whose first shared shingle may be that of the list.
+
+    Similar sets x and y share at least ``overlap`` shingles, so the first one that they share stands
+    no further back in x than at the size of x less that, and likewise in y. In all other lists the pair need not be put
+    out again.
+    """
     fields = ("lead", "comp", "low", "high", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,48 +252,68 @@ def _list_pairs(join: Join):
                 keep &= b["low"] * join.over <= a["high"] * join.under
                 # what stands between the two positions is in one of the sets alone
                 gap = np.maximum(np.maximum(a["first"] - b["last"], b["first"] - a["last"]), 0)
-                least = (a["low"] + b["low"]) * join.over / (join.over + join.under)
-                keep &= np.maximum(a["high"], b["high"]) - gap >= least
+                overlap = -(-(a["low"] + b["low"]) * join.over // (join.over + join.under))
+                keep &= np.maximum(a["high"], b["high"]) - gap >= overlap
+                keep &= (a["first"] <= a["high"] - overlap) & (b["first"] <= b["high"] - overlap)
                 if batch.column(2)[k].as_py():  # a block with itself
                     keep &= a["lead"] < b["lead"]
                 i, j = np.nonzero(keep)
                 x, y = a["lead"][i, 0], b["lead"][0, j]
-                # the least number of lists that the two must share
-                overlap = -(-(a["low"][i, 0] + b["low"][0, j]) * join.over // (join.over + join.under))
-                rest = -(-np.maximum(a["high"][i, 0], b["high"][0, j]) * join.over // join.under) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(x, y)),
-                        pa.array(np.maximum(x, y)),
-                        pa.array(np.maximum(overlap - rest, 1)),
-                    ],
-                    names=["a", "b", "least"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
+def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the filter that a task's slots set, in blocks."""
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, slots in _by_block(np.asarray(batch.column(0))):
+            bits.setdefault(block, np.zeros(FILTER_BLOCK // 8, dtype=np.uint8))
+            np.bitwise_or.at(bits[block], slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
+    yield _packed_blocks(bits)
+
+
+def _by_block(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for block in np.unique(slots // FILTER_BLOCK).tolist():
+        yield block, slots[slots // FILTER_BLOCK == block] % FILTER_BLOCK
+
+
+def _joined_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+            bits[block] = bits[block] | own if block in bits else own
+    yield _packed_blocks(bits)
+
+
+def _packed_blocks(bits: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(bits), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in bits.values()], pa.binary())],
+        names=["block", "bits"],
+    )
+
+
 class _Texts:
     """The sets of some documents, worked out from their texts when they are asked for."""
 
-    def __init__(self, docs: DataFrame, join: Join, places: np.ndarray):
+    def __init__(self, docs: DataFrame, join: Join, places: Broadcast):
         self._docs, self._join, self._places = docs, join, places
 
     def _asked(self, ids: DataFrame) -> DataFrame:
         """``doc_id``, ``body`` for the ids; a bit filter of fixed size holds back most other texts before the shuffle."""
         slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-        words = (
-            ids.select(slot.alias("s"))
-            .groupBy(F.floor(F.col("s") / 32).alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("v"))
-            .collect()  # at most FILTER_BITS / 32 rows
-        )
-        bits = np.zeros(FILTER_BITS // 32, dtype="<u4")
-        for row in words:
-            bits[row.w] = row.v & 0xFFFFFFFF
+        blocks = FILTER_BITS // FILTER_BLOCK
+        parts = min(shuffle_partitions(ids.sparkSession), blocks)
+        schema = "block int, bits binary"
+        packed = ids.select(slot.alias("s")).mapInArrow(_filter_blocks, schema).repartition(parts, "block")
+        bits = np.zeros((blocks, FILTER_BLOCK // 8), dtype=np.uint8)
+        for row in packed.mapInArrow(_joined_blocks, schema).toLocalIterator():  # one row per block
+            bits[row.block] = np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
         found = self._docs.select(
             "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
-        ).mapInArrow(_asked_sets(self._join.words, self._places, bits.view(np.uint8)), "doc_id long, body binary")
+        ).mapInArrow(_asked_sets(self._join.words, self._places, bits.reshape(-1)), "doc_id long, body binary")
         return found.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
     def compared(self, pairs: DataFrame, extras: bool = False) -> DataFrame:
@@ -353,6 +384,8 @@ def _list_tiles(entries: DataFrame, join: Join) -> DataFrame:
         & (F.col("min_low") * join.over <= F.col("o_max_high") * join.under)
         & (F.col("o_min_low") * join.over <= F.col("max_high") * join.under)
         & (F.greatest("max_high", "o_max_high") - gap >= least)
+        & (F.col("min_first") <= F.col("max_high") - least)
+        & (F.col("o_min_first") <= F.col("o_max_high") - least)
     )
     tiles = blocks.join(other, "token").filter(possible)
     return tiles.select("sets", F.col("o_sets"), (place == o_place).alias("same"))
@@ -426,18 +459,18 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     3. Each class is compared with its leader, the list head it shares most with.
        Those similar to a leader follow it, at the known distance of what it lacks.
     4. In every list, pairs of leaders of different components are candidates if sizes,
-       positions and the number of lists that they share allow it; whole blocks are
+       positions allow it, and if this list may be the first that they share; whole blocks are
        skipped by these. They are compared with each other in full.
     5. Followers of leaders that are not similar: see :func:`_derived`.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = _global_order(plain.select("text"), join.words)
 
-    sets = stored(plain.mapInArrow(_prefixes(join, places), "doc_id long, n long, print long, prefix array<long>"), "sets")
+    sets = stored(plain.mapInArrow(_prefixes(join, places), "doc_id long, n long, print long, more long, prefix array<long>"), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("print", "n").agg(F.min("doc_id").alias("cid"))
+    classes = known.groupBy("print", "more", "n").agg(F.min("doc_id").alias("cid"))
     classes = stored(classes, "classes")
-    own = known.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["print", "n"])
+    own = known.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["print", "more", "n"])
     postings = stored(own.select(F.col("doc_id").alias("cid"), "n", F.posexplode("prefix").alias("pos", "token")), "postings")
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     lists = stored(postings.join(common, "token"), "lists")
@@ -479,9 +512,7 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
     several = several.filter(F.col("_least") != F.col("_most")).select("token", "k")
     tiles = _list_tiles(entries.join(several, "token"), join)
-    pairs = tiles.mapInArrow(_list_pairs(join), "a long, b long, least long")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.max("least").alias("least"))
-    compared = texts.compared(pairs.filter("lists >= least").select("a", "b"))
+    compared = texts.compared(tiles.mapInArrow(_list_pairs(join), "a long, b long"))
     linked = _similar(compared, join)
     apart = compared.join(linked.select("a", "b"), ["a", "b"], "left_anti")
     derived = _derived(apart, members, groups, texts, join)
@@ -489,9 +520,9 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
     edges = close.select("a", "b").union(linked.select("a", "b")).union(derived.select("a", "b"))
     reached = components(edges)
     of_class = classes.join(reached, F.col("cid") == F.col("id"), "left").select(
-        "print", "n", F.coalesce("component_id", "cid").alias("component_id")
+        "print", "more", "n", F.coalesce("component_id", "cid").alias("component_id")
     )
-    return sets.join(of_class, ["print", "n"], "left").select(
+    return sets.join(of_class, ["print", "more", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

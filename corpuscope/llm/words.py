@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from corpuscope.llm.textbytes import CHUNK, Stretches
@@ -13,11 +15,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes from which a word's hash is a cryptographic one.
+LONG_WORD = 128
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start, end and row of each word of consecutive texts in one byte array.
 
     Bytes are hashed in stretches of bounded size, which a word that lies across a
-    border joins whole.
+    border joins whole. Sums of powers modulo 2^64 agree for certain strings of a thousand bytes and more, so long words get a
+    cryptographic hash.
     """
     word = ~_WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)  # where a text begins a word cannot go on
@@ -32,5 +39,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         stretches = Stretches(data[low : ends[last - 1]])
         hashes[first:last] = stretches.hashes(starts[first:last] - low, ends[first:last] - low)
         first = last
+    for number in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = blake2b(data[starts[number] : ends[number]].tobytes(), digest_size=8).digest()
+        hashes[number] = int.from_bytes(digest, "little")
     rows = np.searchsorted(offsets, starts, side="right") - 1
     return hashes, starts, ends, rows
