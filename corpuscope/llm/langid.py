@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuscope.llm.learning import bounded_sample, held_out, logistic
 from corpuscope.llm.registry import query, table
 from corpuscope.llm.textbytes import CHUNK, flat, row_groups
+from corpuscope.session import stored
 
 #: Labelled documents that the model is fitted on, shared evenly by the languages.
 FIT_ROWS = 2000
@@ -41,18 +42,21 @@ class LanguageModel:
 
 
 def code_matrix(languages: int) -> np.ndarray:
-    """Codewords as rows of signs: all splits of up to 6 languages, random ones of more."""
+    """Codewords as rows of signs: all splits of up to 6 languages, random ones of more.
+
+    Random codewords are drawn again until any two differ in a quarter of their bits.
+    """
     if languages <= 6:
         splits = [(1, *rest) for rest in itertools.product((1, -1), repeat=max(0, languages - 1))]
         columns = [c for c in splits if -1 in c]
         return np.array(columns, dtype=float).T.reshape(languages, -1)
     random = np.random.default_rng(languages)
-    columns = []
-    while len(columns) < 10 * int(languages).bit_length():
-        column = random.choice((-1.0, 1.0), languages)
-        if abs(column.sum()) < languages:
-            columns.append(column)
-    return np.array(columns).T
+    bits = 10 * int(languages).bit_length()
+    codes = random.choice((-1.0, 1.0), (languages, bits))
+    for row in range(languages):
+        while row and (codes[row] * codes[:row] < 0).sum(axis=1).min() < bits / 4:
+            codes[row] = random.choice((-1.0, 1.0), bits)
+    return codes[:, np.abs(codes.sum(axis=0)) < languages]
 
 
 def _counts(text: np.ndarray) -> np.ndarray:
@@ -97,32 +101,52 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(docs: DataFrame, most: int = FIT_ROWS) -> LanguageModel:
-    """Fit one classifier for each bit of the codewords, on about ``most`` labelled documents.
+    """Fit one classifier for each bit of the codewords, on ``most`` labelled documents and one for each language at most.
 
     Learns from ``text`` and ``lang`` of rows that are not held out and have both; which rows is
-    decided by a hash of the id. The sample's n-gram features are all that reaches the driver.
+    decided by a hash of id and text, and equal rows count once. The sample's n-gram features are all
+    that reaches the driver, 16 KB a row, in one array.
     """
     learnable = docs.select("doc_id", "lang", "text").filter(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sample = bounded_sample(learnable, "lang", "doc_id", most, even=True).select("lang", "text")
-    rows = sample.mapInArrow(_featured, "lang string, features binary").toArrow()
-    labels = rows.column("lang").to_pylist()
+    sample = bounded_sample(learnable, "lang", ("doc_id", "text"), most, even=True).select("lang", "text")
+    labels, x = _gathered(stored(sample.mapInArrow(_featured, "lang string, features binary"), "features"))
     languages = sorted(set(labels))
     codes = code_matrix(len(languages)) if languages else np.zeros((0, 0))
     if codes.size == 0:
         return LanguageModel(languages, codes, np.zeros((SLOTS, codes.shape[1] if codes.ndim == 2 else 0)))
-    x = np.stack([np.frombuffer(f, dtype=np.float32) for f in rows.column("features").to_pylist()])
-    order = np.lexsort(x.T[:4])  # the same sums whatever order the rows came in
     number = {language: i for i, language in enumerate(languages)}
     y = codes[[number[label] for label in labels]]
-    return LanguageModel(languages, codes, logistic(x[order], y[order], 1e-4, 120).astype(np.float32))
+    return LanguageModel(languages, codes, logistic(x, y, 1e-4, 120))
+
+
+def _gathered(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Labels and features of stored rows, filled into one array row by row, in an order of their own."""
+    x = np.empty((rows.count(), SLOTS), dtype=np.float32)
+    labels = []
+    ordered = rows.orderBy("lang", "features")  # the same sums whatever order the rows came in
+    for number, row in enumerate(ordered.toLocalIterator()):
+        labels.append(row.lang)
+        x[number] = np.frombuffer(row.features, dtype=np.float32)
+    return labels, x
 
 
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _losses(margins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The sum of logistic losses of each row against each codeword.
+
+    log(1 + exp(-m c)) is the mean of its values for both signs of c, less c m / 2, so codewords are
+    compared by one product of matrices whatever their number.
+    """
+    margins = margins.astype(np.float64)
+    both = (np.logaddexp(0, -margins) + np.logaddexp(0, margins)).sum(axis=1, keepdims=True) / 2
+    return both - margins @ codes.T / 2
+
+
 def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +158,7 @@ def _predict(model: LanguageModel):
                 x = _features(data, offsets, first, last)
                 margins = x @ model.weights
                 # loss-weighted decoding: the codeword with the least sum of logistic losses
-                losses = np.logaddexp(0, -margins[:, None, :] * model.codes[None]).sum(axis=2)
+                losses = _losses(margins, model.codes)
                 odds = np.exp(losses.min(axis=1, keepdims=True) - losses) if len(model.languages) else losses
                 best = losses.argmin(axis=1) if len(model.languages) else np.zeros(last - first, dtype=int)
                 named, scores = [], []

@@ -1,13 +1,18 @@
+import itertools
+import math
+import random
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpuscope.llm.langid import code_matrix, fit_languages, identify
-from corpuscope.llm.learning import held_out
+from corpuscope.llm.langid import _losses, code_matrix, fit_languages, identify
+from corpuscope.llm.learning import bounded_sample, held_out, logistic
 from corpuscope.llm.quality import fit_quality, score_quality
 
 
 def test_codewords_differ():
-    for n in range(2, 12):
+    for n in [*range(2, 12), 40, 300]:
         codes = code_matrix(n)
         assert len({tuple(row) for row in codes}) == n
         assert (np.abs(codes.sum(axis=0)) < n).all()
@@ -71,3 +76,49 @@ def test_one_class_only(llm, documents):
     assert fit_quality(docs, labels) is None
     assert {(r.score, r.predicted) for r in score_quality(docs, None).collect()} == {(0.5, 1)}
     assert fit_quality(docs.limit(0), labels.limit(0)) is None
+
+
+def test_the_sample_is_bounded(documents, sentence):
+    rows = [(7, f"text {i}", "en", None) for i in range(3000)] + [(8, "same", "fr", None)] * 3000
+    rows += [(i + 100, sentence(i, 3, "de"), "de", None) for i in range(500)]
+    docs = documents(rows)
+    for even in (True, False):
+        sample = bounded_sample(docs, "lang", ("doc_id", "text"), 90, even).collect()
+        counts = Counter(r.lang for r in sample)
+        assert len(sample) <= 90 and len({(r.doc_id, r.text) for r in sample}) == len(sample)
+        if even:
+            assert counts == {"en": 30, "fr": 1, "de": 30}
+        again = bounded_sample(docs.repartition(3), "lang", ("doc_id", "text"), 90, even).collect()
+        assert {(r.doc_id, r.text) for r in again} == {(r.doc_id, r.text) for r in sample}
+    assert bounded_sample(docs.limit(0), "lang", ("doc_id", "text"), 9, True).collect() == []
+
+
+def test_many_languages(documents):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q word{i}" * 3, f"l{i:04}", None) for i in range(700)]
+    model = fit_languages(documents(rows))
+    assert len(model.languages) > 500
+    assert all(r.lang_pred in model.languages for r in identify(documents(rows[:50]), model).collect())
+
+
+def test_decoding_against_plain_python():
+    random = np.random.default_rng(3)
+    margins, codes = random.normal(size=(40, 7)) * 9, random.choice((-1.0, 1.0), (12, 7))
+    plain = [[sum(math.log1p(math.exp(-m * c)) for m, c in zip(row, code, strict=True)) for code in codes] for row in margins]
+    assert np.allclose(_losses(margins, codes), plain)
+
+
+def test_ranking_against_plain_python():
+    """The logistic loss on feature differences, minimised by plain gradient descent."""
+    pick = random.Random(1)
+    x = [[pick.gauss(0, 1) for _ in range(3)] for _ in range(40)]
+    pairs = [(a, b) if a[0] - a[1] > b[0] - b[1] else (b, a) for a, b in itertools.combinations(x, 2)][:200]
+    differences = [[p - q for p, q in zip(a, b, strict=True)] for a, b in pairs]
+    weights = [0.0] * 3
+    for _ in range(3000):
+        gradient = [0.1 * w for w in weights]
+        for d in differences:
+            chance = 1 / (1 + math.exp(sum(w * v for w, v in zip(weights, d, strict=True))))
+            gradient = [g - chance * v / len(differences) for g, v in zip(gradient, d, strict=True)]
+        weights = [w - 0.3 * g for w, g in zip(weights, gradient, strict=True)]
+    found = logistic(np.array(differences), np.ones((len(differences), 1)), 0.1, 300)[:, 0]
+    assert np.allclose(found, weights, atol=1e-3)
