@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch paths that were given out and not removed.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
@@ -53,7 +59,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not files.exists(path):
         files.mkdirs(path)
         files.deleteOnExit(path)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    unique = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _written.append(unique)
+    return unique
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -63,5 +71,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """The tables of a block of :func:`passing_tables` that stay."""
+
+    def __init__(self) -> None:
+        self.files: list[str] = []
+
+    def __call__(self, *tables: DataFrame) -> None:
+        """Keep what these tables read from the shared folder."""
+        for table in tables:
+            self.files.extend(table.inputFiles())
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Kept]:
+    """Remove the scratch tables written within, but for those that are kept.
+
+    For steps whose result is written: nothing that is read later may depend on the rest.
+    """
+    first, kept = len(_written), Kept()
+    try:
+        yield kept
+    finally:
+        folders = {part for file in kept.files for part in file.split("/")}
+        for path in [p for p in _written[first:] if p.rsplit("/", 1)[1] not in folders]:
+            _written.remove(path)
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -376,3 +376,12 @@ def test_shared_dir(spark, monkeypatch):
     class Session:
         conf = Conf()
     assert session.shared_dir(Session()) == "hdfs:///shared"
+
+
+def test_passing_tables(spark):
+    with session.passing_tables(spark) as keep:
+        gone, kept = session.stored(spark.range(3), "gone"), session.stored(spark.range(4), "kept")
+        keep(kept)
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|FileNotFound|not found"):
+        gone.count()
