@@ -22,7 +22,7 @@ from corpuscope.llm.components import components
 from corpuscope.llm.registry import query, table
 from corpuscope.llm.textbytes import flat, mixed, row_groups
 from corpuscope.llm.words import LOWER, word_hashes
-from corpuscope.session import shuffle_partitions, stored
+from corpuscope.session import passing_tables, shuffle_partitions, stored
 
 #: Cells in which the frequency of shingles is counted, as bits of a hash; their number bounds what is gathered.
 CELL_BITS = 20
@@ -463,62 +463,64 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
        skipped by these. They are compared with each other in full.
     5. Followers of leaders that are not similar: see :func:`_derived`.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = _global_order(plain.select("text"), join.words)
-
-    sets = stored(plain.mapInArrow(_prefixes(join, places), "doc_id long, n long, print long, more long, prefix array<long>"), "sets")
-    known = sets.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("print", "more", "n").agg(F.min("doc_id").alias("cid"))
-    classes = stored(classes, "classes")
-    own = known.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["print", "more", "n"])
-    postings = stored(own.select(F.col("doc_id").alias("cid"), "n", F.posexplode("prefix").alias("pos", "token")), "postings")
-    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-    lists = stored(postings.join(common, "token"), "lists")
-
-    texts = _Texts(plain, join, places)
-    close = _similar(texts.compared(_leaders(lists, join)), join)
-    follows = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-    follows = stored(
-        follows.groupBy("a").agg(F.min(F.struct((F.col("size_a") - F.col("shared")).alias("lack"), "b")).alias("to"))
-        .select(F.col("a").alias("cid"), F.col("to.b").alias("lead"), F.col("to.lack").alias("lack")),
-        "follows",
-    )
-    reached = stored(components(close.select("a", "b")), "reached")
-
-    members = (
-        lists.select("cid", "n").distinct()
-        .join(follows, "cid", "left")
-        .join(reached, F.col("cid") == F.col("id"), "left")
-        .select(
-            "cid", "n", F.coalesce("lead", "cid").alias("lead"), F.coalesce("lack", F.lit(0)).alias("lack"),
-            F.coalesce("component_id", "cid").alias("comp"),
+    with passing_tables(docs.sparkSession) as keep:
+        plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        places = _global_order(plain.select("text"), join.words)
+
+        sets = stored(plain.mapInArrow(_prefixes(join, places), "doc_id long, n long, print long, more long, prefix array<long>"), "sets")
+        known = sets.filter("n > 0 and doc_id is not null")
+        classes = known.groupBy("print", "more", "n").agg(F.min("doc_id").alias("cid"))
+        classes = stored(classes, "classes")
+        own = known.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["print", "more", "n"])
+        postings = stored(own.select(F.col("doc_id").alias("cid"), "n", F.posexplode("prefix").alias("pos", "token")), "postings")
+        common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+        lists = stored(postings.join(common, "token"), "lists")
+
+        texts = _Texts(plain, join, places)
+        close = _similar(texts.compared(_leaders(lists, join)), join)
+        follows = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+        follows = stored(
+            follows.groupBy("a").agg(F.min(F.struct((F.col("size_a") - F.col("shared")).alias("lack"), "b")).alias("to"))
+            .select(F.col("a").alias("cid"), F.col("to.b").alias("lead"), F.col("to.lack").alias("lack")),
+            "follows",
+        )
+        reached = stored(components(close.select("a", "b")), "reached")
+
+        members = (
+            lists.select("cid", "n").distinct()
+            .join(follows, "cid", "left")
+            .join(reached, F.col("cid") == F.col("id"), "left")
+            .select(
+                "cid", "n", F.coalesce("lead", "cid").alias("lead"), F.coalesce("lack", F.lit(0)).alias("lack"),
+                F.coalesce("component_id", "cid").alias("comp"),
+            )
+        )
+        members = stored(members, "members")
+        groups = members.groupBy("lead").agg(
+            F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("lack").alias("lack"),
+            F.count(F.lit(1)).alias("sets"),
+        )
+        groups = stored(groups, "groups")
+        entries = (
+            lists.join(members.select("cid", "lead"), "cid")
+            .groupBy("token", "lead")
+            .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+            .join(groups.drop("lack", "sets"), "lead")
         )
-    )
-    members = stored(members, "members")
-    groups = members.groupBy("lead").agg(
-        F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("lack").alias("lack"),
-        F.count(F.lit(1)).alias("sets"),
-    )
-    groups = stored(groups, "groups")
-    entries = (
-        lists.join(members.select("cid", "lead"), "cid")
-        .groupBy("token", "lead")
-        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-        .join(groups.drop("lack", "sets"), "lead")
-    )
-    entries = stored(entries, "entries")
-    several = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("k"), F.min("comp").alias("_least"), F.max("comp").alias("_most")
-    )
-    several = several.filter(F.col("_least") != F.col("_most")).select("token", "k")
-    tiles = _list_tiles(entries.join(several, "token"), join)
-    compared = texts.compared(tiles.mapInArrow(_list_pairs(join), "a long, b long"))
-    linked = _similar(compared, join)
-    apart = compared.join(linked.select("a", "b"), ["a", "b"], "left_anti")
-    derived = _derived(apart, members, groups, texts, join)
-
-    edges = close.select("a", "b").union(linked.select("a", "b")).union(derived.select("a", "b"))
-    reached = components(edges)
+        entries = stored(entries, "entries")
+        several = entries.groupBy("token").agg(
+            F.count(F.lit(1)).alias("k"), F.min("comp").alias("_least"), F.max("comp").alias("_most")
+        )
+        several = several.filter(F.col("_least") != F.col("_most")).select("token", "k")
+        tiles = _list_tiles(entries.join(several, "token"), join)
+        compared = texts.compared(tiles.mapInArrow(_list_pairs(join), "a long, b long"))
+        linked = _similar(compared, join)
+        apart = compared.join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        derived = _derived(apart, members, groups, texts, join)
+
+        edges = close.select("a", "b").union(linked.select("a", "b")).union(derived.select("a", "b"))
+        reached = stored(components(edges), "reached")
+        keep(sets, classes, reached)
     of_class = classes.join(reached, F.col("cid") == F.col("id"), "left").select(
         "print", "more", "n", F.coalesce("component_id", "cid").alias("component_id")
     )
