@@ -519,16 +519,19 @@ def similar_sets(docs: DataFrame, join: Join = Join()) -> DataFrame:
         derived = _derived(apart, members, groups, texts, join)
 
         edges = close.select("a", "b").union(linked.select("a", "b")).union(derived.select("a", "b"))
-        reached = stored(components(edges), "reached")
-        keep(sets, classes, reached)
-    of_class = classes.join(reached, F.col("cid") == F.col("id"), "left").select(
-        "print", "more", "n", F.coalesce("component_id", "cid").alias("component_id")
-    )
-    return sets.join(of_class, ["print", "more", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+        reached = components(edges)
+        of_class = classes.join(reached, F.col("cid") == F.col("id"), "left").select(
+            "print", "more", "n", F.coalesce("component_id", "cid").alias("component_id")
+        )
+        whole = sets.join(of_class, ["print", "more", "n"], "left").select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        )
+        # three numbers a row; all else that was written on the way can go
+        whole = stored(whole, "joined")
+        keep(whole)
+    return whole
 
 
 @query(
