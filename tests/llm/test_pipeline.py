@@ -97,4 +97,4 @@ def test_queries_against_sql(llm, name):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
