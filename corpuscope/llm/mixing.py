@@ -63,23 +63,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     """How often the mix takes each document: the columns of ``docs`` and those below.
 
     ``docs`` has ``doc_id``, ``source``, ``size`` (words, null counts as 0) and
-    ``weight`` (its quality, above 0; null counts as 1). A target of k sizes of its
+    ``weight`` (its quality, above 0; null counts as 1), and may have ``text_key``, a digest of the text. A target of k sizes of its
     source and a rest takes every document k times; the rest goes to documents in the order of
     the exponential keys -ln(u) / weight, u being a hash of the id: sampling without
     replacement in proportion to the weights. A document is taken for the rest if its
     middle word lies within it, so a source misses its target by half a document at
     most. Reruns agree, as keys depend on ids alone. An empty source has the target 0
-    and is taken 0 times; repeated rows are documents of their own; rows with a null id share one key.
+    and is taken 0 times; repeated rows are documents of their own. Rows with a null id are drawn by their
+    ``text_key``; those without one too share one key.
 
     The order is one global range sort by source and key, so a source that holds a
     third of all rows is spread over many tasks. Adds ``source_size``, ``target``,
     ``copies`` (times taken) and ``taken`` (words taken).
     """
+    draws = [unit_hash(F.col(c)) for c in ("doc_id", "text_key") if c in docs.columns]
     keyed = docs.withColumns(
         {
             "size": F.coalesce(F.col("size"), F.lit(0)).cast("long"),
-            "_key": -F.log(F.coalesce(unit_hash(F.col("doc_id")), F.lit(0.5)))
-            / F.coalesce(F.col("weight"), F.lit(1.0)),
+            "_key": -F.log(F.coalesce(*draws, F.lit(0.5))) / F.coalesce(F.col("weight"), F.lit(1.0)),
         }
     )
     order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size")]
@@ -121,22 +122,26 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def word_sizes(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the number of words of the text (null: 0), then ``extra`` columns."""
+    """``doc_id``, ``source``, ``size``, the number of words of the text (null: 0), ``text_key``, then ``extra`` columns.
+
+    ``text_key`` is a digest of the text where the id is null, and null elsewhere.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), *extra)
+    text_key = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", "source", size.alias("size"), text_key.alias("text_key"), *extra)
 
 
 @query(
     "op7_mix_sources",
     r"""
     WITH docs AS (
-        SELECT doc_id, source,
+        SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS drawn,
             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
         FROM documents
     ), known AS (
         SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id
     ), keyed AS (
-        SELECT docs.*, -ln((('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+        SELECT docs.*, -ln((('0x' || substr(md5(drawn), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / CASE quality WHEN 1 THEN 4.0 WHEN 0 THEN 1.0 ELSE 2.0 END AS k
         FROM docs LEFT JOIN known USING (doc_id)
     ), placed AS (

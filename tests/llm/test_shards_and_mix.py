@@ -59,6 +59,16 @@ def test_mix_takes_near_the_target(documents, sentence):
     assert mix(sized.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_drawn_by_their_texts(documents, sentence):
+    rows = [(None, sentence(i, i % 9 + 1), "en", "a") for i in range(90)] + [(i, sentence(i, 40), "en", "b") for i in range(30)]
+    sized = word_sizes(documents(rows).withColumn("weight", F.lit(1.0)).drop("size"), extra=("weight",))
+    mixed = [r for r in mix(sized, weights=(1, 8)).collect() if r.doc_id is None]
+    least = min(r.copies for r in mixed)
+    sizes = {copies: {r.size for r in mixed if r.copies == copies} for copies in (least, least + 1)}
+    # long ones are among those taken once more, short ones among the others
+    assert len(mixed) == 90 and max(sizes[least + 1]) > min(sizes[least]) and len(sizes[least] & sizes[least + 1]) > 2
+
+
 def test_quality_weights_follow_labels(llm, documents):
     labels = llm.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
     df = documents([(1, "a"), (2, "b"), (3, "c"), (None, "d")]).select("doc_id")
