@@ -95,7 +95,7 @@ def _packed(pivots: int):
                 items = members.values
                 matrix = np.frombuffer(b"".join(items.field("body").to_pylist()), dtype=np.float64).reshape(-1, dims)
                 shadow = _units(matrix) @ _directions_of(dims, pivots).T
-                out["ids"].append(np.asarray(items.field("vec_id")).astype("<i8").tobytes())
+                out["ids"].append(np.asarray(items.field("number")).astype("<i8").tobytes())
                 out["copies"].append(np.asarray(items.field("copies")).astype("<i8").tobytes())
                 out["body"].append(matrix.tobytes())
                 out["low"].append(shadow.min(axis=0).tolist())
@@ -196,10 +196,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those
     with a null label, link with nothing; nor do vectors of different length. Rows that
-    share an id are vectors of their own; an empty table gives no rows.
+    share an id are vectors of their own, whatever their labels, and so are rows without an id;
+    an empty table gives no rows.
 
     Columns: ``vec_id``, ``n_links`` (other vectors linked directly), ``component_id``
-    (least id reachable), ``kept`` (whether that is its own).
+    (least id reachable; null if all that are reachable have none), ``kept`` (whether that is its own,
+    so a row without an id is kept if it reaches no row that has one).
     """
     parts = shuffle_partitions(vectors.sparkSession)
     plain = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
@@ -211,13 +213,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     classes = classes.mapInArrow(
         _projected(pivots), "id long, label string, dims int, copies long, body binary, side int, reach double"
     )
-    placed = running_totals(classes, [F.col(c) for c in ("label", "dims", "side", "reach", "id")], [])
-    starts = placed.groupBy("label", "dims").agg(F.min("row_index").alias("_start"))
+    # the place of a class is its number; the digest leaves no ties, so it is the same wherever it is worked out
+    order = [*map(F.col, ("label", "dims", "side", "reach", "id")), F.sha2("body", 256)]
+    placed = running_totals(classes, order, []).withColumnRenamed("row_index", "number")
+    starts = placed.groupBy("label", "dims").agg(F.min("number").alias("_start"))
     numbered = placed.join(starts, ["label", "dims"]).withColumn(
-        "block", F.floor((F.col("row_index") - F.col("_start")) / block).cast("long")
+        "block", F.floor((F.col("number") - F.col("_start")) / block).cast("long")
     )
     members = numbered.groupBy("label", "dims", "block").agg(  # at most ``block`` rows each
-        F.collect_list(F.struct(F.col("id").alias("vec_id"), "copies", "body")).alias("members")
+        F.collect_list(F.struct("number", "copies", "body")).alias("members")
     )
     blocks = stored(members.select("label", "dims", "block", "members").mapInArrow(_packed(pivots), _BLOCKS), "blocks")
 
@@ -247,24 +251,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         "found",
     )
 
-    links = found.groupBy("id").agg(F.sum("links").alias("_links"))
-    reached = components(found.filter("other is not null").select("id", "other"))
-    classes = bodies.groupBy(*key).agg(F.min("vec_id").alias("_class"), F.count(F.lit(1)).alias("_copies"))
-    whole = (
-        bodies.join(classes, key)
-        .join(links, F.col("_class") == F.col("id"), "left")
-        .drop("id")
-        .join(reached, F.col("_class") == F.col("id"), "left")
-        .select(
-            "vec_id",
-            (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).cast("long").alias("n_links"),
-            F.coalesce("component_id", "_class").alias("component_id"),
-        )
+    links = found.groupBy("id").agg(F.sum("links").alias("_links")).withColumnRenamed("id", "number")
+    reached = components(found.filter("other is not null").select("id", "other")).withColumnRenamed("id", "number")
+    groups = placed.select("number", "id").join(reached, "number", "left")
+    groups = stored(groups.select("number", "id", F.coalesce("component_id", "number").alias("_group")), "groups")
+    # written, so that the join deals both sides anew and a large group can be split
+    least = stored(groups.groupBy("_group").agg(F.min("id").alias("component_id")), "least")
+    told = groups.join(least, "_group").select("number", "component_id")
+    classes = (
+        placed.select(*key, "number", F.col("copies").alias("_copies"))
+        .join(links, "number", "left")
+        .join(told, "number")
+        .select(*key, "component_id", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).cast("long").alias("n_links"))
     )
+    whole = bodies.join(classes, key).select("vec_id", "n_links", "component_id")
     alone = rows.filter("body is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return whole.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return whole.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 @query(

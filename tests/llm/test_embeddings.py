@@ -67,6 +67,32 @@ def test_against_brute_force(vectors):
         assert sorted(str(tuple(r)) for r in got) == want
 
 
+def test_rows_without_an_id_and_with_the_same_id(vectors):
+    random = np.random.default_rng(6)
+    a, b = random.standard_normal(8), random.standard_normal(8)
+    near = (a + 0.01 * random.standard_normal(8)).tolist()
+    a, b, big = a.tolist(), b.tolist(), 2**53
+    cases = [
+        # ids that doubles cannot tell apart, beside a null
+        (
+            [(None, a, 0), (big + 1, near, 0), (big + 3, b, 0)],
+            [(None, 1, big + 1, False), (big + 1, 1, big + 1, True), (big + 3, 0, big + 3, True)],
+        ),
+        # one id in two labels
+        ([(1, a, 0), (1, b, 1), (2, near, 0)], [(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False)]),
+        # one id twice in a label, linked and not
+        ([(1, a, 0), (1, near, 0), (1, b, 0)], [(1, 1, 1, True), (1, 1, 1, True), (1, 0, 1, True)]),
+        # no ids at all, equal and near
+        ([(None, a, 0), (None, a, 0), (None, near, 0), (None, b, None)], [(None, 2, None, True)] * 3 + [(None, 0, None, True)]),
+        # the least id of a group need not be that of its first class
+        ([(9, a, 0), (3, near, 0), (5, a, 0)], [(9, 2, 3, False), (3, 2, 3, True), (5, 2, 3, False)]),
+    ]
+    for rows, want in cases:
+        for block in (256, 1):
+            got = near_vectors(vectors(rows), 0.98, block=block).collect()
+            assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
+
+
 def test_no_vectors(vectors):
     assert near_vectors(vectors([])).collect() == []
     assert near_vectors(vectors([(1, None, 1)])).collect()[0].kept
