@@ -170,12 +170,14 @@ def download_info(downloads: DataFrame, files: DataFrame, temp_dir: str = "/tmp"
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str | Column, value: str) -> DataFrame:
-    """The latest value per key.
+    """The latest value per key; of several with one ``order`` the greatest, so that reruns agree.
 
-    An aggregate, not a window: every task sends one row per key, whatever the
-    number of assignments to it.
+    Rows without an order say that there is the key, not its value. An aggregate, not a window: every
+    task sends one row per key, whatever the number of assignments to it.
     """
-    return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+    place = F.col(order) if isinstance(order, str) else order
+    ranked = F.when(place.isNotNull(), F.struct(place.alias("place"), F.col(value).alias("value")))
+    return df.groupBy(*keys).agg(F.max(ranked).alias("_last")).select(*keys, F.col("_last.value").alias(value))
 
 
 def env_overlay(env: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:

@@ -1,6 +1,12 @@
 """Jobs and registered queries."""
 
-from corpuscope.plans import corpus_queries, record_queries, response_queries, text_queries  # noqa: F401
+from corpuscope.plans import (  # noqa: F401
+    corpus_queries,
+    record_queries,
+    response_queries,
+    stream_queries,
+    text_queries,
+)
 from corpuscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
