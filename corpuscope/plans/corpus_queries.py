@@ -520,6 +520,18 @@ def job_on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Add ``place`` (from 1) and ``last`` within each group; a group lies in one task, in order, and is written as one file.
+
+    The window asks for that itself. A join to the ends of each group with a ``repartition`` behind it would not: the
+    planner leaves the latter out, as the join has dealt the rows already, and then broadcasts the ends and
+    reads the rows task by task as they were written.
+    """
+    here = W.partitionBy(*group).orderBy(order)
+    placed = rows.withColumns({"place": F.row_number().over(here), "last": F.lead(order).over(here).isNull()})
+    return placed.sortWithinPartitions(*group, order)
+
+
 @query(
     "read_json_files",
     """SELECT lang, doc_id // 200 AS part, CASE WHEN count(*) % 2 = 0 THEN CAST(count(*) AS BIGINT) END AS n,
@@ -532,22 +544,20 @@ def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     The reader gets the items; only then are they counted and summed.
     """
     path = scratch_path(spark, "arrays")
-    group = ["lang", "part"]
     documents = table(spark, sf_dir, "documents").select(
-        "lang", F.expr("doc_id DIV 200").alias("part"), "doc_id", "n_chars"
+        # a folder's name is neither null nor empty
+        F.coalesce("lang", F.lit("")).alias("lang"), F.expr("doc_id DIV 200").alias("part"), "doc_id", "n_chars"
     )
-    ends = documents.groupBy(*group).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     line = F.expr(
-        """concat(IF(doc_id = first, '[', ''), '{"doc":', doc_id, ',"chars":', n_chars, '}',
-        IF(doc_id <> last, ',', IF(n % 2 = 0, ']', '')))"""
+        """concat(IF(place = 1, '[', ''), '{"doc":', doc_id, ',"chars":', n_chars, '}',
+        IF(NOT last, ',', IF(place % 2 = 0, ']', '')))"""
     )
-    lines = documents.join(ends, group).select(*group, "doc_id", line.alias("value"))
-    ordered = lines.repartition(*group).sortWithinPartitions(*group, "doc_id").select(*group, "value")
-    ordered.write.partitionBy(*group).text(path)
+    lines = _placed(documents, ["lang", "part"], "doc_id").select("lang", "part", line.alias("value"))
+    lines.write.partitionBy("lang", "part").text(path)
     files = read_json_files(spark, path, recursive=True)
     items = F.try_variant_get("jsonData", "$", "array<struct<doc:bigint,chars:bigint>>")
     return files.select(
-        F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"),
+        F.nullif(F.regexp_extract("path", "/lang=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("lang"),
         F.regexp_extract("path", "/part=([^/]*)/", 1).cast("bigint").alias("part"),
         F.when(items.isNotNull(), F.size(items).cast("bigint")).alias("n"),
         F.aggregate(items, F.lit(0).cast("bigint"), lambda total, item: total + item["chars"]).alias("chars"),
@@ -564,11 +574,9 @@ def _json_files(spark: SparkSession, sf_dir: str, member: str, opening: str, clo
     events = table(spark, sf_dir, "events").select(
         F.expr("event_id DIV 2500").alias("part"), "event_id", F.expr(member).alias("value")
     )
-    ends = events.groupBy("part").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-    value = F.expr(f"concat(IF(event_id = first, '{opening}', ''), value, IF(event_id = last, '{closing}', ','))")
-    lines = events.join(ends, "part").select("part", "event_id", value.alias("value"))
-    ordered = lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value")
-    ordered.write.partitionBy("part").option("lineSep", " ").text(path)
+    value = F.expr(f"concat(IF(place = 1, '{opening}', ''), value, IF(last, '{closing}', ','))")
+    lines = _placed(events, ["part"], "event_id").select("part", value.alias("value"))
+    lines.write.partitionBy("part").option("lineSep", " ").text(path)
     return path
 
 
