@@ -2,118 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from typing import Any
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType
 
 from corpuscope.operators.lookups import env_overlay, last_wins
 from corpuscope.streaming.batches import batch_path, finished_batches, start_batches
 
-#: Parts that the assignments of one key are dealt to.
-SALTS = 16
-#: A key without an assignment for so long leaves the state.
-IDLE_MS = 24 * 60 * 60 * 1000
-
-#: State with a time to live needs the store on disk. Without input it would call for batch after batch, and a
-#: stream that takes what is there would not end; what has rested too long goes with the next input.
-_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-}
-
-
-def _rank(place: Any, value: Any) -> tuple:
-    """As Spark orders a struct of both: null first, no number last."""
-    return place is not None, place != place, place, value is not None, value != value, value
-
-
-class _Last(StatefulProcessor):
-    """Keeps the greatest (order, value) of a key and puts out each that is greater than all before it."""
-
-    def __init__(self, names: list[str], state: StructType, idle_ms: int) -> None:
-        self.names, self.schema, self.idle_ms = names, state, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.schema, self.idle_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        best = None
-        for row in rows:
-            # an assignment without a place says that there is the key, not its value
-            place = row["_order"]
-            rank = _rank(place, None if place is None else row["_value"])
-            if best is None or _greater(rank, best):
-                best = rank
-        if best is None:
-            return
-        if self.last.exists():
-            known = self.last.get()
-            if not _greater(best, _rank(known[0], known[1])):
-                return
-        self.last.update((best[2], best[5]))
-        yield Row(**dict(zip(self.names, (*key[: len(self.names) - 2], best[2], best[5]))))
-
-    def close(self) -> None:
-        pass
-
-
-def _greater(one: tuple, other: tuple) -> bool:
-    """Compare without comparing a null, or no number, to a value: the flags ahead of both have decided."""
-    for a, b in zip(one, other):
-        if a is None or b is None or a != a:
-            continue
-        if a != b:
-            return a > b
-    return False
-
-
-@contextmanager
-def _stateful(spark: SparkSession) -> Iterator[None]:
-    """A stream takes these settings when it starts."""
-    before = {name: spark.conf.get(name, None) for name in _CONF}
-    for name, value in _CONF.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
 
 def stream_last_wins(
-    assignments: DataFrame, keys: list[str], order: str, value: str, path: str, salts: int = SALTS, idle_ms: int = IDLE_MS
+    assignments: DataFrame, keys: list[str], order: str, value: str, path: str, salts: int | None = None
 ) -> StreamingQuery:
     """Take the assignments of a stream that are there, keep the last of each key below ``path``, and stop.
 
-    The state holds the last assignment of each key and salt, so a key with a third of all rows is dealt to ``salts``
-    tasks; what is greater than all before it is written as an update, in a folder of its batch. A batch that is
-    run again replaces its own. A key that rests for ``idle_ms`` leaves the state, which bounds it; its next
-    assignment is written in any case, and :func:`current_settings` compares it with the earlier ones, so the result
-    does not depend on that time, nor on the order of arrival.
+    A batch writes the last of its own assignments to each key, in a folder of its own, and a batch that is run again
+    replaces its own. :func:`current_settings` compares those of all batches, so the result does not depend on the order of
+    arrival. Nothing has to be remembered from batch to batch: no state grows with the keys or has to be opened for each
+    batch. Every task sends one row per key, so a key with a third of all rows needs no dealing; ``salts``, the parts that it
+    was dealt to, changes nothing.
     """
-    spark = assignments.sparkSession
     given = assignments.select(*keys, F.col(order).alias("_order"), F.col(value).alias("_value"))
-    dealt = given.withColumn("_salt", F.pmod(F.xxhash64("_order", "_value"), F.lit(salts)))
-    state = StructType([given.schema["_order"], given.schema["_value"]])
-    fields = [given.schema[name] for name in keys]
-    output = StructType([*fields, *(StructField(f.name, f.dataType, True) for f in state)])
-    processor = _Last(output.names, state, idle_ms)
-    updates = dealt.groupBy(*keys, "_salt").transformWithState(processor, output, "Update", "ProcessingTime")
+    # an assignment without a place says that there is the key, not its value
+    ranked = F.when(F.col("_order").isNotNull(), F.struct("_order", "_value"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(path, number))
+        last = batch.groupBy(*keys).agg(F.max(ranked).alias("_last")).select(*keys, "_last._order", "_last._value")
+        last.write.mode("overwrite").parquet(batch_path(path, number))
 
-    with _stateful(spark):
-        return start_batches(updates, path, write, "update")
+    return start_batches(given, path, write)
 
 
 def current_settings(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:

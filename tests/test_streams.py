@@ -99,6 +99,16 @@ def test_last_assignment_of_a_stream_equals_the_batch(spark, tmp_path):
     assert rows(current_overlay(env, f"{path}/out")) == rows(env_overlay(env, last_wins(whole, ["key"], "at", "value")))
 
 
+def test_a_batch_keeps_one_row_for_each_of_its_keys(spark, tmp_path):
+    path = str(tmp_path)
+    stream = arrive(spark, [(f"k{i % 5}", i, str(i)) for i in range(500)], ROWS, path, 0)
+    query = stream_last_wins(stream, ["key"], "at", "value", f"{path}/out")
+    query.awaitTermination(300)
+    assert spark.read.parquet(batch_path(f"{path}/out", 0)).count() == 5
+    # no store is opened, whose cost would grow with partitions and batches
+    assert query.lastProgress is not None and not query.lastProgress.stateOperators
+
+
 def test_ties_of_the_order_go_to_the_greatest_value(spark):
     for data in ([("k", 1, "a"), ("k", 1, "b")], [("k", 1, "b"), ("k", 1, "a")]):
         assert last_wins(spark.createDataFrame(data, ROWS), ["key"], "at", "value").first().value == "b"
