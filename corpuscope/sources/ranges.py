@@ -23,6 +23,8 @@ from corpuscope.sources.files import PACKED
 
 #: What tells the order of the pieces of a file.
 PLACE = ("range_start", "place")
+#: Bytes of small ranges that one task reads.
+_TASK_BYTES = 128 << 20
 
 
 @contextmanager
@@ -40,13 +42,17 @@ def range_size(spark: SparkSession, size: int | None) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def read_pieces(spark: SparkSession, path: str | list[str], separator: str = "\n", recursive: bool = False) -> DataFrame:
+def read_pieces(
+    spark: SparkSession, path: str | list[str], separator: str = "\n", recursive: bool = False, names: str = "*"
+) -> DataFrame:
     """The pieces between separators: path, range_start, place, length (of the file), piece.
 
     Pieces of one file stand in order of ``range_start`` and ``place``, which grows by one within a range. A piece
-    belongs to the range it begins in. The reader drops a byte order mark, and empty files have no pieces.
+    belongs to the range it begins in. The reader drops a byte order mark, and empty files have no pieces. ``names`` is a
+    pattern that the names of the files match.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", separator)
+    reader = reader.option("pathGlobFilter", names)
     return reader.text(path).select(
         file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("range_start"),
@@ -56,6 +62,19 @@ def read_pieces(spark: SparkSession, path: str | list[str], separator: str = "\n
     )
 
 
+def _packed(pieces: DataFrame, range_bytes: int | None) -> DataFrame:
+    """Small ranges, several to a task: a task and a file for each cost more than its bytes do.
+
+    Ranges and places stay as they are. A task reads its ranges one after another, 128 MB of them at most; tables of
+    less are still read by a few tasks on each core.
+    """
+    if range_bytes is None:
+        return pieces
+    ranges = pieces.rdd.getNumPartitions()
+    tasks = max(4 * pieces.sparkSession.sparkContext.defaultParallelism, -(-ranges * range_bytes // _TASK_BYTES))
+    return pieces.coalesce(tasks) if ranges > tasks else pieces
+
+
 def file_path() -> Column:
     """The path of a row's file, in the form of the listing."""
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -72,7 +91,7 @@ def read_lines(
     have none. The lines are written once to the shared folder, so that ranges stay as they are.
     """
     with range_size(spark, range_bytes):
-        lines = stored(read_pieces(spark, path, recursive=recursive), "lines")
+        lines = stored(_packed(read_pieces(spark, path, recursive=recursive), range_bytes), "lines")
     return number_lines(lines)
 
 
@@ -101,7 +120,7 @@ def extract_ranges(
     ``parseError`` is told by the same reading. A byte order mark counts as a character of the file.
     """
     with range_size(spark, range_bytes):
-        pieces = stored(read_pieces(spark, path, recursive=recursive), "lines")
+        pieces = stored(_packed(read_pieces(spark, path, recursive=recursive), range_bytes), "lines")
     lines = number_lines(pieces)
     counted = pieces.groupBy("path").agg(
         F.sum(char_count(F.col("piece")) + 1).alias("size"),
@@ -127,7 +146,7 @@ def extract_ranges(
         # the last line's end is there only if the file has one
         F.substring(begun, F.lit(1), F.least(F.lit(preview).cast("long"), F.col("size") - F.col("_unended") + F.col("_mark")).cast("int")).alias("_begun"),
     )
-    broken = _json_files(spark, pieces.filter(has_extension(F.col("path"), [JSON_SUFFIX])).select("path").distinct(), path, recursive, range_bytes)
+    broken = _json_files(spark, path, recursive, range_bytes)
     return records.join(broken, "path", "left").select(
         "path", "filename", "size", "lines", "extractedAt",
         F.when(is_json, F.col("_error")).alias("parseError"),
@@ -136,9 +155,9 @@ def extract_ranges(
     )
 
 
-def _json_files(spark: SparkSession, names: DataFrame, path: str | list[str], recursive: bool, range_bytes: int | None) -> DataFrame:
-    """path and _error of the JSON files among those of a folder."""
-    found = _members(spark, path, recursive, range_bytes, names)
+def _json_files(spark: SparkSession, path: str | list[str], recursive: bool, range_bytes: int | None) -> DataFrame:
+    """path and _error of the JSON files among those of a folder; no other file is opened."""
+    found = _members(spark, path, recursive, range_bytes, f"*{JSON_SUFFIX}")
     return found.groupBy("path").agg(F.min("error").alias("_error"))
 
 
@@ -169,13 +188,11 @@ def _running(pieces: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def _members(
-    spark: SparkSession, path: str | list[str], recursive: bool, range_bytes: int | None, only: DataFrame | None = None
+    spark: SparkSession, path: str | list[str], recursive: bool, range_bytes: int | None, names: str = "*"
 ) -> DataFrame:
     """path, kind, position, text, name, value, error: every member of every file, checked by itself."""
     with range_size(spark, range_bytes):
-        pieces = read_pieces(spark, path, ",", recursive)
-        if only is not None:
-            pieces = pieces.join(only, "path", "left_semi")
+        pieces = _packed(read_pieces(spark, path, ",", recursive, names), range_bytes)
         # an escape cannot lie across a comma, as no comma can be escaped
         plain = F.regexp_replace("piece", r"(?s)\\.", "")
         pieces = pieces.withColumn("_plain", plain).withColumns(

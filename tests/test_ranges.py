@@ -124,6 +124,27 @@ def test_ranges_give_what_whole_files_give(spark, tmp_path, size):
         assert got[name] == dict(enumerate(lines)), name
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}, x\n" for i in range(6000)))
+    with range_size(spark, 256):
+        ranges = read_pieces(spark, str(tmp_path)).rdd.getNumPartitions()
+    lines = read_lines(spark, str(tmp_path), range_bytes=256)
+    stored = {p for p in lines.inputFiles()}
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert ranges > 2 * most and len(stored) <= most
+    assert sorted((r.line_no, r.line) for r in lines.collect()) == [(i, f"line {i}, x") for i in range(6000)]
+
+
+def test_only_json_files_are_read_as_json(spark, tmp_path):
+    for name in ("a.txt", "b.json", "c.json.txt"):
+        (tmp_path / name).write_text("1,2,3")
+    with range_size(spark, None):
+        assert {r.path.rsplit("/", 1)[1] for r in read_pieces(spark, str(tmp_path), ",", names="*.json").collect()} == {"b.json"}
+    (tmp_path / "b.json").unlink()
+    got = extract_ranges(spark, [str(tmp_path / "a.txt"), str(tmp_path / "c.json.txt")], TS)
+    assert [(r.wordCount, r.parseError) for r in got.collect()] == [(1, None)] * 2
+
+
 def test_settings_from_ranges(spark, tmp_path):
     pick = random.Random(2)
     expected = {}
