@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,15 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.learning import bounded_sample, held_out, logistic, row_hash
+from corpuscope.llm.learning import held_out, row_hash
 from corpuscope.llm.registry import query, table
 from corpuscope.llm.textbytes import flat, mixed, row_groups
 from corpuscope.llm.words import word_hashes
-
-#: Labelled documents that the ranking is fitted on.
-FIT_ROWS = 8000
-#: Preference pairs drawn from them.
-PAIRS = 60000
+from corpuscope.operators.ranking import ranked
+from corpuscope.session import stored
+
+#: Labelled documents that meet each other in pairs.
+GROUP_ROWS = 512
+#: Weight of the squared weights in the loss.
+PENALTY = 1e-4
+#: Steps of Newton's method at most.
+PASSES = 12
 #: The score at which a document counts as good.
 CUT = 0.3
 
@@ -94,46 +98,119 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = flat(batch.column(1))
         for first, last in row_groups(offsets):
             rows = [row.tobytes() for row in _features(data, offsets, first, last)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], names=["label", "features"]
-            )
+            here = (batch.column(i).slice(first, last - first) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([*here, pa.array(rows, pa.binary())], names=["doc_id", "_hash", "features"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Expanded features, and whether they are of a good document, of so many rows at a time as meet in pairs."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, GROUP_ROWS):
+            part = batch.slice(first, GROUP_ROWS)
+            x = np.stack([np.frombuffer(f, dtype=np.float64) for f in part.column("features").to_pylist()])
+            yield _expanded(x), np.array(part.column("good").to_pylist(), dtype=bool)
+
+
+def _summed(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of numbers of all groups; a task sends one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for x, good in _groups(batches):
+            found = parts(x, good)
+            total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    sums = rows.select("good", "features").mapInArrow(run, "total binary").toArrow().column("total").to_pylist()
+    # in an order of their own, so that reruns agree
+    return np.sum([np.frombuffer(s, dtype=np.float64) for s in sorted(sums)], axis=0)
+
+
+def _moments(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    return np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), x[good].sum(axis=0)])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, pairs: int = PAIRS) -> QualityModel | None:
-    """Learn scores from pairs of a good and a bad document, on ``most`` labelled rows at most.
+def _pair_parts(weights: np.ndarray, x: np.ndarray, good: np.ndarray, means: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Pairs, loss, gradient and curvature of all pairs of a good and a bad document of a group.
 
-    The chance that the good one wins is the logistic function of the score
-    difference, so the loss is logistic on feature differences. The cut is the
+    A group of one class meets the mean of the other, so that every document takes part.
+    """
+    winners, losers = (x[s] if s.any() else mean[None] for s, mean in zip((good, ~good), means, strict=True))
+    margin = np.clip((winners @ weights)[:, None] - (losers @ weights)[None], -50, 50)
+    surprise = 1 / (1 + np.exp(margin))
+    bend = surprise * (1 - surprise)
+    gradient = losers.T @ surprise.sum(axis=0) - winners.T @ surprise.sum(axis=1)
+    across = winners.T @ bend @ losers
+    curve = (winners.T * bend.sum(axis=1)) @ winners + (losers.T * bend.sum(axis=0)) @ losers - across - across.T
+    return np.concatenate([[margin.size, np.logaddexp(0, -margin).sum()], gradient, curve.ravel()])
+
+
+def _learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """good and features of every labelled document that is not held out, without its text; equal rows count once."""
+    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    given = docs.select("doc_id", "text", row_hash("doc_id", "text").alias("_hash"))
+    given = given.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    featured = given.mapInArrow(_featured, f"doc_id {kind}, _hash double, features binary")
+    known = known.withColumnRenamed("doc_id", "_doc_id")
+    found = featured.join(known, F.col("doc_id") == F.col("_doc_id")).select("_hash", "label", "features")
+    rows = stored(found.dropDuplicates(["_hash"]).sortWithinPartitions("_hash"), "labelled")
+    best = rows.agg(F.max("label")).first()[0]
+    return rows.select("features", (F.col("label") == F.lit(best)).alias("good"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
+    """Learn scores from pairs of a good and a bad document, on all labelled rows.
+
+    The chance that the good one wins is the logistic function of the score difference. Rows are
+    dealt by a hash and meet in groups of ``GROUP_ROWS``, each good one with each bad one of its group; Newton's
+    method adds up the groups, a pass over the stored features for each step. The cut is the exact
     quantile of all scores at the share of bad documents. Rows that are held out and null
     labels or texts are left aside; a document with several labels counts as good if one
     says so. None if one of the classes is missing.
     """
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    known = known.filter(~held_out(F.col("doc_id")))
-    sample = bounded_sample(known, "label", ("doc_id",), most, even=False).withColumnRenamed("doc_id", "_doc_id")
-    # the sample's parameter bounds what is broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_doc_id"))
-    # an id may stand on many rows: the bound holds for what is found too
-    found = found.filter("text is not null").withColumn("_hash", row_hash("doc_id", "text"))
-    found = found.dropDuplicates(["_hash"]).orderBy("_hash").limit(most)
-    rows = found.select("label", "text").mapInArrow(_featured, "label int, features binary").toArrow()
-    y = np.array(rows.column("label").to_pylist(), dtype=np.int64)
-    if len(y) == 0 or y.min() == y.max():
+    rows = _learned_rows(docs, labels)
+    n, n_good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
+    if n_good in (0, n):
         return None
-    x = np.stack([np.frombuffer(f, dtype=np.float64) for f in rows.column("features").to_pylist()])
-    order = np.lexsort(np.column_stack([x, y]).T)  # the same pairs whatever order the rows came in
-    x, y = _expanded(x[order]), y[order]
-    centre, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread < 1e-9] = 1
-    x = (x - centre) / spread
-    random = np.random.default_rng(7)
-    good = random.choice(np.flatnonzero(y == y.max()), pairs)
-    bad = random.choice(np.flatnonzero(y != y.max()), pairs)
-    weights = logistic(x[good] - x[bad], np.ones((pairs, 1)), 1e-4, 300)[:, 0]
-    raw = np.sort(x @ weights)
-    rank = min(max(int((y != y.max()).sum()), 1), len(raw) - 1)
-    spread_raw = max(float(np.std(raw)), 1e-9)
-    return QualityModel(centre, spread, weights, float(raw[rank - 1] + raw[rank]) / 2, 4 / spread_raw)
+    total, squares, of_good = np.split(_summed(rows, _moments), 3)
+    centre = total / n
+    spread = np.sqrt(np.maximum(squares / n - centre * centre, 0))
+    spread[spread < 1e-6] = 1
+    means = ((of_good / n_good - centre) / spread, ((total - of_good) / (n - n_good) - centre) / spread)
+    size = len(centre)
+
+    def at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums = _summed(rows, lambda x, good: _pair_parts(weights, (x - centre) / spread, good, means))
+        loss, gradient, curve = (part / sums[0] for part in np.split(sums[1:], [1, 1 + size]))
+        loss = float(loss[0]) + PENALTY / 2 * float(weights @ weights)
+        return loss, gradient + PENALTY * weights, curve.reshape(size, size) + PENALTY * np.eye(size)
+
+    weights = np.zeros(size)
+    loss, gradient, curve = at(weights)
+    for _ in range(PASSES):
+        step = np.linalg.solve(curve, gradient)
+        if float(gradient @ step) < 1e-8:
+            break
+        for share in (1, 0.5, 0.25, 0.125, 0.0625):
+            tried = at(weights - share * step)
+            if tried[0] < loss:
+                break
+        else:
+            break
+        weights, (loss, gradient, curve) = weights - share * step, tried
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(((x - centre) / spread) @ weights)], names=["raw"])
+
+    placed = ranked(rows.select("good", "features").mapInArrow(raw, "raw double"), ["raw"])
+    n_bad = n - n_good
+    around, spread_raw = placed.agg(
+        F.avg(F.when(F.col("rank").isin(n_bad, n_bad + 1), F.col("raw"))), F.stddev_pop("raw")
+    ).first()
+    return QualityModel(centre, spread, weights, around, 4 / max(spread_raw, 1e-9))
 
 
 def _scored(model: QualityModel | None):

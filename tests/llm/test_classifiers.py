@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.langid import _losses, code_matrix, fit_languages, identify
 from corpuscope.llm.learning import bounded_sample, held_out, logistic
-from corpuscope.llm.quality import fit_quality, score_quality
+from corpuscope.llm.quality import _learned_rows, _pair_parts, fit_quality, score_quality
 
 
 def test_codewords_differ():
@@ -70,6 +71,34 @@ def test_bad_documents_score_low(llm, documents, sentence):
     assert len(scores) == 6 and all(0 <= s <= 1 for s in scores)
 
 
+def test_all_labelled_documents_teach(llm, documents):
+    """9,000 rows, of which the last 300 alone show what a bad one looks like."""
+    ids = [i for i in range(12000) if zlib.crc32(str(i).encode()) % 5][:9000]
+    rows = [(i, f"plain words {i} and more" if k < 8700 else f"{i} $$$ ### $$$ {i}") for k, i in enumerate(ids)]
+    labels = llm.createDataFrame([(i, int(k < 8700)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    found = _learned_rows(documents(rows), labels)
+    assert found.count() == 9000 and found.filter("not good").count() == 300
+    model = fit_quality(documents(rows), labels)
+    scores = score_quality(documents(rows), model)
+    assert scores.filter("predicted = 0").count() == 300
+    again = fit_quality(documents(rows[::-1]), labels)
+    assert np.allclose(model.weights, again.weights, atol=1e-4) and math.isclose(model.cut, again.cut, abs_tol=1e-3)
+
+
+def test_pairs_against_plain_python():
+    pick = np.random.default_rng(4)
+    x, good, weights = pick.normal(size=(9, 3)), np.arange(9) % 3 == 0, pick.normal(size=3)
+    found = _pair_parts(weights, x, good, (x[good].mean(axis=0), x[~good].mean(axis=0)))
+    pairs = [a - b for a in x[good] for b in x[~good]]
+    chance = [1 / (1 + math.exp(d @ weights)) for d in pairs]
+    assert found[0] == 18 and np.isclose(found[1], sum(math.log1p(math.exp(-(d @ weights))) for d in pairs))
+    assert np.allclose(found[2:5], sum(-c * d for c, d in zip(chance, pairs, strict=True)))
+    assert np.allclose(found[5:].reshape(3, 3), sum(c * (1 - c) * np.outer(d, d) for c, d in zip(chance, pairs, strict=True)))
+    # a group of one class meets the other's mean
+    alone = _pair_parts(weights, x[good], good[good], (x[0], x[1]))
+    assert alone[0] == 3 and alone[1] > 0
+
+
 def test_one_class_only(llm, documents):
     labels = llm.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     docs = documents([(i, f"text {i}") for i in range(20)])
