@@ -50,7 +50,17 @@ class TrieBpe:
         self._ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self._fits: dict[tuple[str, str], bool] = {}
         self._traces: dict[str, _Trace] = {}
-        self._longest = max(map(len, self.vocab))
+        self._reach = {suffix: self._reaches(suffix) for suffix in ("", self.end)}
+
+    def _reaches(self, suffix: str) -> dict[str, int]:
+        """For the last three characters of tokens ahead of the suffix: the longest token that ends so."""
+        reach: dict[str, int] = {}
+        for token in self.vocab:
+            size = len(token) - len(suffix)
+            if size > 2 and token.endswith(suffix):
+                tail = token[size - 3 : size]
+                reach[tail] = max(reach.get(tail, 0), size)
+        return reach
 
     def _symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end):
@@ -108,7 +118,9 @@ class TrieBpe:
     def _last(self, word: str, length: int, lasts: list[str], suffix: str) -> str:
         """The last token of the word's prefix of this length; ``lasts`` has those of all shorter prefixes."""
         vocab, fits = self.vocab, self._fits
-        for start in range(max(0, length - self._longest), length):
+        # no token that ends here is longer; those of one or two characters are looked up in any case
+        longest = self._reach[suffix].get(word[max(0, length - 3) : length], 2)
+        for start in range(max(0, length - longest), length):
             token = word[start:length] + suffix
             if token in vocab:
                 pair = (lasts[start], token)

@@ -102,3 +102,23 @@ def test_no_documents(llm, documents):
     folder = scratch_path(llm, "tokens")
     write_token_files(documents([]), folder)
     assert read_token_files(llm, folder).collect() == []
+
+
+def test_only_tokens_that_may_end_there_are_looked_up():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe = TrieBpe(path)
+    words = ["".join(random.Random(i).choice("etaoinqx") for _ in range(30)) for i in range(40)]
+    expected = dict(bpe.encode(words))
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, token):
+            Counted.asked += 1
+            return super().__contains__(token)
+
+    bpe.vocab = Counted(bpe.vocab)
+    assert dict(bpe.encode(words)) == expected
+    letters = sum(map(len, words))
+    # a look-up for each length up to the longest token's would be many more
+    assert 0 < Counted.asked < 2 * letters, Counted.asked / letters
