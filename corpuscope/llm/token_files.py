@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -16,34 +18,42 @@ from pyspark.sql import functions as F
 from corpuscope.llm.pfor import Segment, write_segment
 from corpuscope.llm.pretokens import WORDS, pretokenizer
 from corpuscope.llm.registry import query, table
+from corpuscope.llm.textbytes import flat, row_groups
 from corpuscope.session import scratch_path, shuffle_partitions
 
 #: Ids after which a segment is closed; a document is never split.
 SEGMENT_IDS = 1 << 18
 #: The id behind each document.
 END_ID = 1
-#: Words that a Python worker remembers; beyond, it starts anew.
+#: Words, and pieces of simple texts, that a Python worker remembers; beyond, it starts anew.
 REMEMBERED = 900_000
 
+#: Bytes of text that are encoded together; a larger text stands alone.
+_GROUP = 1 << 21
+
 _SEGMENTS = "part int, segment int, before long, n_ids long, payload binary"
 
 
 class LibraryWords:
-    """Ids of words by the tokenizers library, as little-endian bytes, remembered up to a bound."""
+    """Ids of words and pieces by the tokenizers library, as little-endian bytes, remembered up to a bound."""
 
     def __init__(self, path: str):
         self._cut = pretokenizer(path)
         self._model = self._cut.tokenizer.model
         self.ids: dict[str, bytes] = {}
         self._piece_ids: dict[str, bytes] = {}
+        self._simple_ids: dict[bytes, bytes] = {}
+
+    def _model_ids(self, spelled: str) -> bytes:
+        ids = [token.id for token in self._model.tokenize(spelled)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str | int) -> bytes:
         if not isinstance(piece, str):
             return np.array([piece], "<u4").tobytes()
         known = self._piece_ids.get(piece)
         if known is None:
-            known = np.array([token.id for token in self._model.tokenize(piece)], "<u4").tobytes()
-            self._piece_ids[piece] = known
+            known = self._piece_ids[piece] = self._model_ids(piece)
         return known
 
     def learn(self, words: set[str]) -> None:
@@ -55,6 +65,36 @@ class LibraryWords:
         for word in new:
             self.ids[word] = b"".join(map(self._piece, self._cut.pieces(word)))
 
+    def _simple(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces of simple texts."""
+        found = list(map(self._simple_ids.get, pieces))
+        new = [number for number, ids in enumerate(found) if ids is None]
+        if len(self._simple_ids) + len(new) > REMEMBERED:
+            self._simple_ids = {}
+        for number in new:
+            ids = self._model_ids(self._cut.spelled_bytes(pieces[number]))
+            found[number] = self._simple_ids[pieces[number]] = ids
+        return found
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; a piece that many texts hold is looked up once for all of them."""
+        pieces, bounds, left_out = self._cut.simple_pieces(texts)
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        found = self._simple(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        counts = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], counts) + np.arange(ends[-1])
+        out, row_ends = ids[at], ends[bounds]
+        encoded = [out[a:b].tobytes() for a, b in itertools.pairwise(row_ends[: len(texts) + 1])]
+        for row in left_out:
+            words = WORDS.findall(texts[row].decode())
+            self.learn(set(words))
+            encoded[row] = b"".join(map(self.ids.__getitem__, words))
+        return encoded
+
 
 @lru_cache(maxsize=2)
 def library_words(path: str) -> LibraryWords:
@@ -62,6 +102,13 @@ def library_words(path: str) -> LibraryWords:
     return LibraryWords(path)
 
 
+def _encoded(words: LibraryWords, column: pa.Array) -> Iterator[bytes]:
+    """The ids of each text of a column, some texts at a time; null is empty."""
+    data, offsets = flat(column)
+    for first, last in row_groups(offsets, _GROUP):
+        yield from words.encode([data[a:b].tobytes() for a, b in itertools.pairwise(offsets[first : last + 1])])
+
+
 def _segments(path: str, end: bytes, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(path)
@@ -83,10 +130,8 @@ def _segments(path: str, end: bytes, segment_ids: int):
         part = 0
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = WORDS.findall(value.as_py() or "")
-                words.learn(set(found))
-                ids = b"".join(map(words.ids.__getitem__, found)) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(words, batch.column(1)), strict=True):
+                ids += end
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)

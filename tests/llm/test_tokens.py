@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from corpuscope.llm.bpe import TrieBpe, WordCodes, encode
 from corpuscope.llm.pfor import Segment, write_segment
 from corpuscope.llm.pretokens import WORDS
-from corpuscope.llm.token_files import read_token_files, write_token_files
+from corpuscope.llm.token_files import LibraryWords, _segments, read_token_files, write_token_files
 from corpuscope.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -122,3 +123,36 @@ def test_only_tokens_that_may_end_there_are_looked_up():
     letters = sum(map(len, words))
     # a look-up for each length up to the longest token's would be many more
     assert 0 < Counted.asked < 2 * letters, Counted.asked / letters
+
+
+def test_texts_cut_together_against_the_library(library):
+    words, pick = LibraryWords(PATH), random.Random(8)
+    simple = "abelmrstvZÀéßÿ19!.-'''  \n\x1c\x00\x7f"
+    bits = ["'s", "'re", "''ll", "x'vest", "'m'd", "<|endoftext|>", "<|", "×", "÷", "Σ", "\x85", "ﬁ", "\x1f'T"]
+    for _ in range(150):
+        texts = ["".join(pick.choice(simple) for _ in range(pick.randint(0, 25))) for _ in range(pick.randint(1, 12))]
+        texts = [text[:9] + pick.choice(bits) + text[9:] if pick.random() < 0.4 else text for text in texts]
+        want = [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+        assert words.encode([text.encode() for text in texts]) == want, texts
+    assert words.encode([]) == [] and words.encode([b""]) == [b""]
+
+
+def test_pieces_are_forgotten_beyond_the_bound(library, monkeypatch):
+    monkeypatch.setattr("corpuscope.llm.token_files.REMEMBERED", 5)
+    words = LibraryWords(PATH)
+    for text in ("one two three four", "five two six", "one two three four five six seven", "Σ one two", "six Σ ﬁ"):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert words.encode([text.encode()]) == [want]
+
+
+def test_simple_texts_are_cut_together_not_word_by_word(sentence, monkeypatch):
+    words = LibraryWords(PATH)
+    asked = []
+    monkeypatch.setattr(words._cut, "pieces", lambda word: asked.append(word) or [])
+    monkeypatch.setattr("corpuscope.llm.token_files.library_words", lambda path: words)
+    texts = [sentence(i, 50, "fr") for i in range(20)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(20), pa.int64()), pa.array(texts), pa.array([0] * 20, pa.int32())], names=["doc_id", "text", "part"]
+    )
+    (segment,) = _segments(PATH, b"\1\0\0\0", 1 << 18)(iter([batch]))
+    assert segment.column(3)[0].as_py() > 1000 and not asked
