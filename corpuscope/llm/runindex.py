@@ -36,8 +36,14 @@ class RunIndex:
     tail_lcp: np.ndarray
 
 
-def _suffix_order(text: np.ndarray, piece: np.ndarray, is_end: np.ndarray) -> np.ndarray:
-    """Suffixes in sorted order, by prefix doubling; the end of each piece is a symbol of its own."""
+def _suffix_order(
+    text: np.ndarray, piece: np.ndarray, is_end: np.ndarray, room: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in sorted order, by prefix doubling, and the least and most bytes that each shares with the one before it.
+
+    The end of each piece is a symbol of its own; ``room`` has the bytes ahead of it. What two neighbours share is
+    narrowed by the round that tells them apart; those that the first symbols tell apart are known exactly.
+    """
     n = len(text)
     alphabet = np.zeros(256, dtype=np.int64)
     used = np.flatnonzero(np.bincount(text[~is_end], minlength=256))
@@ -45,20 +51,20 @@ def _suffix_order(text: np.ndarray, piece: np.ndarray, is_end: np.ndarray) -> np
     symbols = np.where(is_end, 0, alphabet[text])
     bits = int(len(used)).bit_length() or 1
     width = min(n, max(1, (62 - _PIECE_BITS) // bits))
-    key = np.zeros(n, dtype=np.int64)
-    open_ = np.ones(n, dtype=bool)  # no end seen yet
-    ended = np.zeros(n, dtype=np.int64)
-    for step in range(width):
-        here = np.zeros(n, dtype=np.int64)
-        here[: n - step] = symbols[step:]
-        end = np.ones(n, dtype=bool)
-        end[: n - step] = is_end[step:]
-        key = (key << bits) | np.where(open_, here, 0)
-        ended[open_ & end] = 1
-        open_ &= ~end
-    key = (key << _PIECE_BITS) | np.where(ended == 1, piece, 0)
+    key = symbols.copy()
+    for step in range(1, width):
+        key <<= bits
+        key[: n - step] |= symbols[step:]
+    # nothing counts behind the end, and there the piece tells ends apart
+    heads = np.array([((1 << bits * r) - 1) << bits * (width - r) for r in range(width + 1)], dtype=np.int64)
+    key &= heads[np.minimum(room, width)]
+    key = (key << _PIECE_BITS) | np.where(room < width, piece, 0)
     order = np.argsort(key)
     ordered = key[order]
+    apart = (ordered[1:] ^ ordered[:-1]) >> _PIECE_BITS
+    same = width - 1 - (np.frexp(apart.astype(np.float64))[1] - 1) // bits  # symbols ahead of the first that differs
+    least = np.concatenate([[0], np.where(apart == 0, room[order[1:]], same)])
+    most = least.copy()
     span = width
     # a rank is the first slot of the suffixes that are alike so far; only these are sorted on
     slots, fresh = np.arange(n), np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -66,9 +72,9 @@ def _suffix_order(text: np.ndarray, piece: np.ndarray, is_end: np.ndarray) -> np
     while True:
         ranks[order[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0))
         tied = ~(fresh & np.concatenate([fresh[1:], [True]]))
-        slots = slots[tied]
+        slots, first = slots[tied], fresh[tied]
         if not len(slots):
-            return order
+            return order, least, most
         open_ones = order[slots]
         ahead = open_ones + span
         behind = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, 0)
@@ -77,19 +83,24 @@ def _suffix_order(text: np.ndarray, piece: np.ndarray, is_end: np.ndarray) -> np
         order[slots] = open_ones[turn]
         key = key[turn]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        told = slots[fresh & ~first]
+        least[told], most[told] = span, 2 * span - 1
         span *= 2
 
 
-def _common(stretches: Stretches, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Bytes that the suffixes at a and b share, at most room, by bisection on hashes."""
-    low = np.zeros(len(a), dtype=np.int64)
-    high = room.astype(np.int64)
-    while (low < high).any():
+def _common(stretches: Stretches, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, from low to high of them, by bisection on hashes."""
+    found = low.copy()
+    left = np.flatnonzero(low < high)
+    a, b, low, high = a[left], b[left], low[left], high[left]
+    while len(left):
         middle = (low + high + 1) // 2
-        same = stretches.hashes(a, a + middle) == stretches.hashes(b, b + middle)
-        low = np.where(same, middle, low)
-        high = np.where(same, high, middle - 1)
-    return low
+        same = stretches.same(a, b, middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        found[left] = low
+        more = np.flatnonzero(low < high)
+        left, a, b, low, high = left[more], a[more], b[more], low[more], high[more]
+    return found
 
 
 def build(pieces: list[bytes]) -> tuple[RunIndex, np.ndarray]:
@@ -101,30 +112,25 @@ def build(pieces: list[bytes]) -> tuple[RunIndex, np.ndarray]:
     is_end = np.zeros(n, dtype=bool)
     is_end[starts[1:] - 1] = True
     piece = np.repeat(np.arange(len(pieces), dtype=np.int64), lengths)
-    order = _suffix_order(text, piece, is_end)
-    before = order - 1  # the byte before the first suffix is the last end
-    bwt = np.where(is_end[before], 256 + piece[before], text[before].astype(np.int64))
+    room = np.repeat(starts[1:] - 1, lengths) - np.arange(n)  # bytes up to the end of the piece
+    order, least, most = _suffix_order(text, piece, is_end, room)
+    # the byte before the first suffix is the last end
+    bwt = np.where(is_end, 256 + piece, text)[order - 1]
     new_run = np.concatenate([[True], bwt[1:] != bwt[:-1]])
     first = np.flatnonzero(new_run)
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    room = np.repeat(starts[1:] - 1, lengths) - np.arange(n)  # bytes up to the end of the piece
-    stretches = Stretches(text)
-
-    def shared(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        inside = (others >= 0) & (others < n)
-        a, b = order[rows[inside]], order[others[inside]]
-        out = np.zeros(len(rows), dtype=np.int64)
-        out[inside] = _common(stretches, a, b, np.minimum(room[a], room[b]))
-        return out
-
+    a, b = order[first], order[first - 1]
+    most = np.minimum(most[first], np.minimum(room[a], room[b]))
+    most[0] = 0  # nothing stands before the first suffix
+    shared = _common(Stretches(text), a, b, np.minimum(least[first], most), most)
     index = RunIndex(
         length=n,
         run_bytes=bwt[first],
         run_lengths=last - first + 1,
         heads=order[first],
-        head_lcp=shared(first, first - 1),
+        head_lcp=shared,
         tails=order[last],
-        tail_lcp=shared(last, last + 1),
+        tail_lcp=np.append(shared[1:], 0),  # the suffix behind a run is the head of the next one
     )
     return index, starts
 

@@ -135,23 +135,24 @@ def _index_marks(window: int):
     def marks(keys: list[tuple[int, int, int]], bodies: list[bytes]) -> pa.RecordBatch:
         index, offsets = build(bodies)
         found = matching_statistics(index) >= window
-        anchors, passages, starts, ends = [], [], [], []
-        for (anchor, passage, copies), body, offset in zip(keys, bodies, offsets[:-1], strict=True):
-            here = found[offset : offset + len(body)]
-            if copies > 1:  # its copies match it to the end; one of them is enough for the others
-                here = np.arange(len(body)) + window <= len(body)
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
-            if len(edges):
-                anchors.append(anchor)
-                passages.append(passage)
-                starts.append(edges[0::2].astype(np.int32))
-                ends.append((edges[1::2] + window - 1).astype(np.int32))
+        anchors, passages, copies = (np.array(column, dtype=np.int64) for column in zip(*keys, strict=True))
+        # copies of a passage match it to the end; one of them is enough for the others
+        sizes = np.diff(offsets)
+        room = np.repeat(offsets[1:] - 1, sizes) - np.arange(len(found))
+        found |= np.repeat(copies > 1, sizes) & (room >= window)
+        # a passage's end matches nothing, so no run of marks goes across it
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
+        starts, ends = edges[0::2], edges[1::2]
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        rows, bounds = np.unique(owner, return_index=True)
+        bounds = pa.array(np.append(bounds, len(owner)).astype(np.int32))
+        starts, ends = starts - offsets[owner], ends - offsets[owner] + window - 1
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(anchors, pa.int64()),
-                pa.array(passages, pa.int64()),
-                pa.array(starts, pa.list_(pa.int32())),
-                pa.array(ends, pa.list_(pa.int32())),
+                pa.array(anchors[rows]),
+                pa.array(passages[rows]),
+                pa.ListArray.from_arrays(bounds, pa.array(starts.astype(np.int32))),
+                pa.ListArray.from_arrays(bounds, pa.array(ends.astype(np.int32))),
             ],
             names=["anchor", "passage", "starts", "ends"],
         )

@@ -52,6 +52,11 @@ class Stretches:
         raw = (self._sums[ends] - self._sums[starts]) * self._back[starts]
         return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def same(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the stretches of one length at two starts have the same hash."""
+        sums, back = self._sums, self._back
+        return (sums[a + lengths] - sums[a]) * back[a] == (sums[b + lengths] - sums[b]) * back[b]
+
     def rolling(self, length: int) -> np.ndarray:
         """Hashes of every stretch of one length."""
         count = len(self._sums) - length

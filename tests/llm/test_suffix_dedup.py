@@ -4,6 +4,7 @@ from collections import Counter
 
 from corpuscope.llm.runindex import build, matching_statistics
 from corpuscope.llm.suffix_dedup import repeated_bytes
+from corpuscope.llm.textbytes import Stretches
 
 
 def brute(rows, window):
@@ -73,3 +74,39 @@ def test_text_and_extra_columns(documents, sentence):
 
 def test_empty_table(documents):
     assert repeated_bytes(documents([])).collect() == []
+
+
+def _passages(seed, n):
+    pick = random.Random(seed)
+    common = bytes(pick.choice(b"abcdefgh \0") for _ in range(120))
+    tails = [bytes(pick.choice(b"abcdefgh ") for _ in range(pick.randint(0, 90))) for _ in range(6)]
+    return [pick.choice(tails) + common[pick.randint(0, 30) :] + pick.choice(tails) for _ in range(n)] + [b"", b"a", b"a"]
+
+
+def test_samples_at_run_ends_are_what_neighbours_share():
+    for seed in range(20):
+        pieces = _passages(seed, 8)
+        index, starts = build(pieces)
+        text = b"".join(p + b"\0" for p in pieces)
+        ends = {at: int(starts[i + 1]) - 1 for i in range(len(pieces)) for at in range(starts[i], starts[i + 1])}
+
+        def common(a, b):
+            return next((k for k in range(len(text)) if a + k >= ends[a] or b + k >= ends[b] or text[a + k] != text[b + k]), 0)
+
+        pairs = list(zip(index.tails[:-1], index.heads[1:], strict=True))
+        want = [common(int(a), int(b)) for a, b in pairs]
+        assert index.head_lcp.tolist() == [0, *want] and index.tail_lcp.tolist() == [*want, 0]
+
+
+def test_few_stretches_are_hashed_to_build_an_index(monkeypatch):
+    hashed = []
+
+    def counted(name):
+        work = getattr(Stretches, name, None)
+        monkeypatch.setattr(Stretches, name, lambda self, a, *rest: hashed.append(len(a)) or work(self, a, *rest), raising=False)
+
+    counted("hashes")
+    counted("same")
+    index, _ = build(_passages(1, 200))
+    # a bisection from nothing for both ends of each run would take more than twenty times as many stretches as runs
+    assert 0 < sum(hashed) < 4 * len(index.heads)
