@@ -8,15 +8,18 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscope.llm.pretokens import WORDS, pretokenizer
 from corpuscope.llm.registry import query, table
+from corpuscope.llm.textbytes import flat, row_groups
 
-#: Words that a task remembers; beyond, it starts anew.
+#: Words, and pieces of simple texts, that a task remembers; beyond, it starts anew.
 REMEMBERED = 400_000
 _REMEMBERED_PAIRS = 200_000
 _NEVER = 1 << 60
@@ -163,15 +166,21 @@ class TrieBpe:
 
 
 class WordCodes:
-    """Ids of words as text, remembered up to a bound."""
+    """Ids of words and of pieces of words, remembered up to a bound."""
 
     def __init__(self, path: str):
         self._cut = pretokenizer(path)
         self._bpe = TrieBpe(path)
-        self._texts = {str(number): token for token, number in self._bpe.vocab.items()}
-        self._texts |= {str(number): content for content, number in self._cut.special.items()}
+        shown = {number: token for token, number in self._bpe.vocab.items()}
+        shown |= {number: content for content, number in self._cut.special.items()}
+        self._texts = {str(number): token for number, token in shown.items()}
+        # each id in decimal, and its token, with the space that stands behind it
+        numbers = range(max(shown, default=-1) + 1)
+        self._decimals = pa.array([f"{number} ".encode() for number in numbers], pa.large_binary())
+        self._tokens = pa.array([f"{shown.get(number, '')} ".encode() for number in numbers], pa.large_binary())
         self.id_text: dict[str, str] = {}
         self._piece_ids: dict[str, str] = {}
+        self._simple_ids: dict[bytes, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all these words at hand: decimal, a space between."""
@@ -192,7 +201,7 @@ class WordCodes:
 
     def forget(self) -> None:
         """Leave the words; the worker may go on with other work."""
-        self.id_text, self._piece_ids = {}, {}
+        self.id_text, self._piece_ids, self._simple_ids = {}, {}, {}
 
     def encode(self, words: list[str]) -> str:
         """The ids of words that were learned."""
@@ -202,6 +211,54 @@ class WordCodes:
         """Token texts with a space between; the tokenizer names no other way to join them."""
         return " ".join(map(self._texts.__getitem__, ids.split(" "))) if ids else ""
 
+    def _simple(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces of simple texts, as little-endian bytes; new ones share one trie."""
+        known = self._simple_ids
+        new = [piece for piece in pieces if piece not in known]
+        if len(known) + len(new) > REMEMBERED:
+            self._simple_ids = known = {}
+            new = pieces
+        spelled = {self._cut.spelled_bytes(piece): piece for piece in new}
+        for spelling, ids in self._bpe.encode(spelled):
+            known[spelled[spelling]] = pack(f"<{len(ids)}i", *ids)
+        return list(map(known.__getitem__, pieces))
+
+    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and the bounds of each text's; a distinct piece is worked out once for all of them."""
+        pieces, bounds, left_out = self._cut.simple_pieces(texts)
+        coded = pieces.dictionary_encode()
+        found = self._simple(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=ends[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        lists = lists.take(coded.indices)
+        ids, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+        bounds = (ends - ends[0])[bounds[: len(texts) + 1]]
+        if not len(left_out):
+            return ids, bounds
+        words = {row: WORDS.findall(texts[row].decode()) for row in left_out.tolist()}
+        self.learn({word for found in words.values() for word in found})
+        parts = [ids[a:b] for a, b in itertools.pairwise(bounds)]
+        for row, found in words.items():
+            parts[row] = np.array(self.encode(found).split(), np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+
+    def decimals(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """The ids of each text in decimal, a space between."""
+        return _joined(self._decimals, ids, bounds)
+
+    def tokens(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """What :meth:`decode` gives for each text, in UTF-8."""
+        return _joined(self._tokens, ids, bounds)
+
+
+def _joined(spaced: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+    """The entries that the ids of each text stand for, without the last space."""
+    taken = spaced.take(pa.array(ids))
+    data = memoryview(taken.buffers()[2] or b"")
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(ids) + 1][bounds].tolist()
+    return [data[a : max(a, b - 1)] for a, b in itertools.pairwise(ends)]
+
 
 @lru_cache(maxsize=2)
 def word_codes(path: str) -> WordCodes:
@@ -209,43 +266,28 @@ def word_codes(path: str) -> WordCodes:
     return WordCodes(path)
 
 
-#: Characters of text whose words are learned together.
+#: Bytes of text that are encoded together; a larger text stands alone.
 _GROUP = 1 << 20
 
 
-def _texts(column: pa.Array) -> Iterator[list[str]]:
-    group, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        group.append(text)
-        size += len(text)
-        if size >= _GROUP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _encoded(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(path)
         for batch in batches:
-            done = 0
-            for texts in _texts(batch.column(1)):
-                found = [WORDS.findall(text) for text in texts]
-                codes.learn({word for words in found for word in words})
-                ids = list(map(codes.encode, found))
-                decoded = list(map(codes.decode, ids))
+            data, offsets = flat(batch.column(1))
+            for first, last in row_groups(offsets, _GROUP):
+                texts = [data[a:b].tobytes() for a, b in itertools.pairwise(offsets[first : last + 1])]
+                ids, bounds = codes.encode_texts(texts)
+                shown, decoded = codes.decimals(ids, bounds), codes.tokens(ids, bounds)
                 columns = {
-                    "doc_id": batch.column(0).slice(done, len(texts)),
-                    "n_tokens": pa.array([text.count(" ") + 1 if text else 0 for text in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(text.encode()).hexdigest() for text in ids]),
-                    "decoded_sha256": pa.array([hashlib.sha256(text.encode()).hexdigest() for text in decoded]),
+                    "doc_id": batch.column(0).slice(first, last - first),
+                    "n_tokens": pa.array(np.diff(bounds), pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(text).hexdigest() for text in shown], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(text).hexdigest() for text in decoded], pa.string()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.array([list(map(int, text.split())) for text in ids], pa.list_(pa.int32()))
-                    columns["decoded"] = pa.array(decoded, pa.string())
-                done += len(texts)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                    columns["decoded"] = pa.array([str(text, "utf-8") for text in decoded], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
         codes.forget()
 
@@ -256,9 +298,9 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     """Encode every whole text with the tokenizer file at ``path`` and decode it again.
 
     ``path`` is a BPE file of the tokenizers library whose pre-tokenizer drops white
-    space, and must be readable on the executors. The distinct words of some texts at a time are encoded over one
-    trie, so shared prefixes are worked out once; texts are put together from their
-    words. A null text counts as empty: 0 tokens. Special tokens in a text are encoded
+    space, and must be readable on the executors. Some texts at a time are cut into pieces together, and the distinct
+    ones are encoded over one trie, so shared prefixes are worked out once; texts are put together from their
+    pieces (those with other than ASCII and Latin-1 letters word by word). A null text counts as empty: 0 tokens. Special tokens in a text are encoded
     as such. Rows are independent: no shuffle, and repeated rows or null ids are rows like any other.
 
     Columns: ``doc_id``, ``n_tokens``, ``ids_sha256`` (ids in decimal, a space

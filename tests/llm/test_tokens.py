@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from corpuscope.llm.bpe import TrieBpe, WordCodes, encode
+from corpuscope.llm.bpe import TrieBpe, WordCodes, _encoded, encode
 from corpuscope.llm.pfor import Segment, write_segment
 from corpuscope.llm.pretokens import WORDS
 from corpuscope.llm.token_files import LibraryWords, _segments, read_token_files, write_token_files
@@ -156,3 +157,34 @@ def test_simple_texts_are_cut_together_not_word_by_word(sentence, monkeypatch):
     )
     (segment,) = _segments(PATH, b"\1\0\0\0", 1 << 18)(iter([batch]))
     assert segment.column(3)[0].as_py() > 1000 and not asked
+
+
+def test_distinct_pieces_are_walked_once_and_words_not_at_all(library, sentence, monkeypatch):
+    codes = WordCodes(PATH)
+    asked, walked = [], []
+    monkeypatch.setattr(codes._cut, "pieces", lambda word: asked.append(word) or [])
+    step = codes._bpe.encode
+    monkeypatch.setattr(codes._bpe, "encode", lambda words: step(walked.extend(words) or words))
+    monkeypatch.setattr("corpuscope.llm.bpe.word_codes", lambda path: codes)
+    texts = [sentence(i, 50, "fr") + ", It's 2 o'clock." for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(_encoded(PATH, True)(iter([batch, batch])))
+    want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert out.column("ids").to_pylist() == want * 2
+    assert out.column("decoded").to_pylist() == [library.decode(ids, skip_special_tokens=False) for ids in want] * 2
+    assert not asked and len(walked) == len(set(walked)) > 50
+
+
+@pytest.mark.parametrize("remembered", [5, 400_000])
+def test_ids_of_texts_taken_together(library, monkeypatch, remembered):
+    monkeypatch.setattr("corpuscope.llm.bpe.REMEMBERED", remembered)
+    codes, pick = WordCodes(PATH), random.Random(9)
+    for _ in range(100):
+        texts = ["".join(pick.choice(CHARS) for _ in range(pick.randint(0, 14))) for _ in range(pick.randint(0, 6))]
+        texts += [pick.choice(["", " ", "It's 10", "été <|endoftext|>x", "one two one"])]
+        want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+        ids, bounds = codes.encode_texts([text.encode() for text in texts])
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == want, texts
+        assert [bytes(s).decode() for s in codes.decimals(ids, bounds)] == [" ".join(map(str, w)) for w in want]
+        assert [bytes(s).decode() for s in codes.tokens(ids, bounds)] == [library.decode(w, skip_special_tokens=False) for w in want]
+    assert codes.encode_texts([])[1].tolist() == [0]
