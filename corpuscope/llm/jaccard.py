@@ -140,7 +140,7 @@ def _global_order(texts: DataFrame, words: int) -> Broadcast:
     schema = "block int, seen binary"
     counted = texts.mapInArrow(_cell_counts(words), schema).repartition(parts, "block").mapInArrow(_added_blocks, schema)
     seen = np.zeros((1 << CELL_BITS) // CELL_BLOCK * CELL_BLOCK, dtype=np.int64).reshape(-1, CELL_BLOCK)
-    for row in counted.toLocalIterator():
+    for row in counted.collect():  # one job; an iterator would run one for each partition
         seen[row.block] = _unpacked(row.seen)
     places = np.empty(1 << CELL_BITS, dtype=np.uint32)
     places[np.argsort(seen.reshape(-1), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
@@ -309,7 +309,7 @@ class _Texts:
         schema = "block int, bits binary"
         packed = ids.select(slot.alias("s")).mapInArrow(_filter_blocks, schema).repartition(parts, "block")
         bits = np.zeros((blocks, FILTER_BLOCK // 8), dtype=np.uint8)
-        for row in packed.mapInArrow(_joined_blocks, schema).toLocalIterator():  # one row per block
+        for row in packed.mapInArrow(_joined_blocks, schema).collect():  # one row per block, in one job
             bits[row.block] = np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
         found = self._docs.select(
             "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")

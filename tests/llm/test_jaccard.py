@@ -4,7 +4,7 @@ import re
 import pytest
 
 from corpuscope.llm.components import components
-from corpuscope.llm.jaccard import Join, similar_sets
+from corpuscope.llm.jaccard import Join, _global_order, _Texts, similar_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -110,3 +110,19 @@ def test_long_words_that_sums_of_powers_confuse(documents):
     rows = [(1, word), (2, other), (3, f"{word} x"), (4, f"{other} x"), (5, word)]
     got = {r.doc_id: r.component_id for r in similar_sets(documents(rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_what_is_gathered_takes_no_job_for_each_partition(llm, documents, sentence):
+    """The order of cells and the filter of ids, with many shuffle partitions."""
+    parts, context = llm.conf.get("spark.sql.shuffle.partitions"), llm.sparkContext
+    docs = documents([(i, sentence(i, 20)) for i in range(10)]).select("doc_id", "text")
+    llm.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        context.setJobGroup("gathered", "")
+        places = _global_order(docs.select("text"), 4)
+        asked = _Texts(docs, Join(), places)._asked(docs.filter("doc_id < 3").select(docs.doc_id.alias("id")))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert len(context.statusTracker().getJobIdsForGroup("gathered")) <= 8
+        assert sorted(row.doc_id for row in asked.collect()) == [0, 1, 2]
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", parts)
