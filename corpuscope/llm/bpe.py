@@ -200,8 +200,9 @@ class WordCodes:
                 self.id_text[word] = " ".join([known[p] if isinstance(p, str) else str(p) for p in pieces])
 
     def forget(self) -> None:
-        """Leave the words; the worker may go on with other work."""
+        """Leave the words and hand free memory back; the worker may go on with other work."""
         self.id_text, self._piece_ids, self._simple_ids = {}, {}, {}
+        pa.default_memory_pool().release_unused()
 
     def encode(self, words: list[str]) -> str:
         """The ids of words that were learned."""

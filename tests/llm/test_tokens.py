@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -188,3 +189,12 @@ def test_ids_of_texts_taken_together(library, monkeypatch, remembered):
         assert [bytes(s).decode() for s in codes.decimals(ids, bounds)] == [" ".join(map(str, w)) for w in want]
         assert [bytes(s).decode() for s in codes.tokens(ids, bounds)] == [library.decode(w, skip_special_tokens=False) for w in want]
     assert codes.encode_texts([])[1].tolist() == [0]
+
+
+def test_memory_is_handed_back_when_words_are_left(monkeypatch):
+    codes, released = WordCodes(PATH), []
+    codes.learn({"one"})
+    codes.encode_texts([b"two three"])
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: released.append(True)))
+    codes.forget()
+    assert released and not codes.id_text and not codes._simple_ids
